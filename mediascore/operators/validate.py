@@ -97,7 +97,7 @@ def _getter(df: DataFrame) -> Getter:
     return get
 
 
-def validate(raw: DataFrame) -> DataFrame:
+def validate(raw: DataFrame, rules=RULES) -> DataFrame:
     """Raw records (text scalars) -> typed records plus ``errors``.
 
     Typed values of rows that break a rule may be null; carried columns
@@ -110,7 +110,7 @@ def validate(raw: DataFrame) -> DataFrame:
     for n in FIELDS:
         v = _typed(get, n)[0]
         typed.append(v.try_cast(FIELD_TYPES[n]).alias(n) if n in INT_FIELDS + DECIMAL_FIELDS else v.alias(n))
-    return raw.select(*[qcol(c) for c in extra], *typed, errors_expr(get, corrupt).alias(ERRORS))
+    return raw.select(*[qcol(c) for c in extra], *typed, errors_expr(get, corrupt, rules).alias(ERRORS))
 
 
 def validate_split_valid(validated: DataFrame) -> DataFrame:
