@@ -29,10 +29,16 @@ def typed_records(df: DataFrame) -> DataFrame:
 
 def scan_json_records(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """One JSON object per row of ``value_col`` -> raw record columns plus
-    ``_corrupt_record``; other input columns are carried through."""
+    ``_corrupt_record``; other input columns are carried through.
+
+    The parsed struct is emitted by a generator (``inline`` of a one-element
+    array).  Filters on anything derived from it (validation splits) then stop
+    at the generator instead of being pushed down with every field reference
+    expanded to its own ``from_json`` call: the text is parsed once per row.
+    """
     keep = [c for c in lines.columns if c != value_col]
-    parsed = F.from_json(F.col(value_col), RAW_SCHEMA, _JSON_OPTS).alias("_r")
-    return lines.select(*keep, parsed).select(*keep, "_r.*")
+    parsed = F.from_json(F.col(value_col), RAW_SCHEMA, _JSON_OPTS)
+    return lines.select(*keep, F.inline(F.array(parsed)))
 
 
 def read_json_lines(spark, path: str) -> DataFrame:
