@@ -165,12 +165,23 @@ def align_features(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> DataFram
 # C14 -----------------------------------------------------------------------------------
 def numeric_coerce(df: DataFrame, bundle: Bundle) -> DataFrame:
     """Every non-categorical feature to DOUBLE; unparsable, null or NaN -> 0.0,
-    so no numeric feature ever reaches the model missing."""
-    cols = {
-        f: F.coalesce(F.nanvl(qcol(f).try_cast("double"), F.lit(0.0)), F.lit(0.0))
-        for f in bundle.feature_names
-        if f not in bundle.categorical_features and f in df.columns
-    }
+    so no numeric feature ever reaches the model missing.  The expression is
+    chosen from the column type, so integral and non-null columns get a plain
+    cast (small generated code for wide feature lists)."""
+    types = {f.name: (f.dataType, f.nullable) for f in df.schema.fields}
+    cols = {}
+    for f in bundle.feature_names:
+        if f in bundle.categorical_features or f not in types:
+            continue
+        dt, nullable = types[f]
+        x = qcol(f)
+        if isinstance(dt, (T.FloatType, T.DoubleType)):
+            v = F.nanvl(x.cast("double"), F.lit(0.0))
+        elif isinstance(dt, _NUMERIC) or isinstance(dt, T.BooleanType):
+            v = x.cast("double")
+        else:
+            v = F.nanvl(x.try_cast("double"), F.lit(0.0))
+        cols[f] = F.coalesce(v, F.lit(0.0)) if nullable or not isinstance(dt, _NUMERIC) else v
     return _with(df, cols)
 
 

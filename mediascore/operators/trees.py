@@ -106,33 +106,40 @@ def _max_depth(yes, no, missing, roots, n) -> int:
 
 
 def _margin_fn():
-    """The per-batch traversal, built as a closure so it ships by value."""
+    """The per-batch traversal, built as a closure so it ships by value.
+
+    All rows x all trees advance one level per step: flat ``take`` gathers on
+    the node arrays, the missing branch only where a value is NaN, category
+    membership only at the positions that sit on a categorical node.
+    """
 
     def margins(X: np.ndarray, arrays: dict) -> np.ndarray:
         feature, threshold = arrays["feature"], arrays["threshold"]
         yes, no, missing, leaf = arrays["yes"], arrays["no"], arrays["missing"], arrays["leaf"]
         cat_row, cat_table, roots = arrays["cat_row"], arrays["cat_table"], arrays["roots"]
-        n = X.shape[0]
+        n, width = X.shape[0], cat_table.shape[1]
         if n == 0:
             return np.zeros(0, np.float64)
+        flat = np.ascontiguousarray(X, dtype=np.float32).ravel()
+        base = (np.arange(n, dtype=np.int64) * X.shape[1])[:, None]
         node = np.broadcast_to(roots, (n, roots.shape[0])).copy()
-        rows = np.arange(n)[:, None]
         has_cat = cat_table.shape[0] > 0
-        width = cat_table.shape[1]
         for _ in range(arrays["depth"]):
-            x = X[rows, feature[node]]
-            nan = np.isnan(x)
-            go_yes = x < threshold[node]
+            x = flat.take(base + feature.take(node))
+            go_yes = x < threshold.take(node)
             if has_cat:
-                crow = cat_row[node]
-                is_cat = crow >= 0
-                if is_cat.any():
-                    code = np.where(nan | ~is_cat, -1.0, x)
-                    ok = (code >= 0) & (code < width) & (code == np.floor(code))
-                    member = cat_table[np.maximum(crow, 0), np.clip(code, 0, width - 1).astype(np.int64)] & ok
-                    go_yes = np.where(is_cat, member, go_yes)
-            node = np.where(nan, missing[node], np.where(go_yes, yes[node], no[node]))
-        return leaf[node].astype(np.float64).sum(axis=1)
+                crow = cat_row.take(node)
+                at = np.nonzero(crow >= 0)
+                if at[0].size:
+                    xs = x[at]
+                    ok = (xs >= 0) & (xs < width) & (xs == np.floor(xs))
+                    go_yes[at] = cat_table[crow[at], np.where(ok, xs, 0).astype(np.int64)] & ok
+            nxt = np.where(go_yes, yes.take(node), no.take(node))
+            nan = np.isnan(x)
+            if nan.any():
+                nxt = np.where(nan, missing.take(node), nxt)
+            node = nxt
+        return leaf.take(node).sum(axis=1, dtype=np.float64)
 
     return margins
 
@@ -150,26 +157,45 @@ def margins_numpy(X: np.ndarray, trees: TreeArrays) -> np.ndarray:
     return _margin_fn()(np.asarray(X, np.float32), _as_dict(trees))
 
 
+def feature_array(bundle: Bundle) -> Column:
+    """The model's features as one ARRAY<FLOAT> in model order; a null
+    (missing categorical) becomes NaN, which takes the missing branch."""
+    nan = F.lit(float("nan")).cast("float")
+    return F.array(*[F.coalesce(qcol(f).cast("float"), nan) for f in bundle.feature_names])
+
+
 def arrow_margin(df: DataFrame, bundle: Bundle) -> Column:
-    """Margin column computed by one Arrow-batched pandas UDF.
+    """Margin column computed by one Arrow-batched UDF.
 
-    The node arrays go out once per job as a broadcast variable; the UDF only
-    receives the model's feature columns, everything else stays in the JVM.
+    The features travel as a single ARRAY<FLOAT>: on the Python side the list
+    column's flat value buffer is reshaped to a rows x features matrix without
+    per-row objects.  The node arrays go out once per job as a broadcast
+    variable; all other columns stay in the JVM.
     """
     if bundle.trees is None:
         raise ArtifactError("bundle has no model")
     spark = df.sparkSession
     bc = spark.sparkContext.broadcast(_as_dict(bundle.trees))
     base = float(bundle.base_margin)
+    width = len(bundle.feature_names)
     margins = _margin_fn()
 
-    @F.pandas_udf("double")
-    def _margin(feats: pd.DataFrame) -> pd.Series:
-        X = feats.to_numpy(dtype=np.float32, na_value=np.nan)
-        return pd.Series(margins(X, bc.value) + base)
+    if hasattr(F, "arrow_udf"):
+        import pyarrow as pa
+
+        def _arrow_margin(v):  # pa.ListArray -> pa.DoubleArray (scalar Arrow UDF)
+            X = v.flatten().to_numpy(zero_copy_only=False).reshape(len(v), width)
+            return pa.array(margins(X, bc.value) + base)
+
+        _margin = F.arrow_udf(_arrow_margin, "double")
+    else:  # PySpark < 4.1
+
+        @F.pandas_udf("double")
+        def _margin(v: pd.Series) -> pd.Series:
+            X = np.stack(v.to_numpy()).astype(np.float32) if len(v) else np.zeros((0, width), np.float32)
+            return pd.Series(margins(X, bc.value) + base)
 
-    cols = [qcol(f).alias(f"f{i}") for i, f in enumerate(bundle.feature_names)]
-    return _margin(F.struct(*cols))
+    return _margin(feature_array(bundle))
 
 
 def expr_margin(bundle: Bundle) -> Column:

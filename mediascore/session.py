@@ -20,6 +20,23 @@ _LOCAL_DEFAULTS = {
 }
 
 
+# Settings the scoring path relies on, applied only when the session leaves
+# them unset.  The feature projection is one wide expression list; HotSpot does
+# not JIT methods over 8000 bytes of bytecode, so whole-stage codegen must
+# fall back to split per-operator code above that size instead of running a
+# huge interpreted method.
+RECOMMENDED = {
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
+
+
+def tune_session(spark: SparkSession) -> SparkSession:
+    for k, v in RECOMMENDED.items():
+        if spark.conf.get(k, None) is None:
+            spark.conf.set(k, v)
+    return spark
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "mediascore") -> SparkSession:
     """A local session for tests and benches (never used on a cluster)."""
     builder = (
@@ -35,7 +52,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
-    return spark
+    return tune_session(spark)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
