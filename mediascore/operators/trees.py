@@ -105,48 +105,57 @@ def _max_depth(yes, no, missing, roots, n) -> int:
         frontier = np.unique(np.concatenate([yes[frontier], no[frontier], missing[frontier]]))
 
 
+ROW_CHUNK = 2048  # rows per traversal block: rows x trees index arrays stay in cache
+
+
 def _margin_fn():
     """The per-batch traversal, built as a closure so it ships by value.
 
-    All rows x all trees advance one level per step: flat ``take`` gathers on
-    the node arrays, the missing branch only where a value is NaN, category
-    membership only at the positions that sit on a categorical node.
+    Rows are processed in blocks; within a block all rows x all trees advance
+    one level per step: flat ``take`` gathers, one gather for both children
+    (``children[2 * node + go_no]``), the missing branch only where a value is
+    NaN, category membership only at positions sitting on a categorical node.
     """
 
     def margins(X: np.ndarray, arrays: dict) -> np.ndarray:
         feature, threshold = arrays["feature"], arrays["threshold"]
-        yes, no, missing, leaf = arrays["yes"], arrays["no"], arrays["missing"], arrays["leaf"]
+        missing, leaf, children = arrays["missing"], arrays["leaf"], arrays["children"]
         cat_row, cat_table, roots = arrays["cat_row"], arrays["cat_table"], arrays["roots"]
-        n, width = X.shape[0], cat_table.shape[1]
-        if n == 0:
-            return np.zeros(0, np.float64)
-        flat = np.ascontiguousarray(X, dtype=np.float32).ravel()
-        base = (np.arange(n, dtype=np.int64) * X.shape[1])[:, None]
-        node = np.broadcast_to(roots, (n, roots.shape[0])).copy()
+        n, nf = X.shape
+        width = cat_table.shape[1]
         has_cat = cat_table.shape[0] > 0
-        for _ in range(arrays["depth"]):
-            x = flat.take(base + feature.take(node))
-            go_yes = x < threshold.take(node)
-            if has_cat:
-                crow = cat_row.take(node)
-                at = np.nonzero(crow >= 0)
-                if at[0].size:
-                    xs = x[at]
-                    ok = (xs >= 0) & (xs < width) & (xs == np.floor(xs))
-                    go_yes[at] = cat_table[crow[at], np.where(ok, xs, 0).astype(np.int64)] & ok
-            nxt = np.where(go_yes, yes.take(node), no.take(node))
-            nan = np.isnan(x)
-            if nan.any():
-                nxt = np.where(nan, missing.take(node), nxt)
-            node = nxt
-        return leaf.take(node).sum(axis=1, dtype=np.float64)
+        itype = np.int32 if n * max(nf, 1) < 2**31 else np.int64
+        flat = np.ascontiguousarray(X, dtype=np.float32).ravel()
+        out = np.empty(n, np.float64)
+        for s in range(0, n, ROW_CHUNK):
+            e = min(n, s + ROW_CHUNK)
+            base = (np.arange(s, e, dtype=itype) * itype(nf))[:, None]
+            node = np.broadcast_to(roots, (e - s, roots.shape[0])).copy()
+            for _ in range(arrays["depth"]):
+                x = flat.take(base + feature.take(node))
+                go_no = x >= threshold.take(node)  # NaN gives False; fixed below
+                if has_cat:
+                    crow = cat_row.take(node)
+                    at = np.nonzero(crow >= 0)
+                    if at[0].size:
+                        xs = x[at]
+                        ok = (xs >= 0) & (xs < width) & (xs == np.floor(xs))
+                        go_no[at] = ~(cat_table[crow[at], np.where(ok, xs, 0).astype(np.int64)] & ok)
+                nxt = children.take(2 * node + go_no)
+                nan = np.isnan(x)
+                if nan.any():
+                    nxt = np.where(nan, missing.take(node), nxt)
+                node = nxt
+            out[s:e] = leaf.take(node).sum(axis=1, dtype=np.float64)
+        return out
 
     return margins
 
 
 def _as_dict(t: TreeArrays) -> dict:
     return {
-        "feature": t.feature, "threshold": t.threshold, "yes": t.yes, "no": t.no,
+        "feature": t.feature, "threshold": t.threshold,
+        "children": np.stack([t.yes, t.no], axis=1).astype(np.int32).ravel(),
         "missing": t.missing, "leaf": t.leaf, "cat_row": t.cat_row,
         "cat_table": t.cat_table, "roots": t.roots, "depth": t.depth,
     }

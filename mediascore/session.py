@@ -74,3 +74,15 @@ def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     written intermediate tables)."""
     base = ensure_checkpoint_dir(spark)
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared checkpoint folder and
+    return it read back: later jobs reuse it instead of recomputing it, and a
+    lost executor re-reads the table instead of replaying the lineage."""
+    import uuid
+
+    spark = df.sparkSession
+    path = checkpoint_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return spark.read.parquet(path)
