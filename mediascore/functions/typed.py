@@ -25,7 +25,9 @@ def lax_int(s: Column, target: T.DataType = T.LongType()) -> tuple[Column, Colum
     d = s.try_cast(WIDE_DECIMAL)
     from_bool = F.when(s == F.lit("true"), F.lit(1)).when(s == F.lit("false"), F.lit(0))
     whole = F.when(d.isNotNull() & (d == F.floor(d)), d.try_cast(target))
-    value = F.coalesce(from_bool.cast(target), whole)
+    # Plain integer text takes the cheap cast; only the rest ("1994.0",
+    # booleans, junk) goes through the decimal parse (coalesce is lazy).
+    value = F.coalesce(s.try_cast(T.LongType()).try_cast(target), from_bool.cast(target), whole)
     return value, s.isNull() | value.isNotNull()
 
 

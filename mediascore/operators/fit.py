@@ -71,3 +71,51 @@ def fit_category_vocab(df: DataFrame, columns=CATEGORICAL_FIELDS) -> DataFrame:
     ]))).where(F.col("value").isNotNull()).distinct()
     w = Window.partitionBy("column").orderBy("value")
     return vals.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+
+
+def fit_artifacts(df: DataFrame, fields=CONTINUOUS_FIELDS, list_columns=ENCODED_LIST_FIELDS,
+                  categorical=CATEGORICAL_FIELDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """All three artifacts from ONE scan and ONE aggregation.
+
+    Every row is unpivoted into tagged facts -- (norm, field, null, x) for the
+    continuous fields, (cat, column, cleaned value) per list element, (voc,
+    column, value) for the categoricals -- and grouped by (kind, column,
+    value) with min/max.  The result is as small as the artifacts (fields +
+    distinct categories + distinct vocabulary values); it is written once to
+    the shared folder and the three tables are read from it.
+    """
+    from mediascore.session import materialize
+
+    nums = [f for f in fields if f in df.columns]
+    lists = [c for c in list_columns if c in df.columns]
+    cats = [c for c in categorical if c in df.columns]
+
+    def fact(kind, column, value, x):
+        return F.struct(F.lit(kind).alias("kind"), F.lit(column).alias("column"),
+                        value.cast("string").alias("value"), x.cast("double").alias("x"))
+
+    def tag(c):
+        return lambda v: fact("cat", c, v, F.lit(None))
+
+    empty = F.array().cast("array<string>")
+    facts = F.flatten(F.array(
+        F.array(*[fact("norm", f, F.lit(None), qcol(f)) for f in nums]) if nums else F.array().cast("array<struct<kind:string,column:string,value:string,x:double>>"),
+        *[F.transform(F.coalesce(clean_values(qcol(c)), empty), tag(c)) for c in lists],
+        F.array(*[fact("voc", c, qcol(c), F.lit(None)) for c in cats]) if cats else F.array().cast("array<struct<kind:string,column:string,value:string,x:double>>"),
+    ))
+    summary = materialize(
+        df.select(F.inline(facts))
+        .where((F.col("kind") == "norm") | (F.col("value").isNotNull() & (F.col("value") != F.lit(""))))
+        .groupBy("kind", "column", "value")
+        .agg(F.min("x").alias("min"), F.max("x").alias("max")),
+        "fitted-artifacts",
+    )
+    norm = summary.where((F.col("kind") == "norm") & F.col("min").isNotNull()).select(
+        F.col("column").alias("feature"), "min", "max")
+    schema_long = summary.where(F.col("kind") == "cat").select(
+        F.col("column").alias("original_column"), F.col("value").alias("category"),
+        F.concat(F.col("column"), F.lit("_"), F.col("value")).alias("column_name"))
+    w = Window.partitionBy("column").orderBy("value")
+    vocab = summary.where(F.col("kind") == "voc").select(
+        "column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    return norm, schema_long, vocab

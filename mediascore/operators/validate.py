@@ -40,7 +40,8 @@ def _typed(get: Getter, name: str) -> tuple[Column, Column]:
     return raw, F.lit(True)
 
 
-def _rule(get: Getter, name: str, field: str, kind: str, args: tuple) -> Column:
+def _rule(get: Getter, name: str, field: str, kind: str, args: tuple, typed=None) -> Column:
+    typed = typed or (lambda f: _typed(get, f))
     raw = get(field)
     fails: Column
     if kind == "required":
@@ -48,9 +49,9 @@ def _rule(get: Getter, name: str, field: str, kind: str, args: tuple) -> Column:
     elif kind == "pattern":
         fails = raw.isNotNull() & ~raw.rlike(args[0])
     elif kind in ("int_type", "decimal_type"):
-        fails = ~_typed(get, field)[1]
+        fails = ~typed(field)[1]
     elif kind == "range":
-        v = _typed(get, field)[0]
+        v = typed(field)[0]
         lo, hi = args
         bad = F.lit(False)
         if lo is not None:
@@ -59,7 +60,7 @@ def _rule(get: Getter, name: str, field: str, kind: str, args: tuple) -> Column:
             bad = bad | (v > F.lit(hi))
         fails = v.isNotNull() & bad
     elif kind == "scale":
-        d = _typed(get, field)[0]
+        d = typed(field)[0]
         fails = d.isNotNull() & ~decimal_scale_ok(raw.cast("string"), d, args[0])
     elif kind == "max_length":
         fails = raw.isNotNull() & (F.length(raw) > F.lit(args[0]))
@@ -76,10 +77,16 @@ def _rule(get: Getter, name: str, field: str, kind: str, args: tuple) -> Column:
     return F.when(F.coalesce(fails, F.lit(False)), F.lit(name))
 
 
-def errors_expr(get: Getter, corrupt: Column | None = None, rules=RULES) -> Column:
+def errors_expr(get: Getter, corrupt: Column | None = None, rules=RULES, typed=None) -> Column:
     """ARRAY<STRING> of broken rule names (empty when valid).  A malformed
-    JSON record reports only ``record:malformed_json``."""
-    checks = F.filter(F.array(*[_rule(get, *r) for r in rules]), lambda e: e.isNotNull())
+    JSON record reports only ``record:malformed_json``.
+
+    The names are gathered with ``concat_ws`` (skips nulls) and ``split``
+    rather than ``filter(array(...))``: a higher-order function is always
+    interpreted, which would take every rule out of generated code.
+    """
+    joined = F.concat_ws("|", *[_rule(get, *r, typed=typed) for r in rules])
+    checks = F.when(joined == F.lit(""), F.array().cast("array<string>")).otherwise(F.split(joined, r"\|"))
     if corrupt is None:
         return checks
     return F.when(corrupt.isNotNull(), F.array(F.lit(MALFORMED_RULE))).otherwise(checks)
@@ -100,17 +107,32 @@ def _getter(df: DataFrame) -> Getter:
 def validate(raw: DataFrame, rules=RULES) -> DataFrame:
     """Raw records (text scalars) -> typed records plus ``errors``.
 
-    Typed values of rows that break a rule may be null; carried columns
-    (request keys, positions) are kept in front.
+    Stage 1 parses every numeric text exactly once into ``(value, ok)``
+    helper columns; stage 2 evaluates the rules on those attributes.  Stage 1
+    is emitted through a one-element generator so that a later filter on
+    ``errors`` (the splits) stops above it instead of being pushed down with
+    every parse inlined again.  Typed values of rows that break a rule may be
+    null; carried columns (request keys, positions) are kept in front.
     """
     get = _getter(raw)
-    corrupt = qcol(CORRUPT_COL) if CORRUPT_COL in raw.columns else None
     extra = [c for c in raw.columns if c not in FIELDS and c != CORRUPT_COL]
-    typed = []
-    for n in FIELDS:
-        v = _typed(get, n)[0]
-        typed.append(v.try_cast(FIELD_TYPES[n]).alias(n) if n in INT_FIELDS + DECIMAL_FIELDS else v.alias(n))
-    return raw.select(*[qcol(c) for c in extra], *typed, errors_expr(get, corrupt, rules).alias(ERRORS))
+    parsed_cols = [qcol(c) for c in extra]
+    parsed_cols += [get(n).alias(n) for n in FIELDS]
+    if CORRUPT_COL in raw.columns:
+        parsed_cols.append(qcol(CORRUPT_COL))
+    for n in INT_FIELDS + DECIMAL_FIELDS:
+        v, ok = _typed(get, n)
+        parsed_cols += [v.alias(f"__v_{n}"), ok.alias(f"__ok_{n}")]
+    staged = raw.select(F.inline(F.array(F.struct(*parsed_cols))))
+
+    def typed(n: str):
+        return F.col(f"__v_{n}"), F.col(f"__ok_{n}")
+
+    corrupt = F.col(CORRUPT_COL) if CORRUPT_COL in raw.columns else None
+    out = [F.col(f"__v_{n}").try_cast(FIELD_TYPES[n]).alias(n) if n in INT_FIELDS + DECIMAL_FIELDS else qcol(n)
+           for n in FIELDS]
+    return staged.select(*[qcol(c) for c in extra], *out,
+                         errors_expr(_getter(staged), corrupt, rules, typed).alias(ERRORS))
 
 
 def validate_split_valid(validated: DataFrame) -> DataFrame:

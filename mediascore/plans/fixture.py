@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from mediascore.bundle import Bundle
 from mediascore.operators.features import encoded_columns
-from mediascore.operators.fit import fit_category_schema, fit_category_vocab, fit_normalization
+from mediascore.operators.fit import fit_artifacts
 from mediascore.schema import CATEGORICAL_FIELDS, NORM_SUFFIX
-from mediascore.sources.artifacts import build_bundle, load_category_schema, load_normalization
+from mediascore.sources.artifacts import build_bundle, category_schema_from_long, load_category_schema, load_normalization
 from mediascore.sources.fixtures import fixture_nodes, media_items_view
 
 ORACLE_TREES, ORACLE_DEPTH = 8, 3
@@ -20,7 +20,9 @@ BENCH_TREES, BENCH_DEPTH = 200, 6
 
 
 def fitted_artifacts(media: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return fit_normalization(media), fit_category_schema(media), fit_category_vocab(media)
+    """(normalisation, category schema in list form, vocabulary) from one pass."""
+    norm, schema_long, vocab = fit_artifacts(media)
+    return norm, category_schema_from_long(schema_long), vocab
 
 
 def model_features(normalization: dict, category_schema: tuple) -> list[str]:

@@ -101,9 +101,10 @@ def media_items_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_items(spark, sf_dir).drop("p_partkey")
 
 
-def media_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """JSON lines (request_id, pos, value) with one defect per part."""
-    m = media_items(spark, sf_dir)
+def media_raw(spark: SparkSession, sf_dir: str, items: DataFrame | None = None) -> DataFrame:
+    """JSON lines (request_id, pos, value) with one defect per part.
+    ``items`` may pass an already built ``media_items`` table."""
+    m = items if items is not None else media_items(spark, sf_dir)
     d = F.col("p_partkey") % 101
     patched = {
         "imdb_id": F.when(d == 0, F.lit("invalid_id"))
@@ -135,11 +136,11 @@ def media_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def media_envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def media_envelopes(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """One batch request per ``request_id``: ``{"items":[...]}`` in ``pos``
     order (at most ITEMS_PER_REQUEST items by construction); every 37th
     request is sent as a bare array, which is not a valid envelope."""
-    raw = media_raw(spark, sf_dir)
+    raw = raw if raw is not None else media_raw(spark, sf_dir)
     grouped = raw.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("xs")
     )

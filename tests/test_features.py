@@ -92,3 +92,14 @@ def test_preprocess_keeps_rows_and_duplicates(spark, bundle):
     out = FE.preprocess(doubled, bundle)
     assert out.count() == 2 * m.count()
     assert out.columns == ["imdb_id", *bundle.feature_names]
+
+
+def test_single_pass_fit_equals_separate_fits(spark):
+    from mediascore.operators.fit import fit_artifacts, fit_category_schema_long
+    from mediascore.sources.fixtures import media_items_view
+
+    m = media_items_view(spark, "/root/testdata/sf0.001")
+    norm, schema_long, vocab = fit_artifacts(m)
+    assert sorted(norm.collect()) == sorted(fit_normalization(m).collect())
+    assert sorted(schema_long.collect()) == sorted(fit_category_schema_long(m).select("original_column", "category", "column_name").collect())
+    assert sorted(vocab.collect()) == sorted(fit_category_vocab(m).select("column", "value", "code").collect())
