@@ -60,3 +60,13 @@ def results_envelope(scored: DataFrame, key: str = "request_id") -> DataFrame:
             lambda r: F.struct(r["imdb_id"].alias("imdb_id"), r["prediction"].alias("prediction"), r["probability"].alias("probability")),
         ).alias("results")
     )
+
+
+def write_results(scored: DataFrame, path: str, fmt: str = "parquet", mode: str = "overwrite",
+                  partition_by: list[str] | None = None) -> None:
+    """The per-record result sink: ``imdb_id, prediction, probability`` plus
+    whatever keys were kept, written by the executors (no driver collect)."""
+    w = scored.write.mode(mode).format(fmt)
+    if partition_by:
+        w = w.partitionBy(*partition_by)
+    w.save(path)

@@ -8,7 +8,6 @@ doubles are rounded to 6 places, so each has a like-for-like DuckDB oracle.
 from __future__ import annotations
 
 import uuid
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,11 +52,18 @@ def _joined(c: str) -> Column:
     return F.array_join(F.col(c), "|").alias(c)
 
 
-@lru_cache(maxsize=32)
-def _bundle_cached(spark_id: int, sf_dir: str, n_trees: int, depth: int, version: str, mode: str) -> Bundle:
-    spark = SparkSession.getActiveSession()
-    return fixture_bundle(spark, sf_dir, n_trees, depth, version=version, tree_offset=version_offset(version),
-                          categorical_mode=mode)
+_BUNDLES: dict[tuple, Bundle] = {}
+
+
+def bundle_for(spark: SparkSession, sf_dir: str, version: str = "1", n_trees: int = ORACLE_TREES,
+               depth: int = ORACLE_DEPTH, mode: str = "vocab") -> Bundle:
+    """The fixture bundle for a registry version (cached per session: it is a
+    pure function of the tables)."""
+    key = (id(spark), sf_dir, n_trees, depth, version, mode)
+    if key not in _BUNDLES:
+        _BUNDLES[key] = fixture_bundle(spark, sf_dir, n_trees, depth, version=version,
+                                       tree_offset=version_offset(version), categorical_mode=mode)
+    return _BUNDLES[key]
 
 
 def version_offset(version: str) -> int:

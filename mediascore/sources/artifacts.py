@@ -39,9 +39,23 @@ NODE_SCHEMA = T.StructType(
 
 
 # -- JSON artifact files ------------------------------------------------------
-def read_json_artifact(spark: SparkSession, path: str) -> DataFrame:
+def read_json_artifact(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
     """A JSON list file (``[{...}, ...]``) as a table, rows in file order."""
-    return spark.read.option("multiLine", "true").json(path)
+    reader = spark.read.option("multiLine", "true")
+    return (reader.schema(schema) if schema is not None else reader).json(path)
+
+
+def write_json_artifact(table: DataFrame, path: str) -> None:
+    """Write a small artifact table as ONE JSON list file (the exchange
+    format of artifact stores).  The table is bounded (an artifact), so it is
+    gathered into a single task on purpose; the size is checked first."""
+    n = table.limit(MAX_SCHEMA_COLUMNS + 1).count()
+    if n > MAX_SCHEMA_COLUMNS:
+        raise ArtifactError(f"{n} rows is not an artifact-sized table")
+    body = table.select(F.to_json(F.struct(*[F.col(c) for c in table.columns])).alias("j")).agg(
+        F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value")
+    )
+    body.coalesce(1).write.mode("overwrite").text(path)
 
 
 # -- normalisation ------------------------------------------------------------

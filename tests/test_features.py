@@ -103,3 +103,48 @@ def test_single_pass_fit_equals_separate_fits(spark):
     assert sorted(norm.collect()) == sorted(fit_normalization(m).collect())
     assert sorted(schema_long.collect()) == sorted(fit_category_schema_long(m).select("original_column", "category", "column_name").collect())
     assert sorted(vocab.collect()) == sorted(fit_category_vocab(m).select("column", "value", "code").collect())
+
+
+def test_json_artifact_files_round_trip(spark, bundle):
+    """Fitted tables -> JSON list files -> tables -> the same bundle."""
+    import uuid
+
+    from mediascore.operators.fit import fit_artifacts
+    from mediascore.plans.fixture import model_features
+    from mediascore.session import checkpoint_path
+    from mediascore.sources.artifacts import (
+        build_bundle, category_schema_from_long, read_json_artifact, write_json_artifact,
+    )
+    from mediascore.sources.fixtures import fixture_nodes, media_items_view
+
+    m = media_items_view(spark, "/root/testdata/sf0.001")
+    norm, schema_long, vocab = fit_artifacts(m)
+    base = checkpoint_path(spark, "test-artifacts", uuid.uuid4().hex)
+    write_json_artifact(norm, base + "/normalization")
+    write_json_artifact(category_schema_from_long(schema_long), base + "/schema")
+    write_json_artifact(vocab, base + "/vocab")
+    text = spark.read.text(base + "/normalization").first()[0]
+    assert text.startswith("[{") and text.endswith("}]")
+    n2 = read_json_artifact(spark, base + "/normalization")
+    s2 = read_json_artifact(spark, base + "/schema")
+    v2 = read_json_artifact(spark, base + "/vocab")
+    feats = model_features(load_normalization(n2), load_category_schema(s2))
+    assert tuple(feats) == bundle.feature_names
+    b2 = build_bundle(normalization=n2, category_schema=s2, vocab=v2,
+                      nodes=fixture_nodes(spark, feats, 8, 3, ["original_language", "production_status"]),
+                      feature_names=feats)
+    assert b2.normalization == bundle.normalization and b2.vocab == bundle.vocab
+    assert b2.category_schema == bundle.category_schema
+
+
+def test_printed_array_schema_artifact(spark, bundle):
+    """The legacy printed-array form of exploded_mapping loads the same."""
+    from mediascore.plans.workloads import printed_schema
+    from mediascore.sources.artifacts import category_schema_from_long
+    from mediascore.operators.fit import fit_category_schema_long
+    from mediascore.sources.fixtures import media_items_view
+
+    m = media_items_view(spark, "/root/testdata/sf0.001")
+    printed = printed_schema(category_schema_from_long(fit_category_schema_long(m)))
+    assert isinstance(printed.schema["exploded_mapping"].dataType.__class__.__name__, str)
+    assert load_category_schema(printed) == bundle.category_schema
