@@ -71,12 +71,6 @@ def version_offset(version: str) -> int:
     return int(version) - 1
 
 
-def bundle_for(spark: SparkSession, sf_dir: str, version: str = "1", n_trees: int = ORACLE_TREES,
-               depth: int = ORACLE_DEPTH, mode: str = "vocab") -> Bundle:
-    """The fixture bundle for a registry version (cached per session)."""
-    return _bundle_cached(id(spark), sf_dir, n_trees, depth, version, mode)
-
-
 # -- sources -------------------------------------------------------------------------
 def q_media_items(spark, sf):
     m = media_items_view(spark, sf)

@@ -335,7 +335,7 @@ FROM nf JOIN fidx ON fidx.k = nf.q""")
     q["normalize_minmax"] = with_(ARTIFACTS, "SELECT imdb_id, " + ", ".join(_norm_expr(f) for f in CONTINUOUS_FIELDS) + " FROM mi")
     q["normalize_nulls"] = with_(ARTIFACTS, "SELECT imdb_id, " + ", ".join(_norm_expr(f) for f in ("release_year", "budget", "revenue"))
                                  + " FROM mi WHERE release_year IS NULL OR budget IS NULL OR revenue IS NULL")
-    q["normalize_degenerate"] = with_(MEDIA, """SELECT imdb_id, 0.0 AS runtime_norm,
+    q["normalize_degenerate"] = with_(MEDIA, """SELECT imdb_id, CAST(0.0 AS DOUBLE) AS runtime_norm,
   CASE WHEN runtime IS NOT NULL AND runtime <> 40 THEN 'runtime:degenerate_range' ELSE '' END AS errors FROM mi""")
     act = """act AS (SELECT mem.imdb_id, cats.column_name FROM mem JOIN cats ON mem.oc = cats.oc AND mem.category = cats.category)"""
     q["multi_hot_encode"] = with_(ARTIFACTS + ",\n" + act, """SELECT mi.imdb_id, coalesce(string_agg(act.column_name, '|' ORDER BY act.column_name), '') AS active,
@@ -379,7 +379,7 @@ WHERE ev.request_id IN ({_valid_requests()}) GROUP BY ev.request_id""")
         f"SELECT imdb_id, (SELECT version FROM latest) AS model_version, round({PROB}, 6) AS probability FROM sc")
     q["pinned_version"] = with_(_scored("8"), f"SELECT imdb_id, '9' AS model_version, round({PROB}, 6) AS probability FROM sc")
     q["model_metadata"] = with_(_scored(latest_off, extra=LATEST), f"""SELECT 'm1' AS model_name, (SELECT version FROM latest) AS version,
-  'run-' || (SELECT version FROM latest) AS run_id, 'Production' AS stage, 'READY' AS status, 8.0 AS n_trees,
+  'run-' || (SELECT version FROM latest) AS run_id, 'Production' AS stage, 'READY' AS status, CAST(8.0 AS DOUBLE) AS n_trees,
   (SELECT version FROM latest) AS tree_offset, CAST(count(*) AS BIGINT) AS n_scored,
   round(avg(CASE WHEN {PROB} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS positive_rate FROM sc""")
     q["artifact_summary"] = with_(ARTIFACTS, """SELECT (SELECT CAST(count(*) AS BIGINT) FROM fidx) AS features_count,
