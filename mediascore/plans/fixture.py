@@ -37,9 +37,14 @@ def fixture_bundle(
     spark: SparkSession, sf_dir: str, n_trees: int = ORACLE_TREES, depth: int = ORACLE_DEPTH,
     version: str = "1", tree_offset: int = 0, media: DataFrame | None = None,
     model_name: str = "m1", categorical_mode: str = "vocab",
+    artifacts: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> Bundle:
-    media = media if media is not None else media_items_view(spark, sf_dir)
-    norm_df, schema_df, vocab_df = fitted_artifacts(media)
+    """``artifacts`` may pass already fitted (normalisation, schema list form,
+    vocabulary) tables; otherwise they are fitted from ``media``."""
+    if artifacts is None:
+        media = media if media is not None else media_items_view(spark, sf_dir)
+        artifacts = fitted_artifacts(media)
+    norm_df, schema_df, vocab_df = artifacts
     features = model_features(load_normalization(norm_df), load_category_schema(schema_df))
     nodes = fixture_nodes(spark, features, n_trees, depth, CATEGORICAL_FIELDS, tree_offset)
     return build_bundle(

@@ -72,3 +72,21 @@ def test_category_map_rules():
     # duplicate category: the last column wins
     assert category_map("genre", ["genre_a", "other_a"]) == {"a": "other_a"}
     assert category_map("origin_country", ["origin_country_us"]) == {"us": "origin_country_us"}
+
+
+from hypothesis import given, settings, strategies as st  # noqa: E402
+
+# Scripts whose letters, digits and case mappings agree between the JVM and
+# Python (the cleaner's known differences are in newer Unicode additions).
+ALPHABET = st.characters(
+    min_codepoint=0x20, max_codepoint=0x52F,
+    blacklist_categories=("Cs", "Cc", "Mn", "Me", "Mc"),
+)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=12), min_size=1, max_size=8))
+def test_cleaner_property(spark, words):
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+    got = [r[0] for r in df.select(clean_value(F.col("v"))).collect()]
+    assert got == [py_clean(w) for w in words]
