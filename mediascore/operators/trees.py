@@ -127,6 +127,10 @@ def _margin_fn():
         itype = np.int32 if n * max(nf, 1) < 2**31 else np.int64
         flat = np.ascontiguousarray(X, dtype=np.float32).ravel()
         out = np.empty(n, np.float64)
+        # NaN at a numeric split needs the generic missing pass; when numeric
+        # columns hold none (numeric coercion guarantees it), missing values
+        # are handled only where a categorical split is evaluated.
+        num_nan = bool(np.isnan(X[:, arrays["num_cols"]]).any()) if n else False
         for s in range(0, n, ROW_CHUNK):
             e = min(n, s + ROW_CHUNK)
             base = (np.arange(s, e, dtype=itype) * itype(nf))[:, None]
@@ -134,6 +138,7 @@ def _margin_fn():
             for _ in range(arrays["depth"]):
                 x = flat.take(base + feature.take(node))
                 go_no = x >= threshold.take(node)  # NaN gives False; fixed below
+                at = None
                 if has_cat:
                     crow = cat_row.take(node)
                     at = np.nonzero(crow >= 0)
@@ -141,10 +146,18 @@ def _margin_fn():
                         xs = x[at]
                         ok = (xs >= 0) & (xs < width) & (xs == np.floor(xs))
                         go_no[at] = ~(cat_table[crow[at], np.where(ok, xs, 0).astype(np.int64)] & ok)
+                    else:
+                        at = None
                 nxt = children.take(2 * node + go_no)
-                nan = np.isnan(x)
-                if nan.any():
-                    nxt = np.where(nan, missing.take(node), nxt)
+                if num_nan:
+                    nan = np.isnan(x)
+                    if nan.any():
+                        nxt = np.where(nan, missing.take(node), nxt)
+                elif at is not None:
+                    miss = np.isnan(x[at])
+                    if miss.any():
+                        rows_at, cols_at = at[0][miss], at[1][miss]
+                        nxt[rows_at, cols_at] = missing.take(node[rows_at, cols_at])
                 node = nxt
             out[s:e] = leaf.take(node).sum(axis=1, dtype=np.float64)
         return out
@@ -153,7 +166,12 @@ def _margin_fn():
 
 
 def _as_dict(t: TreeArrays) -> dict:
+    n_features = int(t.feature.max()) + 1 if t.feature.size else 0
+    internal = t.yes != np.arange(t.yes.shape[0])
+    num_cols = np.zeros(max(n_features, 1), bool)
+    num_cols[t.feature[internal & ~t.is_cat]] = True
     return {
+        "num_cols": np.nonzero(num_cols)[0],
         "feature": t.feature, "threshold": t.threshold,
         "children": np.stack([t.yes, t.no], axis=1).astype(np.int32).ravel(),
         "missing": t.missing, "leaf": t.leaf, "cat_row": t.cat_row,

@@ -72,3 +72,18 @@ def test_scans_are_pruned(spark):
     plan = _plan(media_items_view(spark, SF))
     assert "ReadSchema: struct<l_partkey:bigint,l_quantity:double,l_extendedprice:double,l_shipdate:timestamp_ntz>" in plan
     assert "l_comment" not in plan and "l_tax" not in plan
+
+
+def test_validation_split_plan_stays_small(spark):
+    """A filter on ``errors`` must not be pushed below the JSON parse with
+    every field reference expanded into its own from_json (which made the
+    optimized plan megabytes long and ran each parse hundreds of times)."""
+    from mediascore.operators.validate import validate, validate_split_quarantine, validate_split_valid
+    from mediascore.sources.fixtures import media_raw
+    from mediascore.sources.records import scan_json_records
+
+    v = validate(scan_json_records(media_raw(spark, SF)))
+    for split in (validate_split_valid(v), validate_split_quarantine(v)):
+        plan = split._jdf.queryExecution().optimizedPlan().toString()
+        assert len(plan) < 200_000
+        assert plan.count("from_json") == 1
