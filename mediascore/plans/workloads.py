@@ -369,8 +369,12 @@ def q_encode_missing_column(spark, sf):
     enc = FE.multi_hot_encode(FE.drop_unused(_media(spark, sf)).drop("genre"), b)
     genre_cols = [n for oc, ns in b.category_schema if oc == "genre" for n in ns]
     total = sum((qcol(n) for n in genre_cols), F.lit(0))
-    act = _active(b, enc, [n for n in FE.encoded_columns(b) if n not in genre_cols])
-    return act.join(enc.select("imdb_id", total.cast("bigint").alias("genre_total")), "imdb_id")
+    others = sorted(n for n in FE.encoded_columns(b) if n not in genre_cols)
+    arr = F.filter(F.array(*[F.when(qcol(n) == 1, F.lit(n)) for n in others]), lambda x: x.isNotNull())
+    return enc.select(
+        "imdb_id", F.array_join(arr, "|").alias("active"), F.size(arr).cast("bigint").alias("n_active"),
+        total.cast("bigint").alias("genre_total"),
+    )
 
 
 def q_drop_unused(spark, sf):
@@ -486,18 +490,18 @@ def q_pinned_version(spark, sf):
 
 def q_model_metadata(spark, sf):
     """Metadata of the latest version plus metrics Spark measures by scoring
-    the data with it."""
+    the data with it (a one-row aggregate, attached as literals)."""
     versions = registry_versions(spark)
     meta = model_metadata(versions, registry_runs(spark, ORACLE_TREES, ORACLE_DEPTH), MODEL, "latest")
     v = resolve_version(versions, MODEL, "latest")
-    measured = _scored(spark, sf, version=v).agg(
-        F.count(F.lit(1)).cast("bigint").alias("n_scored"),
-        _r(F.avg(F.col("prediction").cast("double"))).alias("positive_rate"),
-    ).withColumn("version", F.lit(v))
-    return meta.join(measured, "version").select(
+    stats = _scored(spark, sf, version=v).agg(
+        F.count(F.lit(1)).alias("n_scored"), F.avg(F.col("prediction").cast("double")).alias("positive_rate"),
+    ).first()
+    return meta.select(
         "model_name", "version", "run_id", "stage", "status",
         F.col("run_metrics")["n_trees"].alias("n_trees"), F.col("run_params")["tree_offset"].alias("tree_offset"),
-        "n_scored", "positive_rate",
+        F.lit(int(stats["n_scored"])).cast("bigint").alias("n_scored"),
+        _r(F.lit(float(stats["positive_rate"]))).alias("positive_rate"),
     )
 
 
