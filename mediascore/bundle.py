@@ -66,9 +66,12 @@ class TreeArrays:
     leaf: np.ndarray  # float32, 0 on internal nodes
     is_cat: np.ndarray  # bool
     cat_row: np.ndarray  # int32 row in cat_table, -1 when not categorical
-    cat_table: np.ndarray  # bool [n_cat_nodes, n_codes]
+    cat_table: np.ndarray  # bool [n_cat_nodes, n_codes] (empty when cat_keys is used)
     roots: np.ndarray  # int32 global id of every tree's root
     depth: int
+    cat_keys: np.ndarray | None = None  # sorted cat_row * cat_width + code, for large tables
+    cat_width: int = 1
+    n_cat: int = 0
 
     @property
     def n_trees(self) -> int:

@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from mediascore.bundle import ArtifactError, Bundle, TreeArrays
 
 MAX_CATEGORY_CODE = 1_000_000
+# Dense category-membership tables up to this many cells (bytes); larger
+# models keep the exact membership as sorted (node, code) keys instead.
+MAX_DENSE_CATEGORY_CELLS = 16 * 1024 * 1024
 
 
 def qcol(name: str) -> Column:
@@ -82,12 +85,18 @@ def tree_arrays(node_rows, feature_names: list[str], categorical: list[str]) ->
         else:
             raise ArtifactError(f"tree {t} node {nid}: unknown kind {kind!r}")
     width = max([max(s) + 1 for s in cat_sets if s] + [1])
-    cat_table = np.zeros((len(cat_sets), width), bool)
-    for i, s in enumerate(cat_sets):
-        cat_table[i, s] = True
+    cat_keys = None
+    if len(cat_sets) * width > MAX_DENSE_CATEGORY_CELLS:
+        keys = [i * width + c for i, s in enumerate(cat_sets) for c in s]
+        cat_keys = np.unique(np.array(keys or [-1], np.int64))
+        cat_table = np.zeros((0, 0), bool)
+    else:
+        cat_table = np.zeros((len(cat_sets), width), bool)
+        for i, s in enumerate(cat_sets):
+            cat_table[i, s] = True
     depth = _max_depth(yes, no, missing, np.array(roots, np.int32), n)
     return TreeArrays(feature, threshold, yes, no, missing, leaf, cat_row >= 0, cat_row,
-                      cat_table, np.array(roots, np.int32), depth)
+                      cat_table, np.array(roots, np.int32), depth, cat_keys, width, len(cat_sets))
 
 
 def _max_depth(yes, no, missing, roots, n) -> int:
@@ -121,9 +130,9 @@ def _margin_fn():
         feature, threshold = arrays["feature"], arrays["threshold"]
         missing, leaf, children = arrays["missing"], arrays["leaf"], arrays["children"]
         cat_row, cat_table, roots = arrays["cat_row"], arrays["cat_table"], arrays["roots"]
+        cat_keys, width = arrays.get("cat_keys"), arrays["cat_width"]
         n, nf = X.shape
-        width = cat_table.shape[1]
-        has_cat = cat_table.shape[0] > 0
+        has_cat = arrays["n_cat"] > 0
         itype = np.int32 if n * max(nf, 1) < 2**31 else np.int64
         flat = np.ascontiguousarray(X, dtype=np.float32).ravel()
         out = np.empty(n, np.float64)
@@ -145,7 +154,14 @@ def _margin_fn():
                     if at[0].size:
                         xs = x[at]
                         ok = (xs >= 0) & (xs < width) & (xs == np.floor(xs))
-                        go_no[at] = ~(cat_table[crow[at], np.where(ok, xs, 0).astype(np.int64)] & ok)
+                        codes = np.where(ok, xs, 0).astype(np.int64)
+                        if cat_keys is None:
+                            member = cat_table[crow[at], codes]
+                        else:  # exact sparse membership: binary search in sorted keys
+                            key = crow[at].astype(np.int64) * width + codes
+                            pos = np.minimum(np.searchsorted(cat_keys, key), cat_keys.size - 1)
+                            member = cat_keys[pos] == key
+                        go_no[at] = ~(member & ok)
                     else:
                         at = None
                 nxt = children.take(2 * node + go_no)
@@ -165,8 +181,16 @@ def _margin_fn():
     return margins
 
 
-def _as_dict(t: TreeArrays) -> dict:
+def _as_dict(t: TreeArrays, max_dense_cells: int = MAX_DENSE_CATEGORY_CELLS) -> dict:
     n_features = int(t.feature.max()) + 1 if t.feature.size else 0
+    n_cat, width = t.n_cat, t.cat_width
+    cat_keys, cat_table = t.cat_keys, t.cat_table
+    if cat_keys is None and n_cat * width > max_dense_cells:
+        rows, codes = np.nonzero(t.cat_table)
+        cat_keys = np.sort(rows.astype(np.int64) * width + codes)
+        cat_table = np.zeros((0, 0), bool)
+        if cat_keys.size == 0:
+            cat_keys = np.array([-1], np.int64)
     internal = t.yes != np.arange(t.yes.shape[0])
     num_cols = np.zeros(max(n_features, 1), bool)
     num_cols[t.feature[internal & ~t.is_cat]] = True
@@ -175,13 +199,14 @@ def _as_dict(t: TreeArrays) -> dict:
         "feature": t.feature, "threshold": t.threshold,
         "children": np.stack([t.yes, t.no], axis=1).astype(np.int32).ravel(),
         "missing": t.missing, "leaf": t.leaf, "cat_row": t.cat_row,
-        "cat_table": t.cat_table, "roots": t.roots, "depth": t.depth,
+        "cat_table": cat_table, "cat_keys": cat_keys, "cat_width": width, "n_cat": n_cat,
+        "roots": t.roots, "depth": t.depth,
     }
 
 
-def margins_numpy(X: np.ndarray, trees: TreeArrays) -> np.ndarray:
+def margins_numpy(X: np.ndarray, trees: TreeArrays, max_dense_cells: int = MAX_DENSE_CATEGORY_CELLS) -> np.ndarray:
     """Driver-side entry to the same traversal (tests)."""
-    return _margin_fn()(np.asarray(X, np.float32), _as_dict(trees))
+    return _margin_fn()(np.asarray(X, np.float32), _as_dict(trees, max_dense_cells))
 
 
 def feature_array(bundle: Bundle) -> Column:

@@ -126,3 +126,15 @@ def test_feature_error_fails_the_batch(spark, bundle):
                  bundle.vocab, bundle.feature_names, bundle.trees, bundle.nodes)
     with pytest.raises(Exception, match="degenerate_range"):
         predict(df, deg).collect()
+
+
+def test_sparse_category_membership_is_exact(bundle):
+    rng = np.random.default_rng(3)
+    X = rng.random((700, len(bundle.feature_names))).astype(np.float32)
+    for c in bundle.categorical_features:
+        i = bundle.feature_names.index(c)
+        X[:, i] = rng.integers(-1, 6, 700)
+        X[::13, i] = np.nan
+    dense = margins_numpy(X, bundle.trees)
+    sparse = margins_numpy(X, bundle.trees, max_dense_cells=0)
+    np.testing.assert_array_equal(dense, sparse)
