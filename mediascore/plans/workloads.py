@@ -11,10 +11,8 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from mediascore.bundle import ArtifactError, Bundle
-from mediascore.functions.text import clean_values
+from mediascore.bundle import Bundle
 from mediascore.operators import features as FE
 from mediascore.operators.fit import (
     ENCODED_LIST_FIELDS,
@@ -23,7 +21,7 @@ from mediascore.operators.fit import (
     fit_category_vocab,
     fit_normalization,
 )
-from mediascore.operators.registry import artifact_summary, latest_model_version, model_metadata, pinned_version, resolve_version
+from mediascore.operators.registry import artifact_summary, model_metadata, resolve_version
 from mediascore.operators.trees import qcol
 from mediascore.operators.validate import (
     accept_envelopes,
@@ -130,14 +128,14 @@ def _validated(spark, sf, rules=RULES) -> DataFrame:
     return validate(_raw(spark, sf), rules)
 
 
-def _keys(df: DataFrame) -> list[Column]:
+def _keys() -> list[Column]:
     return [F.col("request_id").cast("bigint").alias("request_id"), F.col("pos").cast("bigint").alias("pos")]
 
 
 def q_parse_typed(spark, sf):
     v = _validated(spark, sf)
     return v.select(
-        *_keys(v), "imdb_id",
+        *_keys(), "imdb_id",
         *[F.col(n).cast("bigint").alias(n) for n in ("release_year", "budget", "rt_score")],
         *[F.col(n).cast("double").alias(n) for n in ("tmdb_rating", "imdb_rating")],
     )
@@ -158,7 +156,7 @@ def _rule_group(group: str) -> list:
 def _errors_query(group: str):
     def q(spark, sf):
         v = _validated(spark, sf, _rule_group(group))
-        return v.select(*_keys(v), "imdb_id", F.array_join("errors", "|").alias("errors"))
+        return v.select(*_keys(), "imdb_id", F.array_join("errors", "|").alias("errors"))
 
     q.__name__ = f"q_validate_{group}"
     return q
@@ -170,7 +168,7 @@ def q_validate_flags(spark, sf):
     r = _raw(spark, sf)
     n_null = sum(F.when(F.col(n).isNull(), 1).otherwise(0) for n in FIELDS if n != "imdb_id")
     v = validate(r.withColumn("n_null", n_null.cast("bigint")))
-    return v.select(*_keys(v), "n_null", (F.size("errors") == 0).alias("is_valid"))
+    return v.select(*_keys(), "n_null", (F.size("errors") == 0).alias("is_valid"))
 
 
 def q_validate_report(spark, sf):
@@ -181,7 +179,7 @@ def q_validate_report(spark, sf):
 def q_validate_split_valid(spark, sf):
     v = validate_split_valid(_validated(spark, sf))
     return v.select(
-        *_keys(v), "imdb_id", F.col("release_year").cast("bigint").alias("release_year"),
+        *_keys(), "imdb_id", F.col("release_year").cast("bigint").alias("release_year"),
         F.col("budget").cast("bigint").alias("budget"), F.col("tmdb_rating").cast("double").alias("tmdb_rating"),
         _joined("genre"),
     )
@@ -189,12 +187,12 @@ def q_validate_split_valid(spark, sf):
 
 def q_validate_split_quarantine(spark, sf):
     v = validate_split_quarantine(_validated(spark, sf))
-    return v.select(*_keys(v), "imdb_id", F.array_join("errors", "|").alias("errors"))
+    return v.select(*_keys(), "imdb_id", F.array_join("errors", "|").alias("errors"))
 
 
 def q_batch_all_or_nothing(spark, sf):
     items = envelope_items(accept_envelopes(_envelopes(spark, sf)))
-    return items.select(*_keys(items), "imdb_id")
+    return items.select(*_keys(), "imdb_id")
 
 
 # -- artifacts -----------------------------------------------------------------------------

@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from mediascore.operators.validate import (
     accept_envelopes,
     reject_failed_batches,
