@@ -533,19 +533,24 @@ def q_stream_score(spark, sf):
 
 
 def q_stream_model_refresh(spark, sf):
-    """Start on version 10; the registry then names 11 (a broken upload) as
-    latest: every micro-batch keeps scoring with 10."""
+    """Start on version 10; the registry then names 11, a broken upload whose
+    node table is empty: every micro-batch keeps scoring with 10.  Versions
+    are loaded from their artifact folders under the shared checkpoint folder."""
+    from mediascore.plans.fixture import fitted_artifacts
+    from mediascore.sources.artifacts import load_bundle_artifacts, save_bundle_artifacts
     from mediascore.streaming import ModelRefresher, start_refreshing_stream
 
+    root = checkpoint_path(spark, "artifacts", uuid.uuid4().hex)
+    norm, schema, vocab = fitted_artifacts(_media(spark, sf))
+    b10 = bundle_for(spark, sf, version="10")
+    feats = list(b10.feature_names)
+    good = fixture_nodes(spark, feats, ORACLE_TREES, ORACLE_DEPTH, list(b10.categorical_features), version_offset("10"))
+    for v, nodes in (("10", good), ("11", good.limit(0))):
+        save_bundle_artifacts(root, v, normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes,
+                              feature_names=feats, model_name=MODEL, run_id=f"run-{v}")
     versions = registry_versions(spark, include_broken=True)
-
-    def load(v: str) -> Bundle:
-        if v == "11":
-            empty = fixture_nodes(spark, ["x"], 0, 1, [])
-            load_model(empty, ["x"], [])  # raises: no nodes
-        return bundle_for(spark, sf, version=v)
-
-    refresher = ModelRefresher(bundle_for(spark, sf, version="10"), lambda: resolve_version(versions, MODEL), load)
+    refresher = ModelRefresher(load_bundle_artifacts(spark, root, "10"), lambda: resolve_version(versions, MODEL),
+                               lambda v: load_bundle_artifacts(spark, root, v))
     src = _stream_source(spark, sf)
     base = src.rsplit("/", 1)[0]
     start_refreshing_stream(spark, refresher, src, base + "/scored", base + "/ckpt", max_files_per_trigger=1).awaitTermination()

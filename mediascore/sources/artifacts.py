@@ -161,3 +161,52 @@ def build_bundle(
         feature_names=tuple(feature_names), trees=trees, nodes=node_rows,
         base_margin=float(base_margin), categorical_mode=categorical_mode,
     )
+
+
+# -- a versioned artifact folder -------------------------------------------------------
+META_SCHEMA = T.StructType([
+    T.StructField("model_name", T.StringType()), T.StructField("version", T.StringType()),
+    T.StructField("run_id", T.StringType()), T.StructField("base_margin", T.DoubleType()),
+    T.StructField("feature_names", T.ArrayType(T.StringType())),
+])
+
+
+def save_bundle_artifacts(root: str, version: str, *, normalization: DataFrame, category_schema: DataFrame,
+                          vocab: DataFrame, nodes: DataFrame, feature_names: list[str], model_name: str,
+                          run_id: str = "", base_margin: float = 0.0) -> str:
+    """Write one model version as ``<root>/<version>/{normalization,schema,
+    vocab,meta}`` (JSON list files) and ``nodes`` (parquet)."""
+    spark = nodes.sparkSession
+    path = f"{root.rstrip('/')}/{version}"
+    write_json_artifact(normalization, path + "/normalization")
+    write_json_artifact(category_schema, path + "/schema")
+    write_json_artifact(vocab, path + "/vocab")
+    meta = spark.createDataFrame([(model_name, str(version), run_id, float(base_margin), list(feature_names))], META_SCHEMA)
+    write_json_artifact(meta, path + "/meta")
+    nodes.select(*NODE_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path + "/nodes")
+    return path
+
+
+def load_bundle_artifacts(spark: SparkSession, root: str, version: str, categorical_mode: str = "vocab") -> Bundle:
+    """Read one model version back into a frozen Bundle; any missing, empty or
+    inconsistent artifact raises ArtifactError (the caller keeps its last good
+    bundle)."""
+    path = f"{root.rstrip('/')}/{version}"
+    try:
+        meta_rows = bounded_collect(read_json_artifact(spark, path + "/meta", META_SCHEMA), 1, "model meta")
+        if not meta_rows:
+            raise ArtifactError(f"version {version}: empty meta")
+        meta = meta_rows[0]
+        return build_bundle(
+            normalization=read_json_artifact(spark, path + "/normalization"),
+            category_schema=read_json_artifact(spark, path + "/schema"),
+            vocab=read_json_artifact(spark, path + "/vocab"),
+            nodes=spark.read.schema(NODE_SCHEMA).parquet(path + "/nodes"),
+            feature_names=list(meta["feature_names"] or []),
+            model_name=meta["model_name"], version=meta["version"], run_id=meta["run_id"] or "",
+            base_margin=meta["base_margin"] or 0.0, categorical_mode=categorical_mode,
+        )
+    except ArtifactError:
+        raise
+    except Exception as e:  # unreadable or missing files
+        raise ArtifactError(f"version {version}: {type(e).__name__}: {str(e)[:200]}") from e

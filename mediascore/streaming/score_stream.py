@@ -60,10 +60,13 @@ class ModelRefresher:
     """Holds the last good bundle; ``refresh()`` is called once per
     micro-batch on the driver."""
 
-    def __init__(self, initial: Bundle, latest: Callable[[], str], load: Callable[[str], Bundle]):
+    def __init__(self, initial: Bundle, latest: Callable[[], str], load: Callable[[str], Bundle],
+                 retry_failed: bool = False):
         self.bundle = initial
         self._latest = latest
         self._load = load
+        self._retry_failed = retry_failed
+        self._failed: set[str] = set()  # registry versions are immutable: a broken one stays broken
         self.history: list[tuple[str, str]] = []
 
     def refresh(self) -> Bundle:
@@ -74,10 +77,14 @@ class ModelRefresher:
             self.history.append(("check_failed", self.bundle.version))
             return self.bundle
         if wanted != self.bundle.version:
+            if wanted in self._failed and not self._retry_failed:
+                self.history.append(("skipped_failed:" + wanted, self.bundle.version))
+                return self.bundle
             try:
                 fresh = self._load(wanted)
             except Exception as e:  # broken version: keep the last good bundle
                 log.error("loading version %s failed, keeping %s: %s", wanted, self.bundle.version, e)
+                self._failed.add(wanted)
                 self.history.append(("load_failed:" + wanted, self.bundle.version))
                 return self.bundle
             self.bundle = fresh  # one reference swap: never a half-updated bundle

@@ -85,4 +85,29 @@ def test_stream_refresh_keeps_version_10(spark):
     out = spark.read.parquet(base + "/out")
     assert {row["model_version"] for row in out.select("model_version").distinct().collect()} == {"10"}
     assert out.select("batch").distinct().count() >= 2
-    assert all(h[0].startswith("load_failed") for h in r.history)
+    assert r.history[0][0] == "load_failed:11"
+    assert all(h[0] in ("load_failed:11", "skipped_failed:11") for h in r.history)
+
+
+def test_artifact_folder_round_trip(spark, bundle):
+    from mediascore.plans.fixture import fitted_artifacts
+    from mediascore.sources.artifacts import load_bundle_artifacts, save_bundle_artifacts
+    from mediascore.sources.fixtures import fixture_nodes, media_items_view
+
+    root = checkpoint_path(spark, "test-registry", uuid.uuid4().hex)
+    norm, schema, vocab = fitted_artifacts(media_items_view(spark, SF))
+    feats = list(bundle.feature_names)
+    nodes = fixture_nodes(spark, feats, 8, 3, list(bundle.categorical_features))
+    save_bundle_artifacts(root, "3", normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes,
+                          feature_names=feats, model_name=MODEL, run_id="run-3")
+    save_bundle_artifacts(root, "4", normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes.limit(0),
+                          feature_names=feats, model_name=MODEL, run_id="run-4")
+    b3 = load_bundle_artifacts(spark, root, "3")
+    assert (b3.version, b3.run_id, b3.feature_names) == ("3", "run-3", bundle.feature_names)
+    assert b3.normalization == bundle.normalization and b3.category_schema == bundle.category_schema
+    m = media_items_view(spark, SF)
+    assert sorted(predict(m, b3).collect()) == sorted(predict(m, bundle).collect())
+    with pytest.raises(ArtifactError):
+        load_bundle_artifacts(spark, root, "4")  # empty node table
+    with pytest.raises(ArtifactError):
+        load_bundle_artifacts(spark, root, "5")  # no such folder
