@@ -7,7 +7,9 @@ session leaves them unset (tests, local runs).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -55,17 +57,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return tune_session(spark)
 
 
+_LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names.
+    """Return the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is read from the session; only when it is unset
-    (local tests) a private folder is created and registered.
+    The setting is only read.  Where it is unset, a single-machine session
+    (master ``local``, as in tests) gets one private folder for its lifetime;
+    on a cluster, where a machine-local folder would be invisible to the other
+    machines, an unset key is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
     if not path:
-        path = tempfile.mkdtemp(prefix="mediascore-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
+        if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = _LOCAL_FOLDERS.get(sc.applicationId)
+        if path is None:
+            path = _LOCAL_FOLDERS[sc.applicationId] = tempfile.mkdtemp(prefix="mediascore-ckpt-")
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(path)
     return path
 
 
@@ -76,13 +88,20 @@ def checkpoint_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(base, *parts) if "://" not in base else "/".join([base.rstrip("/"), *parts])
 
 
-def materialize(df, name: str):
-    """Write ``df`` once as parquet under the shared checkpoint folder and
-    return it read back: later jobs reuse it instead of recomputing it, and a
-    lost executor re-reads the table instead of replaying the lineage."""
-    import uuid
-
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path under the shared folder, removed when the session's JVM ends."""
     path = checkpoint_path(spark, "tables", f"{name}-{uuid.uuid4().hex}")
+    jvm = spark._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return path
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as parquet under the shared folder and return it read
+    back: later jobs reuse it instead of recomputing it, and a lost executor
+    re-reads the table instead of replaying the lineage.  The table goes when
+    the session's JVM ends."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
