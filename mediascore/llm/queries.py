@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediascore.llm import bitplane, packing, sharding
+from mediascore.llm import bitplane, embeddings, packing, sharding, simhash
 from mediascore.llm.common import ship
 from mediascore.session import materialize, scratch_path
 
@@ -28,6 +28,15 @@ def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitplane.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op4_spherical_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), 0.95)
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=2, capacity=1024)
     pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -62,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
     for f in (
         op3_bit_planes,
+        op4_spherical_cells,
+        op5_simhash,
         op7_best_fit,
         op10_two_pass_shuffle,
     )
