@@ -7,10 +7,10 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediascore.llm import bitplane, embeddings, packing, sharding, simhash
+from mediascore.llm import bitplane, embeddings, langid, packing, quality, sharding, simhash
 from mediascore.llm.common import ship
 from mediascore.session import materialize, scratch_path
 
@@ -21,6 +21,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_of(modulus: int) -> Column:
+    """The remainder that tells training from held-out documents."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op1_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, bucket_of(4) != 2)
+    return langid.predict(docs, model, F.col("doc_id"), (bucket_of(4) == 2).alias("held_out"))
+
+
+def op2_nb_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), bucket_of(3) != 1)
+    return quality.scored(docs, model, F.col("doc_id"), (bucket_of(3) == 1).alias("held_out"))
+
+
 def op3_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "bit_planes")
     bitplane.write_ids(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), spaced=False, end_id=1)
@@ -70,6 +87,8 @@ def _shipped(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSes
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f)
     for f in (
+        op1_nearest_centroid,
+        op2_nb_svm,
         op3_bit_planes,
         op4_spherical_cells,
         op5_simhash,
