@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediascore.llm import bitplane, embeddings, langid, packing, quality, sharding, simhash
+from mediascore.llm import bitplane, embeddings, langid, packing, pii, quality, sharding, simhash
 from mediascore.llm.common import ship
 from mediascore.session import materialize, scratch_path
 
@@ -60,6 +60,13 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = materialize(pii.proposed(table(spark, sf_dir, "documents"), F.col("doc_id")), "spans")
+    done = pii.decide(found, pii.fit(found))
+    number = [F.size(F.filter("base", pii.is_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
+    return done.select("doc_id", *number, F.sha2(pii.written(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
+
+
 def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "shuffled")
     sharding.write_buckets(table(spark, sf_dir, "documents"), path, SEED)
@@ -93,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op4_spherical_cells,
         op5_simhash,
         op7_best_fit,
+        op9_weak_labels,
         op10_two_pass_shuffle,
     )
 }
