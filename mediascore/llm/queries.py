@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediascore.llm import bitplane, embeddings, langid, packing, pii, quality, sharding, simhash
+from mediascore.llm import bitplane, embeddings, langid, packing, pii, quality, sharding, simhash, urls
 from mediascore.llm.common import ship
 from mediascore.session import materialize, scratch_path
 
@@ -54,6 +54,14 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op6_path_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = urls.judge(table(spark, sf_dir, "pages"), URL_RULES, F.col("page_id"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.token_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), spaced=True, end_id=2, capacity=1024)
     pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -99,10 +107,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_bit_planes,
         op4_spherical_cells,
         op5_simhash,
+        op6_path_templates,
         op7_best_fit,
         op9_weak_labels,
         op10_two_pass_shuffle,
     )
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op6_path_templates": urls.oracle(URL_RULES)}
