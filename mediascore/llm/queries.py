@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mediascore.llm import bitplane, embeddings, langid, packing, pii, quality, sharding, simhash, urls
+from mediascore.llm import bitplane, decontaminate, embeddings, langid, packing, pii, quality, sharding, simhash, urls
 from mediascore.llm.common import ship
 from mediascore.session import materialize, scratch_path
 
@@ -68,6 +68,10 @@ def op7_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces, 1024).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op8_seed_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = materialize(pii.proposed(table(spark, sf_dir, "documents"), F.col("doc_id")), "spans")
     done = pii.decide(found, pii.fit(found))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_simhash,
         op6_path_templates,
         op7_best_fit,
+        op8_seed_align,
         op9_weak_labels,
         op10_two_pass_shuffle,
     )
