@@ -6,7 +6,8 @@ import os
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
 
 _SHIPPED: set[str] = set()
 
@@ -28,3 +29,8 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.relpath(full, os.path.dirname(package)))
     sc.addPyFile(path)
     _SHIPPED.add(sc.applicationId)
+
+
+def bucket_of(modulus: int) -> Column:
+    """The remainder of the crc32 of doc_id as text (null: 0), which tells training from held-out documents."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))

@@ -27,6 +27,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediascore.session import materialize
+
 #: Base kinds in their order: pattern, and the string without which nothing matches.
 BASE = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
@@ -301,3 +303,14 @@ def redact(text: Column, spans: Column) -> Column:
     )
     rest = lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))
     return F.when(F.size(spans) == 0, text).otherwise(F.transform(F.array(done), rest)[0])
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """All rows and columns of ``docs``, whatever their names, with personal
+    data in text replaced and n_chars, if there is such a column, brought in
+    line.  Null texts stay null; texts without a span stay as they are."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    found = materialize(proposed(docs, row), "proposed")
+    done = decide(found, fit(found)).select("row", redact(F.col("row.text"), F.col("spans")).alias("new"))
+    own = {"text": F.col("new"), "n_chars": F.when(F.col("new").isNotNull(), F.length("new")).otherwise(F.col("row.n_chars")) if "n_chars" in docs.columns else None}
+    return done.select(*[(own.get(f.name) if own.get(f.name) is not None else F.col(f"row.`{f.name}`")).cast(f.dataType).alias(f.name) for f in docs.schema.fields])

@@ -98,7 +98,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = FI
     chosen = chosen.groupBy(F.col("doc_id").alias("l_id")).agg(F.min("quality").alias("l_good"))
     chosen = chosen.orderBy(F.xxhash64(F.lit("quality"), "l_id"), "l_id").limit(fit_rows)
     # at most fit_rows ids and labels
-    sample = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("l_id", "l_good", "text").limit(2 * fit_rows)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).select("l_id", "l_good", "text").limit(2 * fit_rows)
 
     def grams(batches):
         for batch in batches:

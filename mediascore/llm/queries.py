@@ -7,11 +7,12 @@ from collections.abc import Callable
 from functools import wraps
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from mediascore.llm import bitplane, decontaminate, embeddings, langid, packing, pii, quality, sharding, simhash, urls
-from mediascore.llm.common import ship
+from mediascore.llm.common import bucket_of, ship
 from mediascore.session import materialize, scratch_path
 
 SEED = 42
@@ -21,11 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bucket_of(modulus: int) -> Column:
-    """The remainder that tells training from held-out documents."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
-
-
 def op1_nearest_centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, bucket_of(4) != 2)
@@ -118,5 +114,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_two_pass_shuffle,
     )
 }
+QUERIES["pipeline"] = _shipped(corpus_pipeline.run)
 
 ORACLES: dict[str, str] = {"op6_path_templates": urls.oracle(URL_RULES)}
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -96,12 +96,11 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], *keep: Column) -> Data
     none fits), template and purity (null where a rule decides) and verdict.
     A null url, or one without ://, has empty host and path and is judged like
     any other; repeated rows are judged alike and count as often as they
-    occur; no rows give no rows.  Only url is read besides ``keep``."""
+    occur; no rows give no rows.  Only url is read besides ``keep``, whose names must
+    not be those of the added columns."""
     rows = pages.select(*keep, F.col("url").alias("__url"))
     kept = rows.columns[:-1]
-    parsed = rows.select("*", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path")) if not {"host", "path"} & set(kept) else None
-    if parsed is None:
-        raise ValueError("keep must not name host or path")
+    parsed = rows.select("*", host_of(F.col("__url")).alias("host"), path_of(F.col("__url")).alias("path"))
     rule, verdict = ruled(F.col("host"), F.col("path"), rules)
     levels = [c.alias(f"s{k}") for k, c in enumerate(shapes(F.col("path")), 1)]
     names = [f"s{k}" for k in range(1, DEPTH + 2)]
