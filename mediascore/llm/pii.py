@@ -198,8 +198,8 @@ class Model:
     kind: dict[str, float] = field(default_factory=dict)
     weights: dict[tuple[str, int], float] = field(default_factory=dict)
     bias: float = 0.0
-    hit: list[float] = field(default_factory=list)
-    miss: list[float] = field(default_factory=list)
+    hit: dict[str, list[float]] = field(default_factory=dict)
+    miss: dict[str, list[float]] = field(default_factory=dict)
 
     def log_odds(self, votes: Column) -> Column:
         out = F.lit(float(self.bias))
@@ -210,36 +210,46 @@ class Model:
         return out
 
 
-def reliabilities(patterns: list[tuple[dict, int]], rounds: int = 30) -> tuple[list[float], list[float], list[float]]:
+def family(kind: str) -> str:
+    """Looser kinds share their labelers' reliabilities with the base kind they vary."""
+    return "ip" if kind == "ipv6" else kind.split("_")[0]
+
+
+def reliabilities(patterns: list[tuple[dict, int]], rounds: int = 30):
     """Expectation-maximisation over vote patterns and their counts: for each
-    labeler the chance that its vote is positive on personal and on other
-    spans, and each pattern's probability of being personal.  Both chances
-    start at 0.8 and 0.2 and are held there by a few pseudo-counts."""
-    hit, miss, prior = [0.8] * 5, [0.2] * 5, 0.5
+    family of kinds and each labeler the chance that its vote is positive on
+    personal and on other spans (hit, miss), and each pattern's probability of
+    being personal.  The chances start at 0.8 and 0.2 and are held there by a
+    few pseudo-counts."""
+    families = sorted({family(k) for k in KINDS})
+    hit, miss = {f: [0.8] * 5 for f in families}, {f: [0.2] * 5 for f in families}
+    prior = dict.fromkeys(families, 0.5)
     post = [0.5] * len(patterns)
     for _ in range(rounds):
         for i, (p, _) in enumerate(patterns):
-            odds = math.log(prior / (1 - prior))
+            f = family(p["kind"])
+            odds = math.log(prior[f] / (1 - prior[f]))
             for k, v in enumerate(VOTES):
                 if p[v]:
-                    a, b = (hit[k], miss[k]) if p[v] > 0 else (1 - hit[k], 1 - miss[k])
+                    a, b = (hit[f][k], miss[f][k]) if p[v] > 0 else (1 - hit[f][k], 1 - miss[f][k])
                     odds += math.log(a / b)
             post[i] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        total = sum(n for _, n in patterns)
-        share = sum(q * n for q, (_, n) in zip(post, patterns))
-        prior = min(0.95, max(0.05, (share + 5) / (total + 10)))
-        for k, v in enumerate(VOTES):
-            for to, weight in ((hit, post), (miss, [1 - q for q in post])):
-                up = sum(w * n for w, (p, n) in zip(weight, patterns) if p[v] > 0)
-                all_ = sum(w * n for w, (p, n) in zip(weight, patterns) if p[v])
-                first = 0.8 if to is hit else 0.2
-                to[k] = min(0.98, max(0.02, (up + 20 * first) / (all_ + 20)))
+        for f in families:
+            own = [(p, n, q) for q, (p, n) in zip(post, patterns) if family(p["kind"]) == f]
+            total = sum(n for _, n, _ in own)
+            prior[f] = min(0.95, max(0.05, (sum(n * q for _, n, q in own) + 5) / (total + 10)))
+            for k, v in enumerate(VOTES):
+                for to, first, weight in ((hit, 0.8, lambda q: q), (miss, 0.2, lambda q: 1 - q)):
+                    up = sum(weight(q) * n for p, n, q in own if p[v] > 0)
+                    all_ = sum(weight(q) * n for p, n, q in own if p[v])
+                    to[f][k] = min(0.98, max(0.02, (up + 20 * first) / (all_ + 20)))
     return hit, miss, post
 
 
-def fit(found: DataFrame, rounds: int = 200, rate: float = 0.5) -> Model:
+def fit(found: DataFrame, rounds: int = 400, rate: float = 1.0) -> Model:
     """Train on what proposed() returned (written, so that it is searched for
-    once).  Without any span the model keeps nothing loose."""
+    once).  A pattern weighs as the logarithm of its count, so that rare ones
+    are learned beside frequent ones.  Without any span the model keeps nothing loose."""
     fields = ["kind", *VOTES, "edge", "size"]
     votes = found.select(F.explode(F.transform(F.concat("base", "loose"), lambda s: s["votes"])).alias("v")).select("v.*")
     rows = votes.groupBy(*fields).agg(F.count("*").alias("n")).collect()  # bounded by the number of patterns
@@ -249,12 +259,12 @@ def fit(found: DataFrame, rounds: int = 200, rate: float = 0.5) -> Model:
     hit, miss, post = reliabilities(patterns)
     kind = {k: 0.0 for k in KINDS}
     weights = {(f, v): 0.0 for f in [*VOTES, "edge", "size"] for v in {p[f] for p, _ in patterns}}
-    bias, total = 0.0, float(sum(n for _, n in patterns))
+    bias, total = 0.0, sum(math.log1p(n) for _, n in patterns)
     for _ in range(rounds):
         g_bias, g_kind, g_weight = 0.0, dict.fromkeys(kind, 0.0), dict.fromkeys(weights, 0.0)
         for (p, n), q in zip(patterns, post):
             z = bias + kind[p["kind"]] + sum(weights[f, p[f]] for f in [*VOTES, "edge", "size"])
-            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - q) * n / total
+            g = (1 / (1 + math.exp(-max(-30.0, min(30.0, z)))) - q) * math.log1p(n) / total
             g_bias += g
             g_kind[p["kind"]] += g
             for f in [*VOTES, "edge", "size"]:
