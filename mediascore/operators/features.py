@@ -8,6 +8,8 @@ step is a narrow projection; nothing here shuffles.
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -85,7 +87,7 @@ def multi_hot_encode(df: DataFrame, bundle: Bundle) -> DataFrame:
     maps = bundle.category_maps()
     emitted = encoded_columns(bundle)
     clash = set(emitted) & set(df.columns)
-    dup = {c for c in emitted if emitted.count(c) > 1}
+    dup = {c for c, n in Counter(emitted).items() if n > 1}
     if clash or dup:
         raise ArtifactError(f"encoded column names collide: {sorted(clash | dup)}")
     helpers: dict[str, Column] = {}

@@ -12,7 +12,13 @@ from mediascore.bundle import Bundle
 from mediascore.operators.features import encoded_columns
 from mediascore.operators.fit import fit_artifacts
 from mediascore.schema import CATEGORICAL_FIELDS, NORM_SUFFIX
-from mediascore.sources.artifacts import build_bundle, category_schema_from_long, load_category_schema, load_normalization
+from mediascore.sources.artifacts import (
+    build_bundle,
+    category_schema_from_long,
+    load_category_maps,
+    load_category_schema,
+    load_normalization,
+)
 from mediascore.sources.fixtures import fixture_nodes, media_items_view
 
 ORACLE_TREES, ORACLE_DEPTH = 8, 3
@@ -25,10 +31,10 @@ def fitted_artifacts(media: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     return norm, category_schema_from_long(schema_long), vocab
 
 
-def model_features(normalization: dict, category_schema: tuple) -> list[str]:
+def model_features(normalization: dict, category_schema: tuple, maps: dict) -> list[str]:
     """Normalised fields + every encoded column + the two categoricals,
     sorted by name (the fixture model's feature order)."""
-    probe = Bundle("", "", "", normalization, category_schema, {}, (), None)
+    probe = Bundle("", "", "", normalization, category_schema, {}, (), None, maps=maps)
     names = [f + NORM_SUFFIX for f in normalization] + encoded_columns(probe) + list(CATEGORICAL_FIELDS)
     return sorted(set(names))
 
@@ -45,7 +51,7 @@ def fixture_bundle(
         media = media if media is not None else media_items_view(spark, sf_dir)
         artifacts = fitted_artifacts(media)
     norm_df, schema_df, vocab_df = artifacts
-    features = model_features(load_normalization(norm_df), load_category_schema(schema_df))
+    features = model_features(load_normalization(norm_df), load_category_schema(schema_df), load_category_maps(schema_df))
     nodes = fixture_nodes(spark, features, n_trees, depth, CATEGORICAL_FIELDS, tree_offset)
     return build_bundle(
         normalization=norm_df, category_schema=schema_df, vocab=vocab_df, nodes=nodes,

@@ -8,12 +8,14 @@ doubles are rounded to 6 places, so each has a like-for-like DuckDB oracle.
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mediascore.bundle import Bundle
 from mediascore.operators import features as FE
+from mediascore.operators.category import category_map_table
 from mediascore.operators.fit import (
     ENCODED_LIST_FIELDS,
     fit_category_schema,
@@ -34,7 +36,14 @@ from mediascore.plans.fixture import ORACLE_DEPTH, ORACLE_TREES, fixture_bundle
 from mediascore.plans.predict import predict, results_envelope
 from mediascore.schema import CONTINUOUS_FIELDS, CORRUPT_COL, FIELDS, INT_FIELDS, LIST_FIELDS, RULES
 from mediascore.session import checkpoint_path
-from mediascore.sources.artifacts import category_schema_rows, load_model
+from mediascore.sources.artifacts import (
+    category_schema_rows,
+    load_category_maps,
+    load_category_schema,
+    load_model,
+    load_normalization,
+    normalization_rows,
+)
 from mediascore.sources.fixtures import fixture_nodes, media_envelopes, media_items_view, media_raw
 from mediascore.sources.records import envelope_items, scan_batch_envelope, scan_json_records
 from mediascore.sources.registry_fixture import MODEL, registry_runs, registry_versions
@@ -213,21 +222,13 @@ def q_fit_category_vocab(spark, sf):
     return v.select("column", "value", F.col("code").cast("bigint").alias("code"))
 
 
-def normalization_last_wins(table: DataFrame, pos: str = "pos") -> DataFrame:
-    """The artifact loader's rule as a query: per feature the row with the
-    highest file position wins."""
-    return table.groupBy("feature").agg(F.max_by(F.struct("min", "max"), F.col(pos)).alias("w")).select(
-        "feature", "w.min", "w.max"
-    )
-
-
 def q_load_normalization(spark, sf):
     fitted = fit_normalization(_media(spark, sf))
     n = len(CONTINUOUS_FIELDS)
     idx = F.array_position(F.array(*[F.lit(f) for f in CONTINUOUS_FIELDS]), F.col("feature"))
     stale = fitted.select("feature", (F.col("min") - 1).alias("min"), (F.col("max") + 1).alias("max"), idx.alias("pos"))
     fresh = fitted.select("feature", "min", "max", (idx + n).alias("pos"))
-    return normalization_last_wins(stale.unionByName(fresh))
+    return normalization_rows(stale.unionByName(fresh), "pos")
 
 
 def printed_schema(schema_df: DataFrame) -> DataFrame:
@@ -252,25 +253,9 @@ def q_category_map_parse(spark, sf):
     return rows.select("original_column", F.explode("column_names").alias("column_name"))
 
 
-def category_map_table(schema_rows: DataFrame) -> DataFrame:
-    """The category -> column map as a query: prefix strip, else text after
-    the first '_', else unmapped; on duplicates the last name wins."""
-    ex = schema_rows.select("original_column", F.posexplode("column_names").alias("pos", "name"))
-    prefix = F.concat(F.col("original_column"), F.lit("_"))
-    cat = (
-        F.when(F.startswith(F.col("name"), prefix), F.substr(F.col("name"), F.length(prefix) + 1))
-        .when(F.instr(F.col("name"), "_") > 0, F.substr(F.col("name"), F.instr(F.col("name"), "_") + 1))
-    )
-    return (
-        ex.withColumn("category", cat).where(F.col("category").isNotNull())
-        .groupBy("original_column", "category")
-        .agg(F.max_by("name", "pos").alias("column_name"))
-    )
-
-
 def q_category_map_build(spark, sf):
     rows = category_schema_rows(printed_schema(fit_category_schema(_media(spark, sf))))
-    return category_map_table(rows)
+    return category_map_table(rows).drop("first_pos")
 
 
 def q_clean_values(spark, sf):
@@ -323,11 +308,7 @@ def q_normalize_degenerate(spark, sf):
     the value itself maps to 0.0, any other value is reported, never divided."""
     m = _media(spark, sf)
     norm = fit_normalization(m.where(F.col("runtime") == DEGENERATE_RUNTIME), ["runtime"])
-    from mediascore.sources.artifacts import load_normalization
-
-    b = bundle_for(spark, sf)
-    deg = Bundle(b.model_name, b.version, b.run_id, load_normalization(norm), b.category_schema, b.vocab,
-                 b.feature_names, b.trees, b.nodes)
+    deg = replace(bundle_for(spark, sf), normalization=load_normalization(norm))
     out = FE.normalize_minmax(m, deg)
     return out.select(
         "imdb_id", _r(F.col("runtime_norm")).alias("runtime_norm"),
@@ -347,19 +328,23 @@ def q_multi_hot_encode(spark, sf):
 
 
 def q_encode_empty_map(spark, sf):
-    """A schema whose spoken_languages names carry no '_' maps no category:
-    every listed name is emitted, all 0."""
+    """A schema whose spoken_languages names carry no '_' maps no category of
+    that column: every listed name is emitted, all 0, beside the other
+    columns' encoding."""
     b = bundle_for(spark, sf)
-    schema = tuple(
-        (oc, tuple(n[len(oc) + 1:] for n in names) if oc == "spoken_languages" else names)
-        for oc, names in b.category_schema
-    )
-    nb = Bundle(b.model_name, b.version, b.run_id, b.normalization, schema, b.vocab, b.feature_names, b.trees, b.nodes)
     m = _media(spark, sf)
+    bare = F.transform("exploded_mapping", lambda n: F.substring_index(n, "_", -1))
+    schema = fit_category_schema(m).withColumn(
+        "exploded_mapping", F.when(F.col("original_column") == "spoken_languages", bare).otherwise(F.col("exploded_mapping"))
+    )
+    nb = replace(b, category_schema=load_category_schema(schema), maps=load_category_maps(schema))
     enc = FE.multi_hot_encode(FE.drop_unused(m), nb)
-    names = dict(schema)["spoken_languages"]
+    names = dict(nb.category_schema)["spoken_languages"]
     total = sum((qcol(n) for n in names), F.lit(0))
-    return enc.select("imdb_id", F.lit(len(names)).cast("bigint").alias("n_columns"), total.cast("bigint").alias("total"))
+    others = sum((qcol(n) for n in FE.encoded_columns(nb) if n not in names), F.lit(0))
+    return enc.select(
+        "imdb_id", F.lit(len(names)).cast("bigint").alias("n_columns"), total.cast("bigint").alias("total"), others.cast("bigint").alias("n_active")
+    )
 
 
 def q_encode_missing_column(spark, sf):

@@ -20,6 +20,7 @@ from mediascore.bundle import (
     bounded_collect,
 )
 from mediascore.functions.text import parse_printed_array
+from mediascore.operators.category import category_map_table
 from mediascore.operators.trees import tree_arrays
 
 NODE_SCHEMA = T.StructType(
@@ -59,19 +60,26 @@ def write_json_artifact(table: DataFrame, path: str) -> None:
 
 
 # -- normalisation ------------------------------------------------------------
-def normalization_rows(table: DataFrame) -> DataFrame:
-    """(feature, min, max) as DOUBLE, in table order."""
-    return table.select(
+def normalization_rows(table: DataFrame, pos: str | None = None) -> DataFrame:
+    """(feature, min, max) as DOUBLE, one row for each feature: of several the
+    one with the highest position wins.  ``pos`` names the position column;
+    without one it is the row's place in the table as Spark reads it (an
+    artifact file is one partition, read in order)."""
+    place = F.col(pos) if pos else F.monotonically_increasing_id()
+    rows = table.select(
         F.col("feature").cast("string").alias("feature"),
         F.col("min").cast("double").alias("min"),
         F.col("max").cast("double").alias("max"),
+        place.alias("pos"),
     )
+    last = F.max_by(F.struct("min", "max"), "pos")
+    return rows.groupBy("feature").agg(last.alias("w")).select("feature", "w.min", "w.max")
 
 
-def load_normalization(table: DataFrame) -> dict[str, tuple[float, float]]:
-    """feature -> (min, max); on a duplicate feature the last row wins."""
+def load_normalization(table: DataFrame, pos: str | None = None) -> dict[str, tuple[float, float]]:
+    """feature -> (min, max)."""
     out: dict[str, tuple[float, float]] = {}
-    for r in bounded_collect(normalization_rows(table), MAX_NORMALIZATION_ROWS, "normalization table"):
+    for r in bounded_collect(normalization_rows(table, pos), MAX_NORMALIZATION_ROWS, "normalization table"):
         if r["feature"] is None or r["min"] is None or r["max"] is None:
             raise ArtifactError(f"normalization row incomplete: {r}")
         out[r["feature"]] = (float(r["min"]), float(r["max"]))
@@ -100,18 +108,22 @@ def category_schema_from_long(long_table: DataFrame) -> DataFrame:
 
 
 def load_category_schema(table: DataFrame) -> tuple[tuple[str, tuple[str, ...]], ...]:
-    rows = category_schema_rows(table).select(
-        "original_column", "column_names", F.size("column_names").alias("n")
-    )
-    out = []
-    total = 0
-    for r in bounded_collect(rows, MAX_SCHEMA_COLUMNS, "category schema"):
-        names = tuple(r["column_names"] or ())
-        total += len(names)
-        out.append((r["original_column"], names))
+    """(original column, encoded names) in table order; the names are counted
+    before any are collected."""
+    rows = category_schema_rows(table)
+    total = rows.agg(F.sum(F.greatest(F.size("column_names"), F.lit(1)))).first()[0] or 0
     if total > MAX_SCHEMA_COLUMNS:
         raise ArtifactError(f"category schema: {total} encoded columns exceed {MAX_SCHEMA_COLUMNS}")
-    return tuple(out)
+    return tuple((r["original_column"], tuple(r["column_names"] or ())) for r in rows.collect())
+
+
+def load_category_maps(table: DataFrame) -> dict[str, dict[str, str]]:
+    """Per original column: category -> encoded column, in schema order."""
+    rows = category_map_table(category_schema_rows(table))
+    out: dict[str, dict[str, str]] = {}
+    for r in sorted(bounded_collect(rows, MAX_SCHEMA_COLUMNS, "category map"), key=lambda r: r["first_pos"]):
+        out.setdefault(r["original_column"], {})[r["category"]] = r["column_name"]
+    return out
 
 
 # -- vocabularies ---------------------------------------------------------------
@@ -160,6 +172,7 @@ def build_bundle(
         normalization=norm, category_schema=schema, vocab=voc,
         feature_names=tuple(feature_names), trees=trees, nodes=node_rows,
         base_margin=float(base_margin), categorical_mode=categorical_mode,
+        maps=load_category_maps(category_schema),
     )
 
 

@@ -340,8 +340,10 @@ FROM nf JOIN fidx ON fidx.k = nf.q""")
     act = """act AS (SELECT mem.imdb_id, cats.column_name FROM mem JOIN cats ON mem.oc = cats.oc AND mem.category = cats.category)"""
     q["multi_hot_encode"] = with_(ARTIFACTS + ",\n" + act, """SELECT mi.imdb_id, coalesce(string_agg(act.column_name, '|' ORDER BY act.column_name), '') AS active,
   CAST(count(act.column_name) AS BIGINT) AS n_active FROM mi LEFT JOIN act ON act.imdb_id = mi.imdb_id GROUP BY mi.imdb_id""")
-    q["encode_empty_map"] = with_(ARTIFACTS, """SELECT imdb_id, (SELECT CAST(count(*) AS BIGINT) FROM cats WHERE oc = 'spoken_languages') AS n_columns,
-  CAST(0 AS BIGINT) AS total FROM mi""")
+    q["encode_empty_map"] = with_(ARTIFACTS + ",\n" + act, """SELECT mi.imdb_id, (SELECT CAST(count(*) AS BIGINT) FROM cats WHERE oc = 'spoken_languages') AS n_columns,
+  CAST(0 AS BIGINT) AS total,
+  CAST(count(act.column_name) FILTER (WHERE act.column_name NOT LIKE 'spoken\\_languages\\_%' ESCAPE '\\') AS BIGINT) AS n_active
+FROM mi LEFT JOIN act ON act.imdb_id = mi.imdb_id GROUP BY mi.imdb_id""")
     q["encode_missing_column"] = with_(ARTIFACTS + ",\n" + act, """SELECT mi.imdb_id,
   coalesce(string_agg(act.column_name, '|' ORDER BY act.column_name) FILTER (WHERE act.column_name NOT LIKE 'genre\\_%' ESCAPE '\\'), '') AS active,
   CAST(count(act.column_name) FILTER (WHERE act.column_name NOT LIKE 'genre\\_%' ESCAPE '\\') AS BIGINT) AS n_active,

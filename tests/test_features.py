@@ -1,17 +1,22 @@
 """Feature engineering (C1-C15) on small typed frames."""
 
 import pytest
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from mediascore.bundle import ArtifactError, Bundle
 from mediascore.operators import features as FE
 from mediascore.operators.fit import fit_category_schema, fit_category_vocab, fit_normalization
-from mediascore.sources.artifacts import load_category_schema, load_normalization, load_vocab
+from mediascore.sources.artifacts import load_category_maps, load_category_schema, load_normalization, load_vocab
 from mediascore.sources.records import typed_records
 
 
 def mk_bundle(norm=None, schema=None, vocab=None, features=(), mode="vocab"):
-    return Bundle("m", "1", "r", norm or {}, tuple(schema or ()), vocab or {}, tuple(features), None, categorical_mode=mode)
+    maps = {}
+    if schema:
+        rows = SparkSession.getActiveSession().createDataFrame([(c, list(n)) for c, n in schema], "original_column string, exploded_mapping array<string>")
+        maps = load_category_maps(rows)
+    return Bundle("m", "1", "r", norm or {}, tuple(schema or ()), vocab or {}, tuple(features), None, categorical_mode=mode, maps=maps)
 
 
 def test_normalize_null_is_min_and_no_clamp(spark):
@@ -128,7 +133,7 @@ def test_json_artifact_files_round_trip(spark, bundle):
     n2 = read_json_artifact(spark, base + "/normalization")
     s2 = read_json_artifact(spark, base + "/schema")
     v2 = read_json_artifact(spark, base + "/vocab")
-    feats = model_features(load_normalization(n2), load_category_schema(s2))
+    feats = model_features(load_normalization(n2), load_category_schema(s2), load_category_maps(s2))
     assert tuple(feats) == bundle.feature_names
     b2 = build_bundle(normalization=n2, category_schema=s2, vocab=v2,
                       nodes=fixture_nodes(spark, feats, 8, 3, ["original_language", "production_status"]),

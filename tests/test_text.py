@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mediascore.bundle import category_map
+from mediascore.sources.artifacts import load_category_maps
 from mediascore.functions.text import clean_value, clean_values, parse_printed_array
 
 
@@ -65,13 +65,17 @@ def test_parse_printed_array(spark, text, tokens):
     assert df.select(parse_printed_array(F.col("s"))).first()[0] == tokens
 
 
-def test_category_map_rules():
-    assert category_map("genre", ["genre_drama", "g_war", "war", "genre_x"]) == {
-        "drama": "genre_drama", "war": "g_war", "x": "genre_x",
-    }
-    # duplicate category: the last column wins
-    assert category_map("genre", ["genre_a", "other_a"]) == {"a": "other_a"}
-    assert category_map("origin_country", ["origin_country_us"]) == {"us": "origin_country_us"}
+def test_category_map_rules(spark):
+    def maps(column, names):
+        table = spark.createDataFrame([(column, names)], "original_column string, exploded_mapping array<string>")
+        return load_category_maps(table).get(column, {})
+
+    mixed = maps("genre", ["genre_drama", "g_war", "war", "genre_x"])
+    assert list(mixed.items()) == [("drama", "genre_drama"), ("war", "g_war"), ("x", "genre_x")]
+    # duplicate category: the last column wins, at the first one's place
+    assert list(maps("genre", ["genre_a", "genre_b", "other_a"]).items()) == [("a", "other_a"), ("b", "genre_b")]
+    assert maps("origin_country", ["origin_country_us"]) == {"us": "origin_country_us"}
+    assert maps("genre", ["war", "drama"]) == {}
 
 
 from hypothesis import given, settings, strategies as st  # noqa: E402

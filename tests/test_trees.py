@@ -1,13 +1,15 @@
 """Tree scoring (M1-M5): numpy traversal vs a per-row walk, Arrow vs
 expressions, probability and label."""
 
+from dataclasses import replace
+
 import math
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mediascore.bundle import ArtifactError, Bundle
+from mediascore.bundle import ArtifactError
 from mediascore.operators.trees import margins_numpy, tree_arrays
 from mediascore.plans.predict import predict
 from mediascore.sources.fixtures import media_items_view
@@ -122,8 +124,7 @@ def test_minimal_record_scores(spark, bundle):
 
 def test_feature_error_fails_the_batch(spark, bundle):
     df = spark.createDataFrame([("tt0000001", 7)], "imdb_id string, runtime long")
-    deg = Bundle(bundle.model_name, bundle.version, bundle.run_id, {"runtime": (5.0, 5.0)}, bundle.category_schema,
-                 bundle.vocab, bundle.feature_names, bundle.trees, bundle.nodes)
+    deg = replace(bundle, normalization={"runtime": (5.0, 5.0)})
     with pytest.raises(Exception, match="degenerate_range"):
         predict(df, deg).collect()
 
