@@ -27,6 +27,11 @@ class ArtifactError(Exception):
     """An artifact is missing, empty, oversized or inconsistent."""
 
 
+class ArtifactReadError(ArtifactError):
+    """An artifact could not be read just now (missing or unreachable files):
+    worth another try, unlike bad content."""
+
+
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a small artifact table, refusing one that is larger than its
     documented bound (the check itself reads at most ``max_rows + 1`` rows)."""

@@ -137,11 +137,13 @@ def single_value_category(df: DataFrame, bundle: Bundle) -> DataFrame:
 
 
 # C12 ---------------------------------------------------------------------------------
-def fill_numeric(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """Null -> 0 on numeric columns; categorical codes stay null (missing)."""
+def fill_numeric(df: DataFrame, bundle: Bundle, keep=()) -> DataFrame:
+    """Null -> 0 on numeric columns; categorical codes stay null (missing), and
+    so do the carried columns ``keep`` (keys and positions)."""
     numeric = [
         f.name for f in df.schema.fields
         if isinstance(f.dataType, _NUMERIC) and f.name not in bundle.categorical_features
+        and (f.name not in keep or f.name in bundle.feature_names)
     ]
     return df.na.fill(0, subset=numeric) if numeric else df
 
@@ -194,6 +196,6 @@ def preprocess(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> DataFrame:
     out = drop_unused(out)
     out = multi_hot_encode(out, bundle)
     out = single_value_category(out, bundle)
-    out = fill_numeric(out, bundle)
+    out = fill_numeric(out, bundle, keep)
     out = align_features(out, bundle, keep=keep)
     return numeric_coerce(out, bundle)

@@ -16,8 +16,11 @@ node's missing branch.  Leaves are FLOAT, summed in DOUBLE.
 
 from __future__ import annotations
 
+import weakref
+
 import numpy as np
 import pandas as pd
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -216,18 +219,37 @@ def feature_array(bundle: Bundle) -> Column:
     return F.array(*[F.coalesce(qcol(f).cast("float"), nan) for f in bundle.feature_names])
 
 
+_HELD: dict[tuple[str, int], object] = {}
+
+
+def held_broadcast(spark, trees: TreeArrays):
+    """The broadcast of a model's arrays: one for each application and model,
+    however many jobs or micro-batches score with it; the executors' copies go
+    when the model does."""
+    key = (spark.sparkContext.applicationId, id(trees))
+    if key not in _HELD:
+        _HELD[key] = spark.sparkContext.broadcast(_as_dict(trees))
+        weakref.finalize(trees, release, key)
+    return _HELD[key]
+
+
+def release(key: tuple[str, int]) -> None:
+    bc = _HELD.pop(key, None)
+    if bc is not None and SparkContext._active_spark_context is not None:
+        bc.unpersist()
+
+
 def arrow_margin(df: DataFrame, bundle: Bundle) -> Column:
     """Margin column computed by one Arrow-batched UDF.
 
     The features travel as a single ARRAY<FLOAT>: on the Python side the list
     column's flat value buffer is reshaped to a rows x features matrix without
     per-row objects.  The node arrays go out once per job as a broadcast
-    variable; all other columns stay in the JVM.
+    variable held for the model; all other columns stay in the JVM.
     """
     if bundle.trees is None:
         raise ArtifactError("bundle has no model")
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(_as_dict(bundle.trees))
+    bc = held_broadcast(df.sparkSession, bundle.trees)
     base = float(bundle.base_margin)
     width = len(bundle.feature_names)
     margins = _margin_fn()

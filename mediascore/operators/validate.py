@@ -157,19 +157,51 @@ def reject_failed_batches(validated: DataFrame, key: str = "request_id") -> Data
     """All-or-nothing per batch key for flat rows: drop every row of a key
     that has any invalid row.  The failing keys are found with one
     distinct (map-side combined) and removed with a left-anti join, which AQE
-    splits if one key is hot."""
-    bad = validated.where(F.size(ERRORS) > 0).select(key).distinct()
-    return validated.join(bad, on=key, how="left_anti")
+    splits if one key is hot.  Rows without a key are one batch."""
+    bad = validated.where(F.size(ERRORS) > 0).select(F.col(key).alias("__bad")).distinct()
+    return validated.join(bad, F.col(key).eqNullSafe(F.col("__bad")), "left_anti")
 
 
-def envelope_ok(items: Column) -> Column:
-    """True when every item of an envelope passes every rule (evaluated
-    inside the array; no explode, no shuffle)."""
-    return items.isNotNull() & F.forall(
-        items, lambda x: F.size(errors_expr(lambda n: x[n])) == F.lit(0)
-    )
+ENVELOPE_RULE = "envelope:malformed"
+
+
+def validate_envelopes(envelopes: DataFrame) -> DataFrame:
+    """Scanned envelopes with every item typed and checked once, inside the
+    array: ``items`` becomes ARRAY<STRUCT<20 typed fields, errors>>.  The
+    result stands behind a generator, so acceptance, flattening and the
+    rejection report read it without parsing or checking again."""
+
+    def parse(x):
+        raw = [x[n].alias(n) for n in FIELDS]
+        both = [(n, _typed(lambda f: x[f], n)) for n in INT_FIELDS + DECIMAL_FIELDS]
+        return F.struct(*raw, *[v.alias(f"__v_{n}") for n, (v, _) in both], *[ok.alias(f"__ok_{n}") for n, (_, ok) in both])
+
+    def check(x):
+        typed = [(x[f"__v_{n}"].try_cast(FIELD_TYPES[n]) if n in INT_FIELDS + DECIMAL_FIELDS else x[n]).alias(n) for n in FIELDS]
+        return F.struct(*typed, errors_expr(lambda f: x[f], typed=lambda f: (x[f"__v_{f}"], x[f"__ok_{f}"])).alias(ERRORS))
+
+    keep = [qcol(c) for c in envelopes.columns if c not in ("items", CORRUPT_COL)]
+    checked = F.transform(F.transform("items", parse), check)
+    return envelopes.select(*keep, F.inline(F.array(F.struct(checked.alias("items"), qcol(CORRUPT_COL).alias(CORRUPT_COL)))))
+
+
+def _checked(envelopes: DataFrame) -> DataFrame:
+    return envelopes if ERRORS in envelopes.schema["items"].dataType.elementType.fieldNames() else validate_envelopes(envelopes)
 
 
 def accept_envelopes(envelopes: DataFrame) -> DataFrame:
-    """Keep only envelopes whose items are all valid (strict batch mode)."""
-    return envelopes.where(envelope_ok(F.col("items")))
+    """Keep only envelopes whose items are all valid (strict batch mode); an
+    empty list is valid.  Items come out typed."""
+    checked = _checked(envelopes)
+    return checked.where(F.col("items").isNotNull() & F.forall("items", lambda x: F.size(x[ERRORS]) == 0))
+
+
+def envelope_rejections(envelopes: DataFrame) -> DataFrame:
+    """Why envelopes were rejected: the carried columns, pos and rule, a row
+    for each broken rule of each item; a document that is no envelope has a
+    null pos and ``envelope:malformed``."""
+    checked = _checked(envelopes)
+    keep = [qcol(c) for c in checked.columns if c not in ("items", CORRUPT_COL)]
+    item = F.transform("items", lambda x, i: F.transform(x[ERRORS], lambda e: F.struct(i.alias("pos"), e.alias("rule"))))
+    none = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.lit(ENVELOPE_RULE).alias("rule")))
+    return checked.select(*keep, F.inline(F.when(F.col("items").isNull(), none).otherwise(F.flatten(item))))

@@ -51,12 +51,14 @@ def predict(df: DataFrame, bundle: Bundle, keep=("imdb_id",), scorer: str = "arr
 
 
 def results_envelope(scored: DataFrame, key: str = "request_id") -> DataFrame:
-    """``{results:[...]}`` per request in input order.  Each request's list is
+    """``{results:[...]}`` per request in input order; a request without items
+    (one row with a null pos) gets an empty list.  Each request's list is
     exactly as large as the request envelope it answers (already one row on
     input), so the collect is bounded by the input record, not by the data."""
+    items = F.collect_list(F.struct("pos", "imdb_id", "prediction", "probability"))
     return scored.groupBy(key).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("pos", "imdb_id", "prediction", "probability"))),
+            F.array_sort(F.filter(items, lambda r: r["pos"].isNotNull())),
             lambda r: F.struct(r["imdb_id"].alias("imdb_id"), r["prediction"].alias("prediction"), r["probability"].alias("probability")),
         ).alias("results")
     )

@@ -7,9 +7,9 @@ doubles are rounded to 6 places, so each has a like-for-like DuckDB oracle.
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,6 +27,7 @@ from mediascore.operators.registry import artifact_summary, model_metadata, reso
 from mediascore.operators.trees import qcol
 from mediascore.operators.validate import (
     accept_envelopes,
+    envelope_rejections,
     validate,
     validate_report,
     validate_split_quarantine,
@@ -35,7 +36,7 @@ from mediascore.operators.validate import (
 from mediascore.plans.fixture import ORACLE_DEPTH, ORACLE_TREES, fixture_bundle
 from mediascore.plans.predict import predict, results_envelope
 from mediascore.schema import CONTINUOUS_FIELDS, CORRUPT_COL, FIELDS, INT_FIELDS, LIST_FIELDS, RULES
-from mediascore.session import checkpoint_path
+from mediascore.session import materialize, scratch_path
 from mediascore.sources.artifacts import (
     category_schema_rows,
     load_category_maps,
@@ -272,15 +273,26 @@ def q_clean_values(spark, sf):
 
 
 def q_load_model(spark, sf):
+    """The model as loaded: the fixture's node table is saved, read back and
+    flattened by the loader; each saved node is shown with what the arrays
+    hold for it."""
     b = bundle_for(spark, sf)
-    nodes = fixture_nodes(spark, list(b.feature_names), ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features))
-    load_model(nodes, list(b.feature_names), list(b.categorical_features))  # must load cleanly
-    return nodes.select(
-        F.col("tree_id").cast("bigint").alias("tree_id"), F.col("node_id").cast("bigint").alias("node_id"),
-        "feature", "kind", _r(F.col("threshold")).alias("threshold"),
-        F.array_join(F.transform("categories", lambda c: c.cast("string")), "|").alias("categories"),
-        F.col("yes_id").cast("bigint").alias("yes_id"), F.col("no_id").cast("bigint").alias("no_id"),
-        F.col("missing_id").cast("bigint").alias("missing_id"), _r(F.col("leaf")).alias("leaf"),
+    per_tree = 2 ** (ORACLE_DEPTH + 1) - 1
+    saved = materialize(fixture_nodes(spark, list(b.feature_names), ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features)), "nodes")
+    t, _ = load_model(saved, list(b.feature_names), list(b.categorical_features))
+    rows = []
+    for g in range(len(t.feature)):  # one entry for each node of the model
+        leaf = t.yes[g] == g
+        cats = "|".join(str(c) for c in np.flatnonzero(t.cat_table[t.cat_row[g]])) if t.cat_row[g] >= 0 else None
+        rows.append((
+            g, None if leaf else b.feature_names[t.feature[g]], None if leaf or cats is not None else float(t.threshold[g]), cats,
+            *[None if leaf else int(x[g]) % per_tree for x in (t.yes, t.no, t.missing)], float(t.leaf[g]) if leaf else None,
+        ))
+    arrays = spark.createDataFrame(rows, "g long, feature string, threshold double, categories string, yes_id long, no_id long, missing_id long, leaf double")
+    nodes = saved.select(F.col("tree_id").cast("bigint").alias("tree_id"), F.col("node_id").cast("bigint").alias("node_id"), "kind")
+    return nodes.join(arrays, F.col("g") == F.col("tree_id") * per_tree + F.col("node_id")).select(
+        "tree_id", "node_id", "feature", "kind", _r(F.col("threshold")).alias("threshold"), "categories", "yes_id", "no_id", "missing_id",
+        _r(F.col("leaf")).alias("leaf"),
     )
 
 
@@ -444,17 +456,21 @@ def q_predict_batch(spark, sf):
 
 
 def q_results_envelope(spark, sf):
-    items = validate(envelope_items(accept_envelopes(_envelopes(spark, sf))))
+    """Results of every accepted request in input order; a request without
+    items comes back with an empty list (one row with nulls here)."""
+    items = envelope_items(accept_envelopes(_envelopes(spark, sf)), outer=True)
     scored = predict(items, bundle_for(spark, sf), keep=("request_id", "pos", "imdb_id"))
     env = results_envelope(scored)
-    return env.select(
-        F.col("request_id").cast("bigint").alias("request_id"),
-        F.size("results").cast("bigint").alias("n_results"),
-        F.array_join(F.transform("results", lambda r: r["imdb_id"]), "|").alias("ids"),
-        F.size(F.filter("results", lambda r: r["prediction"])).cast("bigint").alias("n_positive"),
+    return env.select(F.col("request_id").cast("bigint").alias("request_id"), F.posexplode_outer("results").alias("pos", "r")).select(
+        "request_id", F.col("pos").cast("bigint").alias("pos"), "r.imdb_id", "r.prediction", _r(F.col("r.probability")).alias("probability")
     )
 
 
+def q_envelope_rejections(spark, sf):
+    """Why requests were rejected: request, item position and rule."""
+    return envelope_rejections(_envelopes(spark, sf)).select(*_keys(), "rule")
+
+
 # -- registry ----------------------------------------------------------------------------------------
 def _score_version(spark, sf, version: str) -> DataFrame:
     s = _scored(spark, sf, version=version)
@@ -473,21 +489,27 @@ def q_pinned_version(spark, sf):
 
 def q_model_metadata(spark, sf):
     """Metadata of the latest version plus metrics Spark measures by scoring
-    the data with it (a one-row aggregate, attached as literals)."""
+    the data with it, joined by version."""
     versions = registry_versions(spark)
     meta = model_metadata(versions, registry_runs(spark, ORACLE_TREES, ORACLE_DEPTH), MODEL, "latest")
     v = resolve_version(versions, MODEL, "latest")
-    stats = _scored(spark, sf, version=v).agg(
+    stats = _scored(spark, sf, version=v).withColumn("scored_version", F.lit(v)).groupBy("scored_version").agg(
         F.count(F.lit(1)).alias("n_scored"), F.avg(F.col("prediction").cast("double")).alias("positive_rate"),
-    ).first()
-    return meta.select(
-        "model_name", "version", "run_id", "stage", "status",
-        F.col("run_metrics")["n_trees"].alias("n_trees"), F.col("run_params")["tree_offset"].alias("tree_offset"),
-        F.lit(int(stats["n_scored"])).cast("bigint").alias("n_scored"),
-        _r(F.lit(float(stats["positive_rate"]))).alias("positive_rate"),
+    )
+    return meta.join(stats, F.col("version") == F.col("scored_version"), "left").select(
+        "model_name", "version", "run_id", "stage", "status", "description",
+        "creation_timestamp", "last_updated_timestamp",
+        *[_entries(c) for c in ("tags", "run_metrics", "run_params")],
+        "n_scored", _r(F.col("positive_rate")).alias("positive_rate"),
     )
 
 
+def _entries(c: str) -> Column:
+    """A map as sorted key=value text."""
+    pairs = F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
+    return F.array_join(F.array_sort(pairs), "|").alias(c)
+
+
 def q_artifact_summary(spark, sf):
     m = _media(spark, sf)
     b = bundle_for(spark, sf)
@@ -500,7 +522,7 @@ def q_artifact_summary(spark, sf):
 # -- streaming -------------------------------------------------------------------------------------------
 def _stream_source(spark, sf) -> str:
     """Write the raw JSON lines as several files under the shared folder."""
-    path = checkpoint_path(spark, "streams", uuid.uuid4().hex, "source")
+    path = scratch_path(spark, "streams") + "/source"
     media_raw(spark, sf).select("value").repartition(4).write.text(path)
     return path
 
@@ -511,21 +533,21 @@ def q_stream_score(spark, sf):
     b = bundle_for(spark, sf)
     src = _stream_source(spark, sf)
     base = src.rsplit("/", 1)[0]
-    for q in start_scoring_stream(spark, b, src, base + "/scored", base + "/ckpt", base + "/quarantine", max_files_per_trigger=1):
-        q.awaitTermination()
+    start_scoring_stream(spark, b, src, base + "/scored", base + "/ckpt", base + "/quarantine", max_files_per_trigger=1).awaitTermination()
     out = spark.read.parquet(base + "/scored")
     return out.select("imdb_id", "prediction", _r(F.col("probability")).alias("probability"))
 
 
-def q_stream_model_refresh(spark, sf):
+def _refreshed(spark, sf) -> str:
     """Start on version 10; the registry then names 11, a broken upload whose
     node table is empty: every micro-batch keeps scoring with 10.  Versions
-    are loaded from their artifact folders under the shared checkpoint folder."""
+    are loaded from their artifact folders under the shared checkpoint folder.
+    Returns the folder of the sinks."""
     from mediascore.plans.fixture import fitted_artifacts
     from mediascore.sources.artifacts import load_bundle_artifacts, save_bundle_artifacts
     from mediascore.streaming import ModelRefresher, start_refreshing_stream
 
-    root = checkpoint_path(spark, "artifacts", uuid.uuid4().hex)
+    root = scratch_path(spark, "artifacts")
     norm, schema, vocab = fitted_artifacts(_media(spark, sf))
     b10 = bundle_for(spark, sf, version="10")
     feats = list(b10.feature_names)
@@ -538,11 +560,21 @@ def q_stream_model_refresh(spark, sf):
                                lambda v: load_bundle_artifacts(spark, root, v))
     src = _stream_source(spark, sf)
     base = src.rsplit("/", 1)[0]
-    start_refreshing_stream(spark, refresher, src, base + "/scored", base + "/ckpt", max_files_per_trigger=1).awaitTermination()
-    out = spark.read.parquet(base + "/scored")
+    start_refreshing_stream(spark, refresher, src, base + "/scored", base + "/ckpt", base + "/quarantine",
+                            max_files_per_trigger=1).awaitTermination()
+    return base
+
+
+def q_stream_model_refresh(spark, sf):
+    out = spark.read.parquet(_refreshed(spark, sf) + "/scored")
     return out.select("imdb_id", "model_version", _r(F.col("probability")).alias("probability"))
 
 
+def q_stream_refresh_quarantine(spark, sf):
+    out = spark.read.parquet(_refreshed(spark, sf) + "/quarantine")
+    return out.select("imdb_id", "errors")
+
+
 QUERIES = {
     "media_items": q_media_items,
     "media_typed": q_media_typed,
@@ -587,10 +619,12 @@ QUERIES = {
     "predict_single": q_predict_single,
     "predict_batch": q_predict_batch,
     "results_envelope": q_results_envelope,
+    "envelope_rejections": q_envelope_rejections,
     "latest_model_version": q_latest_model_version,
     "pinned_version": q_pinned_version,
     "model_metadata": q_model_metadata,
     "artifact_summary": q_artifact_summary,
     "stream_score": q_stream_score,
     "stream_model_refresh": q_stream_model_refresh,
+    "stream_refresh_quarantine": q_stream_refresh_quarantine,
 }

@@ -16,6 +16,7 @@ from mediascore.bundle import (
     MAX_SCHEMA_COLUMNS,
     MAX_VOCAB_ROWS,
     ArtifactError,
+    ArtifactReadError,
     Bundle,
     bounded_collect,
 )
@@ -201,9 +202,9 @@ def save_bundle_artifacts(root: str, version: str, *, normalization: DataFrame,
 
 
 def load_bundle_artifacts(spark: SparkSession, root: str, version: str, categorical_mode: str = "vocab") -> Bundle:
-    """Read one model version back into a frozen Bundle; any missing, empty or
-    inconsistent artifact raises ArtifactError (the caller keeps its last good
-    bundle)."""
+    """Read one model version back into a frozen Bundle.  An empty or
+    inconsistent artifact raises ArtifactError, one that cannot be read now
+    ArtifactReadError (the caller keeps its last good bundle)."""
     path = f"{root.rstrip('/')}/{version}"
     try:
         meta_rows = bounded_collect(read_json_artifact(spark, path + "/meta", META_SCHEMA), 1, "model meta")
@@ -222,4 +223,4 @@ def load_bundle_artifacts(spark: SparkSession, root: str, version: str, categori
     except ArtifactError:
         raise
     except Exception as e:  # unreadable or missing files
-        raise ArtifactError(f"version {version}: {type(e).__name__}: {str(e)[:200]}") from e
+        raise ArtifactReadError(f"version {version}: {type(e).__name__}: {str(e)[:200]}") from e

@@ -37,6 +37,7 @@ DEFECTS = {
 }
 ITEMS_PER_REQUEST = 10
 BARE_ARRAY_EVERY = 37  # request_id % 37 == 5 -> a bare top-level array
+EMPTY_EVERY = 41  # request_id % 41 == 7 -> a request without items
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,7 +69,7 @@ def media_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     name_word = lambda i: F.split_part(F.col("p_name"), F.lit(" "), F.lit(i))
     rec = {
-        "imdb_id": F.concat(F.lit("tt"), F.lpad(k.cast("string"), 7, "0")),
+        "imdb_id": F.concat(F.lit("tt"), F.when(k < 10**6, F.lpad(k.cast("string"), 7, "0")).otherwise(k.cast("string"))),
         "release_year": F.when(k % 11 != 0, F.col("y")),
         "budget": F.when(k % 7 != 0, F.floor(F.col("p_retailprice") * 10000)),
         "revenue": F.when(k % 13 != 0, F.col("rev")),
@@ -139,7 +140,8 @@ def media_raw(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
 def media_envelopes(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """One batch request per ``request_id``: ``{"items":[...]}`` in ``pos``
     order (at most ITEMS_PER_REQUEST items by construction); every 37th
-    request is sent as a bare array, which is not a valid envelope."""
+    request is sent as a bare array, which is not a valid envelope, and every
+    41st without items, which is."""
     raw = raw if raw is not None else media_raw(spark, sf_dir)
     grouped = raw.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("xs")
@@ -147,7 +149,7 @@ def media_envelopes(spark: SparkSession, sf_dir: str, raw: DataFrame | None = No
     body = F.concat_ws(",", F.transform("xs", lambda x: x["value"]))
     text = F.when(
         F.col("request_id") % BARE_ARRAY_EVERY == 5, F.concat(F.lit("["), body, F.lit("]"))
-    ).otherwise(F.concat(F.lit('{"items":['), body, F.lit("]}")))
+    ).when(F.col("request_id") % EMPTY_EVERY == 7, F.lit('{"items":[]}')).otherwise(F.concat(F.lit('{"items":['), body, F.lit("]}")))
     return grouped.select("request_id", text.alias("value"))
 
 

@@ -53,8 +53,9 @@ def scan_batch_envelope(envelopes: DataFrame, value_col: str = "value") -> DataF
     null and ``_corrupt_record`` holds the text.
     """
     keep = [c for c in envelopes.columns if c != value_col]
-    parsed = F.from_json(F.col(value_col), ENVELOPE_SCHEMA, _JSON_OPTS).alias("_e")
-    out = envelopes.select(*keep, parsed, F.col(value_col).alias("_text")).select(*keep, "_e.*", "_text")
+    parsed = F.from_json(F.col(value_col), ENVELOPE_SCHEMA, _JSON_OPTS)
+    # behind a generator, as records are: the document is parsed once
+    out = envelopes.select(*keep, F.col(value_col).alias("_text"), F.inline(F.array(parsed)))
     bad = F.col("items").isNull() | F.col(CORRUPT_COL).isNotNull()
     return out.select(
         *keep,
@@ -63,13 +64,16 @@ def scan_batch_envelope(envelopes: DataFrame, value_col: str = "value") -> DataF
     )
 
 
-def envelope_items(envelopes: DataFrame) -> DataFrame:
-    """Flatten parsed envelopes to one raw record per item, keeping
-    ``(request key, pos)`` so results can be returned in input order.  An
-    empty ``items`` list yields no rows; invalid envelopes yield none."""
+def envelope_items(envelopes: DataFrame, outer: bool = False) -> DataFrame:
+    """Flatten envelopes to one record per item, keeping ``(request key, pos)``
+    so results can be returned in input order.  Invalid envelopes yield no
+    rows; an empty ``items`` list yields none, or with ``outer`` one row whose
+    pos and fields are null."""
     keep = [c for c in envelopes.columns if c not in ("items", CORRUPT_COL)]
+    names = [n for n in envelopes.schema["items"].dataType.elementType.fieldNames() if n in FIELDS]
+    explode = F.posexplode_outer if outer else F.posexplode
     return (
         envelopes.where(F.col("items").isNotNull())
-        .select(*keep, F.posexplode("items").alias("pos", "_it"))
-        .select(*keep, F.col("pos").cast("int").alias("pos"), "_it.*")
+        .select(*keep, explode("items").alias("pos", "_it"))
+        .select(*keep, F.col("pos").cast("int").alias("pos"), *[F.col(f"_it.{n}").alias(n) for n in names])
     )

@@ -1,7 +1,7 @@
 """Streaming jobs over arriving JSON-lines files.
 
-* ``start_scoring_stream`` -- stateless: parse -> validate -> score every valid
-  record with a fixed bundle; invalid records go to a quarantine sink.
+* ``start_scoring_stream`` -- parse -> validate -> score every valid record
+  with a fixed bundle; invalid records go to a quarantine sink.
 * ``start_refreshing_stream`` -- ``foreachBatch``: at the head of every
   micro-batch the registry is asked for the latest version; a new version is
   loaded and swapped in as one immutable bundle, a failing load or check keeps
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from mediascore.bundle import Bundle
+from mediascore.bundle import ArtifactError, ArtifactReadError, Bundle
 from mediascore.operators.validate import validate, validate_split_quarantine, validate_split_valid
 from mediascore.plans.predict import predict
 from mediascore.sources.records import scan_json_records
@@ -36,37 +36,55 @@ def _lines(spark: SparkSession, source_dir: str, max_files_per_trigger: int | No
     return reader.load(source_dir)
 
 
+def _write_batch(batch: DataFrame, batch_id: int, bundle: Bundle, sink_dir: str, quarantine_dir: str | None) -> None:
+    """Parse and validate a micro-batch once; valid records are scored into
+    one sink, the others go with their errors into the other."""
+    validated = validate(scan_json_records(batch)).persist()
+    try:
+        scored = predict(validate_split_valid(validated), bundle).withColumn("model_version", F.lit(bundle.version))
+        scored.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+        if quarantine_dir:
+            bad = validate_split_quarantine(validated).withColumn("errors", F.array_join("errors", "|"))
+            bad.write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+    finally:
+        validated.unpersist()
+
+
+def _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger) -> StreamingQuery:
+    trig = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
+    return (
+        _lines(spark, source_dir, max_files_per_trigger).writeStream.foreachBatch(per_batch)
+        .option("checkpointLocation", checkpoint_dir).trigger(**trig).start()
+    )
+
+
 def start_scoring_stream(
     spark: SparkSession, bundle: Bundle, source_dir: str, sink_dir: str, checkpoint_dir: str,
     quarantine_dir: str | None = None, available_now: bool = True, max_files_per_trigger: int | None = None,
-) -> list[StreamingQuery]:
-    validated = validate(scan_json_records(_lines(spark, source_dir, max_files_per_trigger)))
-    scored = predict(validate_split_valid(validated), bundle).withColumn("model_version", F.lit(bundle.version))
-    trig = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
-    queries = [
-        scored.writeStream.format("parquet").option("path", sink_dir)
-        .option("checkpointLocation", checkpoint_dir + "/scored").trigger(**trig).start()
-    ]
-    if quarantine_dir:
-        bad = validate_split_quarantine(validated).withColumn("errors", F.array_join("errors", "|"))
-        queries.append(
-            bad.writeStream.format("parquet").option("path", quarantine_dir)
-            .option("checkpointLocation", checkpoint_dir + "/quarantine").trigger(**trig).start()
-        )
-    return queries
+) -> StreamingQuery:
+    """Score with one fixed bundle.  One query feeds both sinks, so the source
+    is read and parsed once."""
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        _write_batch(batch, batch_id, bundle, sink_dir, quarantine_dir)
+
+    return _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger)
 
 
 class ModelRefresher:
     """Holds the last good bundle; ``refresh()`` is called once per
-    micro-batch on the driver."""
+    micro-batch on the driver.
 
-    def __init__(self, initial: Bundle, latest: Callable[[], str], load: Callable[[str], Bundle],
-                 retry_failed: bool = False):
+    A version with bad content (ArtifactError) stays bad, as registry versions
+    are immutable, and is not loaded again; any other failure, an unreadable
+    file or an unreachable store, may pass and is tried again at the next
+    micro-batch."""
+
+    def __init__(self, initial: Bundle, latest: Callable[[], str], load: Callable[[str], Bundle]):
         self.bundle = initial
         self._latest = latest
         self._load = load
-        self._retry_failed = retry_failed
-        self._failed: set[str] = set()  # registry versions are immutable: a broken one stays broken
+        self._bad: set[str] = set()
         self.history: list[tuple[str, str]] = []
 
     def refresh(self) -> Bundle:
@@ -77,14 +95,15 @@ class ModelRefresher:
             self.history.append(("check_failed", self.bundle.version))
             return self.bundle
         if wanted != self.bundle.version:
-            if wanted in self._failed and not self._retry_failed:
+            if wanted in self._bad:
                 self.history.append(("skipped_failed:" + wanted, self.bundle.version))
                 return self.bundle
             try:
                 fresh = self._load(wanted)
-            except Exception as e:  # broken version: keep the last good bundle
+            except Exception as e:  # keep the last good bundle
                 log.error("loading version %s failed, keeping %s: %s", wanted, self.bundle.version, e)
-                self._failed.add(wanted)
+                if isinstance(e, ArtifactError) and not isinstance(e, ArtifactReadError):
+                    self._bad.add(wanted)
                 self.history.append(("load_failed:" + wanted, self.bundle.version))
                 return self.bundle
             self.bundle = fresh  # one reference swap: never a half-updated bundle
@@ -94,16 +113,13 @@ class ModelRefresher:
 
 def start_refreshing_stream(
     spark: SparkSession, refresher: ModelRefresher, source_dir: str, sink_dir: str, checkpoint_dir: str,
-    available_now: bool = True, max_files_per_trigger: int | None = None,
+    quarantine_dir: str, available_now: bool = True, max_files_per_trigger: int | None = None,
 ) -> StreamingQuery:
+    """Score every micro-batch with the newest good bundle; records that break
+    a rule go to ``quarantine_dir``, so valid and quarantined rows together are
+    the input."""
+
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        bundle = refresher.refresh()
-        valid = validate_split_valid(validate(scan_json_records(batch)))
-        out = predict(valid, bundle).withColumn("model_version", F.lit(bundle.version))
-        out.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+        _write_batch(batch, batch_id, refresher.refresh(), sink_dir, quarantine_dir)
 
-    trig = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
-    return (
-        _lines(spark, source_dir, max_files_per_trigger).writeStream.foreachBatch(per_batch)
-        .option("checkpointLocation", checkpoint_dir).trigger(**trig).start()
-    )
+    return _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger)

@@ -36,7 +36,7 @@ li AS (
   FROM lineitem GROUP BY l_partkey),
 mi AS (
   SELECT p_partkey,
-    'tt' || lpad(CAST(p_partkey AS VARCHAR), 7, '0') AS imdb_id,
+    'tt' || CASE WHEN p_partkey < 1000000 THEN lpad(CAST(p_partkey AS VARCHAR), 7, '0') ELSE CAST(p_partkey AS VARCHAR) END AS imdb_id,
     CASE WHEN p_partkey % 11 <> 0 THEN CAST(y AS INTEGER) END AS release_year,
     CASE WHEN p_partkey % 7 <> 0 THEN CAST(floor(p_retailprice * 10000) AS BIGINT) END AS budget,
     CASE WHEN p_partkey % 13 <> 0 THEN CAST(rev AS BIGINT) END AS revenue,
@@ -266,11 +266,16 @@ LATEST = """reg AS (SELECT * FROM (VALUES ('1', 'None'), ('2', 'Staging'), ('9',
 latest AS (SELECT version FROM reg ORDER BY CASE stage WHEN 'Production' THEN 0 WHEN 'Staging' THEN 1 ELSE 2 END, CAST(version AS INTEGER) DESC LIMIT 1)"""
 
 
+#: Every 37th request is a bare array; of the others every 41st has no items.
+_BARE, _EMPTY = "request_id % 37 = 5", "(request_id % 37 <> 5 AND request_id % 41 = 7)"
+
+
+def _is_envelope(corrupt: str) -> str:
+    return f"(NOT {_BARE} AND ({_EMPTY} OR NOT bool_or({corrupt})))"
+
+
 def _valid_requests() -> str:
-    return (
-        "SELECT request_id FROM ev GROUP BY request_id "
-        "HAVING bool_and(errors = '') AND request_id % 37 <> 5"
-    )
+    return f"SELECT request_id FROM ev WHERE NOT {_BARE} AND NOT {_EMPTY} GROUP BY request_id HAVING bool_and(errors = '')"
 
 
 EV = RAW + f""",
@@ -286,10 +291,9 @@ def oracle_queries() -> dict[str, str]:
 FROM mi""")
     q["media_typed"] = with_(MEDIA, "SELECT imdb_id, CAST(release_year AS BIGINT) AS release_year, true AS tagline_absent, true AS overview_absent FROM mi")
     q["scan_json_records"] = with_(RAW, f"""SELECT {_keys()}, imdb_id, release_year_text, {_j('genre')}, {_j('origin_country')}, original_language, is_corrupt FROM rv""")
-    q["scan_batch_envelope"] = with_(RAW, """SELECT request_id,
-  (request_id % 37 <> 5 AND NOT bool_or(is_corrupt)) AS is_envelope,
-  CASE WHEN request_id % 37 <> 5 AND NOT bool_or(is_corrupt) THEN count(*) END AS n_items,
-  CASE WHEN request_id % 37 <> 5 AND NOT bool_or(is_corrupt) THEN string_agg(imdb_id, '|' ORDER BY pos) END AS ids
+    q["scan_batch_envelope"] = with_(RAW, f"""SELECT request_id, {_is_envelope('is_corrupt')} AS is_envelope,
+  CASE WHEN {_is_envelope('is_corrupt')} THEN CASE WHEN {_EMPTY} THEN 0 ELSE count(*) END END AS n_items,
+  CASE WHEN {_is_envelope('is_corrupt')} THEN CASE WHEN {_EMPTY} THEN '' ELSE string_agg(imdb_id, '|' ORDER BY pos) END END AS ids
 FROM rv GROUP BY request_id""")
     q["parse_typed"] = with_(RAW, f"""SELECT {_keys()}, imdb_id, CAST(release_year AS BIGINT) AS release_year, CAST(budget AS BIGINT) AS budget,
   CAST(rt_score AS BIGINT) AS rt_score, CAST(CAST(tmdb_rating AS DECIMAL(5,3)) AS DOUBLE) AS tmdb_rating,
@@ -372,17 +376,23 @@ FROM fidx LEFT JOIN fv ON fv.name = fidx.name GROUP BY fidx.name""")
     q["predict_single"] = with_(_scored(local=True), f"SELECT imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM sc")
     q["predict_batch"] = with_(_scored(), f"SELECT imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM sc")
     q["results_envelope"] = with_(_scored() + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
-        f"""SELECT ev.request_id, CAST(count(*) AS BIGINT) AS n_results, string_agg(ev.imdb_id, '|' ORDER BY ev.pos) AS ids,
-  CAST(count(*) FILTER (WHERE {PROB} > 0.5) AS BIGINT) AS n_positive
-FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id
-WHERE ev.request_id IN ({_valid_requests()}) GROUP BY ev.request_id""")
+        f"""SELECT ev.request_id, ev.pos, ev.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability
+FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.request_id IN ({_valid_requests()})
+UNION ALL SELECT DISTINCT request_id, NULL, NULL, NULL, NULL FROM ev WHERE {_EMPTY}""")
+    q["envelope_rejections"] = with_(EV, f"""SELECT request_id, pos, unnest(string_split(errors, '|')) AS rule FROM ev
+WHERE errors <> '' AND NOT {_EMPTY} AND request_id NOT IN (SELECT request_id FROM ev GROUP BY request_id HAVING NOT {_is_envelope('is_corrupt')})
+UNION ALL SELECT request_id, NULL, 'envelope:malformed' FROM ev GROUP BY request_id HAVING NOT {_is_envelope('is_corrupt')}""")
     latest_off = "(SELECT CAST(version AS INTEGER) - 1 FROM latest)"
     q["latest_model_version"] = with_(_scored(latest_off, extra=LATEST),
         f"SELECT imdb_id, (SELECT version FROM latest) AS model_version, round({PROB}, 6) AS probability FROM sc")
     q["pinned_version"] = with_(_scored("8"), f"SELECT imdb_id, '9' AS model_version, round({PROB}, 6) AS probability FROM sc")
     q["model_metadata"] = with_(_scored(latest_off, extra=LATEST), f"""SELECT 'm1' AS model_name, (SELECT version FROM latest) AS version,
-  'run-' || (SELECT version FROM latest) AS run_id, 'Production' AS stage, 'READY' AS status, CAST(8.0 AS DOUBLE) AS n_trees,
-  (SELECT version FROM latest) AS tree_offset, CAST(count(*) AS BIGINT) AS n_scored,
+  'run-' || (SELECT version FROM latest) AS run_id, 'Production' AS stage, 'READY' AS status,
+  'fixture version ' || (SELECT version FROM latest) AS description,
+  1700000000000 + (SELECT CAST(version AS BIGINT) FROM latest) * 1000 AS creation_timestamp,
+  1700000000000 + (SELECT CAST(version AS BIGINT) FROM latest) * 2000 AS last_updated_timestamp,
+  'stage=Production|tree_offset=' || (SELECT version FROM latest) AS tags, 'depth=3.0|n_trees=8.0' AS run_metrics,
+  'tree_offset=' || (SELECT version FROM latest) AS run_params, CAST(count(*) AS BIGINT) AS n_scored,
   round(avg(CASE WHEN {PROB} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS positive_rate FROM sc""")
     q["artifact_summary"] = with_(ARTIFACTS, """SELECT (SELECT CAST(count(*) AS BIGINT) FROM fidx) AS features_count,
   (SELECT CAST(count(*) AS BIGINT) FROM norm) AS normalization_fields,
@@ -396,4 +406,5 @@ WHERE ev.request_id IN ({_valid_requests()}) GROUP BY ev.request_id""")
         f"SELECT ev.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.errors = ''")
     q["stream_model_refresh"] = with_(_scored("9") + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
         f"SELECT ev.imdb_id, '10' AS model_version, round({PROB}, 6) AS probability FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.errors = ''")
+    q["stream_refresh_quarantine"] = with_(EV, "SELECT imdb_id, errors FROM ev WHERE errors <> ''")
     return q

@@ -1,12 +1,15 @@
 """Registry tables (R1-R5) and streaming (T1, T2)."""
 
+import gc
 import uuid
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
-from mediascore.bundle import ArtifactError
+from mediascore.bundle import ArtifactError, ArtifactReadError
 from mediascore.operators.registry import latest_model_version, model_metadata, resolve_version
+from mediascore.operators.trees import _HELD, held_broadcast
 from mediascore.plans.fixture import fixture_bundle
 from mediascore.plans.predict import predict
 from mediascore.operators.validate import validate, validate_split_valid
@@ -55,6 +58,31 @@ def test_refresher_keeps_last_good(bundle):
     assert r3.refresh() is bundle
 
 
+def test_refresher_tries_a_passing_failure_again(spark, bundle):
+    tries = []
+
+    def load(v):
+        tries.append(v)
+        if len(tries) == 1:
+            raise ArtifactReadError("store unreachable")
+        return bundle.with_model(v, f"run-{v}", bundle.trees, bundle.nodes)
+
+    r = ModelRefresher(bundle, lambda: "12", load)
+    assert r.refresh() is bundle and r.refresh().version == "12" and tries == ["12", "12"]
+
+
+def test_one_broadcast_for_each_model(spark, bundle):
+    first = held_broadcast(spark, bundle.trees)
+    assert held_broadcast(spark, bundle.trees) is first
+    other = replace(bundle.trees)
+    key = (spark.sparkContext.applicationId, id(other))
+    held_broadcast(spark, other)
+    assert key in _HELD
+    del other
+    gc.collect()
+    assert key not in _HELD
+
+
 def _source(spark):
     path = checkpoint_path(spark, "test-streams", uuid.uuid4().hex)
     media_raw(spark, SF).select("value").repartition(3).write.text(path + "/src")
@@ -63,8 +91,7 @@ def _source(spark):
 
 def test_stream_equals_batch(spark, bundle):
     base = _source(spark)
-    for q in start_scoring_stream(spark, bundle, base + "/src", base + "/out", base + "/ckpt", base + "/bad", max_files_per_trigger=1):
-        q.awaitTermination()
+    start_scoring_stream(spark, bundle, base + "/src", base + "/out", base + "/ckpt", base + "/bad", max_files_per_trigger=1).awaitTermination()
     streamed = spark.read.parquet(base + "/out").select("imdb_id", "prediction", "probability")
     batch = predict(validate_split_valid(validate(scan_json_records(media_raw(spark, SF)))), bundle)
     assert sorted(streamed.collect()) == sorted(batch.collect())
@@ -81,7 +108,8 @@ def test_stream_refresh_keeps_version_10(spark):
 
     r = ModelRefresher(b10, lambda: resolve_version(versions, MODEL), load)
     base = _source(spark)
-    start_refreshing_stream(spark, r, base + "/src", base + "/out", base + "/ckpt", max_files_per_trigger=1).awaitTermination()
+    start_refreshing_stream(spark, r, base + "/src", base + "/out", base + "/ckpt", base + "/bad", max_files_per_trigger=1).awaitTermination()
+    assert spark.read.parquet(base + "/out").count() + spark.read.parquet(base + "/bad").count() == media_raw(spark, SF).count()
     out = spark.read.parquet(base + "/out")
     assert {row["model_version"] for row in out.select("model_version").distinct().collect()} == {"10"}
     assert out.select("batch").distinct().count() >= 2

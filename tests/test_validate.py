@@ -4,6 +4,7 @@ import json
 
 from mediascore.operators.validate import (
     accept_envelopes,
+    envelope_rejections,
     reject_failed_batches,
     validate,
     validate_report,
@@ -115,6 +116,13 @@ def test_envelopes(spark):
     assert flags == {1: True, 2: True, 3: True, 4: False, 5: False}
     accepted = envelope_items(accept_envelopes(parsed)).orderBy("request_id", "pos").collect()
     assert [(r["request_id"], r["pos"], r["imdb_id"]) for r in accepted] == [(1, 0, "tt7654321"), (1, 1, "tt12345678")]
+    assert accepted[0]["release_year"] == 1987
+    rows = envelope_items(accept_envelopes(parsed), outer=True).collect()
+    assert [(r["pos"], r["imdb_id"]) for r in rows if r["request_id"] == 3] == [(None, None)]
+    why = sorted((r["request_id"], r["pos"], r["rule"]) for r in envelope_rejections(parsed).collect())
+    assert why == [(2, 1, "imdb_id:pattern"), (4, None, "envelope:malformed"), (5, None, "envelope:malformed")]
+    for df in (envelope_items(accept_envelopes(parsed)), envelope_rejections(parsed)):
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
 
 
 def test_flat_batches_all_or_nothing(spark):
@@ -122,3 +130,6 @@ def test_flat_batches_all_or_nothing(spark):
     v = validate(scan_json_records(spark.createDataFrame(rows, "request_id long, value string")))
     kept = reject_failed_batches(v).collect()
     assert [r["request_id"] for r in kept] == [2]
+    rows = [(None, json.dumps({**FULL, "budget": -1})), (None, json.dumps(FULL)), (2, json.dumps(FULL))]
+    v = validate(scan_json_records(spark.createDataFrame(rows, "request_id long, value string")))
+    assert [r["request_id"] for r in reject_failed_batches(v).collect()] == [2]
