@@ -9,6 +9,7 @@ step is a narrow projection; nothing here shuffles.
 from __future__ import annotations
 
 from collections import Counter
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -76,15 +77,8 @@ def encoded_columns(bundle: Bundle) -> list[str]:
     return out
 
 
-def multi_hot_encode(df: DataFrame, bundle: Bundle) -> DataFrame:
-    """One 0/1 INT column per mapped category of every schema list column.
-
-    1 when any non-null, non-empty input value cleans to the category; unknown
-    values are ignored; a missing, null or empty list gives all zeros; when no
-    category of a column could be mapped, every schema name is emitted as 0.
-    Each list is cleaned once into a helper column.
-    """
-    maps = bundle.category_maps()
+def cleaned_lists(df: DataFrame, bundle: Bundle) -> DataFrame:
+    """Adds ``__clean_<c>``, every schema list column cleaned once."""
     emitted = encoded_columns(bundle)
     clash = set(emitted) & set(df.columns)
     dup = {c for c, n in Counter(emitted).items() if n > 1}
@@ -96,7 +90,19 @@ def multi_hot_encode(df: DataFrame, bundle: Bundle) -> DataFrame:
             if not isinstance(df.schema[oc].dataType, T.ArrayType):
                 raise ArtifactError(f"category schema names non-list column {oc!r}")
             helpers[f"__clean_{oc}"] = clean_values(qcol(oc))
-    staged = df.withColumns(helpers) if helpers else df
+    return _with(df, helpers)
+
+
+def multi_hot_encode(df: DataFrame, bundle: Bundle) -> DataFrame:
+    """One 0/1 INT column per mapped category of every schema list column.
+
+    1 when any non-null, non-empty input value cleans to the category; unknown
+    values are ignored; a missing, null or empty list gives all zeros; when no
+    category of a column could be mapped, every schema name is emitted as 0.
+    Each list is cleaned once into a helper column.
+    """
+    maps = bundle.category_maps()
+    staged = cleaned_lists(df, bundle)
     out: list[Column] = []
     for oc, names in bundle.category_schema:
         src = qcol(f"__clean_{oc}") if oc in df.columns else None
@@ -199,3 +205,35 @@ def preprocess(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> DataFrame:
     out = fill_numeric(out, bundle, keep)
     out = align_features(out, bundle, keep=keep)
     return numeric_coerce(out, bundle)
+
+
+# The scoring form --------------------------------------------------------------------
+def sparse_layout(bundle: Bundle, columns: list[str]) -> tuple[list[str], dict[str, dict[str, int]], dict[str, int]]:
+    """How a row reaches the scorer without one column for each category:
+    (dense features, per list column category -> feature index, per categorical
+    its feature index).  A categorical whose column is absent stays missing."""
+    index = {f: i for i, f in enumerate(bundle.feature_names)}
+    maps = bundle.category_maps()
+    encoded = set(encoded_columns(bundle))
+    lists = {
+        oc: {cat: index[name] for cat, name in maps[oc].items() if name in index}
+        for oc, _ in bundle.category_schema
+        if oc in columns
+    }
+    cats = {c: index[c] for c in bundle.categorical_features if c in index and c in columns}
+    dense = [f for f in bundle.feature_names if f not in encoded and f not in bundle.categorical_features]
+    return dense, lists, cats
+
+
+def preprocess_sparse(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> tuple[DataFrame, list[str], dict[str, dict[str, int]], dict[str, int]]:
+    """The feature pipeline up to the scorer's input: the kept columns, the
+    dense features, the cleaned lists and the categoricals' text.  Its plan and
+    cost follow the record, not the model's width; the scorer looks values up
+    in its own copy of the category maps and vocabularies."""
+    out = cleaned_lists(drop_unused(normalize_minmax(df, bundle)), bundle)
+    dense, lists, cats = sparse_layout(bundle, out.columns)
+    out = _with(out, {f"__cat_{c}": qcol(c).cast("string") for c in cats})
+    narrow = replace(bundle, feature_names=tuple(dense))
+    extra = [*keep, *[f"__clean_{c}" for c in lists], *[f"__cat_{c}" for c in cats]]
+    out = align_features(fill_numeric(out, narrow, extra), narrow, keep=extra)
+    return numeric_coerce(out, narrow), dense, lists, cats

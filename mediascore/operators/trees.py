@@ -222,14 +222,14 @@ def feature_array(bundle: Bundle) -> Column:
 _HELD: dict[tuple[str, int], object] = {}
 
 
-def held_broadcast(spark, trees: TreeArrays):
-    """The broadcast of a model's arrays: one for each application and model,
-    however many jobs or micro-batches score with it; the executors' copies go
-    when the model does."""
-    key = (spark.sparkContext.applicationId, id(trees))
+def held_broadcast(spark, owner, make=None):
+    """The broadcast of a model's arrays (or of ``make(owner)``): one for each
+    application and owner, however many jobs or micro-batches score with it;
+    the executors' copies go when the owner does."""
+    key = (spark.sparkContext.applicationId, id(owner))
     if key not in _HELD:
-        _HELD[key] = spark.sparkContext.broadcast(_as_dict(trees))
-        weakref.finalize(trees, release, key)
+        _HELD[key] = spark.sparkContext.broadcast((make or _as_dict)(owner))
+        weakref.finalize(owner, release, key)
     return _HELD[key]
 
 
@@ -272,6 +272,56 @@ def arrow_margin(df: DataFrame, bundle: Bundle) -> Column:
     return _margin(feature_array(bundle))
 
 
+def sparse_margin(df: DataFrame, bundle: Bundle, dense: list[str], lists: dict[str, dict[str, int]], cats: dict[str, int]) -> Column:
+    """Margin from the sparse form: the dense features as one ARRAY<FLOAT>,
+    the cleaned lists and the categoricals' text travel over Arrow; values are
+    found by one hash lookup each (Arrow's index_in) and scattered into the
+    feature matrix, so the cost follows the list lengths, not the width."""
+    if bundle.trees is None:
+        raise ArtifactError("bundle has no model")
+    import pyarrow as pa
+
+    held = held_broadcast(df.sparkSession, bundle.trees)
+    index = {f: i for i, f in enumerate(bundle.feature_names)}
+    local = bundle.categorical_mode == "local"
+    missing = [index[c] for c in bundle.categorical_features if c in index]
+    tables = {
+        "dense": np.array([index[f] for f in dense], np.int64),
+        "lists": [(pa.array(list(m), pa.string()), np.array(list(m.values()), np.int64)) for m in lists.values()],
+        "cats": [
+            (pa.array(list(v), pa.string()), np.array(list(v.values()), np.float32), i)
+            for c, i in cats.items()
+            for v in [bundle.vocab.get(c, {})]
+        ],
+    }
+    lookup = df.sparkSession.sparkContext.broadcast(tables)  # the category maps and vocabularies: bounded by the artifacts
+    base, width, margins = float(bundle.base_margin), len(bundle.feature_names), _margin_fn()
+
+    def _margin(v, *columns):
+        import pyarrow.compute as pc
+
+        t, n = lookup.value, len(v)
+        x = np.zeros((n, width), np.float32)
+        x[:, missing] = np.nan
+        x[:, t["dense"]] = v.flatten().to_numpy(zero_copy_only=False).reshape(n, len(t["dense"]))
+        for (values, at), col in zip(t["lists"], columns):
+            found = pc.index_in(pc.list_flatten(col), value_set=values)
+            rows = pc.list_parent_indices(col).to_numpy(zero_copy_only=False)
+            there = found.is_valid().to_numpy(zero_copy_only=False)
+            x[rows[there], at[found.drop_null().to_numpy(zero_copy_only=False)]] = 1.0
+        for (values, codes, at), col in zip(t["cats"], columns[len(t["lists"]) :]):
+            if local:
+                x[col.is_valid().to_numpy(zero_copy_only=False), at] = 0.0
+                continue
+            found = pc.index_in(col, value_set=values)
+            there = found.is_valid().to_numpy(zero_copy_only=False) & col.is_valid().to_numpy(zero_copy_only=False)
+            x[there, at] = codes[found.fill_null(0).to_numpy(zero_copy_only=False)[there]] if len(codes) else np.nan
+        return pa.array(margins(x, held.value) + base)
+
+    numbers = F.array(*[qcol(f).cast("float") for f in dense]).cast("array<float>")
+    return F.arrow_udf(_margin, "double")(numbers, *[qcol(f"__clean_{c}") for c in lists], *[qcol(f"__cat_{c}") for c in cats])
+
+
 MAX_EXPR_NODES = 2048
 
 

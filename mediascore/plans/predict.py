@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mediascore.bundle import Bundle
-from mediascore.operators.features import FEATURE_ERRORS, preprocess
-from mediascore.operators.trees import arrow_margin, expr_margin
+from mediascore.operators.features import FEATURE_ERRORS, preprocess, preprocess_sparse
+from mediascore.operators.trees import arrow_margin, expr_margin, sparse_margin
 
 THRESHOLD = 0.5
 
@@ -26,8 +26,18 @@ def predict_label(prob: Column) -> Column:
 
 
 def score_features(features: DataFrame, bundle: Bundle, keep=("imdb_id",), scorer: str = "arrow") -> DataFrame:
-    """Aligned features -> keep columns + margin."""
+    """Aligned features (the wide form) -> keep columns + margin."""
     m = arrow_margin(features, bundle) if scorer == "arrow" else expr_margin(bundle)
+    return _with_margin(features, m, keep)
+
+
+def score_records(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> DataFrame:
+    """Records -> keep columns + margin through the sparse form."""
+    features, *layout = preprocess_sparse(df, bundle, keep=keep)
+    return _with_margin(features, sparse_margin(features, bundle, *layout), keep)
+
+
+def _with_margin(features: DataFrame, m: Column, keep) -> DataFrame:
     keep = [k for k in keep if k in features.columns]
     if FEATURE_ERRORS in features.columns:
         fe = F.col(FEATURE_ERRORS)
@@ -35,13 +45,18 @@ def score_features(features: DataFrame, bundle: Bundle, keep=("imdb_id",), score
     return features.select(*keep, m.alias("margin"))
 
 
-def predict(df: DataFrame, bundle: Bundle, keep=("imdb_id",), scorer: str = "arrow", with_margin: bool = False) -> DataFrame:
+def predict(df: DataFrame, bundle: Bundle, keep=("imdb_id",), scorer: str = "sparse", with_margin: bool = False) -> DataFrame:
     """Score every input row (order and duplicates kept; nothing is deduped).
+    ``scorer``: 'sparse' (one lookup for each list value), or for cross-checks
+    the wide feature form with 'arrow' or 'expr' scoring.
 
     Any row whose features cannot be built fails the job, as one bad item
     fails a batch; validate first to quarantine instead.
     """
-    margins = score_features(preprocess(df, bundle, keep=keep), bundle, keep=keep, scorer=scorer)
+    if scorer == "sparse":
+        margins = score_records(df, bundle, keep)
+    else:
+        margins = score_features(preprocess(df, bundle, keep=keep), bundle, keep=keep, scorer=scorer)
     p = probability(F.col("margin"))
     keep = [k for k in keep if k in margins.columns]
     cols = [*keep, predict_label(p).alias("prediction"), p.alias("probability")]

@@ -129,6 +129,21 @@ def test_feature_error_fails_the_batch(spark, bundle):
         predict(df, deg).collect()
 
 
+def test_sparse_form_scores_as_the_wide_form(spark, bundle):
+    """Nulls, empty lists, unknown and repeated values, absent columns, extra features."""
+    m = media_items_view(spark, "/root/testdata/sf0.001")
+    odd = spark.createDataFrame(
+        [("tt1", None, ["Drama", "drama", None, "", "??", "unknown"], ["US", "US"], "Released", None), ("tt2", [], None, ["xx"], "no such", "fr"), ("tt3", ["en"], [], None, None, "")],
+        "imdb_id string, spoken_languages array<string>, genre array<string>, origin_country array<string>, production_status string, original_language string",
+    )
+    wider = replace(bundle, feature_names=(*bundle.feature_names, "nowhere", "budget"))
+    for b in (bundle, wider, replace(bundle, categorical_mode="local"), replace(bundle, vocab={})):
+        for df in (m, m.drop("genre", "original_language", "budget"), odd):
+            sparse = predict(df, b, with_margin=True)
+            wide = predict(df, b, scorer="arrow", with_margin=True)
+            assert sorted(sparse.collect(), key=str) == sorted(wide.collect(), key=str)
+
+
 def test_sparse_category_membership_is_exact(bundle):
     rng = np.random.default_rng(3)
     X = rng.random((700, len(bundle.feature_names))).astype(np.float32)
