@@ -17,16 +17,20 @@ import re
 from array import array
 
 #: White space and separators beyond the six ASCII ones: such texts are encoded whole.
-_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁤　﻿]|<\\|")
-_WORDS = re.compile("[^ \t\n\r\x0b\x0c]+")
+_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\\|")
 #: A run of white space up to the last character before a word; a word with the one space before it; a lone white space.
 _SPACED = re.compile("[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])| ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]")
-_LETTERS = re.compile(" ?[A-Za-z]+")
-_TAIL = re.compile("(?s)(.*[A-Za-zÀ-ÖØ-öø-ÿ])([.,;:!?%&$#*|)]+)\\Z")
+_MARKS = ".,;:!?%&$#*|)"
 
 
-class SegmentEncoder:
-    """Ids of texts as little-endian unsigned 32-bit integers.
+def _ends_in_letter(part: str) -> bool:
+    last = part[-1]
+    return "a" <= last <= "z" or "A" <= last <= "Z" or "\xc0" <= last <= "\xff" and last not in "\xd7\xf7"
+
+
+class SegmentEncoder(dict):
+    """Ids of texts as little-endian unsigned 32-bit integers; as a dict, the
+    ids of parts.
 
     ``path``: a tokenizer file of the tokenizers library.  ``spaced``: whether
     its pretokens carry the space before a word (byte-level) or white space is
@@ -35,80 +39,53 @@ class SegmentEncoder:
     """
 
     def __init__(self, path: str, spaced: bool, keep: int = 400_000):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.spaced = spaced
-        self.split = _SPACED if spaced else _WORDS
+        # without odd white space, str.split cuts at the six ASCII ones only
+        self.split = _SPACED.findall if spaced else str.split
         self.keep = keep
-        self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _library(self, parts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _pretoken(self, part: str) -> bytes:
-        """Ids of a part that is one pretoken of ASCII letters, with or without the space before it."""
-        part = "Ġ" + part[1:] if part[0] == " " else part if self.spaced else part.lower()
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(part)]).tobytes()
-
-    def _known(self, parts) -> None:
-        """Put the ids of all ``parts`` into the young generation."""
-        if len(self.young) > self.keep:
-            self.old, self.young = self.young, {}
-        young, old, one, letters = self.young, self.old, self._pretoken, _LETTERS.fullmatch
-        rest: list[str] = []
-        cut: list[tuple[str, str, str]] = []
-        for p in parts:
-            if p in young:
-                continue
-            ids = old.get(p)
-            if ids is not None:
-                young[p] = ids
-            elif letters(p):
-                young[p] = one(p)
-            elif m := _TAIL.match(p):
-                a, b = m.groups()
-                cut.append((p, a, b))
-                for x in (a, b):
-                    if x in young:
-                        continue
-                    if letters(x):
-                        young[x] = one(x)
-                    else:
-                        rest.append(x)
+    def _library(self, part: str) -> bytes:
+        """Ids of any text."""
+        return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.old.get(part)
+        if ids is None:
+            head = part.rstrip(_MARKS)
+            if head is not part and head and head != part and _ends_in_letter(head):
+                ids = self[head] + self[part[len(head) :]]
             else:
-                rest.append(p)
-        rest = list(dict.fromkeys(rest))
-        young.update(zip(rest, self._library(rest)))
-        for p, a, b in cut:
-            young[p] = young[a] + young[b]
+                letters = part[1:] if part[0] == " " else part
+                if letters.isascii() and letters.isalpha():
+                    # one pretoken of ASCII letters, with or without the space before it
+                    word = "Ġ" + letters if letters is not part else part if self.spaced else part.lower()
+                    ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+                else:
+                    ids = self._library(part)
+        self[part] = ids
+        return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
-        out: list[bytes] = [b""] * len(texts)
-        parts: list[list[str]] = []
-        at: list[int] = []
-        whole: list[int] = []
-        for i, text in enumerate(texts):
+        out = []
+        ids = self.__getitem__
+        for text in texts:
             if not text:
-                continue
-            if _ODD.search(text):
-                whole.append(i)
+                out.append(b"")
+            elif _ODD.search(text):
+                out.append(self._library(text))
             else:
-                parts.append(self.split.findall(text))
-                at.append(i)
-        step = 128
-        for k in range(0, len(parts), step):
-            group = parts[k : k + step]
-            self._known(set().union(*group))
-            young = self.young
-            for i, p in zip(at[k : k + step], group):
-                out[i] = b"".join([young[x] for x in p])
-        for i in whole:
-            out[i] = self._library([texts[i]])[0]
+                out.append(b"".join(map(ids, self.split(text))))
+            if len(self) > self.keep:
+                self.old = dict(self)
+                self.clear()
         return out
 
 
