@@ -18,16 +18,16 @@ _FRACTION_DIGITS = r"\.([0-9]*?)0*\s*$"
 
 
 def lax_int(s: Column, target: T.DataType = T.LongType()) -> tuple[Column, Column]:
-    """Integer from text: 1994, "1994", 1994.0, "1994.0", true/false.
+    """Integer from text: 1994, "1994", 1994.0, "1994.0" (the scan gives JSON
+    booleans as 1 and 0).
 
     Rejects fractional values (1994.5), empty text and non-numbers.
     """
     d = s.try_cast(WIDE_DECIMAL)
-    from_bool = F.when(s == F.lit("true"), F.lit(1)).when(s == F.lit("false"), F.lit(0))
     whole = F.when(d.isNotNull() & (d == F.floor(d)), d.try_cast(target))
-    # Plain integer text takes the cheap cast; only the rest ("1994.0",
-    # booleans, junk) goes through the decimal parse (coalesce is lazy).
-    value = F.coalesce(s.try_cast(T.LongType()).try_cast(target), from_bool.cast(target), whole)
+    # Plain integer text takes the cheap cast; only the rest ("1994.0", junk)
+    # goes through the decimal parse (coalesce is lazy).
+    value = F.coalesce(s.try_cast(T.LongType()).try_cast(target), whole)
     return value, s.isNull() | value.isNotNull()
 
 

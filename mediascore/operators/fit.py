@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from mediascore.functions.text import clean_values
 from mediascore.operators.trees import qcol
+from mediascore.session import materialize
 from mediascore.schema import CATEGORICAL_FIELDS, CONTINUOUS_FIELDS
 
 ENCODED_LIST_FIELDS = ["genre", "origin_country", "production_countries", "spoken_languages"]
@@ -63,14 +64,29 @@ def fit_category_schema(df: DataFrame, columns=ENCODED_LIST_FIELDS) -> DataFrame
 
 def fit_category_vocab(df: DataFrame, columns=CATEGORICAL_FIELDS) -> DataFrame:
     """(column, value, code): code = rank of the value in the sorted distinct
-    vocabulary of its column, from 0.  The window runs after the distinct, so
-    each partition holds one column's vocabulary."""
+    vocabulary of its column, from 0."""
     present = [c for c in columns if c in df.columns]
     vals = df.select(F.inline(F.array(*[
         F.struct(F.lit(c).alias("column"), qcol(c).cast("string").alias("value")) for c in present
     ]))).where(F.col("value").isNotNull()).distinct()
-    w = Window.partitionBy("column").orderBy("value")
-    return vals.withColumn("code", (F.row_number().over(w) - 1).cast("int"))
+    return numbered(vals)
+
+
+def numbered(values: DataFrame) -> DataFrame:
+    """Adds ``code``, the rank from 0 of each distinct (column, value) within
+    its column.  The values are range-partitioned and sorted, and a value's
+    rank is its place in its partition plus the counts of the column's earlier
+    partitions: no task sorts a whole column, only the counts (a row for each
+    column and partition) meet."""
+    placed = materialize(
+        values.select("column", "value").repartitionByRange("column", "value").sortWithinPartitions("column", "value")
+        .withColumn("at", F.monotonically_increasing_id()).withColumn("part", F.spark_partition_id()),
+        "vocabulary",
+    )
+    parts = placed.groupBy("column", "part").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("column").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("column", "part", "first", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    return placed.join(parts, ["column", "part"]).select("column", "value", (F.col("at") - F.col("first") + F.col("before")).cast("int").alias("code"))
 
 
 def fit_artifacts(df: DataFrame, fields=CONTINUOUS_FIELDS, list_columns=ENCODED_LIST_FIELDS,
@@ -84,8 +100,6 @@ def fit_artifacts(df: DataFrame, fields=CONTINUOUS_FIELDS, list_columns=ENCODED_
     distinct categories + distinct vocabulary values); it is written once to
     the shared folder and the three tables are read from it.
     """
-    from mediascore.session import materialize
-
     nums = [f for f in fields if f in df.columns]
     lists = [c for c in list_columns if c in df.columns]
     cats = [c for c in categorical if c in df.columns]
@@ -115,7 +129,4 @@ def fit_artifacts(df: DataFrame, fields=CONTINUOUS_FIELDS, list_columns=ENCODED_
     schema_long = summary.where(F.col("kind") == "cat").select(
         F.col("column").alias("original_column"), F.col("value").alias("category"),
         F.concat(F.col("column"), F.lit("_"), F.col("value")).alias("column_name"))
-    w = Window.partitionBy("column").orderBy("value")
-    vocab = summary.where(F.col("kind") == "voc").select(
-        "column", "value", (F.row_number().over(w) - 1).cast("int").alias("code"))
-    return norm, schema_long, vocab
+    return norm, schema_long, numbered(summary.where(F.col("kind") == "voc"))

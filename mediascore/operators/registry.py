@@ -65,29 +65,38 @@ def model_metadata(versions: DataFrame, runs: DataFrame, model_name: str, versio
     )
 
 
-def artifact_summary(normalization: DataFrame, schema_long: DataFrame, feature_names: DataFrame) -> DataFrame:
-    """Counts of every artifact plus a health flag (unhealthy when any
-    artifact is empty): the three tables are tagged, unioned and counted in
-    one aggregation (no join)."""
-    oc = F.col("original_column")
-    tagged = (
-        normalization.select(F.lit("norm").alias("kind"), F.lit(None).cast("string").alias("original_column"))
-        .unionByName(schema_long.select(F.lit("schema").alias("kind"), oc.cast("string").alias("original_column")))
-        .unionByName(feature_names.select(F.lit("feature").alias("kind"), F.lit(None).cast("string").alias("original_column")))
-    )
+def artifact_summary(normalization: DataFrame, schema_rows: DataFrame, feature_names: DataFrame, nodes: DataFrame,
+                     version: str, run_id: str) -> DataFrame:
+    """Counts of every artifact of a model version, how many encoded columns
+    each list column of the schema (original_column, column_names) has, whether the version is healthy and, if not, why: an
+    artifact that is empty.  The tables are tagged, unioned and counted by one
+    aggregation (no join); a list column with an empty list still counts."""
+
+    def tagged(df: DataFrame, kind: str, item: Column | None = None, n: Column | None = None) -> DataFrame:
+        item, n = F.lit(None) if item is None else item, F.lit(1) if n is None else n
+        return df.select(F.lit(kind).alias("kind"), item.cast("string").alias("item"), n.cast("bigint").alias("n"))
+
+    schema = tagged(schema_rows, "schema", F.col("original_column"), F.coalesce(F.array_size("column_names"), F.lit(0)))
+    trees = nodes.select("tree_id").distinct()
+    parts = tagged(normalization, "norm").unionByName(schema).unionByName(tagged(feature_names, "feature")).unionByName(tagged(trees, "tree"))
+    n = parts.groupBy("kind", "item").agg(F.sum("n").alias("n"))
     kind = F.col("kind")
 
-    def n(cond: Column) -> Column:
-        return F.coalesce(F.sum(F.when(cond, 1).otherwise(0)), F.lit(0)).cast("bigint")
-
-    out = tagged.agg(
-        n(kind == "feature").alias("features_count"),
-        n(kind == "norm").alias("normalization_fields"),
-        F.countDistinct(F.when(kind == "schema", oc)).cast("bigint").alias("schema_mappings"),
-        n((kind == "schema") & (oc == "genre")).alias("genre_categories"),
-        n((kind == "schema") & (oc == "origin_country")).alias("origin_countries"),
-        n((kind == "schema") & (oc == "production_countries")).alias("production_countries"),
-        n((kind == "schema") & (oc == "spoken_languages")).alias("spoken_languages"),
+    def total(k: str) -> Column:
+        return F.coalesce(F.sum(F.when(kind == k, F.col("n"))), F.lit(0)).cast("bigint")
+
+    per_column = F.array_sort(F.collect_list(F.when(kind == "schema", F.concat("item", F.lit("="), F.col("n").cast("string")))))
+    out = n.agg(
+        total("feature").alias("features_count"),
+        total("norm").alias("normalization_fields"),
+        F.coalesce(F.sum(F.when(kind == "schema", 1)), F.lit(0)).cast("bigint").alias("schema_mappings"),
+        F.array_join(per_column, "|").alias("categories"),
+        total("tree").alias("n_trees"),
     )
-    healthy = (F.col("features_count") > 0) & (F.col("normalization_fields") > 0) & (F.col("schema_mappings") > 0)
-    return out.withColumn("healthy", healthy)
+    why = F.concat_ws("; ", *[
+        F.when(F.col(c) == 0, F.lit(text))
+        for c, text in (("features_count", "no model features"), ("normalization_fields", "empty normalization table"),
+                        ("schema_mappings", "empty category schema"), ("n_trees", "no model trees"))
+    ])
+    return out.select(F.lit(version).alias("model_version"), F.lit(run_id).alias("run_id"), "*",
+                      (why == "").alias("healthy"), F.when(why != "", why).alias("reason"))

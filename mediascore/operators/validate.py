@@ -25,6 +25,7 @@ from mediascore.schema import (
     INT_FIELDS,
     MALFORMED_RULE,
     RULES,
+    TYPES_COL,
 )
 
 ERRORS = "errors"
@@ -48,6 +49,8 @@ def _rule(get: Getter, name: str, field: str, kind: str, args: tuple, typed=None
         fails = raw.isNull()
     elif kind == "pattern":
         fails = raw.isNotNull() & ~raw.rlike(args[0])
+    elif kind == "json_type":
+        fails = F.array_contains(get(TYPES_COL), name)
     elif kind in ("int_type", "decimal_type"):
         fails = ~typed(field)[1]
     elif kind == "range":
@@ -98,6 +101,8 @@ def _getter(df: DataFrame) -> Getter:
     def get(name: str) -> Column:
         if name in cols:
             return qcol(name)
+        if name == TYPES_COL:
+            return F.array().cast("array<string>")
         t = FIELD_TYPES[name]
         return F.lit(None).cast(t if isinstance(t, T.ArrayType) else T.StringType())
 
@@ -115,11 +120,10 @@ def validate(raw: DataFrame, rules=RULES) -> DataFrame:
     null; carried columns (request keys, positions) are kept in front.
     """
     get = _getter(raw)
-    extra = [c for c in raw.columns if c not in FIELDS and c != CORRUPT_COL]
+    extra = [c for c in raw.columns if c not in FIELDS and c not in (CORRUPT_COL, TYPES_COL)]
     parsed_cols = [qcol(c) for c in extra]
     parsed_cols += [get(n).alias(n) for n in FIELDS]
-    if CORRUPT_COL in raw.columns:
-        parsed_cols.append(qcol(CORRUPT_COL))
+    parsed_cols += [qcol(c) for c in (CORRUPT_COL, TYPES_COL) if c in raw.columns]
     for n in INT_FIELDS + DECIMAL_FIELDS:
         v, ok = _typed(get, n)
         parsed_cols += [v.alias(f"__v_{n}"), ok.alias(f"__ok_{n}")]
@@ -172,13 +176,13 @@ def validate_envelopes(envelopes: DataFrame) -> DataFrame:
     rejection report read it without parsing or checking again."""
 
     def parse(x):
-        raw = [x[n].alias(n) for n in FIELDS]
+        raw = [x[n].alias(n) for n in (*FIELDS, TYPES_COL)]
         both = [(n, _typed(lambda f: x[f], n)) for n in INT_FIELDS + DECIMAL_FIELDS]
         return F.struct(*raw, *[v.alias(f"__v_{n}") for n, (v, _) in both], *[ok.alias(f"__ok_{n}") for n, (_, ok) in both])
 
     def check(x):
         typed = [(x[f"__v_{n}"].try_cast(FIELD_TYPES[n]) if n in INT_FIELDS + DECIMAL_FIELDS else x[n]).alias(n) for n in FIELDS]
-        return F.struct(*typed, errors_expr(lambda f: x[f], typed=lambda f: (x[f"__v_{f}"], x[f"__ok_{f}"])).alias(ERRORS))
+        return F.struct(*typed, errors_expr(lambda f: x[f], F.when(F.array_contains(x[TYPES_COL], MALFORMED_RULE), True), typed=lambda f: (x[f"__v_{f}"], x[f"__ok_{f}"])).alias(ERRORS))
 
     keep = [qcol(c) for c in envelopes.columns if c not in ("items", CORRUPT_COL)]
     checked = F.transform(F.transform("items", parse), check)

@@ -33,7 +33,7 @@ from mediascore.operators.validate import (
     validate_split_quarantine,
     validate_split_valid,
 )
-from mediascore.plans.fixture import ORACLE_DEPTH, ORACLE_TREES, fixture_bundle
+from mediascore.plans.fixture import ORACLE_DEPTH, ORACLE_TREES, fitted_artifacts, fixture_bundle
 from mediascore.plans.predict import predict, results_envelope
 from mediascore.schema import CONTINUOUS_FIELDS, CORRUPT_COL, FIELDS, INT_FIELDS, LIST_FIELDS, RULES
 from mediascore.session import materialize, scratch_path
@@ -60,18 +60,34 @@ def _joined(c: str) -> Column:
     return F.array_join(F.col(c), "|").alias(c)
 
 
-_BUNDLES: dict[tuple, Bundle] = {}
+_ARTIFACTS: dict[tuple, tuple[DataFrame, DataFrame, DataFrame]] = {}
+
+
+def table_state(spark: SparkSession, sf_dir: str, *names: str) -> tuple:
+    """Path, length and change time of the tables' files."""
+    out = []
+    for f in sorted(p for n in names for p in spark.read.parquet(f"{sf_dir.rstrip('/')}/{n}.parquet").inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        out.append((f, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def artifacts_for(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The fitted artifact tables (written), once for each application and
+    state of the tables; all model versions share them."""
+    key = (spark.sparkContext.applicationId, table_state(spark, sf_dir, "part", "lineitem"))
+    if key not in _ARTIFACTS:
+        norm, schema, vocab = fitted_artifacts(media_items_view(spark, sf_dir))
+        _ARTIFACTS[key] = (norm, materialize(schema, "schema"), materialize(vocab, "vocab"))
+    return _ARTIFACTS[key]
 
 
 def bundle_for(spark: SparkSession, sf_dir: str, version: str = "1", n_trees: int = ORACLE_TREES,
                depth: int = ORACLE_DEPTH, mode: str = "vocab") -> Bundle:
-    """The fixture bundle for a registry version (cached per session: it is a
-    pure function of the tables)."""
-    key = (id(spark), sf_dir, n_trees, depth, version, mode)
-    if key not in _BUNDLES:
-        _BUNDLES[key] = fixture_bundle(spark, sf_dir, n_trees, depth, version=version,
-                                       tree_offset=version_offset(version), categorical_mode=mode)
-    return _BUNDLES[key]
+    """The fixture bundle for a registry version."""
+    return fixture_bundle(spark, sf_dir, n_trees, depth, version=version, tree_offset=version_offset(version),
+                          categorical_mode=mode, artifacts=artifacts_for(spark, sf_dir))
 
 
 def version_offset(version: str) -> int:
@@ -158,7 +174,7 @@ def _rule_group(group: str) -> list:
         "decimal_scale": {"scale", "decimal_type"},
         "lengths": {"max_length", "length_eq"},
         "list_elements": {"no_null_elements", "element_length_eq", "element_max_length"},
-        "types": {"int_type", "decimal_type"},
+        "types": {"int_type", "decimal_type", "json_type"},
     }[group]
     return [r for r in RULES if r[2] in kinds]
 
@@ -511,12 +527,16 @@ def _entries(c: str) -> Column:
 
 
 def q_artifact_summary(spark, sf):
-    m = _media(spark, sf)
-    b = bundle_for(spark, sf)
-    feats = spark.range(len(b.feature_names)).select(
-        F.element_at(F.array(*[F.lit(f) for f in b.feature_names]), (F.col("id") + 1).cast("int")).alias("feature")
-    )
-    return artifact_summary(fit_normalization(m), fit_category_schema_long(m), feats)
+    """The summary of version 10 and of version 11, whose node table is empty."""
+    norm, schema, _ = artifacts_for(spark, sf)
+    out = None
+    for v in ("10", "11"):
+        b = bundle_for(spark, sf, version=v)
+        nodes = fixture_nodes(spark, list(b.feature_names), ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features), version_offset(v))
+        feats = spark.createDataFrame([(f,) for f in b.feature_names], "feature string")
+        one = artifact_summary(norm, category_schema_rows(schema), feats, nodes if v == "10" else nodes.limit(0), v, f"run-{v}")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # -- streaming -------------------------------------------------------------------------------------------
@@ -543,12 +563,11 @@ def _refreshed(spark, sf) -> str:
     node table is empty: every micro-batch keeps scoring with 10.  Versions
     are loaded from their artifact folders under the shared checkpoint folder.
     Returns the folder of the sinks."""
-    from mediascore.plans.fixture import fitted_artifacts
     from mediascore.sources.artifacts import load_bundle_artifacts, save_bundle_artifacts
     from mediascore.streaming import ModelRefresher, start_refreshing_stream
 
     root = scratch_path(spark, "artifacts")
-    norm, schema, vocab = fitted_artifacts(_media(spark, sf))
+    norm, schema, vocab = artifacts_for(spark, sf)
     b10 = bundle_for(spark, sf, version="10")
     feats = list(b10.feature_names)
     good = fixture_nodes(spark, feats, ORACLE_TREES, ORACLE_DEPTH, list(b10.categorical_features), version_offset("10"))

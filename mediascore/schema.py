@@ -39,22 +39,9 @@ STRING_FIELDS = [n for n in FIELDS if isinstance(FIELD_TYPES[n], T.StringType)]
 
 CORRUPT_COL = "_corrupt_record"
 
-# Raw JSON form: every scalar read as text so that lax typing and decimal
-# scale can be validated without silent loss; lists stay ARRAY<STRING>.
-RAW_SCHEMA = T.StructType(
-    [
-        T.StructField(f.name, f.dataType if isinstance(f.dataType, T.ArrayType) else T.StringType())
-        for f in MEDIA_SCHEMA.fields
-    ]
-    + [T.StructField(CORRUPT_COL, T.StringType())]
-)
-RAW_ITEM_SCHEMA = T.StructType([f for f in RAW_SCHEMA.fields if f.name != CORRUPT_COL])
-ENVELOPE_SCHEMA = T.StructType(
-    [
-        T.StructField("items", T.ArrayType(RAW_ITEM_SCHEMA)),
-        T.StructField(CORRUPT_COL, T.StringType()),
-    ]
-)
+# Names of the JSON type rules that a scanned record breaks (ARRAY<STRING>).
+TYPES_COL = "_types"
+TEXT_FIELDS = [f.name for f in MEDIA_SCHEMA.fields if isinstance(f.dataType, T.StringType)]
 
 # Fixed values of the input contract.
 CONTINUOUS_FIELDS = [
@@ -69,6 +56,7 @@ NORM_SUFFIX = "_norm"
 # Validation rules, in report order: (rule name, field, kind, arguments).
 RULES: list[tuple[str, str, str, tuple]] = [
     ("imdb_id:required", "imdb_id", "required", ()),
+    ("imdb_id:type", "imdb_id", "json_type", ()),
     ("imdb_id:pattern", "imdb_id", "pattern", (r"\Att[0-9]{7,8}\z",)),
     ("release_year:type", "release_year", "int_type", ()),
     ("release_year:range", "release_year", "range", (1900, 2100)),
@@ -78,19 +66,33 @@ RULES: list[tuple[str, str, str, tuple]] = [
     ("revenue:range", "revenue", "range", (0, None)),
     ("runtime:type", "runtime", "int_type", ()),
     ("runtime:range", "runtime", "range", (0, None)),
+    ("origin_country:type", "origin_country", "json_type", ()),
+    ("origin_country:element_type", "origin_country", "json_type", ()),
     ("origin_country:null_element", "origin_country", "no_null_elements", ()),
     ("origin_country:element_length", "origin_country", "element_length_eq", (2,)),
+    ("production_companies:type", "production_companies", "json_type", ()),
+    ("production_companies:element_type", "production_companies", "json_type", ()),
     ("production_companies:null_element", "production_companies", "no_null_elements", ()),
+    ("production_countries:type", "production_countries", "json_type", ()),
+    ("production_countries:element_type", "production_countries", "json_type", ()),
     ("production_countries:null_element", "production_countries", "no_null_elements", ()),
     ("production_countries:element_length", "production_countries", "element_length_eq", (2,)),
+    ("production_status:type", "production_status", "json_type", ()),
     ("production_status:max_length", "production_status", "max_length", (25,)),
+    ("original_language:type", "original_language", "json_type", ()),
     ("original_language:max_length", "original_language", "max_length", (2,)),
     ("original_language:length", "original_language", "length_eq", (2,)),
+    ("spoken_languages:type", "spoken_languages", "json_type", ()),
+    ("spoken_languages:element_type", "spoken_languages", "json_type", ()),
     ("spoken_languages:null_element", "spoken_languages", "no_null_elements", ()),
     ("spoken_languages:element_length", "spoken_languages", "element_length_eq", (2,)),
+    ("genre:type", "genre", "json_type", ()),
+    ("genre:element_type", "genre", "json_type", ()),
     ("genre:null_element", "genre", "no_null_elements", ()),
     ("genre:element_length", "genre", "element_max_length", (20,)),
+    ("tagline:type", "tagline", "json_type", ()),
     ("tagline:max_length", "tagline", "max_length", (255,)),
+    ("overview:type", "overview", "json_type", ()),
     ("tmdb_rating:type", "tmdb_rating", "decimal_type", ()),
     ("tmdb_rating:range", "tmdb_rating", "range", (0, 10)),
     ("tmdb_rating:scale", "tmdb_rating", "scale", (3,)),
@@ -108,11 +110,3 @@ RULES: list[tuple[str, str, str, tuple]] = [
 ]
 RULE_NAMES = [r[0] for r in RULES]
 MALFORMED_RULE = "record:malformed_json"
-
-RESULT_SCHEMA = T.StructType(
-    [
-        T.StructField("imdb_id", T.StringType()),
-        T.StructField("prediction", T.BooleanType()),
-        T.StructField("probability", T.DoubleType()),
-    ]
-)

@@ -29,6 +29,8 @@ _LOCAL_DEFAULTS = {
 # huge interpreted method.
 RECOMMENDED = {
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # of a key that a JSON record repeats, the last value counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
 

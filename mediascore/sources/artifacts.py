@@ -51,8 +51,8 @@ def write_json_artifact(table: DataFrame, path: str) -> None:
     """Write a small artifact table as ONE JSON list file (the exchange
     format of artifact stores).  The table is bounded (an artifact), so it is
     gathered into a single task on purpose; the size is checked first."""
-    n = table.limit(MAX_SCHEMA_COLUMNS + 1).count()
-    if n > MAX_SCHEMA_COLUMNS:
+    n = table.limit(MAX_VOCAB_ROWS + 1).count()
+    if n > MAX_VOCAB_ROWS:
         raise ArtifactError(f"{n} rows is not an artifact-sized table")
     body = table.select(F.to_json(F.struct(*[F.col(c) for c in table.columns])).alias("j")).agg(
         F.concat(F.lit("["), F.concat_ws(",", F.collect_list("j")), F.lit("]")).alias("value")

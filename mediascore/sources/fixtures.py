@@ -34,6 +34,54 @@ DEFECTS = {
     7: "language eng", 8: "genre of 45 characters", 9: "null list element",
     10: "truncated JSON", 11: "year as text (valid)", 12: "year 1994.5",
     13: "extra unknown field (valid)",
+    55: "text after the record", 56: "year true (a boolean counts as 1)", 57: "a string instead of a record",
+}
+# Fields that are sent with another JSON value: defect -> (field, JSON text,
+# the value it has as SQL, or None where its type is wrong, the type rule then
+# broken).  With DEFECTS every rule is broken by some record.
+OVERRIDES: dict[int, tuple[str, str, str | None, str | None]] = {
+    14: ("revenue", "-5", "-5", None),
+    15: ("runtime", "-1", "-1", None),
+    16: ("tmdb_votes", "-2", "-2", None),
+    17: ("imdb_votes", '"-3"', "-3", None),
+    18: ("metascore", "101.0", "101", None),
+    19: ("imdb_rating", "100.5", "100.5", None),
+    20: ("imdb_rating", "9.25", "9.25", None),
+    21: ("tmdb_rating", "10.5", "10.5", None),
+    22: ("tmdb_rating", '"NaN"', None, "tmdb_rating:type"),
+    23: ("imdb_rating", "true", None, "imdb_rating:type"),
+    24: ("budget", '"many"', None, "budget:type"),
+    25: ("revenue", "1.5", None, "revenue:type"),
+    26: ("runtime", '"1h"', None, "runtime:type"),
+    27: ("tmdb_votes", "[1]", None, "tmdb_votes:type"),
+    28: ("rt_score", '"true"', None, "rt_score:type"),
+    29: ("metascore", '{"x":1}', None, "metascore:type"),
+    30: ("imdb_votes", '""', None, "imdb_votes:type"),
+    31: ("production_status", '"%s"' % ("s" * 26), "'%s'" % ("s" * 26), None),
+    32: ("tagline", '"%s"' % ("t" * 256), "'%s'" % ("t" * 256), None),
+    33: ("origin_country", '["US",null]', "['US', NULL]", None),
+    34: ("production_companies", "[null]", "[NULL]::VARCHAR[]", None),
+    35: ("production_countries", '[null,"US"]', "[NULL, 'US']", None),
+    36: ("production_countries", '["USA"]', "['USA']", None),
+    37: ("spoken_languages", '["eng"]', "['eng']", None),
+    38: ("spoken_languages", '["en",null]', "['en', NULL]", None),
+    39: ("origin_country", '"US"', None, "origin_country:type"),
+    40: ("production_companies", '{"a":1}', None, "production_companies:type"),
+    41: ("production_countries", "5", None, "production_countries:type"),
+    42: ("spoken_languages", "true", None, "spoken_languages:type"),
+    43: ("genre", '"Drama"', None, "genre:type"),
+    44: ("origin_country", "[1]", None, "origin_country:element_type"),
+    45: ("production_companies", "[true]", None, "production_companies:element_type"),
+    46: ("production_countries", '[["US"]]', None, "production_countries:element_type"),
+    47: ("spoken_languages", '["en",{}]', None, "spoken_languages:element_type"),
+    48: ("genre", '["a",1]', None, "genre:element_type"),
+    49: ("imdb_id", "5", None, "imdb_id:type"),
+    50: ("imdb_id", "null", "NULL", None),
+    51: ("production_status", '["x"]', None, "production_status:type"),
+    52: ("original_language", "1", None, "original_language:type"),
+    53: ("tagline", '{"x":1}', None, "tagline:type"),
+    54: ("overview", "true", None, "overview:type"),
+    58: ("tmdb_rating", "8.70000000000000000001", "8.7000009", None),  # any value with too many places
 }
 ITEMS_PER_REQUEST = 10
 BARE_ARRAY_EVERY = 37  # request_id % 37 == 5 -> a bare top-level array
@@ -120,13 +168,24 @@ def media_raw(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
         .when(d == 9, F.array(F.element_at("genre", 1), F.lit(None).cast("string")))
         .otherwise(F.col("genre")),
     }
-    rec = F.struct(*[patched.get(n, F.col(n)).alias(n) for n in FIELDS])
-    js = F.to_json(rec)
+    def left_out(n):
+        """Null (so not written) where the field is sent with another value."""
+        own = [k for k, o in OVERRIDES.items() if o[0] == n]
+        return F.when(~d.isin(*own), patched.get(n, F.col(n))) if own else patched.get(n, F.col(n))
+
+    # behind a generator: one expression with all defects is too large to compile
+    m = m.select("p_partkey", F.inline(F.array(F.struct(F.to_json(F.struct(*[left_out(n).alias(n) for n in FIELDS])).alias("js")))))
+    js = F.col("js")
+    literal = F.create_map(*[F.lit(x) for k, (n, text, _, _) in OVERRIDES.items() for x in (k, f'"{n}":{text}}}')])
+    js = F.when(d.isin(*OVERRIDES), F.concat(F.regexp_replace(js, r"\}$", ","), F.try_element_at(literal, d.cast("int")))).otherwise(js)
     js = (
         F.when(d == 4, F.regexp_replace(js, r'"tmdb_rating":[0-9.]+', '"tmdb_rating":8.7004'))
         .when(d == 10, F.substr(js, F.lit(1), (F.length(js) / 2).cast("int")))
         .when(d == 11, F.regexp_replace(js, r'"release_year":([0-9]+)', '"release_year":"$1"'))
         .when(d == 12, F.regexp_replace(js, r'"release_year":([0-9]+)', '"release_year":$1.5'))
+        .when(d == 55, F.concat(js, F.lit(" trailing")))
+        .when(d == 56, F.regexp_replace(js, r'"release_year":([0-9]+)', '"release_year":true'))
+        .when(d == 57, F.lit('"record"'))
         .when(d == 13, F.regexp_replace(js, r"^\{", '{"title":"extra",'))
         .otherwise(js)
     )

@@ -1,18 +1,68 @@
 """Record sources: typed tables, JSON lines and batch envelopes.
 
-JSON is parsed with ``from_json`` in PERMISSIVE mode: a malformed record keeps
-its text in ``_corrupt_record`` instead of failing the job, unknown fields are
-ignored, and every scalar stays text until ``parse_typed`` (lax typing).
+JSON is parsed once into a VARIANT, which keeps each value's own type: a
+malformed record keeps its text in ``_corrupt_record`` instead of failing the
+job, unknown fields are ignored, text fields take strings only and list fields
+lists of strings (what breaks that is named in ``_types``), and numbers stay
+exact text until they are validated (lax typing).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mediascore.schema import CORRUPT_COL, ENVELOPE_SCHEMA, FIELD_TYPES, FIELDS, RAW_SCHEMA
+from mediascore.schema import CORRUPT_COL, FIELD_TYPES, FIELDS, INT_FIELDS, LIST_FIELDS, MALFORMED_RULE, TEXT_FIELDS, TYPES_COL
 
-_JSON_OPTS = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT_COL}
+_STRINGS = ("ARRAY<STRING>", "ARRAY<VOID>")
+
+
+def _one(alias: str, c: Column) -> Column:
+    """A value behind a one-element generator: what filters on things derived
+    from it stops there, instead of being pushed down with the value's
+    expression repeated for every reference."""
+    return F.inline(F.array(F.struct(c.alias(alias))))
+
+
+def _parsed(text: Column) -> Column:
+    """The text within brackets as a VARIANT: anything after the document then
+    is no valid JSON, or a second element."""
+    return F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+
+
+def _is(v: Column, kind: str) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit(kind)), F.lit(False))
+
+
+def _kinds(v: Column) -> Column:
+    """The JSON type and the text of every record field of a VARIANT object."""
+    out = []
+    for n in FIELDS:
+        out.append(F.schema_of_variant(F.try_variant_get(v, f"$.{n}", "variant")).alias(f"t_{n}"))
+        out.append(F.try_variant_get(v, f"$.{n}", "array<string>" if n in LIST_FIELDS else "string").alias(f"s_{n}"))
+    return F.struct(*out)
+
+
+def _fields(k) -> list[Column]:
+    """The raw record columns and ``_types`` from what _kinds gave."""
+    out, broken = [], []
+    for n in FIELDS:
+        t, s = k(f"t_{n}"), k(f"s_{n}")
+        if n in TEXT_FIELDS:
+            out.append(F.when(t == "STRING", s).alias(n))
+            broken.append(F.when(~t.isin("STRING", "VOID"), f"{n}:type"))
+        elif n in LIST_FIELDS:
+            out.append(F.when(t.isin(*_STRINGS), s).alias(n))
+            broken.append(F.when((t != "VOID") & ~F.startswith(t, F.lit("ARRAY")), f"{n}:type"))
+            broken.append(F.when(F.startswith(t, F.lit("ARRAY")) & ~t.isin(*_STRINGS), f"{n}:element_type"))
+        elif n in INT_FIELDS:
+            # a JSON boolean counts as 1 or 0; its text does not
+            out.append(F.when(t == "BOOLEAN", F.when(s == "true", "1").otherwise("0")).otherwise(s).alias(n))
+        else:
+            out.append(s.alias(n))
+    names = F.concat_ws("|", *broken)
+    types = F.when(names == "", F.array().cast("array<string>")).otherwise(F.split(names, r"\|"))
+    return [*out, types.alias(TYPES_COL)]
 
 
 def typed_records(df: DataFrame) -> DataFrame:
@@ -29,38 +79,41 @@ def typed_records(df: DataFrame) -> DataFrame:
 
 def scan_json_records(lines: DataFrame, value_col: str = "value") -> DataFrame:
     """One JSON object per row of ``value_col`` -> raw record columns plus
-    ``_corrupt_record``; other input columns are carried through.
-
-    The parsed struct is emitted by a generator (``inline`` of a one-element
-    array).  Filters on anything derived from it (validation splits) then stop
-    at the generator instead of being pushed down with every field reference
-    expanded to its own ``from_json`` call: the text is parsed once per row.
-    """
-    keep = [c for c in lines.columns if c != value_col]
-    parsed = F.from_json(F.col(value_col), RAW_SCHEMA, _JSON_OPTS)
-    return lines.select(*keep, F.inline(F.array(parsed)))
-
-
-def read_json_lines(spark, path: str) -> DataFrame:
-    """A folder of JSON-lines files -> raw records."""
-    return scan_json_records(spark.read.text(path))
+    ``_types`` and ``_corrupt_record``; other input columns are carried
+    through.  The text is parsed once per row."""
+    keep = [F.col(c) for c in lines.columns if c != value_col]
+    names = [c for c in lines.columns if c != value_col]
+    doc = lines.select(*keep, F.col(value_col).alias("__text"), _one("__doc", _parsed(F.col(value_col))))
+    first = F.try_variant_get("__doc", "$[0]", "variant")
+    good = _is(first, "OBJECT") & F.try_variant_get("__doc", "$[1]", "variant").isNull()
+    record = doc.select(*names, "__text", F.inline(F.array(F.struct(good.alias("__good"), first.alias("__first")))))
+    kinds = record.select(*names, "__text", "__good", _one("__k", _kinds(F.when(F.col("__good"), F.col("__first")))))
+    return kinds.select(
+        *names, *_fields(lambda n: F.col(f"__k.{n}")), F.when(~F.col("__good"), F.coalesce("__text", F.lit(""))).alias(CORRUPT_COL)
+    )
 
 
 def scan_batch_envelope(envelopes: DataFrame, value_col: str = "value") -> DataFrame:
     """``{"items":[...]}`` documents -> (carried columns, items, _corrupt_record).
 
     A bare top-level array or malformed text is not an envelope: ``items`` is
-    null and ``_corrupt_record`` holds the text.
+    null and ``_corrupt_record`` holds the text.  An item that is no object is
+    kept, with null fields and the malformed rule in its ``_types``.
     """
-    keep = [c for c in envelopes.columns if c != value_col]
-    parsed = F.from_json(F.col(value_col), ENVELOPE_SCHEMA, _JSON_OPTS)
-    # behind a generator, as records are: the document is parsed once
-    out = envelopes.select(*keep, F.col(value_col).alias("_text"), F.inline(F.array(parsed)))
-    bad = F.col("items").isNull() | F.col(CORRUPT_COL).isNotNull()
+    names = [c for c in envelopes.columns if c != value_col]
+    doc = envelopes.select(*names, F.col(value_col).alias("__text"), _one("__doc", _parsed(F.col(value_col))))
+    items = F.try_variant_get("__doc", "$[0].items", "variant")
+    good = _is(F.try_variant_get("__doc", "$[0]", "variant"), "OBJECT") & _is(items, "ARRAY") & F.try_variant_get("__doc", "$[1]", "variant").isNull()
+
+    def record(x):
+        *fields, types = _fields(lambda n: x["k"][n])
+        bad = F.array(F.lit(MALFORMED_RULE))
+        return F.struct(*fields, F.when(x["ok"], types).otherwise(bad).alias(TYPES_COL))
+
+    kinds = F.transform(F.try_variant_get("__doc", "$[0].items", "array<variant>"), lambda x: F.struct(_is(x, "OBJECT").alias("ok"), _kinds(x).alias("k")))
+    out = doc.select(*names, "__text", F.inline(F.array(F.struct(good.alias("__good"), F.transform(kinds, record).alias("items")))))
     return out.select(
-        *keep,
-        F.when(~bad, F.col("items")).alias("items"),
-        F.when(bad, F.coalesce(F.col(CORRUPT_COL), F.col("_text"))).alias(CORRUPT_COL),
+        *names, F.when(F.col("__good"), F.col("items")).alias("items"), F.when(~F.col("__good"), F.coalesce("__text", F.lit(""))).alias(CORRUPT_COL)
     )
 
 

@@ -7,8 +7,8 @@ their definitions, and tree scoring steps a node number level by level.
 
 from __future__ import annotations
 
-from mediascore.schema import CONTINUOUS_FIELDS, RULE_NAMES
-from mediascore.sources.fixtures import COUNTRY_CODES, GENRE_BY_TYPE, GENRE_OTHER, LONG_GENRE
+from mediascore.schema import CONTINUOUS_FIELDS, DECIMAL_FIELDS, FIELDS, INT_FIELDS, RULE_NAMES
+from mediascore.sources.fixtures import COUNTRY_CODES, GENRE_BY_TYPE, GENRE_OTHER, LONG_GENRE, OVERRIDES
 
 LIST_COLS = ["genre", "origin_country", "production_countries", "spoken_languages"]
 CATEGORICALS = ["original_language", "production_status"]
@@ -59,36 +59,37 @@ mi AS (
 
 # Raw records as sent (one defect per part, see the fixture definition), with
 # the typed value each field parses to.
+_OWN = {
+    "imdb_id": "WHEN d = 0 THEN 'invalid_id' WHEN d = 1 THEN imdb_id || chr(10)",
+    "release_year": "WHEN d = 2 THEN 1800 WHEN d = 12 THEN NULL WHEN d = 56 AND release_year IS NOT NULL THEN 1",
+    "budget": "WHEN d = 3 THEN -1",
+    "tmdb_rating": "WHEN d = 4 THEN 8.7004",
+    "rt_score": "WHEN d = 5 THEN 101",
+    "origin_country": "WHEN d = 6 THEN ['USA']",
+    "original_language": "WHEN d = 7 THEN 'eng'",
+    "genre": f"WHEN d = 8 THEN [genre[1], rpad('{LONG_GENRE}', 45, 'x')] WHEN d = 9 THEN [genre[1], NULL]",
+}
+_WIDE = {"tmdb_rating": "DECIMAL(18,8)", "imdb_rating": "DECIMAL(18,6)"}
+
+
+def _raw_field(f: str) -> str:
+    """The typed value a field has as sent (null where its type is wrong)."""
+    sent = " ".join(f"WHEN d = {k} THEN {value or 'NULL'}" for k, (n, _, value, _) in OVERRIDES.items() if n == f)
+    plain = f"CAST({f} AS {_WIDE[f]})" if f in _WIDE else f
+    return f"    CASE WHEN d IN (10, 55, 57) THEN NULL {_OWN.get(f, '')} {sent} ELSE {plain} END AS {f}"
+
+
+_YEAR_TEXT = """    CASE WHEN d IN (10, 55, 57) THEN NULL WHEN d = 2 THEN '1800' WHEN d = 12 AND release_year IS NOT NULL THEN CAST(release_year AS VARCHAR) || '.5'
+         WHEN d = 56 AND release_year IS NOT NULL THEN '1' ELSE CAST(release_year AS VARCHAR) END AS release_year_text"""
+_RAW_FIELDS = ",\n".join([_YEAR_TEXT, *map(_raw_field, FIELDS)])
 RAW_TAIL = f""",
 rw AS (
   SELECT p_partkey, CAST(p_partkey // 10 AS BIGINT) AS request_id, CAST(p_partkey % 10 AS BIGINT) AS pos,
     p_partkey % 101 AS d, mi.*
   FROM mi),
 rv AS (
-  SELECT request_id, pos, d, d = 10 AS is_corrupt,
-    CASE WHEN d = 10 THEN NULL WHEN d = 0 THEN 'invalid_id' WHEN d = 1 THEN imdb_id || chr(10) ELSE imdb_id END AS imdb_id,
-    CASE WHEN d = 10 THEN NULL WHEN d = 2 THEN '1800' WHEN d = 12 AND release_year IS NOT NULL THEN CAST(release_year AS VARCHAR) || '.5'
-         ELSE CAST(release_year AS VARCHAR) END AS release_year_text,
-    CASE WHEN d = 10 OR d = 12 THEN NULL WHEN d = 2 THEN 1800 ELSE release_year END AS release_year,
-    CASE WHEN d = 10 THEN NULL WHEN d = 3 THEN -1 ELSE budget END AS budget,
-    CASE WHEN d = 10 THEN NULL ELSE revenue END AS revenue,
-    CASE WHEN d = 10 THEN NULL ELSE runtime END AS runtime,
-    CASE WHEN d = 10 THEN NULL WHEN d = 6 THEN ['USA'] ELSE origin_country END AS origin_country,
-    CASE WHEN d = 10 THEN NULL ELSE production_companies END AS production_companies,
-    CASE WHEN d = 10 THEN NULL ELSE production_countries END AS production_countries,
-    CASE WHEN d = 10 THEN NULL ELSE production_status END AS production_status,
-    CASE WHEN d = 10 THEN NULL WHEN d = 7 THEN 'eng' ELSE original_language END AS original_language,
-    CASE WHEN d = 10 THEN NULL ELSE spoken_languages END AS spoken_languages,
-    CASE WHEN d = 10 THEN NULL WHEN d = 8 THEN [genre[1], rpad('{LONG_GENRE}', 45, 'x')]
-         WHEN d = 9 THEN [genre[1], NULL] ELSE genre END AS genre,
-    CASE WHEN d = 10 THEN NULL ELSE tagline END AS tagline,
-    CASE WHEN d = 10 THEN NULL ELSE overview END AS overview,
-    CASE WHEN d = 10 THEN NULL WHEN d = 4 THEN CAST(8.7004 AS DECIMAL(18,6)) ELSE CAST(tmdb_rating AS DECIMAL(18,6)) END AS tmdb_rating,
-    CASE WHEN d = 10 THEN NULL ELSE tmdb_votes END AS tmdb_votes,
-    CASE WHEN d = 10 THEN NULL WHEN d = 5 THEN 101 ELSE rt_score END AS rt_score,
-    CASE WHEN d = 10 THEN NULL ELSE metascore END AS metascore,
-    CASE WHEN d = 10 THEN NULL ELSE imdb_rating END AS imdb_rating,
-    CASE WHEN d = 10 THEN NULL ELSE imdb_votes END AS imdb_votes
+  SELECT request_id, pos, d, d IN (10, 55, 57) AS is_corrupt, d IN (10, 55) AS breaks_envelope,
+{_RAW_FIELDS}
   FROM rw)"""
 RAW = MEDIA + RAW_TAIL
 
@@ -118,6 +119,9 @@ def _rule_sql() -> dict[str, str]:
         r[f"{c}:element_length"] = f"list_bool_or(list_transform({c}, lambda x: length(x) <> 2))"
     for c in ["origin_country", "production_companies", "production_countries", "spoken_languages", "genre"]:
         r[f"{c}:null_element"] = f"list_bool_or(list_transform({c}, lambda x: x IS NULL))"
+    for k, (_, _, _, rule) in OVERRIDES.items():
+        if rule:
+            r[rule] = f"d = {k}"
     return r
 
 
@@ -143,7 +147,7 @@ def rules_of(group: str) -> list[str]:
         "decimal_scale": {"scale", "decimal_type"},
         "lengths": {"max_length", "length_eq"},
         "list_elements": {"no_null_elements", "element_length_eq", "element_max_length"},
-        "types": {"int_type", "decimal_type"},
+        "types": {"int_type", "decimal_type", "json_type"},
     }[group]
     return [r[0] for r in RULES if r[2] in kinds]
 
@@ -291,20 +295,22 @@ def oracle_queries() -> dict[str, str]:
 FROM mi""")
     q["media_typed"] = with_(MEDIA, "SELECT imdb_id, CAST(release_year AS BIGINT) AS release_year, true AS tagline_absent, true AS overview_absent FROM mi")
     q["scan_json_records"] = with_(RAW, f"""SELECT {_keys()}, imdb_id, release_year_text, {_j('genre')}, {_j('origin_country')}, original_language, is_corrupt FROM rv""")
-    q["scan_batch_envelope"] = with_(RAW, f"""SELECT request_id, {_is_envelope('is_corrupt')} AS is_envelope,
-  CASE WHEN {_is_envelope('is_corrupt')} THEN CASE WHEN {_EMPTY} THEN 0 ELSE count(*) END END AS n_items,
-  CASE WHEN {_is_envelope('is_corrupt')} THEN CASE WHEN {_EMPTY} THEN '' ELSE string_agg(imdb_id, '|' ORDER BY pos) END END AS ids
+    q["scan_batch_envelope"] = with_(RAW, f"""SELECT request_id, {_is_envelope('breaks_envelope')} AS is_envelope,
+  CASE WHEN {_is_envelope('breaks_envelope')} THEN CASE WHEN {_EMPTY} THEN 0 ELSE count(*) END END AS n_items,
+  CASE WHEN {_is_envelope('breaks_envelope')} THEN CASE WHEN {_EMPTY} THEN '' ELSE string_agg(imdb_id, '|' ORDER BY pos) END END AS ids
 FROM rv GROUP BY request_id""")
     q["parse_typed"] = with_(RAW, f"""SELECT {_keys()}, imdb_id, CAST(release_year AS BIGINT) AS release_year, CAST(budget AS BIGINT) AS budget,
   CAST(rt_score AS BIGINT) AS rt_score, CAST(CAST(tmdb_rating AS DECIMAL(5,3)) AS DOUBLE) AS tmdb_rating,
-  CAST(imdb_rating AS DOUBLE) AS imdb_rating FROM rv""")
+  CAST(CAST(imdb_rating AS DECIMAL(4,1)) AS DOUBLE) AS imdb_rating FROM rv""")
     for group in ["id", "ranges", "decimal_scale", "lengths", "list_elements", "types"]:
         q[f"validate_{group}"] = with_(RAW, f"SELECT {_keys()}, imdb_id, {errors_sql(rules_of(group))} AS errors FROM rv")
     optional = [c for c in [
         "release_year_text", "budget", "revenue", "runtime", "origin_country", "production_companies",
         "production_countries", "production_status", "original_language", "spoken_languages", "genre", "tagline",
         "overview", "tmdb_rating", "tmdb_votes", "rt_score", "metascore", "imdb_rating", "imdb_votes"]]
-    n_null = " + ".join(f"CASE WHEN {c} IS NULL THEN 1 ELSE 0 END" for c in optional)
+    # a number that cannot be parsed is there all the same
+    there = {c: [k for k, o in OVERRIDES.items() if o[0] == c and o[2] is None and c in INT_FIELDS + DECIMAL_FIELDS] for c in optional}
+    n_null = " + ".join(f"CASE WHEN {c} IS NULL AND d NOT IN ({', '.join(map(str, there[c] or [-1]))}) THEN 1 ELSE 0 END" for c in optional)
     q["validate_flags"] = with_(EV, f"SELECT {_keys()}, CAST({n_null} AS BIGINT) AS n_null, errors = '' AS is_valid FROM ev")
     q["validate_report"] = with_(EV, """SELECT rule, CAST(count(*) AS BIGINT) AS n_rows
 FROM (SELECT unnest(string_split(errors, '|')) AS rule FROM ev WHERE errors <> '') GROUP BY rule""")
@@ -380,8 +386,8 @@ FROM fidx LEFT JOIN fv ON fv.name = fidx.name GROUP BY fidx.name""")
 FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.request_id IN ({_valid_requests()})
 UNION ALL SELECT DISTINCT request_id, NULL, NULL, NULL, NULL FROM ev WHERE {_EMPTY}""")
     q["envelope_rejections"] = with_(EV, f"""SELECT request_id, pos, unnest(string_split(errors, '|')) AS rule FROM ev
-WHERE errors <> '' AND NOT {_EMPTY} AND request_id NOT IN (SELECT request_id FROM ev GROUP BY request_id HAVING NOT {_is_envelope('is_corrupt')})
-UNION ALL SELECT request_id, NULL, 'envelope:malformed' FROM ev GROUP BY request_id HAVING NOT {_is_envelope('is_corrupt')}""")
+WHERE errors <> '' AND NOT {_EMPTY} AND request_id NOT IN (SELECT request_id FROM ev GROUP BY request_id HAVING NOT {_is_envelope('breaks_envelope')})
+UNION ALL SELECT request_id, NULL, 'envelope:malformed' FROM ev GROUP BY request_id HAVING NOT {_is_envelope('breaks_envelope')}""")
     latest_off = "(SELECT CAST(version AS INTEGER) - 1 FROM latest)"
     q["latest_model_version"] = with_(_scored(latest_off, extra=LATEST),
         f"SELECT imdb_id, (SELECT version FROM latest) AS model_version, round({PROB}, 6) AS probability FROM sc")
@@ -394,14 +400,14 @@ UNION ALL SELECT request_id, NULL, 'envelope:malformed' FROM ev GROUP BY request
   'stage=Production|tree_offset=' || (SELECT version FROM latest) AS tags, 'depth=3.0|n_trees=8.0' AS run_metrics,
   'tree_offset=' || (SELECT version FROM latest) AS run_params, CAST(count(*) AS BIGINT) AS n_scored,
   round(avg(CASE WHEN {PROB} > 0.5 THEN 1.0 ELSE 0.0 END), 6) AS positive_rate FROM sc""")
-    q["artifact_summary"] = with_(ARTIFACTS, """SELECT (SELECT CAST(count(*) AS BIGINT) FROM fidx) AS features_count,
+    q["artifact_summary"] = with_(ARTIFACTS + """,
+per AS (SELECT oc, count(*) AS n FROM cats GROUP BY oc),
+v AS (SELECT * FROM (VALUES ('10', 8), ('11', 0)) AS t(version, trees))""", """SELECT version AS model_version, 'run-' || version AS run_id,
+  (SELECT CAST(count(*) AS BIGINT) FROM fidx) AS features_count,
   (SELECT CAST(count(*) AS BIGINT) FROM norm) AS normalization_fields,
-  (SELECT CAST(count(DISTINCT oc) AS BIGINT) FROM cats) AS schema_mappings,
-  (SELECT CAST(count(*) AS BIGINT) FROM cats WHERE oc = 'genre') AS genre_categories,
-  (SELECT CAST(count(*) AS BIGINT) FROM cats WHERE oc = 'origin_country') AS origin_countries,
-  (SELECT CAST(count(*) AS BIGINT) FROM cats WHERE oc = 'production_countries') AS production_countries,
-  (SELECT CAST(count(*) AS BIGINT) FROM cats WHERE oc = 'spoken_languages') AS spoken_languages,
-  true AS healthy""")
+  (SELECT CAST(count(*) AS BIGINT) FROM per) AS schema_mappings,
+  (SELECT string_agg(oc || '=' || CAST(n AS VARCHAR), '|' ORDER BY oc) FROM per) AS categories,
+  CAST(trees AS BIGINT) AS n_trees, trees > 0 AS healthy, CASE WHEN trees = 0 THEN 'no model trees' END AS reason FROM v""")
     q["stream_score"] = with_(_scored() + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
         f"SELECT ev.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.errors = ''")
     q["stream_model_refresh"] = with_(_scored("9") + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",

@@ -79,7 +79,7 @@ def test_scans_are_pruned(spark):
 
 def test_validation_split_plan_stays_small(spark):
     """A filter on ``errors`` must not be pushed below the JSON parse with
-    every field reference expanded into its own from_json (which made the
+    every field reference expanded into its own parse (which made the
     optimized plan megabytes long and ran each parse hundreds of times)."""
     from mediascore.operators.validate import validate, validate_split_quarantine, validate_split_valid
     from mediascore.sources.fixtures import media_raw
@@ -89,4 +89,4 @@ def test_validation_split_plan_stays_small(spark):
     for split in (validate_split_valid(v), validate_split_quarantine(v)):
         plan = split._jdf.queryExecution().optimizedPlan().toString()
         assert len(plan) < 200_000
-        assert plan.count("from_json") == 1
+        assert plan.count("parseJson") == 1

@@ -153,3 +153,29 @@ def test_printed_array_schema_artifact(spark, bundle):
     printed = printed_schema(category_schema_from_long(fit_category_schema_long(m)))
     assert isinstance(printed.schema["exploded_mapping"].dataType.__class__.__name__, str)
     assert load_category_schema(printed) == bundle.category_schema
+
+
+def test_large_vocabulary_fits_saves_loads_and_scores(spark, bundle):
+    """200,000 values: numbered over several partitions, written, read back, looked up by the scorer."""
+    import uuid
+    from dataclasses import replace
+
+    from mediascore.plans.predict import predict
+    from mediascore.session import checkpoint_path
+    from mediascore.sources.artifacts import read_json_artifact, write_json_artifact
+
+    n = 200_000
+    df = spark.range(n).select(F.concat(F.lit("status "), F.lpad(F.col("id").cast("string"), 6, "0")).alias("production_status"))
+    vocab = fit_category_vocab(df.union(df.limit(50)))
+    assert vocab.count() == n
+    assert vocab.where(F.col("value") != F.concat(F.lit("status "), F.lpad(F.col("code").cast("string"), 6, "0"))).isEmpty()
+    path = checkpoint_path(spark, "test-artifacts", uuid.uuid4().hex)
+    write_json_artifact(vocab, path)
+    loaded = load_vocab(read_json_artifact(spark, path))
+    assert len(loaded["production_status"]) == n
+    big = replace(bundle, vocab={**bundle.vocab, **loaded})
+    one = spark.createDataFrame([("tt1", "status 199999"), ("tt2", "status 000001"), ("tt3", "unknown")], "imdb_id string, production_status string")
+    by = {r["imdb_id"]: r["margin"] for r in predict(one, big, with_margin=True).collect()}
+    known = {"status 199999": 199_999, "status 000001": 1}
+    small = {r["imdb_id"]: r["margin"] for r in predict(one, replace(bundle, vocab={**bundle.vocab, "production_status": known}), with_margin=True).collect()}
+    assert by == small

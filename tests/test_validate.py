@@ -94,6 +94,40 @@ def test_lax_typing_and_edge_cases(spark):
     assert got[15] == ["imdb_id:required"]
 
 
+def test_strict_json_types(spark):
+    docs = [
+        {**FULL, "tagline": {"x": 1}},
+        {**FULL, "production_status": ["x"]},
+        {**FULL, "original_language": 12},
+        {**FULL, "genre": [1, 2]},
+        {**FULL, "genre": "Drama"},
+        {**FULL, "spoken_languages": [["da"]]},
+        {**FULL, "release_year": "true"},
+        {**FULL, "rt_score": True},
+        {**FULL, "imdb_rating": True},
+        json.dumps(FULL) + " trailing",
+        json.dumps(FULL) + "," + json.dumps(FULL),
+        '{"imdb_id": "tt7654321", "tmdb_rating": 8.70000000000000000001}',
+        '{"imdb_id": "bad", "imdb_id": "tt7654321"}',
+        "null",
+        "",
+    ]
+    got = _errors(spark, docs)
+    assert [got[i] for i in range(len(docs))] == [
+        ["tagline:type"], ["production_status:type"], ["original_language:type"], ["genre:element_type"], ["genre:type"],
+        ["spoken_languages:element_type"], ["release_year:type"], [], ["imdb_rating:type"], ["record:malformed_json"],
+        ["record:malformed_json"], ["tmdb_rating:scale"], [], ["record:malformed_json"], ["record:malformed_json"],
+    ]
+
+
+def test_every_rule_is_broken_by_the_fixture(spark):
+    from mediascore.schema import MALFORMED_RULE, RULE_NAMES
+    from mediascore.sources.fixtures import media_raw
+
+    v = validate(scan_json_records(media_raw(spark, "/root/testdata/sf0.01")))
+    assert {r["rule"] for r in validate_report(v).collect()} == {*RULE_NAMES, MALFORMED_RULE}
+
+
 def test_typed_values_and_splits(spark):
     lines = spark.createDataFrame([(json.dumps(FULL),), (json.dumps({**FULL, "release_year": "1987"}),), (json.dumps({**FULL, "rt_score": 101}),)], "value string")
     v = validate(scan_json_records(lines))
@@ -122,7 +156,7 @@ def test_envelopes(spark):
     why = sorted((r["request_id"], r["pos"], r["rule"]) for r in envelope_rejections(parsed).collect())
     assert why == [(2, 1, "imdb_id:pattern"), (4, None, "envelope:malformed"), (5, None, "envelope:malformed")]
     for df in (envelope_items(accept_envelopes(parsed)), envelope_rejections(parsed)):
-        assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
 
 
 def test_flat_batches_all_or_nothing(spark):
