@@ -7,7 +7,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mediascore.llm import decontaminate, packing, pii, quality, simhash
 from mediascore.llm.common import bucket_of, ship

@@ -105,22 +105,27 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = FI
             got = [indicators(t).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("l_good"), pa.array(got, pa.binary())], ["l_id", "good", "ids"])
 
-    found = sample.mapInArrow(grams, "l_id long, good int, ids binary").toArrow().to_pylist()
-    found.sort(key=lambda r: (r["l_id"], r["ids"]))
-    rows = [np.frombuffer(r["ids"], "<u2").astype(np.int64) for r in found]
-    good = np.array([r["good"] == 1 for r in found], bool)
+    # the ids stay in Arrow's own buffer: a few large arrays, no object for each row
+    found = sample.mapInArrow(grams, "l_id long, good int, ids binary").toArrow().combine_chunks().sort_by("l_id")
+    good = found.column("good").to_numpy() == 1
     size = SIZE
     if not good.any() or good.all():
         share = (good.sum() + 1) / (len(good) + 2)
         return Model(np.zeros(size), np.zeros(size), 0.0, 1.0, math.log(share / (1 - share)))
+    column = found.column("ids").combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    wide = "<i8" if pa.types.is_large_binary(column.type) else "<i4"
+    at = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64) // 2
+    ids = np.frombuffer(column.buffers()[2], "<u2")
+    rows = [ids[i:j] for i, j in zip(at[:-1], at[1:])]
     p, q = np.full(size, smooth), np.full(size, smooth)
-    for ids, g in zip(rows, good):
-        (p if g else q)[ids] += 1
+    for row, g in zip(rows, good):
+        (p if g else q)[row] += 1
     ratio = np.log((p / p.sum()) / (q / q.sum()))
-    values = []
-    for ids in rows:
-        v = ratio[ids]
-        values.append(v / max(1e-12, math.sqrt((v * v).sum())))
+    scaled = ratio.astype(np.float32)[ids]
+    values = [scaled[i:j] for i, j in zip(at[:-1], at[1:])]
+    for v in values:
+        v /= max(1e-12, math.sqrt(float((v * v).sum())))
     y = np.where(good, 1.0, -1.0)
     cost = np.where(good, c * len(y) / (2 * good.sum()), c * len(y) / (2 * (~good).sum()))
     w, b = dual_coordinate_descent(rows, values, y, cost, size)
