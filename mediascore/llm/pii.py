@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 
 from mediascore.session import materialize
 
-#: Base kinds in their order: pattern, and the string without which nothing matches.
+#: Base kinds in their order: pattern, and a short pattern without which nothing matches.
 BASE = {
     "email": (r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "."),
-    "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])", None),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
+    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]"),
+    "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,18}(?![\x20-]?[0-9])", "[0-9]"),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]"),
 }
 #: Looser kinds, found by one pattern with a group for each.
 LOOSE = {
@@ -92,9 +92,9 @@ def _valid(kind: str, value: Column) -> Column:
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def _matches(text: Column, pattern: str, needs: str | None) -> Column:
+def _matches(text: Column, pattern: str, needs: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches."""
-    there = text.contains(needs) if needs else text.rlike("[0-9]")
+    there = text.rlike(needs)
     found = F.when(there, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
     parts = F.split(text, pattern, -1)
     return F.when(
@@ -177,7 +177,7 @@ def proposed(docs: DataFrame, *keep: Column) -> DataFrame:
     base = F.concat(*[F.filter(_named(k, _matches(text, p, n)), valid(k)) for k, (p, n) in BASE.items()])
     union = "|".join(LOOSE.values())
     loose = F.transform(
-        _matches(text, union, None),
+        _matches(text, union, r"[0-9]|[(\[]at[)\]]"),
         lambda s: F.struct(_loose_kind(s["value"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
     ).cast(SPAN)
     # the spans stand behind a generator, so that what reads them twice does not search twice
