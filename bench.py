@@ -65,7 +65,9 @@ def main() -> None:
     bundle = timed("load_bundle", lambda: fixture_bundle(spark, sf_dir, BENCH_TREES, BENCH_DEPTH, artifacts=artifacts))
     rows["n_features"] = len(bundle.feature_names)
 
+    # cold: planning, code generation and worker start included; then warm
     timed("predict_batch_items", lambda: run(predict(media, bundle)))
+    timed("predict_batch_items_warm", lambda: run(predict(media, bundle)))
     rows["items"] = media.count()
 
     # Line grain: both sides grow with the data (one row per line, one per
@@ -73,9 +75,17 @@ def main() -> None:
     # hot part key.  The hint keeps the planner from broadcasting the line
     # side on its plan-time estimate (which also left the whole scoring stage
     # in one task locally).
-    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    lines = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
     line_grain = lines.join(items.hint("merge"), lines["l_partkey"] == items["p_partkey"]).drop("p_partkey")
+    # every line is a record of its own: three of its fields are the line's
+    line_grain = line_grain.withColumns({
+        "runtime": F.col("l_quantity").cast("bigint"), "revenue": F.col("l_extendedprice").cast("bigint"), "imdb_votes": F.col("l_orderkey"),
+    }).drop("l_quantity", "l_extendedprice")
     timed("predict_batch_lines", lambda: run(predict(line_grain, bundle, keep=("l_orderkey", "l_linenumber", "imdb_id"))))
+    # titles scored once, their results joined to the lines
+    scored = predict(items, bundle, keep=("p_partkey", "imdb_id"))
+    per_line = lines.select("l_orderkey", "l_linenumber", "l_partkey").join(scored.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    timed("results_per_line", lambda: run(per_line.drop("p_partkey")))
     rows["lines"] = lines.count()
 
     # JSON inputs as they would arrive: written once, then read by the jobs.
@@ -90,7 +100,7 @@ def main() -> None:
 
     total = round(sum(times.values()), 3)
     score_rows = rows["items"] + rows["lines"]
-    score_secs = times["predict_batch_items"] + times["predict_batch_lines"]
+    score_secs = times["predict_batch_items_warm"] + times["predict_batch_lines"]
     print(json.dumps({
         "metric": "total_query_time",
         "value": total,

@@ -34,7 +34,7 @@ def test_full_and_minimal_records_are_valid(spark):
     assert got == {0: [], 1: [], 2: []}
 
 
-def test_reference_rejections(spark):
+def test_contract_rejections(spark):
     docs = [
         {**FULL, "imdb_id": "invalid_id"},
         {**FULL, "release_year": 1800},
