@@ -9,6 +9,7 @@ import zipfile
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -16,6 +17,9 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers (once for each
     application), as Spark does with any Python file, so that they need no
     installed copy and keep module state between tasks."""
+    if spark.conf.get(ARROW_ROWS, None) is None:
+        # rows are whole texts: smaller batches bound what a worker holds at once
+        spark.conf.set(ARROW_ROWS, "1000")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -34,3 +38,16 @@ def ship(spark: SparkSession) -> None:
 def bucket_of(modulus: int) -> Column:
     """The remainder of the crc32 of doc_id as text (null: 0), which tells training from held-out documents."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
+
+
+def text_parts(batch, most: int = 1 << 20):
+    """(first row, texts) of an Arrow batch, about ``most`` characters at a time; a longer text is its own part."""
+    text = batch.column("text").to_pylist()
+    k = size = 0
+    for i, t in enumerate(text):
+        if size and size + len(t or "") > most:
+            yield k, text[k:i]
+            k, size = i, 0
+        size += len(t or "")
+    if text:
+        yield k, text[k:]

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediascore.llm.common import text_parts
+
 SIZE = 3
 THRESHOLD = 0.5
 #: The most words of one block of items; what is broadcast is a few times as many numbers.
@@ -205,19 +207,6 @@ def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
         yield Items.of(ids, words, _all_grams(words))
 
 
-def _parts(batch, most: int = 1 << 21):
-    """Slices of a batch with about ``most`` characters of text; a longer text is its own."""
-    text = batch.column("text").to_pylist()
-    k = size = 0
-    for i, t in enumerate(text):
-        if size and size + len(t or "") > most:
-            yield k, text[k:i]
-            k, size = i, 0
-        size += len(t or "")
-    if text:
-        yield k, text[k:]
-
-
 def rare_seeds(docs: DataFrame, items: Items) -> Items:
     """Count, over all documents, how many hold each n-gram of the items, and keep the rarer ones."""
     shared = docs.sparkSession.sparkContext.broadcast(items)  # at most BLOCK_WORDS words and one item
@@ -226,7 +215,7 @@ def rare_seeds(docs: DataFrame, items: Items) -> Items:
         it = shared.value
         total = {size: np.zeros(len(s[0]), np.int64) for size, s in it.seeds.items()}
         for batch in batches:
-            for _, texts in _parts(batch):
+            for _, texts in text_parts(batch):
                 words, n = word_hashes(texts)
                 for size, t in total.items():
                     pos, seed, doc = it.hits(words, n, size)
@@ -257,7 +246,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK
             items = shared.value
             for batch in batches:
                 ids = batch.column("doc_id")
-                for k, texts in _parts(batch):
+                for k, texts in text_parts(batch):
                     got = matches(items, *word_hashes(texts))
                     if got:
                         d, i, s = zip(*got)
@@ -283,7 +272,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS
             items = shared.value
             for batch in batches:
                 bad = set()
-                for k, texts in _parts(batch):
+                for k, texts in text_parts(batch):
                     bad.update(k + d for d, _, _ in matches(items, *word_hashes(texts)))
                 yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
 

@@ -23,6 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mediascore.llm.common import text_parts
 from mediascore.llm.components import components, forest
 from mediascore.session import materialize
 
@@ -86,7 +87,7 @@ def xxh64(buf: bytes, start: np.ndarray, length: np.ndarray, seed: int = SEED) -
     return h ^ (h >> np.uint64(32))
 
 
-def fingerprints(texts: list[str | None], words: int = 3, block: int = 1 << 18) -> np.ndarray:
+def fingerprints(texts: list[str | None], words: int = 3, block: int = 1 << 16) -> np.ndarray:
     """64-bit fingerprints of whole texts.  A-Z are lower-cased, words are
     separated by ASCII white space; a bit is set if it is in more than half of
     the shingles' hashes.  A null text or one without words has 0."""
@@ -126,10 +127,9 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
-                fp = fingerprints(part.column("text").to_pylist()).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fp)], ["doc_id", "fp"])
+            for k, texts in text_parts(batch):
+                fp = fingerprints(texts).view(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(k, len(texts)), pa.array(fp)], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
 
