@@ -38,7 +38,7 @@ class SegmentEncoder(dict):
     bounds the memory; parts that fall out are encoded anew.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 150_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 250_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
