@@ -1,10 +1,14 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman.
 
-Words are lower-cased runs of letters and digits.  Of every two consecutive
-word n-grams of a test item the one that fewer documents hold is a seed, so a
-copy that keeps four words in a row anywhere meets a seed, however common the
-item is in the corpus.  A document's seeds lead to windows around the item's
-place; each window is aligned with the item by Smith-Waterman over words
+Words are lower-cased runs of letters and digits.  An alignment whose m
+matches lie in r unbroken runs scores at most m - (r - 1) and keeps m - r word
+pairs, so one that scores s keeps at least s - 1 of the item's word pairs.
+Seeds are the pairs that the fewest documents hold, just as many as cannot all
+be missed at that count: every copy with a score of THRESHOLD or more meets a
+seed, wherever it is edited and however common the item is in the corpus.  (Of
+an item of one or two words, the words are the seeds.)  A document's seeds lead
+to windows around the item's place, wide enough for any alignment with such a
+score; each window is aligned with the item by Smith-Waterman over words
 (match 1, mismatch and gap -1), which scores edited and paraphrased copies.
 The score is the best alignment over the item's length, 1 for a whole copy.
 
@@ -25,7 +29,6 @@ from pyspark.sql import functions as F
 
 from mediascore.llm.common import text_parts
 
-SIZE = 3
 THRESHOLD = 0.5
 #: The most words of one block of items; what is broadcast is a few times as many numbers.
 BLOCK_WORDS = 1_000_000
@@ -108,6 +111,16 @@ class Items:
         return pos[own], seed[own], doc
 
 
+def _need(words: int) -> int:
+    """The least alignment score that reaches THRESHOLD for an item of so many words."""
+    return int(np.ceil(THRESHOLD * words))
+
+
+def _size(words: int) -> int:
+    """The n-gram size of an item's seeds."""
+    return 2 if _need(words) > 1 else 1
+
+
 def align(item: np.ndarray, windows: np.ndarray) -> np.ndarray:
     """Best Smith-Waterman score of the item with each window (a row of words, 0 for none)."""
     k, width = windows.shape
@@ -156,37 +169,40 @@ def matches(items: Items, words: np.ndarray, count: np.ndarray) -> list[tuple[in
             place = (bucket * slack - slack)[:, None] + np.arange(len(item) + 3 * slack)[None, :]
             inside = (place >= 0) & (place < count[doc][:, None])
             window = padded[np.where(inside, place + first[doc][:, None], len(words))]
-            score = align(item, window) / len(item)
+            # a score takes at least as many words of the item
+            enough = np.isin(window, item).sum(1) >= _need(len(item))
+            doc, score = doc[enough], align(item, window[enough]) / len(item)
             for d, s in zip(doc[score >= THRESHOLD].tolist(), score[score >= THRESHOLD].tolist()):
                 out[d, i] = max(out.get((d, i), 0.0), s)
     return [(d, i, s) for (d, i), s in sorted(out.items())]
 
 
 def _slack(items: Items) -> np.ndarray:
-    """By how many words an alignment may leave a seed's diagonal, for each item."""
-    return np.array([2 + len(w) // 4 for w in items.words], np.int64)
+    """More than an alignment with a score of THRESHOLD may leave a seed's diagonal by, for each item."""
+    return np.array([1 + len(w) - _need(len(w)) for w in items.words], np.int64)
 
 
 def _all_grams(words: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
     out = {}
-    for size in range(1, SIZE + 1):
-        offsets = [np.arange(len(w) - size + 1) if min(SIZE, len(w)) == size else np.zeros(0, np.int64) for w in words]
+    for size in (1, 2):
+        offsets = [np.arange(len(w) - size + 1) if _size(len(w)) == size else np.zeros(0, np.int64) for w in words]
         if any(len(o) for o in offsets):
             out[size] = offsets
     return out
 
 
 def _rarest(items: Items, frequency: dict[tuple[int, int], int]) -> Items:
-    """The items with, of every two consecutive n-grams, the rarer one (of equally rare ones the first)."""
+    """The items with their rarest n-grams: so many that fewer are left out
+    than an alignment with a score of THRESHOLD keeps.  Those that no document
+    holds count among them, and need not be looked for."""
     chosen = {}
     for size, offsets in _all_grams(items.words).items():
         chosen[size] = []
         for w, o in zip(items.words, offsets):
-            f = np.array([frequency.get((size, int(c)), 0) for c in grams(w, size)]) if len(o) else np.zeros(0)
-            if len(f) < 2:
-                chosen[size].append(np.asarray(o, np.int64))
-            else:
-                chosen[size].append(np.unique(np.arange(len(f) - 1) + (f[1:] < f[:-1])))
+            f = np.array([frequency.get((size, int(c)), 0) for c in grams(w, size)], np.int64) if len(o) else np.zeros(0, np.int64)
+            kept = _need(len(w)) - (size - 1)
+            rarest = np.argsort(f, kind="stable")[: max(0, len(f) - kept + 1)]
+            chosen[size].append(np.sort(rarest[f[rarest] > 0]))
     return Items.of(items.ids, items.words, chosen)
 
 

@@ -227,3 +227,29 @@ def test_decontamination(spark):
     assert sorted(str(r.doc_id) for r in clean.collect()) == sorted(str(d) for d, _, _ in docs if d not in bad)
     assert decontaminate.contaminated(df, bench.limit(0)).count() == 0 and decontaminate.remove(df, bench.limit(0)).count() == len(docs)
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0
+
+
+def test_every_copy_of_the_threshold_is_found(spark):
+    """Edits all over an item, whose intact n-grams lie between ones that no document holds; scores are exact."""
+    ship(spark)
+    rng = np.random.default_rng(9)
+    items, docs = [], []
+    for n in (1, 2, 3, 4, 5, 15, 38, 59):
+        words = [f"i{n}x{k}" for k in range(n)]
+        items.append((n, " ".join(words)))
+        for every in (2, 3, 4, 5):
+            copies = [[w if k % every else f"other{k}" for k, w in enumerate(words, 1)], [x for k, w in enumerate(words, 1) for x in ([w] if k % every else [w, f"more{k}"])]]
+            copies.append([w for k, w in enumerate(words, 1) if k % every])
+            copies.append([x for k, w in enumerate(words) for x in ([w] if k < n // 2 else [w, "late"] if k % 2 else [w])])
+            docs += [["before"] * int(rng.integers(0, 80)) + c + ["after"] * int(rng.integers(0, 80)) for c in copies]
+        for _ in range(20):  # any mix of edits
+            kind = rng.choice(4, n, p=[0.7, 0.1, 0.1, 0.1])
+            docs.append([x for w, k in zip(words, kind) for x in ([w], [f"r{w}"], [w, "new"], [])[k]])
+    docs += [i[1].split() for i in items[3:]] * 5  # whole copies make all n-grams common
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in enumerate(docs)], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = {(d, i): s for d, t in enumerate(docs) for i, x in items if (s := smith_waterman(x.split(), t) / len(x.split())) >= decontaminate.THRESHOLD}
+    for table, expected in ((df, want), (df.where("doc_id < %d" % (len(docs) - 25)), {k: s for k, s in want.items() if k[0] < len(docs) - 25})):
+        got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table, bench).collect()}
+        assert got == expected and len(got) > 150
+    assert {r.doc_id for r in decontaminate.remove(df, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
