@@ -2,13 +2,13 @@
 
 A bounded sample trains spherical k-means.  Every vector has its nearest
 centroid's cell as home and visits the cells whose boundary is within
-``margin`` of it (the sine of the angle to the boundary), so that a pair on
-both sides of a boundary meets; within a cell, blocks of visitors are
-multiplied with blocks of residents in double precision.  A pair is counted
-for x where x, at home or on a visit, meets y's home, so once.  A pair is
-found if it crosses a boundary by less than the margin: with the default, all
-but very few (recall is measured in the tests), and every pair if margin is
-sqrt(1 - threshold**2) or more.
+``margin`` of it (the sine of the angle to the boundary); within a cell, blocks
+of visitors are multiplied with blocks of residents in double precision.  The
+arc between two vectors of different cells crosses the boundary, so the nearer
+of them is within half of their angle of it and visits the other's home: with a
+margin of the sine of half the threshold's angle, the default, no pair is lost.
+A pair is counted for x where x, at home or on a visit, meets y's home, and
+there for y too unless y visits x's home, so once for each.
 """
 
 from __future__ import annotations
@@ -51,7 +51,7 @@ def _unit(column, dim: int) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 
-def near_duplicates(vectors: DataFrame, threshold: float, margin: float = 0.14, cell_rows: int = 1000, block: int = 2048) -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float, margin: float | None = None, cell_rows: int = 1000, block: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``
     (vec_id, embedding).  Links join vectors with cosine >= threshold (above 0); n_links
     counts the other rows linked directly, component_id is the smallest vec_id
@@ -60,6 +60,8 @@ def near_duplicates(vectors: DataFrame, threshold: float, margin: float = 0.14,
     rows with a null vec_id link with nothing (n_links 0, own component).
     Rows with equal vectors count as links of each other.  No rows give no
     rows; other columns are not read."""
+    if margin is None:
+        margin = np.sqrt((1 - threshold) / 2) + 1e-6  # with some room for rounding
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("embedding", lambda x: x != 0)
@@ -78,29 +80,33 @@ def near_duplicates(vectors: DataFrame, threshold: float, margin: float = 0.14,
 
     def assign(batches):
         c = shared.value
-        apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-12))
+        apart = np.sqrt(np.maximum(2 - 2 * (c @ c.T), 1e-9))
         for batch in batches:
             for k in range(0, batch.num_rows, 1024):
                 part = batch.slice(k, 1024)
                 sims = _unit(part.column("embedding"), dim) @ c.T
                 home = sims.argmax(1)
                 best = sims[np.arange(len(home)), home]
-                row, cell = np.nonzero((best[:, None] - sims) / apart[home] <= margin)
+                near = (best[:, None] - sims) / apart[home] <= margin
+                bits = pa.array([b.tobytes() for b in np.packbits(near, axis=1)], pa.binary())
+                row, cell = np.nonzero(near)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cell.astype(np.int32)), pa.array(cell == home[row])] + [c_.take(pa.array(row)) for c_ in part.columns], ["cell", "home", *part.schema.names]
+                    [pa.array(cell.astype(np.int32)), pa.array(home[row].astype(np.int32)), bits.take(pa.array(row))] + [c_.take(pa.array(row)) for c_ in part.columns],
+                    ["cell", "home", "visits", *part.schema.names],
                 )
 
     kind = dict(nodes.dtypes)["embedding"]
-    placed = materialize(nodes.select("rep", "n", "embedding").mapInArrow(assign, f"cell int, home boolean, rep long, n long, embedding {kind}"), "cells")
-    sizes = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.sum(F.col("home").cast("int")) / block).alias("nh"), F.ceil(F.count("*") / block).alias("nq"))
+    placed = materialize(nodes.select("rep", "n", "embedding").mapInArrow(assign, f"cell int, home int, visits binary, rep long, n long, embedding {kind}"), "cells")
+    sizes = placed.groupBy(F.col("cell").alias("c")).agg(F.ceil(F.sum((F.col("home") == F.col("cell")).cast("int")) / block).alias("nh"), F.ceil(F.count("*") / block).alias("nq"))
     sizes = sizes.select("c", F.greatest("nh", F.lit(1)).cast("int").alias("nh"), "nq")  # at most MAX_CELLS rows
     hb, qb = F.pmod(F.xxhash64("rep"), F.col("nh")).cast("int"), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("nq")).cast("int")
     rows = placed.join(F.broadcast(sizes), F.col("cell") == F.col("c")).withColumn("hb", hb).withColumn("qb", qb.cast("int"))
     spots = F.expr(
-        "concat(transform(sequence(0, nh - 1), h -> struct(h AS h, qb AS q, home AND h = hb AS resident, true AS visitor)),"
-        " transform(filter(sequence(0, cast(nq AS int) - 1), q -> home AND q != qb), q -> struct(hb AS h, q AS q, true AS resident, false AS visitor)))"
+        "concat(transform(sequence(0, nh - 1), h -> struct(h AS h, qb AS q, home = cell AND h = hb AS resident, true AS visitor)),"
+        " transform(filter(sequence(0, cast(nq AS int) - 1), q -> home = cell AND q != qb), q -> struct(hb AS h, q AS q, true AS resident, false AS visitor)))"
     )
-    rows = rows.select("cell", "rep", "n", "embedding", F.explode(spots).alias("s")).select("cell", "s.h", "s.q", "s.resident", "s.visitor", "rep", "n", "embedding")
+    own = ["home", "visits", "rep", "n", "embedding"]
+    rows = rows.select("cell", *own, F.explode(spots).alias("s")).select("cell", "s.h", "s.q", "s.resident", "s.visitor", *own)
 
     def compare(group: pa.Table) -> pa.Table:
         rep, n = group["rep"].to_numpy(), group["n"].to_numpy()
@@ -109,10 +115,15 @@ def near_duplicates(vectors: DataFrame, threshold: float, margin: float = 0.14,
         h, q = np.flatnonzero(is_h), np.flatnonzero(is_q)
         link = (x[q] @ x[h].T >= threshold) & (rep[q][:, None] != rep[h][None, :])
         links = link @ n[h]
+        # a resident counts the visitors whose home it does not visit itself
+        visits = np.frombuffer(b"".join(group["visits"].take(pa.array(h)).to_pylist()), np.uint8).reshape(len(h), -1)
+        home = group["home"].to_numpy()[q]
+        meets = (visits[:, home >> 3] >> (7 - (home & 7)).astype(np.uint8) & 1).astype(bool)
+        back = n[q] @ (link & ~meets.T)
         rows, cols = np.flatnonzero(link.any(1)), np.flatnonzero(link.any(0))
         a, b = forest(link[np.ix_(rows, cols)])
         ids = np.concatenate([rep[q][rows], rep[h][cols]])
-        return pa.table({"rep": ids, "links": np.concatenate([links[rows], np.zeros(len(cols), np.int64)]), "root": ids[np.concatenate([a, b])]})
+        return pa.table({"rep": ids, "links": np.concatenate([links[rows], back[cols]]), "root": ids[np.concatenate([a, b])]})
 
     found = materialize(rows.groupBy("cell", "h", "q").applyInArrow(compare, "rep long, links long, root long"), "links")
     groups = components(found, "rep", "root")

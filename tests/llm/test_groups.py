@@ -253,3 +253,21 @@ def test_every_copy_of_the_threshold_is_found(spark):
         got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(table, bench).collect()}
         assert got == expected and len(got) > 150
     assert {r.doc_id for r in decontaminate.remove(df, bench).collect()} == set(range(len(docs))) - {d for d, _ in want}
+
+
+def test_default_margin_loses_no_link_in_a_group_of_few_directions(spark):
+    """A hot group that k-means splits along its own directions, with many links across boundaries."""
+    ship(spark)
+    rng = np.random.default_rng(11)
+    for directions in (2, 3, 8):
+        base, basis = rng.normal(size=24), rng.normal(size=(directions, 24))
+        x = (base / np.linalg.norm(base) + 0.25 * rng.normal(size=(1200, directions)) @ (basis / np.linalg.norm(basis, axis=1, keepdims=True))).astype(np.float32)
+        x = np.concatenate([x, x[:50], rng.normal(size=(200, 24)).astype(np.float32)])
+        table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+        x = x.astype(float)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        link = x @ x.T >= 0.95
+        n, comp = link.sum(1) - 1, smallest(len(x), np.argwhere(np.triu(link, 1)).tolist())
+        for block in (2048, 50):
+            got = {r.vec_id: r for r in embeddings.near_duplicates(table, 0.95, cell_rows=60, block=block).collect()}
+            assert [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == comp
