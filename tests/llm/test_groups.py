@@ -271,3 +271,20 @@ def test_default_margin_loses_no_link_in_a_group_of_few_directions(spark):
         for block in (2048, 50):
             got = {r.vec_id: r for r in embeddings.near_duplicates(table, 0.95, cell_rows=60, block=block).collect()}
             assert [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == comp
+
+
+def test_vectors_of_every_length_are_compared(spark):
+    """Two lengths that fill several cells, and a rare one."""
+    ship(spark)
+    rng = np.random.default_rng(12)
+    vectors = []
+    for dim, groups in ((6, 20), (9, 20), (4, 2)):
+        for c in rng.normal(size=(groups, dim)):
+            vectors += [(c + 0.15 * rng.normal(size=dim)).astype(np.float32) for _ in range(8)]
+    vectors = [vectors[i] for i in rng.permutation(len(vectors))] + vectors[:3]
+    link = np.array([[len(a) == len(b) and bool(a.astype(float) @ b.astype(float) >= 0.95 * np.sqrt((a.astype(float) ** 2).sum() * (b.astype(float) ** 2).sum())) for b in vectors] for a in vectors])
+    n, comp = link.sum(1) - 1, smallest(len(vectors), np.argwhere(np.triu(link, 1)).tolist())
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<float>").repartition(3)
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, 0.95, cell_rows=30, block=40).collect()}
+    assert [got[i].n_links for i in range(len(vectors))] == n.tolist() and [got[i].component_id for i in range(len(vectors))] == comp
+    assert all(n[[len(v) == d for v in vectors]].sum() > 0 for d in (4, 6, 9))
