@@ -22,6 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from mediascore.llm.common import text_parts
 from mediascore.llm.components import components, forest
@@ -226,7 +227,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     row with a null doc_id is not compared and has a null component_id; rows
     that repeat a doc_id are each compared and returned; no rows give no rows.  Columns
     other than doc_id and text are not read."""
-    prints = materialize(with_fingerprints(docs), "fingerprints")
+    return _with_components(materialize(with_fingerprints(docs), "fingerprints"))
+
+
+def _with_components(prints: DataFrame) -> DataFrame:
     nodes = materialize(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     found = components(links(nodes), "a", "b")
     by_print = nodes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("c"))
@@ -235,12 +239,30 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The document of each group with the smallest doc_id, with all columns.
-    Of rows that share a doc_id one is kept; rows with a null doc_id stay."""
-    found = near_duplicates(docs)
-    found = materialize(found.where("doc_id is not null"), "groups")
-    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    """One row of each group of near-duplicates, of those with the group's
+    smallest doc_id, with all columns.  A row belongs to its own text's group:
+    rows of other groups stay even if they share its doc_id, and so do rows
+    with a null doc_id."""
+    prints = materialize(with_fingerprints(docs), "fingerprints")
+    if prints.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        found = materialize(_with_components(prints).where("doc_id is not null"), "groups")
+        gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, F.col("doc_id").cast("long") == F.col("__gone"), "left_anti")
+    # a doc_id does not tell its rows apart: fingerprints are the nodes, and doc_id and fingerprint name what stays
+    nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("rep", F.col("fp"))
+    nodes = materialize(nodes, "nodes")
+    found = components(links(nodes.select("fp", "rep")), "a", "b")
+    groups = nodes.join(found, F.col("rep") == F.col("node"), "left").groupBy(F.coalesce("component", "rep").alias("c")).agg(F.min(F.struct("first", "fp")).alias("s"))
+    stays = materialize(groups.select(F.col("s.first").alias("__first"), F.col("s.fp").alias("__print")), "groups")
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+
+    def run(batches):
+        for batch in batches:
+            fp = [fingerprints(texts).view(np.int64) for _, texts in text_parts(batch)]
+            fp = np.concatenate(fp) if fp else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fp)], [*batch.schema.names, "__fp"])
+
+    id_ = F.col("doc_id").cast("long")
+    rows = docs.where(id_.isNotNull()).mapInArrow(run, schema).withColumn("__id", id_)
+    kept = rows.join(stays, (F.col("__id") == F.col("__first")) & (F.col("__fp") == F.col("__print")), "left_semi").dropDuplicates(["__id", "__fp"])
+    return kept.drop("__id", "__fp").union(docs.where(id_.isNull()))

@@ -288,3 +288,13 @@ def test_vectors_of_every_length_are_compared(spark):
     got = {r.vec_id: r for r in embeddings.near_duplicates(table, 0.95, cell_rows=30, block=40).collect()}
     assert [got[i].n_links for i in range(len(vectors))] == n.tolist() and [got[i].component_id for i in range(len(vectors))] == comp
     assert all(n[[len(v) == d for v in vectors]].sum() > 0 for d in (4, 6, 9))
+
+
+def test_rows_that_share_an_id_are_dropped_by_their_own_text(spark):
+    ship(spark)
+    rng = np.random.default_rng(13)
+    a, b, c, d = (" ".join(rng.choice(["w%d" % i for i in range(400)], 300)) for _ in range(4))
+    e = next(x for k in range(300) if fingerprint(x := " ".join(w if i != k else "new" for i, w in enumerate(c.split()))) != fingerprint(c) and near([fingerprint(c), fingerprint(x)]))
+    rows = [(3, a, "1"), (7, a, "2"), (7, b, "3"), (9, b, "4"), (11, e, "5"), (12, c, "6"), (12, d, "7"), (12, d, "8"), (None, a, "9"), (None, a, "10")]
+    kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    assert sorted(map(tuple, kept), key=str) in [sorted([rows[i] for i in (0, 2, 4, last, 8, 9)], key=str) for last in (6, 7)]
