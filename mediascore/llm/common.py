@@ -40,9 +40,9 @@ def bucket_of(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def text_parts(batch, most: int = 1 << 20):
+def text_parts(batch, most: int = 1 << 20, column: str = "text"):
     """(first row, texts) of an Arrow batch, about ``most`` characters at a time; a longer text is its own part."""
-    text = batch.column("text").to_pylist()
+    text = batch.column(column).to_pylist()
     k = size = 0
     for i, t in enumerate(text):
         if size and size + len(t or "") > most:
@@ -51,3 +51,10 @@ def text_parts(batch, most: int = 1 << 20):
         size += len(t or "")
     if text:
         yield k, text[k:]
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of an ASCII string, bit by bit: a byte is xored in, then eight steps."""
+    steps = f"flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split({text}, '')])"
+    step = "case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end"
+    return f"xor(list_reduce({steps}, lambda a, x: {step}, 4294967295::bigint), 4294967295)"

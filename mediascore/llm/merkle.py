@@ -22,6 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mediascore.llm.common import crc32_sql
 from mediascore.session import materialize
 
 RUN = 3
@@ -187,13 +188,10 @@ def oracle(levels: int = 14) -> str:
     3**levels documents a source and as many sources."""
     enc = lambda c: f"coalesce(strlen(cast({c} as varchar)) || ':' || cast({c} as varchar), '-')"
     leaf = lambda text: "sha256(" + " || ".join(enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
-    # crc32 bit by bit: a byte is xored in, then eight steps
-    steps = "flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split(cast(doc_id as varchar), '')])"
-    crc = f"list_reduce({steps}, lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end, 4294967295::bigint)"
     sql = [
         f"""with leaves as (
             select doc_id, source, {leaf("text")} as leaf,
-                   case when doc_id is not null and xor({crc}, 4294967295) % 2 = 0 then {leaf("replace(text, chr(10), '')")} end as probe
+                   case when doc_id is not null and {crc32_sql("cast(doc_id as varchar)")} % 2 = 0 then {leaf("replace(text, chr(10), '')")} end as probe
             from documents),
         l0 as (select *, coalesce('=' || source, '') as grp, leaf as node, coalesce(probe, leaf) as folded, '' as proof,
                       row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as rank,

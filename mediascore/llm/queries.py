@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mediascore.llm import bitplane, decontaminate, embeddings, langid, merkle, packing, pii, quality, sharding, simhash, urls
+from mediascore.llm import bitplane, decontaminate, embeddings, langid, merkle, packing, pii, quality, sharding, simhash, toxicity, turns, urls
 from mediascore.llm.common import bucket_of, ship
 from mediascore.session import materialize, scratch_path
 
@@ -90,6 +90,17 @@ def op10_two_pass_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op11_bigru_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket_of(4) != 2)
+    return toxicity.scored(docs, net, F.col("doc_id"), (bucket_of(4) == 2).alias("held_out"))
+
+
+def op12_weighted_cyk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations")
+    return turns.report(conversations, turns.damaged(conversations))
+
+
 def op13_nested_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.checked(merkle.proofs(merkle.document_leaves(table(spark, sf_dir, "documents")), "doc_id"))
 
@@ -116,11 +127,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_seed_align,
         op9_weak_labels,
         op10_two_pass_shuffle,
+        op11_bigru_attention,
+        op12_weighted_cyk,
         op13_nested_rollup,
     )
 }
 QUERIES["pipeline"] = _shipped(corpus_pipeline.run)
 
-ORACLES: dict[str, str] = {"op6_path_templates": urls.oracle(URL_RULES), "op13_nested_rollup": merkle.oracle()}
+ORACLES: dict[str, str] = {"op6_path_templates": urls.oracle(URL_RULES), "op12_weighted_cyk": turns.oracle(), "op13_nested_rollup": merkle.oracle()}
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
