@@ -22,7 +22,6 @@ from mediascore.operators.validate import accept_envelopes, validate, validate_r
 from mediascore.plans.fixture import BENCH_DEPTH, BENCH_TREES, fixture_bundle  # noqa: E402
 from mediascore.plans.predict import predict, results_envelope  # noqa: E402
 from mediascore.session import local_session, materialize  # noqa: E402
-from mediascore.sources.artifacts import category_schema_from_long  # noqa: E402
 from mediascore.sources.fixtures import media_envelopes, media_items, media_raw, read_table  # noqa: E402
 from mediascore.sources.records import envelope_items, scan_batch_envelope, scan_json_records  # noqa: E402
 
@@ -60,8 +59,7 @@ def main() -> None:
     # is written once to the shared folder; fitting and scoring read it.
     items = timed("build_media_table", lambda: materialize(media_items(spark, sf_dir), "media_items"))
     media = items.drop("p_partkey")
-    norm, schema_long, vocab = timed("fit_artifacts", lambda: fit_artifacts(media))
-    artifacts = (norm, category_schema_from_long(schema_long), vocab)
+    artifacts = timed("fit_artifacts", lambda: fit_artifacts(media))
     bundle = timed("load_bundle", lambda: fixture_bundle(spark, sf_dir, BENCH_TREES, BENCH_DEPTH, artifacts=artifacts))
     rows["n_features"] = len(bundle.feature_names)
 

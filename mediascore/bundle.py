@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mediascore.schema import CATEGORICAL_FIELDS
@@ -32,6 +33,10 @@ class ArtifactReadError(ArtifactError):
     worth another try, unlike bad content."""
 
 
+class IncompleteUpload(ArtifactReadError):
+    """A version's upload has not ended, or its tables are not those its manifest names."""
+
+
 def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     """Collect a small artifact table, refusing one that is larger than its
     documented bound (the check itself reads at most ``max_rows + 1`` rows)."""
@@ -41,6 +46,14 @@ def bounded_collect(df: DataFrame, max_rows: int, what: str) -> list:
     return rows
 
 
+def bounded_arrow(df: DataFrame, max_rows: int, what: str) -> pa.Table:
+    """``bounded_collect`` into Arrow columns, without an object for each row."""
+    table = df.limit(max_rows + 1).toArrow()
+    if table.num_rows > max_rows:
+        raise ArtifactError(f"{what}: more than {max_rows} rows; not a bounded artifact")
+    return table
+
+
 @dataclass(frozen=True)
 class TreeArrays:
     """A tree ensemble flattened to global node arrays (one entry per node)."""
@@ -59,6 +72,8 @@ class TreeArrays:
     cat_keys: np.ndarray | None = None  # sorted cat_row * cat_width + code, for large tables
     cat_width: int = 1
     n_cat: int = 0
+    tree_id: np.ndarray | None = None  # int64, the numbers that a node has in its table
+    node_id: np.ndarray | None = None
 
     @property
     def n_trees(self) -> int:
@@ -77,7 +92,7 @@ class Bundle:
     vocab: dict[str, dict[str, int]]
     feature_names: tuple[str, ...]
     trees: TreeArrays | None
-    nodes: tuple = field(default=(), repr=False)  # raw node rows (expr scorer)
+    nodes: pa.Table | None = field(default=None, repr=False)  # the node table's columns (expression scorer)
     base_margin: float = 0.0
     categorical_features: tuple[str, ...] = tuple(CATEGORICAL_FIELDS)
     categorical_mode: str = "vocab"  # 'vocab' codes, or 'local' (code 0 for any value)
@@ -88,5 +103,5 @@ class Bundle:
         """Per list column of the schema; a column whose names map nothing has an empty map."""
         return {oc: self.maps.get(oc, {}) for oc, _ in self.category_schema}
 
-    def with_model(self, version: str, run_id: str, trees: TreeArrays, nodes: tuple, base_margin: float = 0.0) -> "Bundle":
+    def with_model(self, version: str, run_id: str, trees: TreeArrays, nodes: pa.Table | None, base_margin: float = 0.0) -> "Bundle":
         return replace(self, version=version, run_id=run_id, trees=trees, nodes=nodes, base_margin=base_margin)

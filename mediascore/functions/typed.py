@@ -13,28 +13,36 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WIDE_DECIMAL = T.DecimalType(38, 18)
-_PLAIN_DECIMAL = r"^\s*[+-]?[0-9]*\.?[0-9]*\s*$"
-_FRACTION_DIGITS = r"\.([0-9]*?)0*\s*$"
+_PLAIN_DECIMAL = r"^[+-]?[0-9]*\.?[0-9]*$"
+_FRACTION_DIGITS = r"\.([0-9]*?)0*$"
+#: Integers as text: white space around, single underscores between digits, a fraction of zeros.
+INTEGER_TEXT = r"\A\p{IsWhite_Space}*([+-]?[0-9]+(?:_[0-9]+)*)(?:\.0+)?\p{IsWhite_Space}*\z"
+#: Decimals as text, once underscores and the white space around are gone.
+DECIMAL_TEXT = r"\A[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+_AROUND = r"\A[\p{IsWhite_Space}\x1c-\x1f]+|[\p{IsWhite_Space}\x1c-\x1f]+\z|_"
 
 
 def lax_int(s: Column, target: T.DataType = T.LongType()) -> tuple[Column, Column]:
-    """Integer from text: 1994, "1994", 1994.0, "1994.0" (the scan gives JSON
-    booleans as 1 and 0).
+    """Integer from text: 1994, "1994", 1994.0, "1994.0", "1_994" (the scan
+    gives JSON booleans as 1 and 0, and JSON numbers without an exponent).
 
-    Rejects fractional values (1994.5), empty text and non-numbers.
+    Rejects fractional values (1994.5), exponents in a text ("1e2"), empty text
+    and non-numbers.
     """
-    d = s.try_cast(WIDE_DECIMAL)
-    whole = F.when(d.isNotNull() & (d == F.floor(d)), d.try_cast(target))
-    # Plain integer text takes the cheap cast; only the rest ("1994.0", junk)
-    # goes through the decimal parse (coalesce is lazy).
-    value = F.coalesce(s.try_cast(T.LongType()).try_cast(target), whole)
+    digits = F.regexp_extract(s, INTEGER_TEXT, 1)
+    value = F.when(digits != "", F.replace(digits, F.lit("_"), F.lit("")).try_cast(T.LongType()).try_cast(target))
     return value, s.isNull() | value.isNotNull()
 
 
+def _decimal_text(s: Column) -> Column:
+    return F.regexp_replace(s, _AROUND, "")
+
+
 def lax_decimal(s: Column) -> tuple[Column, Column]:
-    """Decimal from a JSON number or numeric text; NaN, inf and booleans are
-    rejected."""
-    d = s.try_cast(WIDE_DECIMAL)
+    """Decimal from a JSON number or numeric text, exponents and underscores
+    allowed; NaN, inf and booleans are rejected."""
+    text = _decimal_text(s)
+    d = F.when(text.rlike(DECIMAL_TEXT), text.try_cast(WIDE_DECIMAL))
     return d, s.isNull() | d.isNotNull()
 
 
@@ -45,6 +53,7 @@ def decimal_scale_ok(s: Column, d: Column, places: int) -> Column:
     well (parsing into DECIMAL(38,18) rounds digits beyond the 18th).
     """
     by_value = d == F.round(d, places)
-    frac = F.regexp_extract(s, _FRACTION_DIGITS, 1)
-    by_text = F.when(s.rlike(_PLAIN_DECIMAL), F.length(frac) <= F.lit(places)).otherwise(F.lit(True))
+    text = _decimal_text(s)
+    frac = F.regexp_extract(text, _FRACTION_DIGITS, 1)
+    by_text = F.when(text.rlike(_PLAIN_DECIMAL), F.length(frac) <= F.lit(places)).otherwise(F.lit(True))
     return by_value & by_text

@@ -53,12 +53,31 @@ def resolve_version(versions: DataFrame, model_name: str, version: str | None =
     return rows[0]["version"]
 
 
+def folded_runs(metrics: DataFrame, params: DataFrame) -> DataFrame:
+    """(run_id, metrics MAP, params MAP) from a store's rows: ``metrics``
+    (run_id, key, value, step, timestamp), of which each key's last value by
+    step, then timestamp, counts (the greatest of equal ones), and ``params``
+    (run_id, key, value), one for each key.  Both are combined before the
+    shuffle: a run with most of the rows costs a row for each key and task."""
+    last = metrics.where(F.col("key").isNotNull()).groupBy("run_id", "key").agg(F.max_by("value", F.struct("step", "timestamp", "value")).alias("value"))
+    m = last.groupBy("run_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("metrics"))
+    one = params.where(F.col("key").isNotNull()).groupBy("run_id", "key").agg(F.max("value").alias("value"))
+    p = one.groupBy(F.col("run_id").alias("p_run")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("params"))
+    both = m.join(p, F.col("run_id").eqNullSafe(F.col("p_run")), "full_outer")
+    empty = lambda kind: F.map_from_entries(F.array().cast(f"array<struct<key:string,value:{kind}>>"))
+    return both.select(F.coalesce("run_id", "p_run").alias("run_id"), F.coalesce("metrics", empty("double")).alias("metrics"), F.coalesce("params", empty("string")).alias("params"))
+
+
 def model_metadata(versions: DataFrame, runs: DataFrame, model_name: str, version: str | None = None) -> DataFrame:
     """Version row joined to its run: stamps, status, description, tags,
     run metrics and params.  The run side is one row per run; it is
     broadcast only behind AQE's runtime size check (no hint)."""
-    v = pinned_version(versions, model_name, version)
-    return v.join(runs, on="run_id", how="left").select(
+    return with_runs(pinned_version(versions, model_name, version), runs)
+
+
+def with_runs(versions: DataFrame, runs: DataFrame) -> DataFrame:
+    """Version rows with their run's metrics and params (null where no run is known)."""
+    return versions.join(runs, on="run_id", how="left").select(
         "model_name", "version", "run_id", "stage", "status", "description",
         "creation_timestamp", "last_updated_timestamp", "tags",
         F.col("metrics").alias("run_metrics"), F.col("params").alias("run_params"),

@@ -14,7 +14,6 @@ from mediascore.operators.fit import fit_artifacts
 from mediascore.schema import CATEGORICAL_FIELDS, NORM_SUFFIX
 from mediascore.sources.artifacts import (
     build_bundle,
-    category_schema_from_long,
     load_category_maps,
     load_category_schema,
     load_normalization,
@@ -26,9 +25,8 @@ BENCH_TREES, BENCH_DEPTH = 200, 6
 
 
 def fitted_artifacts(media: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(normalisation, category schema in list form, vocabulary) from one pass."""
-    norm, schema_long, vocab = fit_artifacts(media)
-    return norm, category_schema_from_long(schema_long), vocab
+    """(normalisation, category schema in long form, vocabulary) from one pass."""
+    return fit_artifacts(media)
 
 
 def model_features(normalization: dict, category_schema: tuple, maps: dict) -> list[str]:
@@ -45,7 +43,7 @@ def fixture_bundle(
     model_name: str = "m1", categorical_mode: str = "vocab",
     artifacts: tuple[DataFrame, DataFrame, DataFrame] | None = None,
 ) -> Bundle:
-    """``artifacts`` may pass already fitted (normalisation, schema list form,
+    """``artifacts`` may pass already fitted (normalisation, schema,
     vocabulary) tables; otherwise they are fitted from ``media``."""
     if artifacts is None:
         media = media if media is not None else media_items_view(spark, sf_dir)

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +22,8 @@ from mediascore.operators.fit import (
     fit_category_vocab,
     fit_normalization,
 )
-from mediascore.operators.registry import artifact_summary, model_metadata, resolve_version
-from mediascore.operators.trees import qcol
+from mediascore.operators.registry import artifact_summary, folded_runs, latest_model_version, model_metadata, resolve_version, with_runs
+from mediascore.operators.trees import qcol, sparse_scores
 from mediascore.operators.validate import (
     accept_envelopes,
     envelope_rejections,
@@ -34,7 +33,7 @@ from mediascore.operators.validate import (
     validate_split_valid,
 )
 from mediascore.plans.fixture import ORACLE_DEPTH, ORACLE_TREES, fitted_artifacts, fixture_bundle
-from mediascore.plans.predict import predict, results_envelope
+from mediascore.plans.predict import outcomes, predict, request_outcomes, results_envelope
 from mediascore.schema import CONTINUOUS_FIELDS, CORRUPT_COL, FIELDS, INT_FIELDS, LIST_FIELDS, RULES
 from mediascore.session import materialize, scratch_path
 from mediascore.sources.artifacts import (
@@ -45,9 +44,9 @@ from mediascore.sources.artifacts import (
     load_normalization,
     normalization_rows,
 )
-from mediascore.sources.fixtures import fixture_nodes, media_envelopes, media_items_view, media_raw
-from mediascore.sources.records import envelope_items, scan_batch_envelope, scan_json_records
-from mediascore.sources.registry_fixture import MODEL, registry_runs, registry_versions
+from mediascore.sources.fixtures import ITEMS_PER_REQUEST, fixture_nodes, media_envelopes, media_items, media_items_view, media_raw
+from mediascore.sources.records import ENVELOPE, envelope_items, scan_batch_envelope, scan_json_records
+from mediascore.sources.registry_fixture import MODEL, event_runs, registry_runs, registry_versions, supplier_registry
 
 R6 = 6
 
@@ -290,28 +289,45 @@ def q_clean_values(spark, sf):
 
 def q_load_model(spark, sf):
     """The model as loaded: the fixture's node table is saved, read back and
-    flattened by the loader; each saved node is shown with what the arrays
-    hold for it."""
+    flattened by the loader; every media record is sent through the loaded
+    trees, and the leaves that it reaches are joined to the saved nodes."""
     b = bundle_for(spark, sf)
-    per_tree = 2 ** (ORACLE_DEPTH + 1) - 1
     saved = materialize(fixture_nodes(spark, list(b.feature_names), ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features)), "nodes")
-    t, _ = load_model(saved, list(b.feature_names), list(b.categorical_features))
-    rows = []
-    for g in range(len(t.feature)):  # one entry for each node of the model
-        leaf = t.yes[g] == g
-        cats = "|".join(str(c) for c in np.flatnonzero(t.cat_table[t.cat_row[g]])) if t.cat_row[g] >= 0 else None
-        rows.append((
-            g, None if leaf else b.feature_names[t.feature[g]], None if leaf or cats is not None else float(t.threshold[g]), cats,
-            *[None if leaf else int(x[g]) % per_tree for x in (t.yes, t.no, t.missing)], float(t.leaf[g]) if leaf else None,
-        ))
-    arrays = spark.createDataFrame(rows, "g long, feature string, threshold double, categories string, yes_id long, no_id long, missing_id long, leaf double")
-    nodes = saved.select(F.col("tree_id").cast("bigint").alias("tree_id"), F.col("node_id").cast("bigint").alias("node_id"), "kind")
-    return nodes.join(arrays, F.col("g") == F.col("tree_id") * per_tree + F.col("node_id")).select(
-        "tree_id", "node_id", "feature", "kind", _r(F.col("threshold")).alias("threshold"), "categories", "yes_id", "no_id", "missing_id",
-        _r(F.col("leaf")).alias("leaf"),
+    trees, nodes = load_model(saved, list(b.feature_names), list(b.categorical_features))
+    loaded = b.with_model("1", b.run_id, trees, nodes)
+    features, *layout = FE.preprocess_sparse(_media(spark, sf), loaded)
+    leaves = features.select(F.explode(sparse_scores(features, loaded, *layout, reached=True)).alias("end"))
+    reached = leaves.groupBy("end").agg(F.count(F.lit(1)).alias("n_rows"))
+    here = F.shiftleft(F.col("tree_id").cast("bigint"), 32) + F.col("node_id")
+    return saved.join(reached, here == F.col("end")).select(
+        F.col("tree_id").cast("bigint").alias("tree_id"), F.col("node_id").cast("bigint").alias("node_id"), "kind", _r(saved["leaf"]).alias("value"), "n_rows"
     )
 
 
+def q_artifact_integrity(spark, sf):
+    """Versions against their manifests: 10 is whole; of 12 five trees of
+    eight and one vocabulary value have arrived; of 13 a normalisation bound
+    is not what was written; the upload of 14 has not ended."""
+    from mediascore.sources.artifacts import artifact_integrity, save_bundle_artifacts, write_json_artifact
+
+    root = scratch_path(spark, "artifacts")
+    norm, schema, vocab = artifacts_for(spark, sf)
+    b = bundle_for(spark, sf, version="10")
+    feats = list(b.feature_names)
+    nodes = materialize(fixture_nodes(spark, feats, ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features), version_offset("10")), "nodes")
+    for v in ("10", "12", "13"):
+        save_bundle_artifacts(root, v, normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes, feature_names=feats, model_name=MODEL, run_id=f"run-{v}")
+    nodes.where("tree_id < 5").write.mode("overwrite").parquet(f"{root}/12/nodes")
+    vocab.where((F.col("column") == "original_language") & (F.col("code") == 0)).write.mode("overwrite").parquet(f"{root}/12/vocab")
+    write_json_artifact(norm.withColumn("max", F.when(F.col("feature") == "runtime", F.col("max") + 1).otherwise(F.col("max"))), f"{root}/13/normalization")
+    nodes.write.parquet(f"{root}/14/nodes")
+    out = None
+    for v in ("10", "12", "13", "14"):
+        one = artifact_integrity(spark, root, v)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # -- features ---------------------------------------------------------------------------------
 def q_normalize_minmax(spark, sf):
     b = bundle_for(spark, sf)
@@ -475,13 +491,46 @@ def q_results_envelope(spark, sf):
     """Results of every accepted request in input order; a request without
     items comes back with an empty list (one row with nulls here)."""
     items = envelope_items(accept_envelopes(_envelopes(spark, sf)), outer=True)
-    scored = predict(items, bundle_for(spark, sf), keep=("request_id", "pos", "imdb_id"))
+    scored = predict(items, bundle_for(spark, sf), keep=("request_id", ENVELOPE, "pos", "imdb_id"))
     env = results_envelope(scored)
     return env.select(F.col("request_id").cast("bigint").alias("request_id"), F.posexplode_outer("results").alias("pos", "r")).select(
         "request_id", F.col("pos").cast("bigint").alias("pos"), "r.imdb_id", "r.prediction", _r(F.col("r.probability")).alias("probability")
     )
 
 
+def _failing(spark, sf) -> DataFrame:
+    """Outcomes of all records, ten to a request, with a normalisation table
+    whose release_year is constant at its least value: a record of any other
+    year cannot be scored, and fails its request."""
+    b = bundle_for(spark, sf)
+    least = b.normalization["release_year"][0]
+    degenerate = replace(b, normalization={**b.normalization, "release_year": (least, least)})
+    items = media_items(spark, sf).select(
+        (F.col("p_partkey") / ITEMS_PER_REQUEST).cast("bigint").alias("request_id"), (F.col("p_partkey") % ITEMS_PER_REQUEST).cast("int").alias("pos"), *FIELDS
+    )
+    return request_outcomes(outcomes(items, degenerate, keep=("request_id", "pos", "imdb_id")))
+
+
+def q_score_failures(spark, sf):
+    """The items that failed their requests, and why."""
+    bad = _failing(spark, sf).select("request_id", F.inline("failures"))
+    return bad.select("request_id", F.col("pos").cast("bigint").alias("pos"), "imdb_id", "reason")
+
+
+def q_score_answers(spark, sf):
+    """The results of the requests without a failing item."""
+    good = _failing(spark, sf).where(F.col("results").isNotNull()).select("request_id", F.posexplode("results").alias("pos", "r"))
+    return good.select("request_id", F.col("pos").cast("bigint").alias("pos"), "r.imdb_id", "r.prediction", _r(F.col("r.probability")).alias("probability"))
+
+
+def q_results_by_envelope(spark, sf):
+    """Two envelopes share every request_id: each has its own results."""
+    items = envelope_items(accept_envelopes(_envelopes(spark, sf).withColumn("request_id", F.expr("request_id div 2"))), outer=True)
+    env = results_envelope(predict(items, bundle_for(spark, sf), keep=("request_id", ENVELOPE, "pos", "imdb_id")))
+    ids = F.array_join(F.transform("results", lambda r: r["imdb_id"]), "|")
+    return env.select("request_id", F.size("results").cast("bigint").alias("n_results"), ids.alias("ids"))
+
+
 def q_envelope_rejections(spark, sf):
     """Why requests were rejected: request, item position and rule."""
     return envelope_rejections(_envelopes(spark, sf)).select(*_keys(), "rule")
@@ -520,6 +569,16 @@ def q_model_metadata(spark, sf):
     )
 
 
+def q_registry_metadata(spark, sf):
+    """The latest version of every model of the supplier registry with its
+    run's metrics and params, folded from their rows."""
+    runs = folded_runs(*event_runs(spark, sf))
+    return with_runs(latest_model_version(supplier_registry(spark, sf)), runs).select(
+        "model_name", "version", "run_id", "stage", F.array_join(F.array_sort(F.transform(F.map_entries("run_metrics"), lambda e: F.concat(e["key"], F.lit("="), F.round(e["value"] * 100).cast("bigint").cast("string")))), "|").alias("metrics_x100"),
+        _entries("run_params"),
+    )
+
+
 def _entries(c: str) -> Column:
     """A map as sorted key=value text."""
     pairs = F.transform(F.map_entries(c), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
@@ -559,31 +618,56 @@ def q_stream_score(spark, sf):
 
 
 def _refreshed(spark, sf) -> str:
-    """Start on version 10; the registry then names 11, a broken upload whose
-    node table is empty: every micro-batch keeps scoring with 10.  Versions
-    are loaded from their artifact folders under the shared checkpoint folder.
+    """Three thirds of the requests arrive one after the other, each with a new
+    version in the registry and a new driver: 9, then 10, then 11, whose
+    upload has not ended, so that 10 goes on.  Versions are loaded from their
+    artifact folders; what the drivers hand on lies under the checkpoint.
     Returns the folder of the sinks."""
     from mediascore.sources.artifacts import load_bundle_artifacts, save_bundle_artifacts
-    from mediascore.streaming import ModelRefresher, start_refreshing_stream
+    from mediascore.streaming import ModelRefresher, VersionLog, start_refreshing_stream
 
-    root = scratch_path(spark, "artifacts")
+    root, base = scratch_path(spark, "artifacts"), scratch_path(spark, "streams")
     norm, schema, vocab = artifacts_for(spark, sf)
-    b10 = bundle_for(spark, sf, version="10")
-    feats = list(b10.feature_names)
-    good = fixture_nodes(spark, feats, ORACLE_TREES, ORACLE_DEPTH, list(b10.categorical_features), version_offset("10"))
-    for v, nodes in (("10", good), ("11", good.limit(0))):
-        save_bundle_artifacts(root, v, normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes,
-                              feature_names=feats, model_name=MODEL, run_id=f"run-{v}")
-    versions = registry_versions(spark, include_broken=True)
-    refresher = ModelRefresher(load_bundle_artifacts(spark, root, "10"), lambda: resolve_version(versions, MODEL),
-                               lambda v: load_bundle_artifacts(spark, root, v))
-    src = _stream_source(spark, sf)
-    base = src.rsplit("/", 1)[0]
-    start_refreshing_stream(spark, refresher, src, base + "/scored", base + "/ckpt", base + "/quarantine",
-                            max_files_per_trigger=1).awaitTermination()
+    b = bundle_for(spark, sf)
+    feats = list(b.feature_names)
+    for v in ("9", "10", "11"):
+        nodes = fixture_nodes(spark, feats, ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features), version_offset(v))
+        if v == "11":
+            nodes.write.parquet(f"{root}/{v}/nodes")
+        else:
+            save_bundle_artifacts(root, v, normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes,
+                                  feature_names=feats, model_name=MODEL, run_id=f"run-{v}")
+    raw = media_raw(spark, sf)
+    for k, newest in enumerate(("9", "10", "11")):
+        raw.where(F.col("request_id") % 3 == k).select("value").coalesce(2).write.mode("append").text(base + "/source")
+        versions = registry_versions(spark, include_broken=True).where(F.col("version").cast("int") <= int(newest))
+        refresher = ModelRefresher(None, lambda: resolve_version(versions, MODEL), lambda v: load_bundle_artifacts(spark, root, v),
+                                   VersionLog(spark, base + "/ckpt/versions"))
+        start_refreshing_stream(spark, refresher, base + "/source", base + "/scored", base + "/ckpt", base + "/quarantine").awaitTermination()
+    return base
+
+
+def _streamed_envelopes(spark, sf) -> str:
+    from mediascore.streaming import start_envelope_stream
+
+    base = scratch_path(spark, "streams")
+    media_envelopes(spark, sf).repartition(4).write.parquet(base + "/source")
+    start_envelope_stream(spark, bundle_for(spark, sf), base + "/source", base, base + "/ckpt", max_files_per_trigger=1).awaitTermination()
     return base
 
 
+def q_stream_envelopes(spark, sf):
+    """Results of envelopes that arrive in a stream: those of the batch."""
+    env = spark.read.parquet(_streamed_envelopes(spark, sf) + "/results")
+    return env.select("request_id", F.posexplode_outer("results").alias("pos", "r")).select(
+        "request_id", F.col("pos").cast("bigint").alias("pos"), "r.imdb_id", "r.prediction", _r(F.col("r.probability")).alias("probability")
+    )
+
+
+def q_stream_envelope_rejections(spark, sf):
+    return spark.read.parquet(_streamed_envelopes(spark, sf) + "/rejections").select("request_id", F.col("pos").cast("bigint").alias("pos"), "rule")
+
+
 def q_stream_model_refresh(spark, sf):
     out = spark.read.parquet(_refreshed(spark, sf) + "/scored")
     return out.select("imdb_id", "model_version", _r(F.col("probability")).alias("probability"))
@@ -617,6 +701,7 @@ QUERIES = {
     "load_normalization": q_load_normalization,
     "load_category_schema": q_load_category_schema,
     "load_model": q_load_model,
+    "artifact_integrity": q_artifact_integrity,
     "category_map_parse": q_category_map_parse,
     "category_map_build": q_category_map_build,
     "clean_values": q_clean_values,
@@ -639,11 +724,17 @@ QUERIES = {
     "predict_batch": q_predict_batch,
     "results_envelope": q_results_envelope,
     "envelope_rejections": q_envelope_rejections,
+    "results_by_envelope": q_results_by_envelope,
+    "score_failures": q_score_failures,
+    "score_answers": q_score_answers,
     "latest_model_version": q_latest_model_version,
     "pinned_version": q_pinned_version,
     "model_metadata": q_model_metadata,
+    "registry_metadata": q_registry_metadata,
     "artifact_summary": q_artifact_summary,
     "stream_score": q_stream_score,
+    "stream_envelopes": q_stream_envelopes,
+    "stream_envelope_rejections": q_stream_envelope_rejections,
     "stream_model_refresh": q_stream_model_refresh,
     "stream_refresh_quarantine": q_stream_refresh_quarantine,
 }

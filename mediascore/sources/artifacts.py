@@ -18,10 +18,12 @@ from mediascore.bundle import (
     ArtifactError,
     ArtifactReadError,
     Bundle,
+    IncompleteUpload,
+    bounded_arrow,
     bounded_collect,
 )
 from mediascore.functions.text import parse_printed_array
-from mediascore.operators.category import category_map_table
+from mediascore.operators.category import category_names
 from mediascore.operators.trees import tree_arrays
 
 NODE_SCHEMA = T.StructType(
@@ -89,41 +91,62 @@ def load_normalization(table: DataFrame, pos: str | None = None) -> dict[str, tu
 
 # -- category schema -----------------------------------------------------------
 def category_schema_rows(table: DataFrame) -> DataFrame:
-    """(original_column, column_names ARRAY<STRING>) whatever the mapping form.
-
-    ``exploded_mapping`` may be a list or a printed array string.
+    """(original_column, column_names ARRAY<STRING>) whatever the form: the
+    long form has a row for each column_name; in the list form
+    ``exploded_mapping`` is a list or a printed array string.
     """
+    if is_long(table):
+        return table.select(F.col("original_column").cast("string").alias("original_column"), F.array(F.col("column_name").cast("string")).alias("column_names"))
     mapping = table.schema["exploded_mapping"].dataType
     cols = F.col("exploded_mapping")
     parsed = cols if isinstance(mapping, T.ArrayType) else parse_printed_array(cols.cast("string"))
     return table.select(F.col("original_column").cast("string").alias("original_column"), parsed.alias("column_names"))
 
 
+def is_long(table: DataFrame) -> bool:
+    """Whether a category schema has a row for each encoded column; its names go by name."""
+    return "column_name" in table.columns
+
+
 def category_schema_from_long(long_table: DataFrame) -> DataFrame:
     """The list form of a long (original_column, column_name) schema table,
-    names sorted within each column.  One row per original column; the list is
-    bounded by that column's distinct categories."""
+    names sorted within each column: the exchange format, in which a column's
+    names are one value.  The library itself keeps the long form."""
     return long_table.groupBy("original_column").agg(
         F.sort_array(F.collect_list("column_name")).alias("exploded_mapping")
     ).orderBy("original_column")
 
 
-def load_category_schema(table: DataFrame) -> tuple[tuple[str, tuple[str, ...]], ...]:
-    """(original column, encoded names) in table order; the names are counted
-    before any are collected."""
-    rows = category_schema_rows(table)
+def _schema_size(rows: DataFrame) -> None:
+    """The names are counted before any are collected."""
     total = rows.agg(F.sum(F.greatest(F.size("column_names"), F.lit(1)))).first()[0] or 0
     if total > MAX_SCHEMA_COLUMNS:
         raise ArtifactError(f"category schema: {total} encoded columns exceed {MAX_SCHEMA_COLUMNS}")
-    return tuple((r["original_column"], tuple(r["column_names"] or ())) for r in rows.collect())
+
+
+def load_category_schema(table: DataFrame) -> tuple[tuple[str, tuple[str, ...]], ...]:
+    """(original column, encoded names): the list form in table order, the long
+    form by column and name."""
+    rows = category_schema_rows(table)
+    _schema_size(rows)
+    found = rows.collect()
+    if not is_long(table):
+        return tuple((r["original_column"], tuple(r["column_names"] or ())) for r in found)
+    names: dict[str, list[str]] = {}
+    for r in sorted(found, key=lambda r: (r["original_column"], r["column_names"])):
+        names.setdefault(r["original_column"], []).extend(r["column_names"])
+    return tuple((c, tuple(n)) for c, n in names.items())
 
 
 def load_category_maps(table: DataFrame) -> dict[str, dict[str, str]]:
-    """Per original column: category -> encoded column, in schema order."""
-    rows = category_map_table(category_schema_rows(table))
+    """Per original column: category -> encoded column, in schema order; of
+    names with the same category the last wins."""
+    rows = category_schema_rows(table)
+    _schema_size(rows)
+    named = category_names(rows).where(F.col("category").isNotNull()).collect()
     out: dict[str, dict[str, str]] = {}
-    for r in sorted(bounded_collect(rows, MAX_SCHEMA_COLUMNS, "category map"), key=lambda r: r["first_pos"]):
-        out.setdefault(r["original_column"], {})[r["category"]] = r["column_name"]
+    for r in sorted(named, key=lambda r: (r["original_column"], r["name"]) if is_long(table) else r["pos"]):
+        out.setdefault(r["original_column"], {})[r["category"]] = r["name"]
     return out
 
 
@@ -137,13 +160,12 @@ def load_vocab(table: DataFrame) -> dict[str, dict[str, int]]:
 
 # -- model ------------------------------------------------------------------------
 def load_model(nodes: DataFrame, feature_names: list[str], categorical: list[str]):
-    """Node table -> (TreeArrays, node rows).  An empty node table is an
-    artifact error (a broken version must never replace a good one)."""
-    rows = bounded_collect(nodes.select(*NODE_SCHEMA.fieldNames()), MAX_MODEL_NODES, "model nodes")
-    if not rows:
+    """Node table -> (TreeArrays, its columns in Arrow).  An empty node table
+    is an artifact error (a broken version must never replace a good one)."""
+    table = bounded_arrow(nodes.select(*NODE_SCHEMA.fieldNames()), MAX_MODEL_NODES, "model nodes")
+    if not table.num_rows:
         raise ArtifactError("model has no nodes")
-    node_rows = tuple(r.asDict() for r in rows)
-    return tree_arrays(node_rows, feature_names, categorical), node_rows
+    return tree_arrays(table, feature_names, categorical), table
 
 
 def build_bundle(
@@ -185,37 +207,100 @@ META_SCHEMA = T.StructType([
 ])
 
 
+MANIFEST_SCHEMA = T.StructType([
+    T.StructField("artifact", T.StringType()), T.StructField("rows", T.LongType()), T.StructField("digest", T.StringType()),
+])
+#: What a version's folder holds, and whether as a JSON list or as parquet.
+ARTIFACTS = {"normalization": "json", "schema": "parquet", "vocab": "parquet", "meta": "json", "nodes": "parquet"}
+
+
 def save_bundle_artifacts(root: str, version: str, *, normalization: DataFrame, category_schema: DataFrame,
                           vocab: DataFrame, nodes: DataFrame, feature_names: list[str], model_name: str,
                           run_id: str = "", base_margin: float = 0.0) -> str:
-    """Write one model version as ``<root>/<version>/{normalization,schema,
-    vocab,meta}`` (JSON list files) and ``nodes`` (parquet)."""
+    """Write one model version as ``<root>/<version>/{normalization,meta}``
+    (JSON list files) and ``{schema,vocab,nodes}`` (parquet, written in
+    parallel), and last of all ``manifest``, which says what a whole upload holds."""
     spark = nodes.sparkSession
     path = f"{root.rstrip('/')}/{version}"
     write_json_artifact(normalization, path + "/normalization")
-    write_json_artifact(category_schema, path + "/schema")
-    write_json_artifact(vocab, path + "/vocab")
+    category_schema.write.mode("overwrite").parquet(path + "/schema")
+    vocab.write.mode("overwrite").parquet(path + "/vocab")
     meta = spark.createDataFrame([(model_name, str(version), run_id, float(base_margin), list(feature_names))], META_SCHEMA)
     write_json_artifact(meta, path + "/meta")
     nodes.select(*NODE_SCHEMA.fieldNames()).write.mode("overwrite").parquet(path + "/nodes")
+    write_json_artifact(_states({name: _read(spark, path, name) for name in ARTIFACTS}), path + "/manifest")
     return path
 
 
+def _read(spark: SparkSession, path: str, name: str) -> DataFrame:
+    if ARTIFACTS[name] == "json":
+        return read_json_artifact(spark, f"{path}/{name}", META_SCHEMA if name == "meta" else None)
+    return (spark.read.schema(NODE_SCHEMA) if name == "nodes" else spark.read).parquet(f"{path}/{name}")
+
+
+def _states(tables: dict[str, DataFrame]) -> DataFrame:
+    """(artifact, rows, digest) of tables; the digest is the sum of the rows'
+    hashes, so the order of rows and columns does not matter."""
+    out = None
+    for name, t in tables.items():
+        row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(t.columns)]))
+        total = F.coalesce(F.sum(F.xxhash64(row).cast("decimal(38,0)")), F.lit(0)).cast("string")
+        one = t.agg(F.count("*").alias("rows"), total.alias("digest")).select(F.lit(name).alias("artifact"), "rows", "digest")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def artifact_integrity(spark: SparkSession, root: str, version: str) -> DataFrame:
+    """(version, artifact, expected_rows, found_rows, reason) of a version's
+    tables against its manifest: reason is null where the table is as it was
+    written, else ``missing``, ``rows`` or ``content``.  Without a manifest
+    the upload has not ended: one row, ``manifest`` and ``unfinished upload``."""
+    path = f"{root.rstrip('/')}/{version}"
+    schema = "version string, artifact string, expected_rows long, found_rows long, reason string"
+    try:
+        # five rows
+        expected = {r["artifact"]: r for r in bounded_collect(read_json_artifact(spark, path + "/manifest", MANIFEST_SCHEMA), 100, "manifest")}
+    except ArtifactError:
+        raise
+    except Exception:  # no such file yet
+        expected = {}
+    if not expected:
+        return spark.createDataFrame([(str(version), "manifest", None, None, "unfinished upload")], schema)
+    tables = {}
+    for name in ARTIFACTS:
+        try:
+            tables[name] = _read(spark, path, name)
+        except Exception:  # the folder is not there: reported below
+            continue
+    found = {r["artifact"]: r for r in _states(tables).collect()} if tables else {}
+    rows = []
+    for name in ARTIFACTS:
+        want, have = expected.get(name), found.get(name)
+        reason = "missing" if want is None or have is None else "rows" if want["rows"] != have["rows"] else "content" if want["digest"] != have["digest"] else None
+        rows.append((str(version), name, want and want["rows"], have and have["rows"], reason))
+    return spark.createDataFrame(rows, schema)
+
+
 def load_bundle_artifacts(spark: SparkSession, root: str, version: str, categorical_mode: str = "vocab") -> Bundle:
-    """Read one model version back into a frozen Bundle.  An empty or
-    inconsistent artifact raises ArtifactError, one that cannot be read now
+    """Read one model version back into a frozen Bundle, all of it or nothing:
+    a version whose manifest is not there yet, or whose tables are not those
+    of the manifest, raises IncompleteUpload, which names the table.  An empty
+    or inconsistent artifact raises ArtifactError, one that cannot be read now
     ArtifactReadError (the caller keeps its last good bundle)."""
     path = f"{root.rstrip('/')}/{version}"
     try:
-        meta_rows = bounded_collect(read_json_artifact(spark, path + "/meta", META_SCHEMA), 1, "model meta")
+        broken = [r for r in artifact_integrity(spark, root, version).collect() if r["reason"]]
+        if broken:
+            raise IncompleteUpload(f"version {version}: " + "; ".join(f"{r['artifact']}: {r['reason']}" for r in broken))
+        meta_rows = bounded_collect(_read(spark, path, "meta"), 1, "model meta")
         if not meta_rows:
             raise ArtifactError(f"version {version}: empty meta")
         meta = meta_rows[0]
         return build_bundle(
-            normalization=read_json_artifact(spark, path + "/normalization"),
-            category_schema=read_json_artifact(spark, path + "/schema"),
-            vocab=read_json_artifact(spark, path + "/vocab"),
-            nodes=spark.read.schema(NODE_SCHEMA).parquet(path + "/nodes"),
+            normalization=_read(spark, path, "normalization"),
+            category_schema=_read(spark, path, "schema"),
+            vocab=_read(spark, path, "vocab"),
+            nodes=_read(spark, path, "nodes"),
             feature_names=list(meta["feature_names"] or []),
             model_name=meta["model_name"], version=meta["version"], run_id=meta["run_id"] or "",
             base_margin=meta["base_margin"] or 0.0, categorical_mode=categorical_mode,

@@ -34,6 +34,7 @@ DEFECTS = {
     7: "language eng", 8: "genre of 45 characters", 9: "null list element",
     10: "truncated JSON", 11: "year as text (valid)", 12: "year 1994.5",
     13: "extra unknown field (valid)",
+    59: "a closing bracket and text after the record", 60: "a closing bracket and another record",
     55: "text after the record", 56: "year true (a boolean counts as 1)", 57: "a string instead of a record",
 }
 # Fields that are sent with another JSON value: defect -> (field, JSON text,
@@ -82,10 +83,17 @@ OVERRIDES: dict[int, tuple[str, str, str | None, str | None]] = {
     53: ("tagline", '{"x":1}', None, "tagline:type"),
     54: ("overview", "true", None, "overview:type"),
     58: ("tmdb_rating", "8.70000000000000000001", "8.7000009", None),  # any value with too many places
+    61: ("budget", '"1e2"', None, "budget:type"),
+    62: ("revenue", '"-1_0"', "-10", None),
+    63: ("budget", "-1e2", "-100", None),
+    64: ("tmdb_votes", "-1.0E7", "-10000000", None),
+    65: ("imdb_rating", '" 1_00.5 "', "100.5", None),
+    66: ("runtime", '"1994."', None, "runtime:type"),
 }
 ITEMS_PER_REQUEST = 10
 BARE_ARRAY_EVERY = 37  # request_id % 37 == 5 -> a bare top-level array
 EMPTY_EVERY = 41  # request_id % 41 == 7 -> a request without items
+JUNK_EVERY = 39  # request_id % 39 == 11 -> text after the envelope, begun by a closing bracket
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -184,6 +192,8 @@ def media_raw(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
         .when(d == 11, F.regexp_replace(js, r'"release_year":([0-9]+)', '"release_year":"$1"'))
         .when(d == 12, F.regexp_replace(js, r'"release_year":([0-9]+)', '"release_year":$1.5'))
         .when(d == 55, F.concat(js, F.lit(" trailing")))
+        .when(d == 59, F.concat(js, F.lit("]junk")))
+        .when(d == 60, F.concat(js, F.lit('] {"imdb_id":"x"}')))
         .when(d == 56, F.regexp_replace(js, r'"release_year":([0-9]+)', '"release_year":true'))
         .when(d == 57, F.lit('"record"'))
         .when(d == 13, F.regexp_replace(js, r"^\{", '{"title":"extra",'))
@@ -199,8 +209,8 @@ def media_raw(spark: SparkSession, sf_dir: str, items: DataFrame | None = None)
 def media_envelopes(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """One batch request per ``request_id``: ``{"items":[...]}`` in ``pos``
     order (at most ITEMS_PER_REQUEST items by construction); every 37th
-    request is sent as a bare array, which is not a valid envelope, and every
-    41st without items, which is."""
+    request is sent as a bare array and every 39th with text after it, which are
+    no valid envelopes, and every 41st without items, which is one."""
     raw = raw if raw is not None else media_raw(spark, sf_dir)
     grouped = raw.groupBy("request_id").agg(
         F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("xs")
@@ -209,7 +219,8 @@ def media_envelopes(spark: SparkSession, sf_dir: str, raw: DataFrame | None = No
     text = F.when(
         F.col("request_id") % BARE_ARRAY_EVERY == 5, F.concat(F.lit("["), body, F.lit("]"))
     ).when(F.col("request_id") % EMPTY_EVERY == 7, F.lit('{"items":[]}')).otherwise(F.concat(F.lit('{"items":['), body, F.lit("]}")))
-    return grouped.select("request_id", text.alias("value"))
+    junk = F.when(F.col("request_id") % JUNK_EVERY == 11, F.lit("]junk")).otherwise(F.lit(""))
+    return grouped.select("request_id", F.concat(text, junk).alias("value"))
 
 
 # -- fixture model --------------------------------------------------------------------

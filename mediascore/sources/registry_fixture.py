@@ -8,6 +8,7 @@ to show that a refresh keeps the last good model.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MODEL = "m1"
@@ -46,3 +47,28 @@ def registry_runs(spark: SparkSession, n_trees: int, depth: int) -> DataFrame:
         for v, _ in rows
     ]
     return spark.createDataFrame(data, RUNS_SCHEMA)
+
+
+def supplier_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A registry that grows with the data: suppliers as model versions, those
+    of a nation being one model's; account balances give the stage."""
+    s = spark.read.parquet(f"{sf_dir.rstrip('/')}/supplier.parquet")
+    version = F.col("s_suppkey").cast("string")
+    stage = F.when(F.col("s_acctbal") > 8000, "Production").when(F.col("s_acctbal") > 4000, "Staging").when(F.col("s_acctbal") > 0, "None").otherwise("Archived")
+    return s.select(
+        F.concat(F.lit("nation-"), F.col("s_nationkey").cast("string")).alias("model_name"), version.alias("version"), stage.alias("stage"),
+        F.concat(F.lit("run-"), (F.col("s_suppkey") % 50).cast("string")).alias("run_id"), F.lit("READY").alias("status"), F.col("s_name").alias("description"),
+        F.col("s_suppkey").alias("creation_timestamp"), (F.col("s_suppkey") * 2).alias("last_updated_timestamp"), F.create_map(F.lit("nation"), F.col("s_nationkey").cast("string")).alias("tags"),
+    )
+
+
+def event_runs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Metric and parameter rows of runs as a store holds them: every event is
+    a value of a metric (its type) of its user's run, every order's priority a
+    parameter of its customer's run."""
+    e = spark.read.parquet(f"{sf_dir.rstrip('/')}/events.parquet")
+    run = lambda c: F.concat(F.lit("run-"), (F.col(c) % 50).cast("string"))
+    metrics = e.select(run("user_id").alias("run_id"), F.col("event_type").alias("key"), "value", (F.col("event_id") % 97).alias("step"), F.unix_micros(F.col("ts").cast("timestamp")).alias("timestamp"))
+    o = spark.read.parquet(f"{sf_dir.rstrip('/')}/orders.parquet")
+    params = o.select(run("o_custkey").alias("run_id"), F.concat(F.lit("priority-"), F.col("o_orderstatus")).alias("key"), F.col("o_orderpriority").alias("value"))
+    return metrics, params

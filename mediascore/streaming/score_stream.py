@@ -1,11 +1,16 @@
-"""Streaming jobs over arriving JSON-lines files.
+"""Streaming jobs over arriving files.
 
-* ``start_scoring_stream`` -- parse -> validate -> score every valid record
-  with a fixed bundle; invalid records go to a quarantine sink.
+* ``start_scoring_stream`` -- JSON lines: parse -> validate -> score every
+  valid record with a fixed bundle; invalid records, and those that cannot be
+  scored, go to a quarantine sink with the reason.
+* ``start_envelope_stream`` -- batch envelopes: one stateless pass with three
+  sinks, the results by request, the rejections and the failures.
 * ``start_refreshing_stream`` -- ``foreachBatch``: at the head of every
   micro-batch the registry is asked for the latest version; a new version is
   loaded and swapped in as one immutable bundle, a failing load or check keeps
-  the last good bundle.  Every row is written with the version that scored it.
+  the last good bundle.  Every row is written with the version that scored it,
+  and the version is noted under the checkpoint before the micro-batch is
+  scored, so a replay after a lost driver scores with the same one.
 
 Checkpoints and sinks live under the shared checkpoint folder; a micro-batch
 writes its own ``batch=<id>`` folder in overwrite mode, so a replayed batch
@@ -22,9 +27,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from mediascore.bundle import ArtifactError, ArtifactReadError, Bundle
-from mediascore.operators.validate import validate, validate_split_quarantine, validate_split_valid
-from mediascore.plans.predict import predict
-from mediascore.sources.records import scan_json_records
+from mediascore.operators.validate import accept_envelopes, envelope_rejections, validate, validate_envelopes, validate_split_quarantine, validate_split_valid
+from mediascore.plans.predict import REASON, outcomes, request_outcomes
+from mediascore.sources.marks import drop_mark, read_mark, write_mark
+from mediascore.sources.records import ENVELOPE, envelope_items, scan_batch_envelope, scan_json_records
 
 log = logging.getLogger(__name__)
 
@@ -38,24 +44,30 @@ def _lines(spark: SparkSession, source_dir: str, max_files_per_trigger: int | No
 
 def _write_batch(batch: DataFrame, batch_id: int, bundle: Bundle, sink_dir: str, quarantine_dir: str | None) -> None:
     """Parse and validate a micro-batch once; valid records are scored into
-    one sink, the others go with their errors into the other."""
-    validated = validate(scan_json_records(batch)).persist()
+    one sink, the others go with their errors into the other, as do those that
+    cannot be scored, with the reason: no record ends the stream."""
+    validated = validate(scan_json_records(batch)).withColumn("__no", F.monotonically_increasing_id()).persist()
+    scored = outcomes(validate_split_valid(validated), bundle, keep=("imdb_id", "__no")).persist()
     try:
-        scored = predict(validate_split_valid(validated), bundle).withColumn("model_version", F.lit(bundle.version))
-        scored.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
+        good = scored.where(F.col(REASON).isNull()).select("imdb_id", "prediction", "probability", F.lit(bundle.version).alias("model_version"))
+        good.write.mode("overwrite").parquet(f"{sink_dir}/batch={batch_id}")
         if quarantine_dir:
-            bad = validate_split_quarantine(validated).withColumn("errors", F.array_join("errors", "|"))
-            bad.write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+            invalid = validate_split_quarantine(validated).withColumn("errors", F.array_join("errors", "|"))
+            failed = scored.where(F.col(REASON).isNotNull()).select(F.col("__no").alias("__failed"), REASON)
+            unscored = validated.join(failed, F.col("__no") == F.col("__failed")).withColumn("errors", F.col(REASON)).drop("__failed", REASON)
+            invalid.unionByName(unscored).drop("__no").write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
     finally:
+        scored.unpersist()
         validated.unpersist()
 
 
-def _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger) -> StreamingQuery:
+def _run(source: DataFrame, per_batch, checkpoint_dir: str, available_now: bool) -> StreamingQuery:
     trig = {"availableNow": True} if available_now else {"processingTime": "10 seconds"}
-    return (
-        _lines(spark, source_dir, max_files_per_trigger).writeStream.foreachBatch(per_batch)
-        .option("checkpointLocation", checkpoint_dir).trigger(**trig).start()
-    )
+    return source.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir).trigger(**trig).start()
+
+
+def _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger) -> StreamingQuery:
+    return _run(_lines(spark, source_dir, max_files_per_trigger), per_batch, checkpoint_dir, available_now)
 
 
 def start_scoring_stream(
@@ -71,23 +83,107 @@ def start_scoring_stream(
     return _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger)
 
 
+def start_envelope_stream(
+    spark: SparkSession, bundle: Bundle, source_dir: str, sink_dir: str, checkpoint_dir: str,
+    available_now: bool = True, max_files_per_trigger: int | None = None,
+) -> StreamingQuery:
+    """Batch envelopes (request_id, value) that arrive as parquet files.  Each
+    micro-batch is parsed and checked once and written to three sinks under
+    ``sink_dir``: ``results`` (request_id, results in input order),
+    ``rejections`` (request_id, pos, rule) of envelopes with a broken item, and
+    ``failures`` (request_id, pos, imdb_id, reason) of envelopes with an item
+    that cannot be scored.  Every envelope is answered in one of them."""
+    reader = spark.readStream.schema("request_id long, value string")
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+
+    def per_batch(batch: DataFrame, batch_id: int) -> None:
+        checked = validate_envelopes(scan_batch_envelope(batch)).persist()
+        items = envelope_items(accept_envelopes(checked), outer=True)
+        folded = request_outcomes(outcomes(items, bundle, keep=("request_id", ENVELOPE, "pos", "imdb_id"))).persist()
+        try:
+            sinks = {
+                "results": folded.where(F.col("results").isNotNull()).select("request_id", "results"),
+                "rejections": envelope_rejections(checked),
+                "failures": folded.select("request_id", F.inline("failures")),
+            }
+            for name, rows in sinks.items():
+                rows.write.mode("overwrite").parquet(f"{sink_dir}/{name}/batch={batch_id}")
+        finally:
+            folded.unpersist()
+            checked.unpersist()
+
+    return _run(reader.parquet(source_dir), per_batch, checkpoint_dir, available_now)
+
+
+class VersionLog:
+    """Which version scores each micro-batch, and the last one that loaded:
+    marks in a folder of the checkpoint that outlive the driver."""
+
+    #: As many marks are kept as the checkpoint keeps batches (its default), twice.
+    KEPT = 200
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+
+    def version(self, batch_id: int) -> str | None:
+        return read_mark(self.spark, f"{self.folder}/batch-{batch_id}")
+
+    def note(self, batch_id: int, version: str) -> None:
+        write_mark(self.spark, f"{self.folder}/batch-{batch_id}", version)
+        drop_mark(self.spark, f"{self.folder}/batch-{batch_id - self.KEPT}")
+
+    def last_good(self) -> str | None:
+        return read_mark(self.spark, f"{self.folder}/last-good")
+
+    def note_good(self, version: str) -> None:
+        write_mark(self.spark, f"{self.folder}/last-good", version)
+
+
 class ModelRefresher:
     """Holds the last good bundle; ``refresh()`` is called once per
     micro-batch on the driver.
 
     A version with bad content (ArtifactError) stays bad, as registry versions
     are immutable, and is not loaded again; any other failure, an unreadable
-    file or an unreachable store, may pass and is tried again at the next
-    micro-batch."""
+    file, an unfinished upload or an unreachable store, may pass and is tried
+    again at the next micro-batch.
 
-    def __init__(self, initial: Bundle, latest: Callable[[], str], load: Callable[[str], Bundle]):
-        self.bundle = initial
+    With a ``log`` the choice is durable: a micro-batch that was begun before
+    is scored with the version noted then, and without an ``initial`` bundle
+    the last one that loaded is taken up again."""
+
+    def __init__(self, initial: Bundle | None, latest: Callable[[], str], load: Callable[[str], Bundle], log: VersionLog | None = None):
         self._latest = latest
         self._load = load
         self._bad: set[str] = set()
+        self.log = log
         self.history: list[tuple[str, str]] = []
-
-    def refresh(self) -> Bundle:
+        if initial is None:
+            known = log.last_good() if log else None
+            initial = load(known or latest())
+        self.bundle = initial
+        self._noted = None
+        self._note_good()
+
+    def _note_good(self) -> None:
+        if self.log and self._noted != self.bundle.version:
+            self.log.note_good(self.bundle.version)
+            self._noted = self.bundle.version
+
+    def refresh(self, batch_id: int | None = None) -> Bundle:
+        if self.log and batch_id is not None:
+            begun = self.log.version(batch_id)
+            if begun is not None:
+                self.history.append(("replayed", begun))
+                return self.bundle if begun == self.bundle.version else self._load(begun)
+        bundle = self._newest()
+        if self.log and batch_id is not None:
+            self._note_good()
+            self.log.note(batch_id, bundle.version)
+        return bundle
+
+    def _newest(self) -> Bundle:
         try:
             wanted = self._latest()
         except Exception as e:  # registry unreachable: keep scoring
@@ -117,9 +213,11 @@ def start_refreshing_stream(
 ) -> StreamingQuery:
     """Score every micro-batch with the newest good bundle; records that break
     a rule go to ``quarantine_dir``, so valid and quarantined rows together are
-    the input."""
+    the input.  The refresher's log is put under the checkpoint if it has none."""
+    if refresher.log is None:
+        refresher.log = VersionLog(spark, f"{checkpoint_dir.rstrip('/')}/versions")
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        _write_batch(batch, batch_id, refresher.refresh(), sink_dir, quarantine_dir)
+        _write_batch(batch, batch_id, refresher.refresh(batch_id), sink_dir, quarantine_dir)
 
     return _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger)

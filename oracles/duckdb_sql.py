@@ -76,10 +76,10 @@ def _raw_field(f: str) -> str:
     """The typed value a field has as sent (null where its type is wrong)."""
     sent = " ".join(f"WHEN d = {k} THEN {value or 'NULL'}" for k, (n, _, value, _) in OVERRIDES.items() if n == f)
     plain = f"CAST({f} AS {_WIDE[f]})" if f in _WIDE else f
-    return f"    CASE WHEN d IN (10, 55, 57) THEN NULL {_OWN.get(f, '')} {sent} ELSE {plain} END AS {f}"
+    return f"    CASE WHEN d IN (10, 55, 57, 59, 60) THEN NULL {_OWN.get(f, '')} {sent} ELSE {plain} END AS {f}"
 
 
-_YEAR_TEXT = """    CASE WHEN d IN (10, 55, 57) THEN NULL WHEN d = 2 THEN '1800' WHEN d = 12 AND release_year IS NOT NULL THEN CAST(release_year AS VARCHAR) || '.5'
+_YEAR_TEXT = """    CASE WHEN d IN (10, 55, 57, 59, 60) THEN NULL WHEN d = 2 THEN '1800' WHEN d = 12 AND release_year IS NOT NULL THEN CAST(release_year AS VARCHAR) || '.5'
          WHEN d = 56 AND release_year IS NOT NULL THEN '1' ELSE CAST(release_year AS VARCHAR) END AS release_year_text"""
 _RAW_FIELDS = ",\n".join([_YEAR_TEXT, *map(_raw_field, FIELDS)])
 RAW_TAIL = f""",
@@ -88,7 +88,7 @@ rw AS (
     p_partkey % 101 AS d, mi.*
   FROM mi),
 rv AS (
-  SELECT request_id, pos, d, d IN (10, 55, 57) AS is_corrupt, d IN (10, 55) AS breaks_envelope,
+  SELECT request_id, pos, d, d IN (10, 55, 57, 59, 60) AS is_corrupt, d IN (10, 55, 59, 60) AS breaks_envelope,
 {_RAW_FIELDS}
   FROM rw)"""
 RAW = MEDIA + RAW_TAIL
@@ -121,7 +121,7 @@ def _rule_sql() -> dict[str, str]:
         r[f"{c}:null_element"] = f"list_bool_or(list_transform({c}, lambda x: x IS NULL))"
     for k, (_, _, _, rule) in OVERRIDES.items():
         if rule:
-            r[rule] = f"d = {k}"
+            r[rule] = f"{r[rule]} OR d = {k}" if rule in r and rule != "release_year:type" else f"d = {k}"
     return r
 
 
@@ -270,8 +270,9 @@ LATEST = """reg AS (SELECT * FROM (VALUES ('1', 'None'), ('2', 'Staging'), ('9',
 latest AS (SELECT version FROM reg ORDER BY CASE stage WHEN 'Production' THEN 0 WHEN 'Staging' THEN 1 ELSE 2 END, CAST(version AS INTEGER) DESC LIMIT 1)"""
 
 
-#: Every 37th request is a bare array; of the others every 41st has no items.
-_BARE, _EMPTY = "request_id % 37 = 5", "(request_id % 37 <> 5 AND request_id % 41 = 7)"
+#: Every 37th request is a bare array, every 39th ends in other text; of the others every 41st has no items.
+_BARE = "(request_id % 37 = 5 OR request_id % 39 = 11)"
+_EMPTY = f"(NOT {_BARE} AND request_id % 41 = 7)"
 
 
 def _is_envelope(corrupt: str) -> str:
@@ -328,20 +329,18 @@ FROM (SELECT unnest(string_split(errors, '|')) AS rule FROM ev WHERE errors <> '
     q["clean_values"] = with_(MEDIA, "\nUNION\n".join(
         f"SELECT DISTINCT '{c}' AS original_column, v AS value, {clean('v')} AS cleaned FROM (SELECT unnest({c}) AS v FROM mi) WHERE v IS NOT NULL AND v <> ''"
         for c in LIST_COLS))
-    q["load_model"] = with_(ARTIFACTS + """,
-nodes AS (SELECT CAST(id // 15 AS BIGINT) AS tree_id, CAST(id % 15 AS BIGINT) AS node_id FROM range(8 * 15) AS r(id)),
-nf AS (SELECT n.*, (7 * tree_id + 3 * node_id) % (SELECT nf FROM fmeta) AS q, node_id >= 7 AS is_leaf FROM nodes n)""",
-        """SELECT tree_id, node_id,
-  CASE WHEN NOT is_leaf THEN fidx.name END AS feature,
-  CASE WHEN is_leaf THEN 'leaf' WHEN fidx.name IN ('original_language', 'production_status') THEN 'cat' ELSE 'num' END AS kind,
-  CASE WHEN NOT is_leaf AND fidx.name NOT IN ('original_language', 'production_status')
-       THEN round(CAST(CAST(((13 * tree_id + 5 * node_id) % 97) / 97 AS FLOAT) AS DOUBLE), 6) END AS threshold,
-  CASE WHEN NOT is_leaf AND fidx.name IN ('original_language', 'production_status') THEN CAST((tree_id + node_id) % 3 AS VARCHAR) END AS categories,
-  CASE WHEN NOT is_leaf THEN 2 * node_id + 1 END AS yes_id,
-  CASE WHEN NOT is_leaf THEN 2 * node_id + 2 END AS no_id,
-  CASE WHEN NOT is_leaf THEN 2 * node_id + 1 END AS missing_id,
-  CASE WHEN is_leaf THEN round(CAST(CAST(((31 * tree_id + 17 * node_id) % 201 - 100) / 1000 AS FLOAT) AS DOUBLE), 6) END AS leaf
-FROM nf JOIN fidx ON fidx.k = nf.q""")
+    q["load_model"] = with_(_scored(), """SELECT CAST(t AS BIGINT) AS tree_id, CAST(i AS BIGINT) AS node_id, 'leaf' AS kind,
+  round(CAST(CAST(((31 * t + 17 * i) % 201 - 100) / 1000 AS FLOAT) AS DOUBLE), 6) AS value, CAST(count(*) AS BIGINT) AS n_rows FROM s3 GROUP BY t, i""")
+    q["artifact_integrity"] = with_(ARTIFACTS + """,
+held AS (
+  SELECT 'normalization' AS artifact, (SELECT CAST(count(*) AS BIGINT) FROM norm) AS n
+  UNION ALL SELECT 'schema', (SELECT CAST(count(*) AS BIGINT) FROM cats)
+  UNION ALL SELECT 'vocab', (SELECT CAST(count(*) AS BIGINT) FROM voc)
+  UNION ALL SELECT 'meta', 1 UNION ALL SELECT 'nodes', 120)""", """SELECT v.version, artifact, n AS expected_rows,
+  CASE WHEN v.version = '12' AND artifact = 'nodes' THEN 75 WHEN v.version = '12' AND artifact = 'vocab' THEN 1 ELSE n END AS found_rows,
+  CASE WHEN v.version = '12' AND artifact IN ('nodes', 'vocab') THEN 'rows' WHEN v.version = '13' AND artifact = 'normalization' THEN 'content' END AS reason
+FROM held CROSS JOIN (VALUES ('10'), ('12'), ('13')) AS v(version)
+UNION ALL SELECT '14', 'manifest', NULL, NULL, 'unfinished upload'""")
     q["normalize_minmax"] = with_(ARTIFACTS, "SELECT imdb_id, " + ", ".join(_norm_expr(f) for f in CONTINUOUS_FIELDS) + " FROM mi")
     q["normalize_nulls"] = with_(ARTIFACTS, "SELECT imdb_id, " + ", ".join(_norm_expr(f) for f in ("release_year", "budget", "revenue"))
                                  + " FROM mi WHERE release_year IS NULL OR budget IS NULL OR revenue IS NULL")
@@ -385,6 +384,20 @@ FROM fidx LEFT JOIN fv ON fv.name = fidx.name GROUP BY fidx.name""")
         f"""SELECT ev.request_id, ev.pos, ev.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability
 FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.request_id IN ({_valid_requests()})
 UNION ALL SELECT DISTINCT request_id, NULL, NULL, NULL, NULL FROM ev WHERE {_EMPTY}""")
+    q["results_by_envelope"] = with_(EV, f"""SELECT request_id // 2 AS request_id, CAST(count(*) AS BIGINT) AS n_results, string_agg(imdb_id, '|' ORDER BY pos) AS ids
+FROM ev WHERE request_id IN ({_valid_requests()}) GROUP BY ev.request_id
+UNION ALL SELECT request_id // 2, 0, '' FROM (SELECT DISTINCT request_id FROM ev WHERE {_EMPTY})""")
+    failing = """fails AS (SELECT p_partkey // 10 AS request_id, p_partkey % 10 AS pos, imdb_id FROM mi
+  WHERE release_year <> (SELECT min(release_year) FROM mi))"""
+    q["score_failures"] = with_(MEDIA + ",\n" + failing, """SELECT CAST(request_id AS BIGINT) AS request_id, CAST(pos AS BIGINT) AS pos, imdb_id,
+  'release_year:degenerate_range' AS reason FROM fails""")
+    constant = ARTIFACTS.replace("norm AS (", "norm0 AS (", 1).replace("mem AS (", """norm AS (
+  SELECT feature, mn, CASE WHEN feature = 'release_year' THEN mn ELSE mx END AS mx FROM norm0),
+mem AS (""", 1)
+    flat = scoring().replace("WHEN nv.x IS NULL THEN", "WHEN nv.x IS NULL OR norm.mx = norm.mn THEN")
+    q["score_answers"] = with_(constant + flat + ",\n" + failing, f"""SELECT CAST(mi.p_partkey // 10 AS BIGINT) AS request_id, CAST(mi.p_partkey % 10 AS BIGINT) AS pos,
+  mi.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability
+FROM mi JOIN sc ON sc.imdb_id = mi.imdb_id WHERE mi.p_partkey // 10 NOT IN (SELECT request_id FROM fails)""")
     q["envelope_rejections"] = with_(EV, f"""SELECT request_id, pos, unnest(string_split(errors, '|')) AS rule FROM ev
 WHERE errors <> '' AND NOT {_EMPTY} AND request_id NOT IN (SELECT request_id FROM ev GROUP BY request_id HAVING NOT {_is_envelope('breaks_envelope')})
 UNION ALL SELECT request_id, NULL, 'envelope:malformed' FROM ev GROUP BY request_id HAVING NOT {_is_envelope('breaks_envelope')}""")
@@ -410,7 +423,26 @@ v AS (SELECT * FROM (VALUES ('10', 8), ('11', 0)) AS t(version, trees))""", """S
   CAST(trees AS BIGINT) AS n_trees, trees > 0 AS healthy, CASE WHEN trees = 0 THEN 'no model trees' END AS reason FROM v""")
     q["stream_score"] = with_(_scored() + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
         f"SELECT ev.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.errors = ''")
-    q["stream_model_refresh"] = with_(_scored("9") + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
-        f"SELECT ev.imdb_id, '10' AS model_version, round({PROB}, 6) AS probability FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.errors = ''")
+    # requests of the first third are scored with version 9, the others with 10
+    third = "CAST(substr(imdb_id, 3) AS BIGINT) // 10 % 3"
+    q["stream_model_refresh"] = with_(_scored(f"(CASE WHEN {third} = 0 THEN 8 ELSE 9 END)") + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
+        f"SELECT ev.imdb_id, CASE WHEN ev.request_id % 3 = 0 THEN '9' ELSE '10' END AS model_version, round({PROB}, 6) AS probability FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.errors = ''")
+    q["stream_envelopes"] = q["results_envelope"]
+    q["stream_envelope_rejections"] = q["envelope_rejections"]
+    q["registry_metadata"] = """WITH sup AS (
+  SELECT 'nation-' || s_nationkey AS model_name, CAST(s_suppkey AS VARCHAR) AS version, 'run-' || (s_suppkey % 50) AS run_id, s_suppkey,
+         CASE WHEN s_acctbal > 8000 THEN 'Production' WHEN s_acctbal > 4000 THEN 'Staging' WHEN s_acctbal > 0 THEN 'None' ELSE 'Archived' END AS stage FROM supplier),
+newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY model_name ORDER BY CASE stage WHEN 'Production' THEN 0 WHEN 'Staging' THEN 1 ELSE 2 END, s_suppkey DESC) AS k
+  FROM sup WHERE stage <> 'Archived') WHERE k = 1),
+ev AS (SELECT *, 'run-' || (user_id % 50) AS run_id, event_id % 97 AS step FROM events),
+last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY run_id, event_type ORDER BY step DESC, ts DESC, value DESC) AS k FROM ev WHERE event_type IS NOT NULL) WHERE k = 1),
+m AS (SELECT run_id, string_agg(event_type || '=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR), '|' ORDER BY event_type || '=' || CAST(CAST(round(value * 100) AS BIGINT) AS VARCHAR)) AS metrics_x100
+  FROM last GROUP BY run_id),
+par AS (SELECT 'run-' || (o_custkey % 50) AS run_id, 'priority-' || o_orderstatus || '=' || max(o_orderpriority) AS kv FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1, o_orderstatus),
+p AS (SELECT run_id, string_agg(kv, '|' ORDER BY kv) AS run_params FROM par GROUP BY run_id)
+SELECT model_name, version, newest.run_id, stage,
+  CASE WHEN m.run_id IS NULL AND p.run_id IS NULL THEN NULL ELSE coalesce(metrics_x100, '') END AS metrics_x100,
+  CASE WHEN m.run_id IS NULL AND p.run_id IS NULL THEN NULL ELSE coalesce(run_params, '') END AS run_params
+FROM newest LEFT JOIN m ON m.run_id = newest.run_id LEFT JOIN p ON p.run_id = newest.run_id"""
     q["stream_refresh_quarantine"] = with_(EV, "SELECT imdb_id, errors FROM ev WHERE errors <> ''")
     return q

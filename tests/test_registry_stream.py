@@ -117,6 +117,134 @@ def test_stream_refresh_keeps_version_10(spark):
     assert all(h[0] in ("load_failed:11", "skipped_failed:11") for h in r.history)
 
 
+def _saved(spark, bundle, *versions):
+    """Whole versions of the fixture model in a new root."""
+    from mediascore.plans.fixture import fitted_artifacts
+    from mediascore.sources.artifacts import save_bundle_artifacts
+    from mediascore.sources.fixtures import fixture_nodes, media_items_view
+
+    root = checkpoint_path(spark, "test-registry", uuid.uuid4().hex)
+    norm, schema, vocab = fitted_artifacts(media_items_view(spark, SF))
+    feats = list(bundle.feature_names)
+    for v in versions:
+        nodes = fixture_nodes(spark, feats, 8, 3, list(bundle.categorical_features), int(v) - 1)
+        save_bundle_artifacts(root, v, normalization=norm, category_schema=schema, vocab=vocab, nodes=nodes, feature_names=feats, model_name=MODEL, run_id=f"run-{v}")
+    return root
+
+
+def test_unfinished_upload_is_not_loaded_and_tried_again(spark, bundle):
+    from mediascore.bundle import IncompleteUpload
+    from mediascore.sources.artifacts import artifact_integrity, load_bundle_artifacts
+
+    root = _saved(spark, bundle, "3", "4")
+    nodes = spark.read.parquet(f"{root}/4/nodes").collect()
+    cut = spark.createDataFrame(nodes, spark.read.parquet(f"{root}/4/nodes").schema).where("tree_id < 5")
+    cut.write.mode("overwrite").parquet(f"{root}/4/nodes")
+    assert all(r["reason"] is None for r in artifact_integrity(spark, root, "3").collect())
+    assert {r["artifact"]: (r["reason"], r["found_rows"]) for r in artifact_integrity(spark, root, "4").collect() if r["reason"]} == {"nodes": ("rows", 75)}
+    with pytest.raises(IncompleteUpload, match="nodes: rows"):
+        load_bundle_artifacts(spark, root, "4")
+    with pytest.raises(IncompleteUpload, match="unfinished"):
+        load_bundle_artifacts(spark, root, "5")
+    r = ModelRefresher(load_bundle_artifacts(spark, root, "3"), lambda: "4", lambda v: load_bundle_artifacts(spark, root, v))
+    assert r.refresh().version == "3"
+    spark.createDataFrame(nodes, cut.schema).write.mode("overwrite").parquet(f"{root}/4/nodes")  # the rest arrives
+    assert r.refresh().version == "4" and [h[0] for h in r.history] == ["load_failed:4", "loaded"]
+
+
+def test_replay_scores_with_the_version_it_began_with(spark, bundle):
+    """The driver is lost after a micro-batch is scored and before it is
+    committed; the registry changes; the replay takes the first version, and
+    the next micro-batch the new one.  A restart takes up the last good one."""
+    from mediascore.streaming import VersionLog, score_stream
+
+    base = _source(spark)
+    versions = {v: bundle.with_model(v, f"run-{v}", bundle.trees, bundle.nodes) for v in ("1", "2")}
+    loads = []
+
+    def load(v):
+        loads.append(v)
+        return versions[v]
+
+    log = lambda: VersionLog(spark, base + "/ckpt/versions")
+    whole = score_stream._write_batch
+
+    def lost(*args):
+        whole(*args)
+        raise RuntimeError("driver lost")
+
+    score_stream._write_batch = lost
+    try:
+        first = ModelRefresher(None, lambda: "1", load, log())
+        with pytest.raises(Exception, match="driver lost"):
+            start_refreshing_stream(spark, first, base + "/src", base + "/out", base + "/ckpt", base + "/bad", max_files_per_trigger=1).awaitTermination()
+    finally:
+        score_stream._write_batch = whole
+    again = ModelRefresher(None, lambda: "2", load, log())
+    assert again.bundle.version == "1"  # the last good one, though the registry names 2
+    start_refreshing_stream(spark, again, base + "/src", base + "/out", base + "/ckpt", base + "/bad", max_files_per_trigger=1).awaitTermination()
+    by_batch = {r["batch"]: r["model_version"] for r in spark.read.parquet(base + "/out").select("batch", "model_version").distinct().collect()}
+    assert by_batch[0] == "1" and len(by_batch) == 3 and {v for b, v in by_batch.items() if b} == {"2"}
+    assert again.history[0] == ("replayed", "1")
+    down = ModelRefresher(None, lambda: 1 / 0, load, log())
+    assert down.bundle.version == "2" and down.refresh(99).version == "2"
+
+
+def test_broadcasts_stay_the_same_over_micro_batches(spark, bundle):
+    m = media_raw(spark, SF).limit(50)
+    valid = validate_split_valid(validate(scan_json_records(m)))
+    predict(valid, bundle).count()
+    held = len(_HELD)
+    for _ in range(10):
+        predict(valid, bundle).collect()
+    assert len(_HELD) == held
+
+
+def test_records_that_cannot_be_scored_are_quarantined(spark, bundle):
+    least = bundle.normalization["runtime"][0]
+    flat = replace(bundle, normalization={**bundle.normalization, "runtime": (least, least)})
+    base = _source(spark)
+    start_scoring_stream(spark, flat, base + "/src", base + "/out", base + "/ckpt", base + "/bad").awaitTermination()
+    bad, good = spark.read.parquet(base + "/bad"), spark.read.parquet(base + "/out")
+    assert bad.where("errors = 'runtime:degenerate_range'").count() > 0
+    assert bad.count() + good.count() == media_raw(spark, SF).count()
+
+
+def test_envelope_stream_answers_every_request(spark, bundle):
+    from mediascore.plans.predict import results_envelope
+    from mediascore.operators.validate import accept_envelopes, envelope_rejections
+    from mediascore.sources.fixtures import media_envelopes
+    from mediascore.sources.records import ENVELOPE, envelope_items, scan_batch_envelope
+    from mediascore.streaming import start_envelope_stream
+
+    base = checkpoint_path(spark, "test-streams", uuid.uuid4().hex)
+    env = media_envelopes(spark, SF)
+    env.repartition(3).write.parquet(base + "/src")
+    least = bundle.normalization["runtime"][0]
+    for name, b in (("plain", bundle), ("flat", replace(bundle, normalization={**bundle.normalization, "runtime": (least, least)}))):
+        out = f"{base}/{name}"
+        start_envelope_stream(spark, b, base + "/src", out, out + "/ckpt", max_files_per_trigger=1).awaitTermination()
+        results, rejected, failed = (spark.read.parquet(f"{out}/{s}") for s in ("results", "rejections", "failures"))
+        ids = [{r["request_id"] for r in t.select("request_id").distinct().collect()} for t in (results, rejected, failed)]
+        assert set.union(*ids) == {r["request_id"] for r in env.select("request_id").collect()} and sum(map(len, ids)) == env.count()
+        scanned = scan_batch_envelope(env)
+        assert sorted(map(str, rejected.select("request_id", "pos", "rule").collect())) == sorted(map(str, envelope_rejections(scanned).select("request_id", "pos", "rule").collect()))
+        if name == "plain":
+            batch = results_envelope(predict(envelope_items(accept_envelopes(scanned), outer=True), bundle, keep=("request_id", ENVELOPE, "pos", "imdb_id")))
+            assert sorted(map(str, results.select("request_id", "results").collect())) == sorted(map(str, batch.collect())) and not ids[2]
+        else:
+            assert ids[2]
+
+
+def test_runs_from_their_rows(spark):
+    from mediascore.operators.registry import folded_runs
+
+    metrics = [("r1", "auc", 0.5, 1, 10), ("r1", "auc", 0.7, 3, 5), ("r1", "auc", 0.6, 3, 4), ("r1", "loss", 0.1, 0, 0), ("r2", "auc", None, 9, 9), (None, "auc", 0.2, 1, 1), ("r1", None, 1.0, 1, 1)]
+    params = [("r1", "depth", "3"), ("r3", "eta", "0.1"), ("r3", None, "x")]
+    got = {r["run_id"]: (r["metrics"], r["params"]) for r in folded_runs(spark.createDataFrame(metrics, "run_id string, key string, value double, step long, timestamp long"), spark.createDataFrame(params, "run_id string, key string, value string")).collect()}
+    assert got == {"r1": ({"auc": 0.7, "loss": 0.1}, {"depth": "3"}), "r2": ({"auc": None}, {}), "r3": ({}, {"eta": "0.1"}), None: ({"auc": 0.2}, {})}
+
+
 def test_artifact_folder_round_trip(spark, bundle):
     from mediascore.plans.fixture import fitted_artifacts
     from mediascore.sources.artifacts import load_bundle_artifacts, save_bundle_artifacts

@@ -73,7 +73,7 @@ def test_fixture_model_matches_walk(bundle):
         X[:, i] = rng.integers(0, 4, 300)
         X[::9, i] = np.nan
     by_tree = {}
-    for n in bundle.nodes:
+    for n in bundle.nodes.to_pylist():
         by_tree.setdefault(n["tree_id"], {})[n["node_id"]] = n
     expect = [walk(by_tree, list(bundle.feature_names), [None if np.isnan(v) else float(v) for v in row]) for row in X]
     np.testing.assert_allclose(margins_numpy(X, bundle.trees), expect, rtol=0, atol=1e-12)
@@ -125,7 +125,7 @@ def test_minimal_record_scores(spark, bundle):
 def test_feature_error_fails_the_batch(spark, bundle):
     df = spark.createDataFrame([("tt0000001", 7)], "imdb_id string, runtime long")
     deg = replace(bundle, normalization={"runtime": (5.0, 5.0)})
-    with pytest.raises(Exception, match="degenerate_range"):
+    with pytest.raises(Exception, match="feature error"):
         predict(df, deg).collect()
 
 
@@ -154,3 +154,64 @@ def test_sparse_category_membership_is_exact(bundle):
     dense = margins_numpy(X, bundle.trees)
     sparse = margins_numpy(X, bundle.trees, max_dense_cells=0)
     np.testing.assert_array_equal(dense, sparse)
+
+
+def test_one_bad_item_fails_its_own_request(spark, bundle):
+    from mediascore.plans.predict import outcomes, request_outcomes
+
+    least, most = bundle.normalization["budget"]
+    flat = replace(bundle, normalization={**bundle.normalization, "budget": (least, least), "revenue": (0.0, 1e-300)})
+    rows = [(1, 0, "tt1", int(least), None), (1, 1, "tt2", int(least) + 1, None), (2, 0, "tt3", None, None), (3, 0, "tt4", int(least), 10**15), (2, 1, "tt5", int(least), 0)]
+    items = spark.createDataFrame(rows, "request_id long, pos int, imdb_id string, budget long, revenue long")
+    got = {r["request_id"]: r for r in request_outcomes(outcomes(items, flat, keep=("request_id", "pos", "imdb_id"))).collect()}
+    assert [tuple(x) for x in got[1]["failures"]] == [(1, "tt2", "budget:degenerate_range")] and got[1]["results"] is None
+    assert [x["imdb_id"] for x in got[2]["results"]] == ["tt3", "tt5"] and got[2]["failures"] == []
+    assert [tuple(x) for x in got[3]["failures"]] == [(0, "tt4", "non_finite:revenue_norm")]
+    with pytest.raises(Exception, match="feature error"):
+        predict(items, flat).collect()
+    # without a bad item, outcomes are the predictions
+    good = items.where("imdb_id in ('tt1', 'tt3', 'tt5')")
+    assert sorted(predict(good, flat).collect()) == sorted(outcomes(good, flat).select("imdb_id", "prediction", "probability").collect())
+
+
+def test_packing_has_no_object_for_a_node():
+    """A million nodes, shuffled: the arrays of the complete trees, in seconds; faults are named."""
+    import time
+
+    import pyarrow as pa
+
+    per, trees = 1023, 1000
+    n = per * trees
+    rng = np.random.default_rng(4)
+    order = rng.permutation(n)
+    tree, node = np.divmod(np.arange(n), per)
+    inner = node < per // 2
+    none = lambda x: pa.array(x[order], pa.int32(), mask=~inner[order])
+    table = pa.table({
+        "tree_id": pa.array(tree[order], pa.int32()), "node_id": pa.array(node[order], pa.int32()), "feature": pa.array(np.array(["a", "b"])[node[order] % 2], mask=~inner[order]),
+        "kind": pa.array(np.where(inner, "num", "leaf")[order]), "threshold": pa.array((node[order] % 97 / 97).astype(np.float32), mask=~inner[order]),
+        "categories": pa.nulls(n, pa.list_(pa.int32())), "yes_id": none(2 * node + 1), "no_id": none(2 * node + 2), "missing_id": pa.nulls(n, pa.int32()),
+        "leaf": pa.array((node[order] % 7).astype(np.float32), mask=inner[order]),
+    })
+    begin = time.time()
+    got = tree_arrays(table, ["a", "b"], [])
+    assert time.time() - begin < 20 and got.depth == 9 and got.n_trees == trees
+    assert (got.roots == np.arange(trees) * per).all() and (got.yes[inner] == (tree * per + 2 * node + 1)[inner]).all() and (got.missing == got.yes).all()
+    assert (got.yes[~inner] == np.flatnonzero(~inner)).all() and (got.leaf == np.where(inner, 0, node % 7)).all() and (got.feature[inner] == node[inner] % 2).all()
+    with pytest.raises(ArtifactError, match="more than one row"):
+        tree_arrays(pa.concat_tables([table, table.slice(0, 1)]), ["a", "b"], [])
+    nodes, feats = irregular_model()
+    for change, what in (({"no_id": 77}, "dangling child no_id"), ({"kind": "odd"}, "unknown kind"), ({"yes_id": 0, "no_id": 0}, "cycle"), ({"threshold": None}, "no threshold")):
+        with pytest.raises(ArtifactError, match=what):
+            tree_arrays([{**nodes[0], **change}, *nodes[1:]], feats, ["c"])
+    with pytest.raises(ArtifactError, match="category code"):
+        tree_arrays([nodes[0], nodes[1], {**nodes[2], "categories": [-1]}, *nodes[3:]], feats, ["c"])
+
+
+def test_codes_over_a_million(spark, bundle):
+    """Category codes beyond a million split like small ones."""
+    leaf = dict(feature=None, kind="leaf", threshold=None, categories=None, yes_id=None, no_id=None, missing_id=None)
+    nodes = [dict(tree_id=0, node_id=0, feature="c", kind="cat", threshold=None, categories=[3, 5_000_000], yes_id=1, no_id=2, missing_id=2, leaf=None),
+             dict(tree_id=0, node_id=1, leaf=1.0, **leaf), dict(tree_id=0, node_id=2, leaf=2.0, **leaf)]
+    got = margins_numpy(np.array([[3], [5_000_000], [5_000_001], [np.nan], [4]], np.float32), tree_arrays(nodes, ["c"], ["c"]))
+    assert got.tolist() == [1.0, 1.0, 2.0, 2.0, 2.0]

@@ -120,6 +120,30 @@ def test_strict_json_types(spark):
     ]
 
 
+def test_what_follows_a_record_is_seen(spark):
+    """A closing bracket in the text does not hide what comes after it."""
+    full = json.dumps(FULL)
+    docs = [full + "]junk", full + '] {"imdb_id":"tt1234567"}', full + "]", full + ",1]", full + " , 5", full + "\n  ", full + '],"x"]', "[" + full + "]"]
+    got = _errors(spark, docs)
+    bad = ["record:malformed_json"]
+    assert [got[i] for i in range(len(docs))] == [bad, bad, bad, bad, bad, [], bad, bad]
+
+
+def test_numbers_as_text(spark):
+    """The integer and decimal forms of the contract's typing, and JSON numbers with an exponent."""
+    ints = {"1994": True, "1994.0": True, "1994.": False, "1994.5": False, "1_994": True, "19__94": False, "_1994": False, "1994_": False, "+1994": True, " 1994 ": True,
+            "1994\u001c": False, "\u00a01994": True, "1e3": False, ".0": False, "01994": True, "1_99_4.00": True, "1994.0_0": False, "٣": False}
+    decimals = {"8.5": True, "8.": True, ".5": True, "85e-1": True, "8_.5": True, "+8": True, "1e": False, "nan": False, "": False, "_": False, "0x8": False, "\u001c8": True}
+    docs = [{"imdb_id": "tt7654321", "release_year": t} for t in ints] + [{"imdb_id": "tt7654321", "tmdb_rating": t} for t in decimals]
+    got = _errors(spark, docs)
+    for i, (t, ok) in enumerate(ints.items()):
+        assert ("release_year:type" not in got[i]) == ok, t
+    for i, (t, ok) in enumerate(decimals.items(), len(ints)):
+        assert ("tmdb_rating:type" not in got[i]) == ok, t
+    numbers = ['{"imdb_id": "tt7654321", "budget": 1e7, "release_year": 1.994e3, "tmdb_rating": 85e-1}', '{"imdb_id": "tt7654321", "budget": 1e400}', '{"imdb_id": "tt7654321", "budget": 1.5e0}']
+    assert _errors(spark, numbers) == {0: [], 1: ["record:malformed_json"], 2: ["budget:type"]} or _errors(spark, numbers) == {0: [], 1: ["budget:type"], 2: ["budget:type"]}
+
+
 def test_every_rule_is_broken_by_the_fixture(spark):
     from mediascore.schema import MALFORMED_RULE, RULE_NAMES
     from mediascore.sources.fixtures import media_raw
@@ -159,6 +183,18 @@ def test_envelopes(spark):
         assert df._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
 
 
+def test_envelopes_that_share_an_id_or_go_on(spark):
+    from mediascore.plans.predict import results_envelope
+    from pyspark.sql import functions as F
+
+    two = [json.dumps({"items": [{**FULL, "imdb_id": f"tt000000{i}"} for i in own]}) for own in ([1, 2], [3])]
+    env = spark.createDataFrame([(1, two[0]), (1, two[1]), (2, '{"items":[]}]junk'), (3, two[0] + "]"), (4, '{"items":[]}')], "request_id long, value string")
+    items = envelope_items(accept_envelopes(scan_batch_envelope(env)), outer=True)
+    scored = items.withColumn("prediction", F.lit(True)).withColumn("probability", F.lit(0.75))
+    got = sorted((r["request_id"], [x["imdb_id"] for x in r["results"]]) for r in results_envelope(scored).collect())
+    assert got == [(1, ["tt0000001", "tt0000002"]), (1, ["tt0000003"]), (4, [])]
+
+
 def test_flat_batches_all_or_nothing(spark):
     rows = [(1, json.dumps(FULL)), (1, json.dumps({**FULL, "budget": -1})), (2, json.dumps(FULL))]
     v = validate(scan_json_records(spark.createDataFrame(rows, "request_id long, value string")))
