@@ -2,7 +2,7 @@
 
 Patterns propose spans: the four base kinds, which always stay, and looser
 forms (written-out addresses, national phone numbers, social security numbers,
-IPv6 addresses, bank account numbers).  Five labelers vote on each proposed
+IPv6 addresses, bank account numbers, and secrets such as access tokens).  Five labelers vote on each proposed
 span (personal, not, or no vote): the strict pattern, gazetteers of domain
 endings, reserved addresses, issuers and countries, cue words before the span,
 counter cues around it, and its form.  Expectation-maximisation over the
@@ -12,9 +12,12 @@ and surroundings, trained on these probabilities, is the final classifier of
 the looser spans.  Only counts by vote pattern, whose number is bounded by the
 labelers and not by the data, come to the driver.
 
-Spark has no function that gives a match's place, so a text is split at the
-pattern and the lengths of the parts and of the matches are added up, in code
-points.  The patterns use possessive repetition and look back one character
+A long text is cut into windows of about WINDOW code points, at places that
+no pattern spans (after a line's end, or before a space between small letters),
+so that the work grows with the text and not with its square; only a run
+without such a place is one longer window.  Spark has no function that gives a
+match's place, so a window is split at the pattern and the lengths of the parts
+and of the matches are added up, in code points.  The patterns use possessive repetition and look back one character
 where the plain form would retry from every character of a run: they match the
 same spans in linear time without deep recursion.
 """
@@ -42,6 +45,7 @@ LOOSE = {
     "phone_national": r"(?<![0-9A-Za-z+.)-])(?<!\+[0-9]\x20)(?:\([0-9]{3}\)\x20?|[0-9]{3}[\x20.-])[0-9]{3}[\x20.-][0-9]{4}(?![0-9A-Za-z])(?![\x20.-][0-9])",
     "ssn": r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])",
     "ipv6": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
+    "secret": r"(?<![0-9A-Za-z+/_-])(?=[A-Za-z+/_-]{0,20}[0-9])[0-9A-Za-z+/_-]{20,128}+(?![0-9A-Za-z+/_-])",
     "iban": r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?(?![0-9A-Za-z])",
 }
 KINDS = [*BASE, *LOOSE]
@@ -56,7 +60,13 @@ CUES = {
     "phone": r"phone|tel|call|mobile|cell|fax|whatsapp|ruf|appel|llama",
     "ssn": r"ssn|social|security",
     "iban": r"iban|bank|account|konto|compte|cuenta",
+    "secret": r"token|secret|passw|api[_-]?key|access[_-]?key|private[_-]?key|bearer|auth|credential",
 }
+SECRET_FORMS = r"^(?:AKIA|ASIA|AIza|gh[opsu]_|glpat-|xox[abp]-|[sp]k_(?:live|test)_)"
+#: Forms that digests have, too.
+DIGEST_FORMS = r"^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{64})$"
+#: What is no secret though it looks like one.
+SECRET_COUNTER = r"(?i)(?:sha-?[0-9]*|md5|hash|checksum|digest|commit|revision|etag|uuid|blob|tree|parent|object)\x20?(?:of\x20)?[=:]?\x20?[\x22']?$"
 COUNTER = r"(?i)(?:\bv|version|release|build|rev|section|isbn|doi|token|sha|hash|order|serial|part|no\.|[=\x22#$€£/_])\x20?$"
 OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 
@@ -89,6 +99,36 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+#: Code points of a window, and of those before it that its first spans are seen with.
+WINDOW, BEFORE = 16384, 40
+#: Running sums are made in chunks, so that adding to an array copies a chunk and not the whole.
+CHUNK = 512
+
+
+def _running(numbers: Column) -> Column:
+    """The sum of all earlier numbers at each place of an array."""
+    total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
+    none = F.array().cast("array<int>")
+
+    def short(a: Column, first: Column) -> Column:
+        start = F.struct(first.alias("at"), none.alias("out"))
+        return F.aggregate(a, start, lambda acc, x: F.struct((acc["at"] + x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
+
+    chunks = F.transform(F.sequence(F.lit(0), ((F.size(numbers) - 1) / CHUNK).cast("int")), lambda c: F.slice(numbers, (c * CHUNK + 1).cast("int"), F.lit(CHUNK)))
+    firsts = short(F.transform(chunks, total), F.lit(0))
+    return F.when(F.size(numbers) == 0, none).otherwise(F.flatten(F.zip_with(chunks, firsts, short)))
+
+
+def windows(text: Column) -> Column:
+    """The text's windows in order: array of (text, offset, before)."""
+    cut = rf"(?s).{{{WINDOW}}}(?:.*?(?:\n|[a-z](?=\x20[a-z]))|.*\z)|.+\z"
+    parts = F.when(F.length(text) > WINDOW, F.regexp_extract_all(text, F.lit(cut), 0)).otherwise(F.array(text))
+    return F.transform(
+        F.arrays_zip(parts.alias("text"), _running(F.transform(parts, F.length)).alias("offset"), F.slice(F.concat(F.array(F.lit("")), parts), 1, F.size(parts)).alias("last")),
+        lambda w: F.struct(w["text"].alias("text"), w["offset"].alias("offset"), F.substring(w["last"], -BEFORE, BEFORE).alias("before")),
+    )
+
+
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
@@ -96,22 +136,13 @@ def _matches(text: Column, pattern: str, needs: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches."""
     there = text.rlike(needs)
     found = F.when(there, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
-    parts = F.split(text, pattern, -1)
-    return F.when(
-        F.size(found) > 0,
-        F.aggregate(
-            F.arrays_zip(F.slice(parts, 1, F.size(found)).alias("part"), found.alias("value")),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x["part"]) + F.length(x["value"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(F.struct((acc["at"] + F.length(x["part"])).alias("start"), (acc["at"] + F.length(x["part"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))),
-                ).alias("out"),
-            ),
-            lambda acc: acc["out"],
-        ),
-    ).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+    both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("part"), found.alias("value"))
+    ends = _running(F.transform(both, lambda x: F.length(x["part"]) + F.length(x["value"])))
+    spans = F.zip_with(
+        both, ends, lambda x, at: F.struct((at + F.length(x["part"])).alias("start"), (at + F.length(x["part"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+    )
+    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    return F.when(there & text.rlike(pattern), spans).otherwise(none)
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -125,12 +156,30 @@ def _loose_kind(value: Column) -> Column:
     return out
 
 
-def _votes(text: Column, s: Column) -> Column:
+#: A window's text is looked into through pieces of so many code points.
+PIECE = 512
+
+
+def _between(pieces: Column, first: Column, length: Column) -> Column:
+    """At most PIECE code points of a text that is cut into pieces."""
+    j = F.floor(first / PIECE).cast("int")
+    two = F.concat(F.coalesce(F.get(pieces, j), F.lit("")), F.coalesce(F.get(pieces, j + 1), F.lit("")))
+    return F.substring(two, first - j * PIECE + 1, length)
+
+
+def _seen(pieces: Column, shift: Column, s: Column) -> Column:
+    """A span with what stands before and after it; its text begins ``shift`` code points into the pieces."""
+    start = s["start"] + shift
+    first = F.greatest(start - BEFORE, F.lit(0))
+    return F.struct(
+        s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+        _between(pieces, first, start - first).alias("before"), _between(pieces, s["end"] + shift, F.lit(2)).alias("after"),
+    )
+
+
+def _votes(s: Column) -> Column:
     """The five votes on a span, and its surroundings: 1 personal, -1 not, 0 none."""
-    kind, value = s["kind"], s["value"]
-    first = F.greatest(s["start"] - 40, F.lit(0))
-    before = F.substring(text, first + 1, s["start"] - first)
-    after = F.substring(text, s["end"] + 1, F.lit(2))
+    kind, value, before, after = s["kind"], s["value"], s["before"], s["after"]
     of = lambda *names: kind.isin(*names)
     yes = lambda cond: F.when(cond, 1).otherwise(-1)
     digits = _digits(value)
@@ -144,18 +193,23 @@ def _votes(text: Column, s: Column) -> Column:
         .when(of("ipv6"), yes(~value.rlike(r"(?i)^(?:fe80|fc|fd|2001:0?db8|0{1,4}:)")))
         .when(of("iban"), yes(F.substring(value, 1, 2).isin(*IBAN_LANDS)))
         .when(of("phone_national"), yes(~digits.rlike(r"^(?:000|0|1)")))
+        .when(of("secret"), F.when(value.rlike(SECRET_FORMS), 1).when(value.rlike(DIGEST_FORMS), -1).otherwise(0))
         .otherwise(0)
     )
     cue = F.lit(0)
     for name, words in CUES.items():
         cue = F.when(kind.startswith(name) & before.rlike(f"(?i)(?:{words})"), 1).otherwise(cue)
-    counter = F.when(before.rlike(COUNTER) | after.rlike(r"^[A-Za-z0-9_=/]"), -1).otherwise(0)
+    # a secret is hardly told from other long words but by its cue, so that its absence is a vote as well
+    cue = F.when(of("secret") & (cue == 0), -1).otherwise(cue)
+    other = F.when(of("secret"), before.rlike(SECRET_COUNTER)).otherwise(before.rlike(COUNTER))
+    counter = F.when(other | after.rlike(r"^[A-Za-z0-9_=/]"), -1).otherwise(0)
     form = (
         F.when(of("email"), yes(~value.rlike(r"\.\.|^\.|\.@")))
         .when(of("ip"), yes(~value.rlike(r"(?:^|\.)0[0-9]")))
         .when(of("card"), 1)
         .when(of("phone"), F.when(F.length(digits).between(10, 13), 1).otherwise(0))
         .when(of("ssn"), yes(~value.rlike(r"-00-|-0000$")))
+        .when(of("secret"), yes(value.rlike(r"^(?=(?:[^0-9]*[0-9]){4})(?=(?:[^A-Za-z]*[A-Za-z]){4})")))
         .when(of("iban"), yes(F.length(F.regexp_replace(value, " ", "")).between(15, 34) & value.rlike(r"[0-9]{4}")))
         .otherwise(0)
     )
@@ -171,21 +225,38 @@ def _votes(text: Column, s: Column) -> Column:
 
 def proposed(docs: DataFrame, *keep: Column) -> DataFrame:
     """Adds to the columns ``keep`` of each row: base (spans in base order) and
-    loose (looser spans that overlap no base span, each with its votes)."""
+    loose (looser spans that overlap no base span, each with its votes).  A
+    null text counts as empty and has no spans, as an empty table has no rows;
+    a text of any length is searched whole, window by window."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    one = lambda name, c: F.inline(F.array(F.struct(c.alias(name))))  # noqa: E731  behind a generator: computed once
+    whole = docs.select(*keep, one("__w", windows(text)))
+    kept = [F.col(f"`{c}`") for c in whole.columns if c != "__w"]
+
     valid = lambda k: lambda s: _valid(k, s["value"])
-    base = F.concat(*[F.filter(_named(k, _matches(text, p, n)), valid(k)) for k, (p, n) in BASE.items()])
-    union = "|".join(LOOSE.values())
-    loose = F.transform(
-        _matches(text, union, r"[0-9]|[(\[]at[)\]]"),
-        lambda s: F.struct(_loose_kind(s["value"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
-    ).cast(SPAN)
-    # the spans stand behind a generator, so that what reads them twice does not search twice
-    found = docs.select(*keep, text.alias("__text"), F.inline(F.array(F.struct(base.alias("__base"), loose.alias("__any")))))
-    free = F.filter("__any", lambda s: s["kind"].isNotNull() & ~F.exists("__base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
-    voted = lambda spans: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), _votes(F.col("__text"), s).alias("votes")))
-    kept = [c for c in found.columns if c not in ("__text", "__base", "__any")]
-    return found.select(*[F.col(f"`{c}`") for c in kept], voted(F.col("__base")).alias("base"), voted(free).alias("loose"))
+    voted = lambda k: lambda s: s["votes"]["kind"] == k
+
+    def searched(w: Column) -> Column:
+        base = F.concat(*[F.filter(_named(k, _matches(w["text"], p, n)), valid(k)) for k, (p, n) in BASE.items()])
+        loose = F.transform(
+            _matches(w["text"], "|".join(LOOSE.values()), r"[0-9]|[(\[]at[)\]]"),
+            lambda s: F.struct(_loose_kind(s["value"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")),
+        ).cast(SPAN)
+        pieces = F.regexp_extract_all(F.concat(w["before"], w["text"]), F.lit(rf"(?s).{{1,{PIECE}}}"), 0)
+        # most windows have no span, and are not cut up
+        pieces = F.when(F.size(base) + F.size(loose) > 0, pieces)
+        return F.struct(F.length(w["before"]).alias("shift"), w["offset"].alias("offset"), base.alias("base"), loose.alias("any"), pieces.alias("pieces"))
+
+    def judged(x: Column) -> Column:
+        free = F.filter(x["any"], lambda s: s["kind"].isNotNull() & ~F.exists(x["base"], lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+        place = lambda s: F.struct((s["start"] + x["offset"]).alias("start"), (s["end"] + x["offset"]).alias("end"), _votes(s).alias("votes"))
+        voted_on = lambda spans: F.transform(F.transform(spans, lambda s: _seen(x["pieces"], x["shift"], s)), place)
+        return F.struct(voted_on(x["base"]).alias("base"), voted_on(free).alias("loose"))
+
+    found = whole.select(*kept, one("__f", F.transform("__w", searched)))
+    done = found.select(*kept, one("__j", F.transform("__f", judged)))
+    by_kind = lambda spans: F.concat(*[F.filter(spans, voted(k)) for k in BASE])
+    return done.select(*kept, by_kind(F.flatten(F.transform("__j", lambda j: j["base"]))).alias("base"), F.flatten(F.transform("__j", lambda j: j["loose"])).alias("loose"))
 
 
 VOTES = [f"v{i}" for i in range(5)]
@@ -299,20 +370,22 @@ def written(spans: Column) -> Column:
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every span replaced by its kind in brackets; of spans that
-    overlap the first (then the longest) one is replaced."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s["kind"].alias("kind"))))
-    done = F.aggregate(
-        ordered,
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda acc, s: F.when(s["a"] < acc["at"], acc).otherwise(
-            F.struct(
-                (-s["b"]).alias("at"),
-                F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["a"] - acc["at"]), F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"),
-            )
-        ),
-    )
-    rest = lambda d: F.concat(d["out"], F.substring(text, d["at"] + 1, F.length(text)))
-    return F.when(F.size(spans) == 0, text).otherwise(F.transform(F.array(done), rest)[0])
+    overlap the first (then the longest) one is replaced.  Done window by
+    window, as no span reaches over two; a null text stays null."""
+
+    def one(w: Column) -> Column:
+        own = F.filter(spans, lambda s: (s["start"] >= w["offset"]) & (s["start"] < w["offset"] + F.length(w["text"])))
+        ordered = F.array_sort(F.transform(own, lambda s: F.struct((s["start"] - w["offset"]).alias("a"), (w["offset"] - s["end"]).alias("b"), s["kind"].alias("kind"))))
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+        def put(acc: Column, s: Column) -> Column:
+            more = F.array(F.substring(w["text"], acc["at"] + 1, s["a"] - acc["at"]), F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))
+            return F.when(s["a"] < acc["at"], acc).otherwise(F.struct((-s["b"]).alias("at"), F.concat(acc["out"], more).alias("out")))
+
+        rest = lambda d: F.concat(F.array_join(d["out"], ""), F.substring(w["text"], d["at"] + 1, F.length(w["text"])))
+        return F.when(F.size(own) == 0, w["text"]).otherwise(F.aggregate(ordered, start, put, rest))
+
+    return F.when(F.size(spans) == 0, text).otherwise(F.array_join(F.transform(windows(text), one), ""))
 
 
 def redacted(docs: DataFrame) -> DataFrame:

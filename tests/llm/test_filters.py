@@ -45,6 +45,49 @@ def test_language_accuracy(spark, docs, odd):
     assert {r.lang_pred for r in langid.predict(odd, nothing, F.col("doc_id")).collect()} == {"und"}
 
 
+def words_of(rng, lang, n):
+    """Words over a language's own ten letters."""
+    own = [chr(0x4E00 + 10 * lang + k) if lang % 2 else chr(0x0400 + (7 * lang + 11 * k) % 200) for k in range(10)]
+    return " ".join("".join(rng.choice(own) for _ in range(rng.randint(2, 6))) for _ in range(n))
+
+
+def test_any_number_of_languages(spark):
+    """300 languages, of some one row, of one only repeated ids, of one only null ids; no language is lost."""
+    ship(spark)
+    rng = random.Random(5)
+    rows = [(1000 * k + i, words_of(rng, k, 30), f"l{k:03}") for k in range(300) for i in range(1 if k % 3 else 4)]
+    rows += [(7, words_of(rng, 301, 20), "same-id") for _ in range(200)] + [(None, words_of(rng, 302, 20), "no-id") for _ in range(200)] + [(9, words_of(rng, 303, 20), "one-text")] * 200
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(docs, F.lit(True), fit_rows=50)
+    assert set(model.language) == {lang for _, _, lang in rows}
+    got = langid.predict(docs, model, F.col("lang")).collect()
+    assert len(got) == len(rows) and sum(r.lang == r.lang_pred for r in got) >= 0.99 * len(got)
+
+
+def test_nearest_centroid_against_brute_force(spark, docs, monkeypatch):
+    model = langid.fit(docs, bucket_of(4) != 2, fit_rows=40)
+    texts = [r.text for r in docs.where("doc_id % 7 = 0").select("text").collect()]
+    unit = np.zeros((len(model.language), 1 << langid.BITS))
+    for c in range(len(unit)):
+        unit[c, model.ids[model.at[c] : model.at[c + 1]]] = model.weight[model.at[c] : model.at[c + 1]]
+    assert np.allclose((unit * unit).sum(1), 1, atol=1e-4) and (np.diff(model.at) <= langid.WEIGHTS).all()
+    # document frequencies are those of all training rows
+    train = [r.text for r in docs.where((bucket_of(4) != 2) & F.col("lang").isNotNull() & F.col("text").isNotNull()).collect()]
+    df = np.zeros(1 << langid.BITS)
+    for t in train:
+        df[langid.grams(t)[0]] += 1
+    assert np.allclose(model.idf, np.log((1 + sum(len(langid.grams(t)[0]) > 0 for t in train)) / (1 + df)) + 1e-3)
+    for dense in (langid.DENSE, 0):  # as a table, and as lists of weights
+        monkeypatch.setattr(langid, "DENSE", dense)
+        nearest = langid.Nearest(model)
+        for t in texts[:60]:
+            ids, value = langid.vector(t, model.idf)
+            if len(ids):
+                x = np.zeros(1 << langid.BITS)
+                x[ids] = value
+                assert np.allclose(nearest.cosines(ids, value), unit @ x, atol=1e-5)
+
+
 def test_quality_accuracy(spark, docs, odd):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.QUERIES["op2_nb_svm"](spark, SF)
@@ -166,6 +209,63 @@ def test_personal_data_in_odd_texts(spark):
     assert pii.redacted(df.limit(0)).count() == 0
 
 
+def test_long_texts_in_windows(spark, monkeypatch):
+    """Base spans are those of the whole text wherever it is cut, and the redacted text is cut at none."""
+    rng = random.Random(6)
+    bits = ["a1@b.com", "10.0.0.1", "4111 1111 1111 1111", "+1 (017) 555-7713", "word", "x y", "Zq", "é😀", "\n", ".", "call phone 555-123-4567 today", "12 34"]
+    texts = [" ".join(rng.choice(bits) for _ in range(n)) for n in (5, 60, 400, 2000)] + ["".join(rng.choice(bits) for _ in range(1500)), "1 " * 3000, "10.0.0.1 " * 900]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for window in (50, 16384):
+        monkeypatch.setattr(pii, "WINDOW", window)
+        found = materialize(pii.proposed(df, F.col("doc_id"), F.col("text")), "t")
+        loose = {}
+        for r in pii.decide(found, pii.Model(bias=1.0)).select("*", pii.redact(F.col("text"), F.col("spans")).alias("new"), F.transform(pii.windows(F.col("text")), lambda w: w["text"]).alias("w")).collect():
+            assert "".join(r.w) == r.text and (window > 50 or r.doc_id in (0, 5, 6) or len(r.w) > 5)
+            assert [(s.kind, s.start, s.end) for s in r.base] == base_spans(r.text)
+            out, at = "", 0
+            for a, b, k in sorted((s.start, -s.end, s.kind) for s in r.spans):
+                if a >= at:
+                    out, at = out + r.text[at:a] + f"[{k.upper()}]", -b
+            assert r.new == out + r.text[at:]
+            loose[r.doc_id] = r.spans
+    assert any(s.kind == "phone_national" for s in loose[2])
+
+
+def test_work_grows_with_the_spans(spark):
+    """200,000 addresses in one text, and numbers without a place to cut."""
+    import time
+
+    texts = ["".join(f"u{i}@h{i % 7}.com " for i in range(200_000)), "".join(f"10.{i % 200}.0.{i % 250} " for i in range(20_000))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    begin = time.time()
+    got = {r.doc_id: (r.n, r.first, r.last) for r in pii.decide(pii.proposed(df, F.col("doc_id")), pii.Model(bias=-1.0)).select("doc_id", F.size("spans").alias("n"), F.element_at("base", 1).alias("first"), F.element_at("base", -1).alias("last")).collect()}
+    took = time.time() - begin
+    for i, (n, first, last) in got.items():
+        spans = base_spans(texts[i])
+        assert n == len(spans) and tuple(first) == spans[0] and tuple(last) == spans[-1]
+    assert took < 40
+
+
+def test_secrets_are_told_from_hashes(spark):
+    """Half of the texts give the votes' reliabilities, the other half is held out."""
+    rng = random.Random(8)
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    mixed = lambda n: "".join(rng.choice("abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ0123456789") for _ in range(n)) + "7a4B1c9"
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randint(2, 8)))
+    secret = [lambda: f'token = "{hexes(40)}"', lambda: f"api_key: {mixed(25)}", lambda: f"password={mixed(18)}", lambda: f"bearer {mixed(30)}", lambda: f"secret ghp_{mixed(30)}"]
+    plain = [lambda: f"commit {hexes(40)}", lambda: f"sha256:{hexes(64)}", lambda: f"md5 = {hexes(32)}", lambda: f"see {word()}-{word()}-{word()}-{word()}-chapter-12", lambda: f"file averylongnameofsomething{rng.randint(1, 99)}"]
+    rows = []
+    for i in range(1200):
+        real = rng.random() < 0.5
+        rows.append((i, " ".join([word(), word(), rng.choice(secret if real else plain)(), word()]), real))
+    df = spark.createDataFrame(rows, "doc_id long, text string, real boolean")
+    found = materialize(pii.proposed(df, F.col("doc_id"), F.col("real")), "t")
+    got = pii.decide(found, pii.fit(found.where("doc_id % 2 = 0"))).where("doc_id % 2 = 1").collect()
+    told = [(r.real, any(s.kind == "secret" for s in r.spans)) for r in got]
+    caught = sum(a and b for a, b in told)
+    assert caught >= 0.9 * sum(a for a, _ in told) and caught >= 0.9 * sum(b for _, b in told)
+
+
 def test_looser_spans_need_the_labelers(spark, docs):
     extra = ["call me at phone 555-123-4567 today", "ssn 123-45-6789", "mail john (at) mail (dot) com now", "my bank account DE89 3704 0044 0532 0130 00", "release 555-123-4567x"]
     df = docs.select("doc_id", "text").union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(extra)], "doc_id long, text string"))
@@ -186,6 +286,9 @@ def test_personal_data_query(spark, docs):
         written = ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
         assert r.base_sha256 == hashlib.sha256(written.encode()).hexdigest()
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in spans) for k in PATTERNS]
+        # the documents' secrets are all written like this one; the method adds them
+        secrets = [(m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', texts[r.doc_id])]
+        assert [tuple(map(int, s.split(":")[1:])) for s in r.spans.split(",") if s.startswith("secret")] == secrets
 
 
 def test_native_queries_run_no_python(spark):
