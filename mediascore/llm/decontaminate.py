@@ -4,9 +4,12 @@ Words are lower-cased runs of letters and digits.  An alignment whose m
 matches lie in r unbroken runs scores at most m - (r - 1) and keeps m - r word
 pairs, so one that scores s keeps at least s - 1 of the item's word pairs.
 Seeds are the pairs that the fewest documents hold, just as many as cannot all
-be missed at that count: every copy with a score of THRESHOLD or more meets a
-seed, wherever it is edited and however common the item is in the corpus.  (Of
-an item of one or two words, the words are the seeds.)  A document's seeds lead
+be missed at that count: every copy with such a score meets a
+seed, wherever it is edited and however common the item is in the corpus.  A
+short item says little: at least LEAST_WORDS words have to be aligned, or the
+whole item where it has fewer, and an item of less than LEAST_ITEM words counts
+only in a document that consists of it.  (The seeds of an item of one word are
+the word.)  A document's seeds lead
 to windows around the item's place, wide enough for any alignment with such a
 score; each window is aligned with the item by Smith-Waterman over words
 (match 1, mismatch and gap -1), which scores edited and paraphrased copies.
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from mediascore.llm.common import text_parts
 
 THRESHOLD = 0.5
+#: The least score in words, and the least words of an item that is found within a longer text.
+LEAST_WORDS, LEAST_ITEM = 5, 3
 #: The most words of one block of items; what is broadcast is a few times as many numbers.
 BLOCK_WORDS = 1_000_000
 _OTHER = re.compile(r"[\W_]+")
@@ -112,8 +117,8 @@ class Items:
 
 
 def _need(words: int) -> int:
-    """The least alignment score that reaches THRESHOLD for an item of so many words."""
-    return int(np.ceil(THRESHOLD * words))
+    """The least alignment score that counts for an item of so many words."""
+    return max(int(np.ceil(THRESHOLD * words)), min(words, LEAST_WORDS))
 
 
 def _size(words: int) -> int:
@@ -171,8 +176,11 @@ def matches(items: Items, words: np.ndarray, count: np.ndarray) -> list[tuple[in
             window = padded[np.where(inside, place + first[doc][:, None], len(words))]
             # a score takes at least as many words of the item
             enough = np.isin(window, item).sum(1) >= _need(len(item))
-            doc, score = doc[enough], align(item, window[enough]) / len(item)
-            for d, s in zip(doc[score >= THRESHOLD].tolist(), score[score >= THRESHOLD].tolist()):
+            if len(item) < LEAST_ITEM:
+                enough &= count[doc] == len(item)
+            doc, score = doc[enough], align(item, window[enough])
+            doc, score = doc[score >= _need(len(item))], score[score >= _need(len(item))]
+            for d, s in zip(doc.tolist(), (score / len(item)).tolist()):
                 out[d, i] = max(out.get((d, i), 0.0), s)
     return [(d, i, s) for (d, i), s in sorted(out.items())]
 
@@ -191,19 +199,30 @@ def _all_grams(words: list[np.ndarray]) -> dict[int, list[np.ndarray]]:
     return out
 
 
-def _rarest(items: Items, frequency: dict[tuple[int, int], int]) -> Items:
+def _rarest(items: Items, frequency: dict[int, np.ndarray]) -> Items:
     """The items with their rarest n-grams: so many that fewer are left out
-    than an alignment with a score of THRESHOLD keeps.  Those that no document
-    holds count among them, and need not be looked for."""
-    chosen = {}
-    for size, offsets in _all_grams(items.words).items():
-        chosen[size] = []
-        for w, o in zip(items.words, offsets):
-            f = np.array([frequency.get((size, int(c)), 0) for c in grams(w, size)], np.int64) if len(o) else np.zeros(0, np.int64)
-            kept = _need(len(w)) - (size - 1)
-            rarest = np.argsort(f, kind="stable")[: max(0, len(f) - kept + 1)]
-            chosen[size].append(np.sort(rarest[f[rarest] > 0]))
-    return Items.of(items.ids, items.words, chosen)
+    than an alignment with a sufficient score keeps.  Those that no document
+    holds count among them, and need not be looked for.  ``frequency``: for
+    each n-gram size the documents of every seed."""
+    length = np.array([len(w) for w in items.words], np.int64)
+    need = np.array([_need(n) for n in length], np.int64)
+    seeds = {}
+    for size, (keys, first, item, at, _) in items.seeds.items():
+        seed = np.repeat(np.arange(len(keys)), np.diff(first))
+        f = frequency[size][seed]
+        order = np.lexsort((at, f, item))  # an item's n-grams, the rarest first
+        begin = np.searchsorted(item[order], np.arange(len(length)))
+        place = np.arange(len(order)) - begin[item[order]]
+        wanted = (length - size + 1) - (need - (size - 1)) + 1
+        used = np.zeros(len(order), bool)
+        used[order] = place < wanted[item[order]]
+        used &= f > 0
+        left, first = np.unique(seed[used], return_index=True)
+        if len(left):
+            mask = np.zeros(1 << 20, bool)
+            mask[(keys[left] & np.uint64(0xFFFFF)).astype(np.int64)] = True
+            seeds[size] = (keys[left], np.append(first, int(used.sum())), item[used], at[used], mask)
+    return Items(items.ids, items.words, seeds)
 
 
 def item_blocks(benchmark: DataFrame, block_words: int = BLOCK_WORDS):
@@ -243,8 +262,14 @@ def rare_seeds(docs: DataFrame, items: Items) -> Items:
             if len(there):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(there), size, np.int32)), pa.array(there), pa.array(t[there])], ["size", "seed", "n"])
 
-    rows = docs.select("text").mapInArrow(count, "size int, seed long, n long").groupBy("size", "seed").agg(F.sum("n").alias("n")).collect()
-    return _rarest(items, {(r["size"], int(items.seeds[r["size"]][0][r["seed"]])): r["n"] for r in rows})
+    # three numbers for each n-gram of a block, as columns
+    rows = docs.select("text").mapInArrow(count, "size int, seed long, n long").groupBy("size", "seed").agg(F.sum("n").alias("n")).toArrow()
+    size, seed, n = (rows.column(c).to_numpy() for c in ("size", "seed", "n"))
+    frequency = {}
+    for k, s in items.seeds.items():
+        frequency[k] = np.zeros(len(s[0]), np.int64)
+        frequency[k][seed[size == k]] = n[size == k]
+    return _rarest(items, frequency)
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, block_words: int = BLOCK_WORDS) -> DataFrame:
