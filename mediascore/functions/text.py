@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mediascore.functions.letters import lower, non_word
+
 # Fixed values of the cleaner: a "word" character is a letter, a number or
 # the underscore; every other character becomes "_", runs of "_" collapse to
-# one, and "_" is stripped from both ends.  (Java's \w is ASCII-only, so the
-# Unicode classes are spelled out.)
-NON_WORD = r"[^\p{L}\p{N}_]"
+# one, and "_" is stripped from both ends.
 UNDERSCORE_RUN = r"_+"
 EDGE_UNDERSCORES = r"^_+|_+$"
 
@@ -23,7 +23,7 @@ WHITESPACE_RUN = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 def clean_value(c: Column) -> Column:
     """lower -> non-word chars to '_' -> collapse '_' runs -> strip '_'."""
-    out = F.regexp_replace(F.lower(c), NON_WORD, "_")
+    out = F.regexp_replace(lower(c), non_word(), "_")
     out = F.regexp_replace(out, UNDERSCORE_RUN, "_")
     return F.regexp_replace(out, EDGE_UNDERSCORES, "")
 
