@@ -21,7 +21,10 @@ from mediascore.schema import CATEGORICAL_FIELDS
 MAX_NORMALIZATION_ROWS = 10_000
 MAX_SCHEMA_COLUMNS = 100_000
 MAX_VOCAB_ROWS = 1_000_000
+# Larger vocabularies stay tables whose codes are joined, larger models are scored shard by shard.
 MAX_MODEL_NODES = 5_000_000
+# Codes are compared as FLOAT features: from here on they would not be exact.
+MAX_CODE = 2**24
 
 
 class ArtifactError(Exception):
@@ -98,10 +101,18 @@ class Bundle:
     categorical_mode: str = "vocab"  # 'vocab' codes, or 'local' (code 0 for any value)
     maps: dict[str, dict[str, str]] = field(default_factory=dict)  # list column -> category -> encoded column
 
+    vocab_table: DataFrame | None = field(default=None, repr=False, compare=False)  # (column, value, code) of vocabularies over MAX_VOCAB_ROWS
+    more_trees: tuple[TreeArrays, ...] = field(default=(), repr=False)  # further shards of a model over MAX_MODEL_NODES
+    large_columns: tuple[str, ...] = ()  # the columns of vocab_table
+
     # -- derived ---------------------------------------------------------------
     def category_maps(self) -> dict[str, dict[str, str]]:
         """Per list column of the schema; a column whose names map nothing has an empty map."""
         return {oc: self.maps.get(oc, {}) for oc, _ in self.category_schema}
 
+    def coded_columns(self) -> tuple[str, ...]:
+        """Categoricals whose codes are joined; 'local' codes need no vocabulary."""
+        return self.large_columns if self.categorical_mode == "vocab" else ()
+
     def with_model(self, version: str, run_id: str, trees: TreeArrays, nodes: pa.Table | None, base_margin: float = 0.0) -> "Bundle":
-        return replace(self, version=version, run_id=run_id, trees=trees, nodes=nodes, base_margin=base_margin)
+        return replace(self, version=version, run_id=run_id, trees=trees, nodes=nodes, base_margin=base_margin, more_trees=())

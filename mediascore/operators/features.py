@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from mediascore.bundle import ArtifactError, Bundle
 from mediascore.functions.text import clean_values
+from mediascore.operators.codes import with_codes
 from mediascore.operators.trees import qcol
 from mediascore.schema import CONTINUOUS_FIELDS, DROPPED_FIELDS, NORM_SUFFIX
 
@@ -227,12 +228,16 @@ def sparse_layout(bundle: Bundle, columns: list[str]) -> tuple[list[str], dict[s
 
 def preprocess_sparse(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> tuple[DataFrame, list[str], dict[str, dict[str, int]], dict[str, int]]:
     """The feature pipeline up to the scorer's input: the kept columns, the
-    dense features, the cleaned lists and the categoricals' text.  Its plan and
+    dense features, the cleaned lists and the categoricals' text (of a column
+    whose vocabulary is a table, the code found by joins).  Its plan and
     cost follow the record, not the model's width; the scorer looks values up
     in its own copy of the category maps and vocabularies."""
     out = cleaned_lists(drop_unused(normalize_minmax(df, bundle)), bundle)
     dense, lists, cats = sparse_layout(bundle, out.columns)
-    out = _with(out, {f"__cat_{c}": qcol(c).cast("string") for c in cats})
+    coded = [c for c in cats if c in bundle.coded_columns()]
+    if coded:
+        out = with_codes(out, bundle.vocab_table, coded)
+    out = _with(out, {f"__cat_{c}": qcol(f"__code_{c}" if c in coded else c).cast("string") for c in cats})
     narrow = replace(bundle, feature_names=tuple(dense))
     extra = [*keep, *[f"__clean_{c}" for c in lists], *[f"__cat_{c}" for c in cats]]
     out = align_features(fill_numeric(out, narrow, extra), narrow, keep=extra)

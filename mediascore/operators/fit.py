@@ -7,13 +7,18 @@ a third of all rows) costs one row per task, not one row per record.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+import json
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mediascore.functions.text import clean_values
 from mediascore.operators.trees import qcol
 from mediascore.session import materialize
 from mediascore.schema import CATEGORICAL_FIELDS, CONTINUOUS_FIELDS
+from mediascore.sources.marks import read_mark, write_mark
 
 ENCODED_LIST_FIELDS = ["genre", "origin_country", "production_countries", "spoken_languages"]
 
@@ -100,6 +105,12 @@ def fit_artifacts(df: DataFrame, fields=CONTINUOUS_FIELDS, list_columns=ENCODED_
     distinct categories + distinct vocabulary values); it is written once to
     the shared folder and the three tables are read from it.
     """
+    summary = materialize(_summary(df, fields, list_columns, categorical).groupBy("kind", "column", "value").agg(F.min("x").alias("min"), F.max("x").alias("max")), "fitted-artifacts")
+    return _artifacts(summary)
+
+
+def _summary(df: DataFrame, fields, list_columns, categorical, *keep: str) -> DataFrame:
+    """The tagged facts (kind, column, value, x) of every row, beside the columns ``keep``."""
     nums = [f for f in fields if f in df.columns]
     lists = [c for c in list_columns if c in df.columns]
     cats = [c for c in categorical if c in df.columns]
@@ -117,16 +128,56 @@ def fit_artifacts(df: DataFrame, fields=CONTINUOUS_FIELDS, list_columns=ENCODED_
         *[F.transform(F.coalesce(clean_values(qcol(c)), empty), tag(c)) for c in lists],
         F.array(*[fact("voc", c, qcol(c), F.lit(None)) for c in cats]) if cats else F.array().cast("array<struct<kind:string,column:string,value:string,x:double>>"),
     ))
-    summary = materialize(
-        df.select(F.inline(facts))
-        .where((F.col("kind") == "norm") | (F.col("value").isNotNull() & (F.col("value") != F.lit(""))))
-        .groupBy("kind", "column", "value")
-        .agg(F.min("x").alias("min"), F.max("x").alias("max")),
-        "fitted-artifacts",
-    )
+    told = (F.col("kind") == "norm") | (F.col("value").isNotNull() & (F.col("value") != F.lit("")))
+    return df.select(*keep, F.inline(facts)).where(told)
+
+
+def _artifacts(summary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The three artifacts of (kind, column, value, min, max)."""
     norm = summary.where((F.col("kind") == "norm") & F.col("min").isNotNull()).select(
         F.col("column").alias("feature"), "min", "max")
     schema_long = summary.where(F.col("kind") == "cat").select(
         F.col("column").alias("original_column"), F.col("value").alias("category"),
         F.concat(F.col("column"), F.lit("_"), F.col("value")).alias("column_name"))
     return norm, schema_long, numbered(summary.where(F.col("kind") == "voc"))
+
+
+def fit_incremental(spark: SparkSession, files: list[str], state: str, read=None, fields=CONTINUOUS_FIELDS,
+                    list_columns=ENCODED_LIST_FIELDS, categorical=CATEGORICAL_FIELDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The artifacts of the records in ``files``, of which only those are read
+    that ``state``, a folder, does not know from an earlier fit.
+
+    The state holds for each file (path, length and change time) the smallest
+    and largest number of every field and the distinct values of every column,
+    which merge with those of any other files and can be taken away again.  A
+    fit writes the new files' part and then the index of what counts, which is
+    replaced as a whole: a fit that is lost half-way leaves the state as it
+    was.  ``read`` turns a list of paths into records (default: parquet).  The
+    driver holds the index, some hundred bytes for each file."""
+    read = read or (lambda paths: spark.read.parquet(*paths))
+    marked = read_mark(spark, f"{state}/index")
+    known: dict[str, str] = json.loads(marked) if marked else {}
+    now: dict[str, str] = {}  # file key -> path
+    for f in files:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f)
+        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        now[hashlib.sha256(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}".encode()).hexdigest()[:32]] = f
+    new = [k for k in now if k not in known]
+    if new:
+        part = uuid.uuid4().hex
+        # of each new file its own records; a file's summary is far smaller than the file
+        told = None
+        for k in new:
+            one = read([now[k]]).select("*", F.lit(k).alias("file"))
+            told = one if told is None else told.unionByName(one, allowMissingColumns=True)
+        rows = _summary(told, fields, list_columns, categorical, "file")
+        rows.groupBy("file", "kind", "column", "value").agg(F.min("x").alias("min"), F.max("x").alias("max")).write.parquet(f"{state}/part={part}")
+        known |= dict.fromkeys(new, part)
+    known = {k: part for k, part in known.items() if k in now}
+    write_mark(spark, f"{state}/index", json.dumps(known))
+    parts = sorted(set(known.values()))
+    schema = "file string, kind string, column string, value string, min double, max double"
+    states = spark.read.schema(schema).parquet(*[f"{state}/part={p}" for p in parts]) if parts else spark.createDataFrame([], schema)
+    counted = spark.createDataFrame([(k,) for k in known], "file string")
+    merged = states.join(F.broadcast(counted), "file").groupBy("kind", "column", "value").agg(F.min("min").alias("min"), F.max("max").alias("max"))
+    return _artifacts(materialize(merged, "fitted-artifacts"))

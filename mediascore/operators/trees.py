@@ -302,7 +302,7 @@ def _lookups(bundle: Bundle, dense: list[str], lists: dict[str, dict[str, int]],
         "names": dense,
         "lists": [(pa.array(list(m), pa.string()), np.array(list(m.values()), np.int64)) for m in lists.values()],
         "cats": [
-            (pa.array(list(v), pa.string()), np.array(list(v.values()), np.float32), i)
+            (None, None, i) if c in bundle.coded_columns() else (pa.array(list(v), pa.string()), np.array(list(v.values()), np.float32), i)
             for c, i in cats.items()
             for v in [bundle.vocab.get(c, {})]
         ],
@@ -327,6 +327,9 @@ def _matrix_fn(bundle: Bundle):
             if local:
                 x[col.is_valid().to_numpy(zero_copy_only=False), at] = 0.0
                 continue
+            if values is None:  # a code already
+                x[:, at] = pc.cast(col, pa.float32()).to_numpy(zero_copy_only=False)
+                continue
             found = pc.index_in(col, value_set=values)
             there = found.is_valid().to_numpy(zero_copy_only=False) & col.is_valid().to_numpy(zero_copy_only=False)
             x[there, at] = codes[found.fill_null(0).to_numpy(zero_copy_only=False)[there]] if len(codes) else np.nan
@@ -335,21 +338,22 @@ def _matrix_fn(bundle: Bundle):
     return matrix
 
 
-def sparse_scores(df: DataFrame, bundle: Bundle, dense: list[str], lists: dict[str, dict[str, int]], cats: dict[str, int], reached: bool = False) -> Column:
+def sparse_scores(df: DataFrame, bundle: Bundle, dense: list[str], lists: dict[str, dict[str, int]], cats: dict[str, int], reached: bool = False, shard: TreeArrays | None = None) -> Column:
     """Struct of margin and reason from the sparse form: the dense features as
     one ARRAY<FLOAT>, the cleaned lists and the categoricals' text travel over
     Arrow; values are found by one hash lookup each (Arrow's index_in) and
     scattered into the feature matrix, so the cost follows the list lengths,
     not the width.  A row that cannot be scored, as a feature or its margin is
     infinite, has a null margin and the reason.  With ``reached``: instead an
-    array of the leaf each tree ends in, as tree * 2**32 + node."""
+    array of the leaf each tree ends in, as tree * 2**32 + node.  ``shard``:
+    only these trees, without the base margin."""
     if bundle.trees is None:
         raise ArtifactError("bundle has no model")
     spark = df.sparkSession
-    held = held_broadcast(spark, bundle.trees)
+    held = held_broadcast(spark, shard or bundle.trees)
     layout = (tuple(dense), tuple(lists), tuple(cats))
     lookup = held_broadcast(spark, bundle, lambda b: _lookups(b, dense, lists, cats), layout)
-    base, margins, matrix = float(bundle.base_margin), _margin_fn(), _matrix_fn(bundle)
+    base, margins, matrix = 0.0 if shard else float(bundle.base_margin), _margin_fn(), _matrix_fn(bundle)
     args = [F.array(*[qcol(f).cast("float") for f in dense]).cast("array<float>"), *[qcol(f"__clean_{c}") for c in lists], *[qcol(f"__cat_{c}") for c in cats]]
 
     def _scores(v, *columns):

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mediascore.bundle import Bundle
 from mediascore.operators.features import FEATURE_ERRORS, preprocess, preprocess_sparse
 from mediascore.operators.trees import arrow_margin, expr_margin, sparse_scores
+from mediascore.session import materialize
 from mediascore.sources.records import ENVELOPE
 
 THRESHOLD = 0.5
@@ -40,11 +41,35 @@ def score_records(df: DataFrame, bundle: Bundle, keep=("imdb_id",)) -> DataFrame
     """Records -> keep columns, margin and reason, through the sparse form."""
     features, *layout = preprocess_sparse(df, bundle, keep=keep)
     keep = [k for k in keep if k in features.columns]
+    if bundle.more_trees:
+        return _score_shards(features, bundle, layout, keep)
     scored = features.select(*keep, _feature_reason(features).alias("__why"), sparse_scores(features, bundle, *layout).alias("__score"))
     reason = F.coalesce("__why", "__score.reason")
     return scored.select(*keep, F.when(reason.isNull(), F.col("__score.margin")).alias("margin"), reason.alias(REASON))
 
 
+def _score_shards(features: DataFrame, bundle: Bundle, layout: list, keep: list[str]) -> DataFrame:
+    """A model larger than one broadcast: each shard of its trees scores all
+    rows on its own, so that a worker holds one shard at a time, and a row's
+    partial margins are added up in the shards' order.  The features are
+    written once, and so is each row's number; the partial margins (a few
+    numbers each) are what is shuffled."""
+    rows = materialize(features.withColumn("__row", F.monotonically_increasing_id()), "sharded_features")
+    parts = None
+    for i, shard in enumerate((bundle.trees, *bundle.more_trees)):
+        own = F.struct(*[F.col(f"`{k}`") for k in keep])
+        kept = own if i == 0 else F.lit(None).cast(rows.select(own.alias("k")).schema["k"].dataType)
+        one = rows.select("__row", F.lit(i).alias("shard"), kept.alias("kept"), _feature_reason(rows).alias("__why"), sparse_scores(rows, bundle, *layout, shard=shard).alias("__score"))
+        one = one.select("__row", "shard", "kept", F.coalesce("__why", "__score.reason").alias("why"), F.col("__score.margin").alias("part"))
+        parts = one if parts is None else parts.unionByName(one)
+    added = parts.groupBy("__row").agg(
+        F.first("kept", ignorenulls=True).alias("kept"), F.first("why", ignorenulls=True).alias(REASON),
+        F.array_sort(F.collect_list(F.struct("shard", "part"))).alias("parts"),
+    )
+    total = F.aggregate("parts", F.lit(float(bundle.base_margin)), lambda acc, x: acc + x["part"])
+    return added.select(*[F.col(f"kept.`{k}`").alias(k) for k in keep], F.when(F.col(REASON).isNull(), total).alias("margin"), REASON)
+
+
 def _feature_reason(features: DataFrame) -> Column:
     """Why a row's features could not be built, or null."""
     if FEATURE_ERRORS not in features.columns:

@@ -20,6 +20,7 @@ from mediascore.operators.fit import (
     fit_category_schema,
     fit_category_schema_long,
     fit_category_vocab,
+    fit_incremental,
     fit_normalization,
 )
 from mediascore.operators.registry import artifact_summary, folded_runs, latest_model_version, model_metadata, resolve_version, with_runs
@@ -42,6 +43,7 @@ from mediascore.sources.artifacts import (
     load_category_schema,
     load_model,
     load_normalization,
+    load_shards,
     normalization_rows,
 )
 from mediascore.sources.fixtures import ITEMS_PER_REQUEST, fixture_nodes, media_envelopes, media_items, media_items_view, media_raw
@@ -238,6 +240,24 @@ def q_fit_category_vocab(spark, sf):
     return v.select("column", "value", F.col("code").cast("bigint").alias("code"))
 
 
+def q_fit_incremental(spark, sf):
+    """Records in four files by part key: a fit of the first three, then one
+    of the last three, which reads the new file alone and takes the first away."""
+    base = scratch_path(spark, "incremental")
+    items = media_items(spark, sf)
+    for k in range(4):
+        items.where(F.col("p_partkey") % 4 == k).drop("p_partkey").coalesce(1).write.parquet(f"{base}/in/{k}")
+    files = lambda ks: sorted(f for k in ks for f in spark.read.parquet(f"{base}/in/{k}").inputFiles())
+    fit_incremental(spark, files((0, 1, 2)), base + "/state")
+    norm, schema, vocab = fit_incremental(spark, files((1, 2, 3)), base + "/state")
+    none = lambda kind: F.lit(None).cast(kind)
+    return (
+        norm.select(F.lit("norm").alias("kind"), F.col("feature").alias("column"), none("string").alias("value"), "min", "max", none("bigint").alias("code"))
+        .unionByName(schema.select(F.lit("cat").alias("kind"), F.col("original_column").alias("column"), F.col("category").alias("value"), none("double").alias("min"), none("double").alias("max"), none("bigint").alias("code")))
+        .unionByName(vocab.select(F.lit("voc").alias("kind"), "column", "value", none("double").alias("min"), none("double").alias("max"), F.col("code").cast("bigint").alias("code")))
+    )
+
+
 def q_load_normalization(spark, sf):
     fitted = fit_normalization(_media(spark, sf))
     n = len(CONTINUOUS_FIELDS)
@@ -478,6 +498,18 @@ def q_predict_label(spark, sf):
     return _scored(spark, sf).select("imdb_id", "prediction")
 
 
+def q_predict_sharded(spark, sf):
+    """The fixture model in shards of at most three trees, with the languages' codes joined from their table."""
+    b = bundle_for(spark, sf)
+    _, _, vocab = artifacts_for(spark, sf)
+    nodes = fixture_nodes(spark, list(b.feature_names), ORACLE_TREES, ORACLE_DEPTH, list(b.categorical_features))
+    (first, *more), _ = load_shards(nodes, list(b.feature_names), list(b.categorical_features), shard_nodes=3 * (2 ** (ORACLE_DEPTH + 1) - 1))
+    large = ("original_language",)
+    sharded = replace(b, trees=first, more_trees=tuple(more), vocab_table=vocab.where(F.col("column").isin(*large)), large_columns=large,
+                      vocab={c: v for c, v in b.vocab.items() if c not in large})
+    return predict(_media(spark, sf), sharded).select("imdb_id", "prediction", _r(F.col("probability")).alias("probability"))
+
+
 def q_predict_single(spark, sf):
     """One-record semantics: categoricals coded locally (0 for any value)."""
     return _scored(spark, sf, mode="local").select("imdb_id", "prediction", _r(F.col("probability")).alias("probability"))
@@ -698,6 +730,7 @@ QUERIES = {
     "fit_normalization": q_fit_normalization,
     "fit_category_schema": q_fit_category_schema,
     "fit_category_vocab": q_fit_category_vocab,
+    "fit_incremental": q_fit_incremental,
     "load_normalization": q_load_normalization,
     "load_category_schema": q_load_category_schema,
     "load_model": q_load_model,
@@ -720,6 +753,7 @@ QUERIES = {
     "tree_margin": q_tree_margin,
     "predict_proba": q_predict_proba,
     "predict_label": q_predict_label,
+    "predict_sharded": q_predict_sharded,
     "predict_single": q_predict_single,
     "predict_batch": q_predict_batch,
     "results_envelope": q_results_envelope,

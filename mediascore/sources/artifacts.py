@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mediascore.bundle import (
+    MAX_CODE,
     MAX_MODEL_NODES,
     MAX_NORMALIZATION_ROWS,
     MAX_SCHEMA_COLUMNS,
@@ -152,12 +153,28 @@ def load_category_maps(table: DataFrame) -> dict[str, dict[str, str]]:
 
 # -- vocabularies ---------------------------------------------------------------
 def load_vocab(table: DataFrame) -> dict[str, dict[str, int]]:
+    """column -> value -> code of a bounded vocabulary table."""
     out: dict[str, dict[str, int]] = {}
     for r in bounded_collect(table.select("column", "value", "code"), MAX_VOCAB_ROWS, "vocabulary"):
         out.setdefault(r["column"], {})[r["value"]] = int(r["code"])
     return out
 
 
+def large_vocabularies(table: DataFrame, bound: int = MAX_VOCAB_ROWS) -> tuple[str, ...]:
+    """The columns of a vocabulary table with more values than ``bound``, which
+    stay in the table; all others together must not exceed it."""
+    n = {r["column"]: (r["n"], r["code"]) for r in table.groupBy("column").agg(F.count("*").alias("n"), F.max("code").alias("code")).collect()}
+    for c, (_, code) in n.items():
+        if code is not None and code > MAX_CODE:
+            raise ArtifactError(f"vocabulary of {c!r}: codes over {MAX_CODE} have no exact FLOAT value")
+    left, large = sum(k for k, _ in n.values()), []
+    for c in sorted(n, key=lambda c: -n[c][0]):
+        if left > bound:
+            large.append(c)
+            left -= n[c][0]
+    return tuple(large)
+
+
 # -- model ------------------------------------------------------------------------
 def load_model(nodes: DataFrame, feature_names: list[str], categorical: list[str]):
     """Node table -> (TreeArrays, its columns in Arrow).  An empty node table
@@ -168,6 +185,29 @@ def load_model(nodes: DataFrame, feature_names: list[str], categorical: list[str
     return tree_arrays(table, feature_names, categorical), table
 
 
+def load_shards(nodes: DataFrame, feature_names: list[str], categorical: list[str], shard_nodes: int = MAX_MODEL_NODES):
+    """(shards of TreeArrays, the node table's columns where there is one
+    shard): whole trees in order, at most ``shard_nodes`` nodes a shard.  The
+    driver holds a shard's columns at a time, and a count for each tree."""
+    if nodes.limit(shard_nodes + 1).count() <= shard_nodes:
+        trees, table = load_model(nodes, feature_names, categorical)
+        return (trees,), table
+    counts = bounded_collect(nodes.groupBy("tree_id").agg(F.count("*").alias("n")), 1_000_000, "trees of the model")
+    cuts, held = [], shard_nodes
+    for r in sorted(counts, key=lambda r: r["tree_id"]):
+        if r["n"] > shard_nodes:
+            raise ArtifactError(f"tree {r['tree_id']}: {r['n']} nodes do not fit a shard of {shard_nodes}")
+        if held + r["n"] > shard_nodes:
+            cuts.append(r["tree_id"])
+            held = 0
+        held += r["n"]
+    shards = []
+    for first, end in zip(cuts, [*cuts[1:], None]):
+        own = nodes.where((F.col("tree_id") >= first) & (F.lit(True) if end is None else F.col("tree_id") < end))
+        shards.append(tree_arrays(own.select(*NODE_SCHEMA.fieldNames()).toArrow(), feature_names, categorical))
+    return tuple(shards), None
+
+
 def build_bundle(
     *,
     normalization: DataFrame,
@@ -184,18 +224,20 @@ def build_bundle(
     """Read every artifact table and freeze them into one Bundle."""
     norm = load_normalization(normalization)
     schema = load_category_schema(category_schema)
-    voc = load_vocab(vocab)
+    large = large_vocabularies(vocab)
+    voc = load_vocab(vocab.where(~F.col("column").isin(*large)) if large else vocab)
     if not feature_names:
         raise ArtifactError("model has no feature names")
     from mediascore.schema import CATEGORICAL_FIELDS
 
-    trees, node_rows = load_model(nodes, list(feature_names), CATEGORICAL_FIELDS)
+    (trees, *more), node_rows = load_shards(nodes, list(feature_names), CATEGORICAL_FIELDS)
     return Bundle(
         model_name=model_name, version=str(version), run_id=run_id,
         normalization=norm, category_schema=schema, vocab=voc,
         feature_names=tuple(feature_names), trees=trees, nodes=node_rows,
         base_margin=float(base_margin), categorical_mode=categorical_mode,
-        maps=load_category_maps(category_schema),
+        maps=load_category_maps(category_schema), more_trees=tuple(more),
+        vocab_table=vocab.where(F.col("column").isin(*large)) if large else None, large_columns=large,
     )
 
 

@@ -322,6 +322,10 @@ FROM (SELECT unnest(string_split(errors, '|')) AS rule FROM ev WHERE errors <> '
     q["fit_normalization"] = with_(ARTIFACTS, "SELECT feature, mn AS min, mx AS max FROM norm")
     q["fit_category_schema"] = with_(ARTIFACTS, "SELECT oc AS original_column, category, column_name FROM cats")
     q["fit_category_vocab"] = with_(ARTIFACTS, "SELECT col AS column, v AS value, CAST(code AS BIGINT) AS code FROM voc")
+    some = MEDIA.replace("mi AS (", "mi0 AS (", 1) + ",\nmi AS (SELECT * FROM mi0 WHERE p_partkey % 4 <> 0)" + ARTIFACTS[len(MEDIA):]
+    q["fit_incremental"] = with_(some, """SELECT 'norm' AS kind, feature AS column, NULL::VARCHAR AS value, mn AS min, mx AS max, NULL::BIGINT AS code FROM norm
+UNION ALL SELECT 'cat', oc, category, NULL, NULL, NULL FROM cats
+UNION ALL SELECT 'voc', col, v, NULL, NULL, CAST(code AS BIGINT) FROM voc""")
     q["load_normalization"] = q["fit_normalization"]
     q["load_category_schema"] = with_(ARTIFACTS, "SELECT oc AS original_column, column_name FROM cats")
     q["category_map_parse"] = q["load_category_schema"]
@@ -380,6 +384,7 @@ FROM fidx LEFT JOIN fv ON fv.name = fidx.name GROUP BY fidx.name""")
     q["predict_label"] = with_(_scored(), f"SELECT imdb_id, {PROB} > 0.5 AS prediction FROM sc")
     q["predict_single"] = with_(_scored(local=True), f"SELECT imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM sc")
     q["predict_batch"] = with_(_scored(), f"SELECT imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability FROM sc")
+    q["predict_sharded"] = q["predict_batch"]
     q["results_envelope"] = with_(_scored() + RAW_TAIL + ",\n" + f"ev AS (SELECT *, {ALL_ERRORS} AS errors FROM rv)",
         f"""SELECT ev.request_id, ev.pos, ev.imdb_id, {PROB} > 0.5 AS prediction, round({PROB}, 6) AS probability
 FROM ev JOIN sc ON sc.imdb_id = ev.imdb_id WHERE ev.request_id IN ({_valid_requests()})

@@ -179,3 +179,55 @@ def test_large_vocabulary_fits_saves_loads_and_scores(spark, bundle):
     known = {"status 199999": 199_999, "status 000001": 1}
     small = {r["imdb_id"]: r["margin"] for r in predict(one, replace(bundle, vocab={**bundle.vocab, "production_status": known}), with_margin=True).collect()}
     assert by == small
+
+
+def test_vocabulary_of_three_million_values(spark, bundle, monkeypatch):
+    """Over the bound the vocabulary stays a table; codes found by joins score
+    like those of the map, with a hot value, unknown ones and nulls."""
+    from dataclasses import replace
+
+    from mediascore.plans.predict import predict
+    from mediascore.sources import artifacts
+
+    n = 3_000_000
+    name = lambda c: F.concat(F.lit("status "), F.lpad(c.cast("string"), 7, "0"))
+    vocab = spark.range(n).select(F.lit("production_status").alias("column"), name(F.col("id")).alias("value"), F.col("id").cast("int").alias("code"))
+    assert artifacts.large_vocabularies(vocab) == ("production_status",)
+    big = replace(bundle, vocab={c: v for c, v in bundle.vocab.items() if c != "production_status"}, vocab_table=vocab, large_columns=("production_status",))
+    rows = spark.range(3000).select(
+        F.concat(F.lit("tt"), F.col("id").cast("string")).alias("imdb_id"),
+        F.when(F.col("id") % 3 == 0, name(F.lit(1))).when(F.col("id") % 100 == 1, F.lit(None)).when(F.col("id") % 100 == 2, F.lit("unknown")).otherwise(name(F.col("id") * 997 % n)).alias("production_status"),
+    )
+    got = {r["imdb_id"]: r["margin"] for r in predict(rows, big, with_margin=True).collect()}
+    known = {r["production_status"] for r in rows.collect()} - {None, "unknown"}
+    small = replace(bundle, vocab={**bundle.vocab, "production_status": {v: int(v.split()[1]) for v in known}})
+    want = {r["imdb_id"]: r["margin"] for r in predict(rows, small, with_margin=True).collect()}
+    assert got == want and len(got) == 3000
+
+
+def test_fit_of_changed_files_alone(spark):
+    """Adding and removing files gives the artifacts of a full fit; known files are not read."""
+    import uuid
+
+    from mediascore.operators.fit import fit_artifacts, fit_incremental
+    from mediascore.session import checkpoint_path
+    from mediascore.sources.fixtures import media_items
+
+    base = checkpoint_path(spark, "test-incremental", uuid.uuid4().hex)
+    items = media_items(spark, "/root/testdata/sf0.001")
+    for k in range(3):
+        items.where(F.col("p_partkey") % 3 == k).coalesce(1).write.parquet(f"{base}/in/{k}")
+    files = lambda *ks: [f for k in ks for f in spark.read.parquet(f"{base}/in/{k}").inputFiles()]
+    reads = []
+
+    def read(paths):
+        reads.extend(paths)
+        return spark.read.parquet(*paths)
+
+    for now, fresh in (((0, 1), (0, 1)), ((0, 1), ()), ((1, 2), (2,)), ((2,), ()), ((), ()), ((0, 1, 2), (0, 1, 2))):
+        reads.clear()
+        got = fit_incremental(spark, files(*now), base + "/state", read)
+        assert sorted(reads) == sorted(files(*fresh))
+        want = fit_artifacts(spark.read.parquet(*files(*now)) if now else items.limit(0))
+        for a, b in zip(got, want):
+            assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))

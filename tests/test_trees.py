@@ -215,3 +215,21 @@ def test_codes_over_a_million(spark, bundle):
              dict(tree_id=0, node_id=1, leaf=1.0, **leaf), dict(tree_id=0, node_id=2, leaf=2.0, **leaf)]
     got = margins_numpy(np.array([[3], [5_000_000], [5_000_001], [np.nan], [4]], np.float32), tree_arrays(nodes, ["c"], ["c"]))
     assert got.tolist() == [1.0, 1.0, 2.0, 2.0, 2.0]
+
+
+def test_shards_add_up_to_the_whole_model(spark, bundle):
+    from mediascore.sources.artifacts import load_shards
+    from mediascore.sources.fixtures import fixture_nodes
+
+    feats, cats = list(bundle.feature_names), list(bundle.categorical_features)
+    nodes = fixture_nodes(spark, feats, 8, 3, cats)
+    (one,), table = load_shards(nodes, feats, cats)
+    assert table.num_rows == 120 and (one.yes == bundle.trees.yes).all()
+    shards, none = load_shards(nodes, feats, cats, shard_nodes=50)
+    assert none is None and [s.n_trees for s in shards] == [3, 3, 2] and max(len(s.yes) for s in shards) <= 50
+    with pytest.raises(ArtifactError, match="do not fit a shard"):
+        load_shards(nodes, feats, cats, shard_nodes=14)
+    m = media_items_view(spark, "/root/testdata/sf0.001").unionByName(media_items_view(spark, "/root/testdata/sf0.001"))
+    sharded = replace(bundle, trees=shards[0], more_trees=shards[1:], base_margin=0.5)
+    got, want = (sorted(predict(m, b, with_margin=True).collect()) for b in (sharded, replace(bundle, base_margin=0.5)))
+    assert len(got) == len(want) and all(a["imdb_id"] == b["imdb_id"] and abs(a["margin"] - b["margin"]) < 1e-12 for a, b in zip(got, want))
