@@ -10,10 +10,13 @@ the counts of distinct path shapes:
 * merge: of the other children, those with enough labelled urls whose share of
   blocked ones does not differ from their parent's (a z-test) become one
   branch; the rest, and children without labels, stay apart;
-* reject: a template is blocked if its labelled purity, (blocked + 1) /
-  (labelled + 2), reaches the threshold.  A template without labels has 1/2.
+* reject: a template is blocked if its labelled purity reaches the threshold.
+  It is smoothed, as by two more labels, towards that of the same template on
+  all hosts, (blocked + 1) / (labelled + 2); so a template that has no labels
+  on its host is judged as elsewhere, and one that has none at all has 1/2.
 
-Segments beyond DEPTH are one tail segment of the template.
+Segments beyond DEPTH are one tail segment of the template: a level costs a
+round of jobs, and paths may have thousands of segments.
 """
 
 from __future__ import annotations
@@ -86,8 +89,11 @@ def templates(paths: DataFrame) -> DataFrame:
         # each level is read twice by the next: written, it is computed once
         t = materialize(joined.withColumn("template", F.coalesce("below", "template")).drop("h", "above", "seg", "below"), "level")
     sums = t.groupBy(F.col("host").alias("h"), F.col("template").alias("tt")).agg(F.sum("blocked").alias("tb"), F.sum("allowed").alias("ta"))
-    purity = (F.col("tb") + 1) / (F.col("tb") + F.col("ta") + 2)
-    sums = sums.select("h", "tt", purity.alias("purity"))
+    # a row for each host and template, and one for each template
+    sums = materialize(sums, "templates")
+    overall = sums.groupBy(F.col("tt").alias("ot")).agg(((F.sum("tb") + 1) / (F.sum("tb") + F.sum("ta") + 2)).alias("everywhere"))
+    purity = (F.col("tb") + 2 * F.col("everywhere")) / (F.col("tb") + F.col("ta") + 2)
+    sums = sums.join(overall, F.col("tt") == F.col("ot")).select("h", "tt", purity.alias("purity"))
     return t.join(sums, (F.col("host") == F.col("h")) & (F.col("template") == F.col("tt"))).drop("h", "tt")
 
 
@@ -158,7 +164,11 @@ def oracle(rules: list[tuple[str, str]]) -> str:
             f"t{k} AS (SELECT {cols}, coalesce(m.below, t.template) AS template FROM t{k - 1} t LEFT JOIN m{k} m ON t.host = m.host AND t.template = m.template AND t.s{k} = m.seg)",
         ]
     last = f"t{DEPTH + 1}"
-    steps.append(f"u AS (SELECT *, (sum(blocked) OVER w + 1)::DOUBLE / (sum(blocked) OVER w + sum(allowed) OVER w + 2) AS purity FROM {last} WINDOW w AS (PARTITION BY host, template))")
+    steps.append(f"o AS (SELECT template, (sum(blocked) + 1)::DOUBLE / (sum(blocked) + sum(allowed) + 2) AS everywhere FROM {last} GROUP BY template)")
+    steps.append(
+        f"u AS (SELECT l.*, (sum(blocked) OVER w + 2 * everywhere)::DOUBLE / (sum(blocked) OVER w + sum(allowed) OVER w + 2) AS purity"
+        f" FROM {last} l JOIN o ON o.template = l.template WINDOW w AS (PARTITION BY l.host, l.template))"
+    )
     return (
         f"WITH {', '.join(steps)} SELECT p2.page_id, p2.host, p2.path, p2.rule, coalesce(p2.ruled, CASE WHEN u.purity >= {PURITY} THEN 'block' ELSE 'allow' END) AS verdict"
         f" FROM p2 JOIN u ON p2.host = u.host AND {same('p2', 'u')}"

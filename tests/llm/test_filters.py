@@ -123,6 +123,8 @@ def test_url_filter_against_sql(spark):
     with duckdb.connect() as c:
         c.execute(f"CREATE VIEW pages AS SELECT * FROM '{SF}/pages.parquet'")
         assert sorted(map(tuple, got), key=str) == sorted(c.execute(queries.ORACLES["op6_path_templates"]).fetchall(), key=str)
+    # some pages are decided by the method: their template is blocked on other hosts
+    assert {r.verdict for r in got if r.rule is None} == {"allow", "block"}
 
 
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -157,6 +159,11 @@ def test_templates_generalise_merge_and_reject(spark):
     got = {r.page_id: r for r in urls.judge(df, rules, F.col("page_id")).collect()}
     assert len(got) == len(pages)
     assert {got[i].template for i in range(100, 160)} == {"/user/*"} and {got[i].verdict for i in range(100, 160)} == {"allow"}
+    # a template without labels on its host is judged as on the others
+    rules = [("block", f"h{i}.com/win/") for i in range(12)] + [("allow", f"h{i}.com/read/") for i in range(12)]
+    pages = [f"http://h{i}.com/{k}/{i}" for i in range(12) for k in ("win", "read")] + ["http://new.org/win/5", "http://new.org/read/7", "http://new.org/other/7"]
+    got = urls.judge(spark.createDataFrame(list(enumerate(pages)), "page_id long, url string"), rules, F.col("page_id")).orderBy("page_id").collect()
+    assert [r.verdict for r in got[-3:]] == ["block", "allow", "allow"] and got[-1].purity == 0.5
     # labelled and other pages of one template share its purity
     mixed = [("block", f"m.com/p{i}/") for i in range(9)]
     pages = [f"http://m.com/p{i}/q" for i in range(9)] + ["http://m.com/p9/q", "http://m.com/p10/q"]
