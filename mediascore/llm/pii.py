@@ -105,6 +105,11 @@ WINDOW, BEFORE = 16384, 40
 CHUNK = 512
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with the value computed once: within a lambda, Spark evaluates an expression at each mention."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _running(numbers: Column) -> Column:
     """The sum of all earlier numbers at each place of an array."""
     total = lambda a: F.aggregate(a, F.lit(0), lambda acc, x: acc + x)
@@ -122,11 +127,15 @@ def _running(numbers: Column) -> Column:
 def windows(text: Column) -> Column:
     """The text's windows in order: array of (text, offset, before)."""
     cut = rf"(?s).{{{WINDOW}}}(?:.*?(?:\n|[a-z](?=\x20[a-z]))|.*\z)|.+\z"
-    parts = F.when(F.length(text) > WINDOW, F.regexp_extract_all(text, F.lit(cut), 0)).otherwise(F.array(text))
-    return F.transform(
-        F.arrays_zip(parts.alias("text"), _running(F.transform(parts, F.length)).alias("offset"), F.slice(F.concat(F.array(F.lit("")), parts), 1, F.size(parts)).alias("last")),
-        lambda w: F.struct(w["text"].alias("text"), w["offset"].alias("offset"), F.substring(w["last"], -BEFORE, BEFORE).alias("before")),
-    )
+    whole = F.array(F.struct(text.alias("text"), F.lit(0).alias("offset"), F.lit("").alias("before")))
+
+    def placed(parts: Column) -> Column:
+        offsets = _let(F.transform(parts, F.length), _running)
+        last = F.slice(F.concat(F.array(F.lit("")), parts), F.lit(1), F.size(parts))
+        zipped = F.arrays_zip(parts.alias("text"), offsets.alias("offset"), last.alias("last"))
+        return F.transform(zipped, lambda w: F.struct(w["text"].alias("text"), w["offset"].alias("offset"), F.substring(w["last"], -BEFORE, BEFORE).alias("before")))
+
+    return F.when(F.length(text) > WINDOW, _let(F.regexp_extract_all(text, F.lit(cut), 0), placed)).otherwise(whole)
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -134,15 +143,18 @@ SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 def _matches(text: Column, pattern: str, needs: str) -> Column:
     """Array of (start, end, value) of the leftmost non-overlapping matches."""
-    there = text.rlike(needs)
-    found = F.when(there, F.regexp_extract_all(text, F.lit(pattern), 0)).otherwise(F.array().cast("array<string>"))
-    both = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(found)).alias("part"), found.alias("value"))
-    ends = _running(F.transform(both, lambda x: F.length(x["part"]) + F.length(x["value"])))
-    spans = F.zip_with(
-        both, ends, lambda x, at: F.struct((at + F.length(x["part"])).alias("start"), (at + F.length(x["part"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))
-    )
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    return F.when(there & text.rlike(pattern), spans).otherwise(none)
+
+    def spans(both: Column) -> Column:
+        lengths = F.transform(both, lambda x: F.length(x["part"]) + F.length(x["value"]))
+        span = lambda x, at: F.struct((at + F.length(x["part"])).alias("start"), (at + F.length(x["part"]) + F.length(x["value"])).alias("end"), x["value"].alias("value"))
+        return F.zip_with(both, _let(lengths, _running), span)
+
+    def placed(found: Column) -> Column:
+        both = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("part"), found.alias("value"))
+        return F.when(F.size(found) > 0, _let(both, spans)).otherwise(none)
+
+    return F.when(text.rlike(needs), _let(F.regexp_extract_all(text, F.lit(pattern), 0), placed)).otherwise(none)
 
 
 def _named(kind: str, spans: Column) -> Column:
@@ -320,7 +332,9 @@ def reliabilities(patterns: list[tuple[dict, int]], rounds: int = 30):
 def fit(found: DataFrame, rounds: int = 400, rate: float = 1.0) -> Model:
     """Train on what proposed() returned (written, so that it is searched for
     once).  A pattern weighs as the logarithm of its count, so that rare ones
-    are learned beside frequent ones.  Without any span the model keeps nothing loose."""
+    are learned beside frequent ones.  Without any span, as of an empty table
+    or of null and empty texts, the model keeps nothing loose; spans that recur
+    in repeated rows count each time."""
     fields = ["kind", *VOTES, "edge", "size"]
     votes = found.select(F.explode(F.transform(F.concat("base", "loose"), lambda s: s["votes"])).alias("v")).select("v.*")
     rows = votes.groupBy(*fields).agg(F.count("*").alias("n")).collect()  # bounded by the number of patterns
@@ -354,7 +368,8 @@ def is_kind(kind: str):
 
 def decide(found: DataFrame, model: Model) -> DataFrame:
     """Replaces base and loose by base and spans: arrays of (kind, start, end),
-    base in base order, spans all kept ones by kind as listed, then start."""
+    base in base order, spans all kept ones by kind as listed, then start.
+    Rows without a span have empty arrays; other columns are kept."""
     plain = lambda s: F.struct(s["votes"]["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))
     added = F.filter("loose", lambda s: model.log_odds(s["votes"]) >= 0)
     base = F.transform("base", plain)
