@@ -6,10 +6,11 @@ import os
 import tempfile
 import zipfile
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _SHIPPED: set[str] = set()
 
 
@@ -17,9 +18,6 @@ def ship(spark: SparkSession) -> None:
     """Give this package to the executors' Python workers (once for each
     application), as Spark does with any Python file, so that they need no
     installed copy and keep module state between tasks."""
-    if spark.conf.get(ARROW_ROWS, None) is None:
-        # rows are whole texts: smaller batches bound what a worker holds at once
-        spark.conf.set(ARROW_ROWS, "1000")
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
@@ -41,16 +39,17 @@ def bucket_of(modulus: int) -> Column:
 
 
 def text_parts(batch, most: int = 1 << 20, column: str = "text"):
-    """(first row, texts) of an Arrow batch, about ``most`` characters at a time; a longer text is its own part."""
-    text = batch.column(column).to_pylist()
-    k = size = 0
-    for i, t in enumerate(text):
-        if size and size + len(t or "") > most:
-            yield k, text[k:i]
-            k, size = i, 0
-        size += len(t or "")
-    if text:
-        yield k, text[k:]
+    """(first row, texts) of an Arrow batch, about ``most`` bytes at a time; a
+    longer text is its own part.  Only a part's texts are made Python strings."""
+    text = batch.column(column)
+    size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
+    end = np.cumsum(size, dtype=np.int64)
+    k = 0
+    while k < len(text):
+        before = end[k - 1] if k else 0
+        n = max(1, int(np.searchsorted(end, before + most, "right")) - k)
+        yield k, text.slice(k, n).to_pylist()
+        k += n
 
 
 def crc32_sql(text: str) -> str:

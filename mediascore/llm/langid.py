@@ -95,10 +95,11 @@ def _frequencies(texts: DataFrame) -> tuple[int, np.ndarray]:
     def count(batches):
         n, df = 0, np.zeros(1 << BITS, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                ids, _ = grams(text)
-                df[ids] += 1
-                n += bool(len(ids))
+            for _, texts in text_parts(batch):
+                for text in texts:
+                    ids, _ = grams(text)
+                    df[ids] += 1
+                    n += bool(len(ids))
         seen = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(seen, -1)), pa.array(np.append(df[seen], n))], ["id", "n"])
 
@@ -127,7 +128,7 @@ def fit(docs: DataFrame, training: Column, fit_rows: int = FIT_ROWS, centroids:
 
     def gather(batches):
         for batch in batches:
-            got = [grams(t) for t in batch.column("text").to_pylist()]
+            got = [grams(t) for _, texts in text_parts(batch) for t in texts]
             columns = [batch.column("lang"), batch.column("place"), pa.array([i.astype("<u2").tobytes() for i, _ in got]), pa.array([n.astype("<u4").tobytes() for _, n in got])]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "place", "ids", "n"])
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mediascore.llm.common import text_parts
 from mediascore.llm.grams import PATTERNS, gram_ids, pattern_ids
 
 SIZES = (2, 3, 4)
@@ -102,7 +103,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = FI
 
     def grams(batches):
         for batch in batches:
-            got = [indicators(t).astype("<u2").tobytes() for t in batch.column("text").to_pylist()]
+            got = [indicators(t).astype("<u2").tobytes() for _, texts in text_parts(batch) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column("l_id"), batch.column("l_good"), pa.array(got, pa.binary())], ["l_id", "good", "ids"])
 
     # the ids stay in Arrow's own buffer: a few large arrays, no object for each row
@@ -152,7 +153,7 @@ def scored(docs: DataFrame, model: Model, *keep: Column) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            s = np.array([score(t, m) for t in batch.column("__text").to_pylist()], float)
+            s = np.array([score(t, m) for _, texts in text_parts(batch, column="__text") for t in texts], float)
             own = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= 0.5).astype(np.int32))], [*batch.schema.names[:-1], "score", "predicted"])
 
@@ -167,6 +168,6 @@ def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for batch in batches:
-            yield batch.filter(pa.array([score(t, m) >= 0.5 for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([score(t, m) >= 0.5 for _, texts in text_parts(batch) for t in texts], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,7 @@ from mediascore.llm.common import text_parts
 PIECE = 16
 WINDOW = 64
 STRIDE = WINDOW // 2
-#: The fit's sample: so many labelled texts of either class, of each so many windows, evenly spread.
+#: The fit's sample: so many toxic texts and twice as many clean ones, of each so many windows, evenly spread.
 FIT_ROWS = 1000
 FIT_WINDOWS = 32
 #: Words with an embedding of their own: the most frequent of the sample, each in so many of its documents.
@@ -43,7 +43,7 @@ MAX_CHARACTERS = 500
 WORD_DIM, CHAR_DIM, WORD_HIDDEN, CHAR_HIDDEN = 16, 8, 16, 8
 #: Windows scored at once, and words whose input is kept by a worker.
 BLOCK = 1024
-CACHE = 100_000
+CACHE = 250_000
 THRESHOLD = 0.3
 _TOKEN = re.compile(rf"\w{{1,{PIECE}}}")
 _GAP = re.compile(r"\W")
@@ -412,15 +412,16 @@ def train(rows: list[tuple[int, list[str]]], prior: float, seed: int = 42, round
 
 def fit(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = FIT_ROWS) -> Net:
     """Fit on the texts of ``docs`` whose doc_id has a toxic of 0 or 1 in
-    ``labels`` and for which ``training``, a condition on doc_id, holds: of
-    either class at most ``fit_rows`` ids, the first by a hash, and at most
-    twice as many distinct texts, of each at most FIT_WINDOWS windows.  A
+    ``labels`` and for which ``training``, a condition on doc_id, holds: at
+    most ``fit_rows`` toxic ids and twice as many clean ones, the first by a
+    hash, and at most twice as many distinct texts, of each at most FIT_WINDOWS
+    windows.  A
     doc_id with both labels counts as toxic; null labels, ids and texts are
     skipped.  The prior is the share of toxic ids among all labelled ones."""
     known = labels.where(training & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("l_id")).agg(F.max("toxic").alias("l_toxic"))
     n = {r["l_toxic"]: r["n"] for r in known.groupBy("l_toxic").agg(F.count("*").alias("n")).collect()}  # two rows
-    first = [known.where(F.col("l_toxic") == c).orderBy(F.xxhash64(F.lit("toxicity"), "l_id"), "l_id").limit(fit_rows) for c in (0, 1)]
-    # at most 2 * fit_rows ids and labels
+    first = [known.where(F.col("l_toxic") == c).orderBy(F.xxhash64(F.lit("toxicity"), "l_id"), "l_id").limit(n_) for c, n_ in ((0, 2 * fit_rows), (1, fit_rows))]
+    # at most 3 * fit_rows ids and labels
     chosen = first[0].unionByName(first[1])
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("l_id")).where(F.col("text").isNotNull())
 
@@ -436,7 +437,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, fit_rows: int = FI
 
     # copies of one text count once
     distinct = sample.select("l_toxic", "text").mapInArrow(cut, "toxic int, windows array<string>").groupBy("windows").agg(F.max("toxic").alias("toxic"))
-    rows = sorted((r["toxic"], r["windows"]) for r in distinct.limit(4 * fit_rows).toArrow().to_pylist())
+    rows = sorted((r["toxic"], r["windows"]) for r in distinct.limit(6 * fit_rows).toArrow().to_pylist())
     rows.sort(key=lambda r: zlib.crc32(" ".join(r[1]).encode()))
     return train(rows, (n.get(1, 0) + 1) / (sum(n.values()) + 2))
 
