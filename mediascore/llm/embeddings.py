@@ -50,6 +50,8 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 8, seed: int = 42) ->
 def _unit(column, dim: int) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     x = flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    # by a power of two, which is exact: no square of a huge or tiny component leaves the doubles
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
     return x / np.sqrt((x * x).sum(1))[:, None]
 
 

@@ -325,3 +325,16 @@ def test_rows_that_share_an_id_are_dropped_by_their_own_text(spark):
     rows = [(3, a, "1"), (7, a, "2"), (7, b, "3"), (9, b, "4"), (11, e, "5"), (12, c, "6"), (12, d, "7"), (12, d, "8"), (None, a, "9"), (None, a, "10")]
     kept = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
     assert sorted(map(tuple, kept), key=str) in [sorted([rows[i] for i in (0, 2, 4, last, 8, 9)], key=str) for last in (6, 7)]
+
+
+def test_huge_and_tiny_vectors_are_compared(spark):
+    ship(spark)
+    rng = np.random.default_rng(14)
+    x = np.repeat(rng.normal(size=(12, 8)), 3, 0) + 0.05 * rng.normal(size=(36, 8))
+    size = 10.0 ** rng.choice([-300, -200, 0, 200, 300], len(x))
+    table = spark.createDataFrame([(i, (v * s).tolist()) for i, (v, s) in enumerate(zip(x, size))], "vec_id long, embedding array<double>").repartition(3)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.95
+    n, comp = link.sum(1) - 1, smallest(len(x), np.argwhere(np.triu(link, 1)).tolist())
+    got = {r.vec_id: r for r in embeddings.near_duplicates(table, 0.95, cell_rows=6, block=10).collect()}
+    assert [got[i].n_links for i in range(len(x))] == n.tolist() and [got[i].component_id for i in range(len(x))] == comp and n.sum() > 30
