@@ -23,7 +23,9 @@ WHITESPACE_RUN = r"[\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u20
 
 def clean_value(c: Column) -> Column:
     """lower -> non-word chars to '_' -> collapse '_' runs -> strip '_'."""
-    out = F.regexp_replace(lower(c), non_word(), "_")
+    # most values are plain ASCII, which needs neither the whole class nor the mapping of newer letters
+    plain = F.regexp_replace(F.lower(c), "[^0-9a-z_]", "_")
+    out = F.when(F.octet_length(c) == F.length(c), plain).otherwise(F.regexp_replace(lower(c), non_word(), "_"))
     out = F.regexp_replace(out, UNDERSCORE_RUN, "_")
     return F.regexp_replace(out, EDGE_UNDERSCORES, "")
 
