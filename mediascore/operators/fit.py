@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from mediascore.functions.text import clean_values
 from mediascore.operators.trees import qcol
@@ -142,6 +143,31 @@ def _artifacts(summary: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return norm, schema_long, numbered(summary.where(F.col("kind") == "voc"))
 
 
+def _by_file(spark: SparkSession, files: dict[str, str]) -> DataFrame:
+    """The records of parquet files (key: path) beside the key as ``file``.
+    Files of the same schema are one scan, which tells each record's file, so
+    the plan grows with the schemas and not with the files."""
+    alike: dict[str, tuple[StructType, list[str]]] = {}
+    for path in files.values():
+        schema = spark.read.parquet(path).schema
+        alike.setdefault(schema.json(), (schema, []))[1].append(path)
+    told = None
+    for schema, paths in alike.values():
+        records = spark.read.schema(schema).parquet(*paths)
+        one = records.select("*", records.metadataColumn("_metadata")["file_path"].alias("__path"))
+        told = one if told is None else told.unionByName(one, allowMissingColumns=True)
+    # paths as the scan spells them
+    spelt = lambda f: spark._jvm.org.apache.hadoop.fs.Path(_status(spark, f).getPath().toString()).toUri().toString()
+    keys = spark.createDataFrame([(spelt(f), k) for k, f in files.items()], "__of string, file string")
+    key = F.coalesce("file", F.raise_error(F.concat(F.lit("not a new file: "), F.col("__path"))))
+    return told.join(F.broadcast(keys), F.col("__path") == F.col("__of"), "left").withColumn("file", key).drop("__path", "__of")
+
+
+def _status(spark: SparkSession, f: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+
+
 def fit_incremental(spark: SparkSession, files: list[str], state: str, read=None, fields=CONTINUOUS_FIELDS,
                     list_columns=ENCODED_LIST_FIELDS, categorical=CATEGORICAL_FIELDS) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The artifacts of the records in ``files``, of which only those are read
@@ -152,24 +178,23 @@ def fit_incremental(spark: SparkSession, files: list[str], state: str, read=None
     which merge with those of any other files and can be taken away again.  A
     fit writes the new files' part and then the index of what counts, which is
     replaced as a whole: a fit that is lost half-way leaves the state as it
-    was.  ``read`` turns a list of paths into records (default: parquet).  The
+    was.  ``read`` turns a list of paths into records and is called for each
+    file; without it they are parquet files, and many are read at once.  The
     driver holds the index, some hundred bytes for each file."""
-    read = read or (lambda paths: spark.read.parquet(*paths))
     marked = read_mark(spark, f"{state}/index")
     known: dict[str, str] = json.loads(marked) if marked else {}
     now: dict[str, str] = {}  # file key -> path
     for f in files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        status = path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path)
+        status = _status(spark, f)
         now[hashlib.sha256(f"{status.getPath()}|{status.getLen()}|{status.getModificationTime()}".encode()).hexdigest()[:32]] = f
     new = [k for k in now if k not in known]
     if new:
         part = uuid.uuid4().hex
-        # of each new file its own records; a file's summary is far smaller than the file
-        told = None
-        for k in new:
+        told = _by_file(spark, {k: now[k] for k in new}) if read is None else None
+        for k in new if read else ():
             one = read([now[k]]).select("*", F.lit(k).alias("file"))
             told = one if told is None else told.unionByName(one, allowMissingColumns=True)
+        # a file's summary is far smaller than the file
         rows = _summary(told, fields, list_columns, categorical, "file")
         rows.groupBy("file", "kind", "column", "value").agg(F.min("x").alias("min"), F.max("x").alias("max")).write.parquet(f"{state}/part={part}")
         known |= dict.fromkeys(new, part)

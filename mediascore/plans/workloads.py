@@ -241,12 +241,13 @@ def q_fit_category_vocab(spark, sf):
 
 
 def q_fit_incremental(spark, sf):
-    """Records in four files by part key: a fit of the first three, then one
-    of the last three, which reads the new file alone and takes the first away."""
+    """Records in four folders by part key: a fit of the files of the first
+    three, then one of the last three, which reads the new folder's files alone
+    and takes the first's away.  A folder has a file for each task that wrote."""
     base = scratch_path(spark, "incremental")
     items = media_items(spark, sf)
     for k in range(4):
-        items.where(F.col("p_partkey") % 4 == k).drop("p_partkey").coalesce(1).write.parquet(f"{base}/in/{k}")
+        items.where(F.col("p_partkey") % 4 == k).drop("p_partkey").write.parquet(f"{base}/in/{k}")
     files = lambda ks: sorted(f for k in ks for f in spark.read.parquet(f"{base}/in/{k}").inputFiles())
     fit_incremental(spark, files((0, 1, 2)), base + "/state")
     norm, schema, vocab = fit_incremental(spark, files((1, 2, 3)), base + "/state")

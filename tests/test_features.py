@@ -231,3 +231,57 @@ def test_fit_of_changed_files_alone(spark):
         want = fit_artifacts(spark.read.parquet(*files(*now)) if now else items.limit(0))
         for a, b in zip(got, want):
             assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+def test_incremental_fit_of_many_files_is_one_scan(spark, monkeypatch):
+    """Files of any name and of two schemas, forty of them: the artifacts of a full fit, and a plan that does not grow with the files."""
+    import uuid
+    from urllib.parse import unquote
+
+    from pyspark.sql import DataFrameWriter
+
+    from mediascore.operators.fit import fit_artifacts, fit_incremental
+    from mediascore.session import checkpoint_path
+    from mediascore.sources.fixtures import media_items_view
+
+    base = checkpoint_path(spark, "test-incremental", uuid.uuid4().hex)
+    items = media_items_view(spark, "/root/testdata/sf0.001")
+    items.repartition(20).write.parquet(f"{base}/é a%20+b=1")
+    items.drop("runtime").withColumn("budget", F.col("budget").cast("double")).repartition(20).write.parquet(f"{base}/in/k=2")
+    files = [unquote(f) for d in ("é a%20+b=1", "in/k=2") for f in spark.read.parquet(f"{base}/{d}").inputFiles()]
+    assert len(files) == 40
+    plans = []
+    written = DataFrameWriter.parquet
+
+    def parquet(self, path, *args, **kwargs):
+        plans.append(self._df._jdf.queryExecution().analyzed().toString())
+        return written(self, path, *args, **kwargs)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", parquet)
+    got = fit_incremental(spark, files, base + "/state")
+    assert plans[0].count("Relation [") == 2
+    both = items.unionByName(items.drop("runtime").withColumn("budget", F.col("budget").cast("double")), allowMissingColumns=True)
+    for a, b in zip(got, fit_artifacts(both)):
+        assert sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect()))
+
+
+@pytest.fixture
+def eight_partitions(spark):
+    """Shuffles keep their eight partitions, however small."""
+    own = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
+
+
+def test_incremental_query_writes_its_files_in_parallel(spark, eight_partitions, monkeypatch):
+    """No part of the input is drawn into one task."""
+    from mediascore.plans import workloads
+
+    base = workloads.scratch_path(spark, "incremental")
+    monkeypatch.setattr(workloads, "scratch_path", lambda *_: base)
+    assert workloads.q_fit_incremental(spark, "/root/testdata/sf0.001").count() > 0
+    assert [len(spark.read.parquet(f"{base}/in/{k}").inputFiles()) for k in range(4)] == [8] * 4
