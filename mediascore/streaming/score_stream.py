@@ -83,6 +83,14 @@ def start_scoring_stream(
     return _start(spark, source_dir, checkpoint_dir, per_batch, available_now, max_files_per_trigger)
 
 
+def _dealt_out(batch: DataFrame) -> DataFrame:
+    """The envelopes of a micro-batch in twice as many partitions as there are
+    cores, or 16 for each one that is read where these are more.  They are
+    sorted, so that a task that is run again numbers its envelopes the same."""
+    cores = batch.sparkSession.sparkContext.defaultParallelism
+    return batch.repartition(max(2 * cores, 16 * batch.rdd.getNumPartitions())).sortWithinPartitions("request_id", "value")
+
+
 def start_envelope_stream(
     spark: SparkSession, bundle: Bundle, source_dir: str, sink_dir: str, checkpoint_dir: str,
     available_now: bool = True, max_files_per_trigger: int | None = None,
@@ -92,13 +100,15 @@ def start_envelope_stream(
     ``sink_dir``: ``results`` (request_id, results in input order),
     ``rejections`` (request_id, pos, rule) of envelopes with a broken item, and
     ``failures`` (request_id, pos, imdb_id, reason) of envelopes with an item
-    that cannot be scored.  Every envelope is answered in one of them."""
+    that cannot be scored.  Every envelope is answered in one of them.  The
+    envelopes of a micro-batch are dealt out over the cluster before they are
+    parsed, as one arriving file may be all of it and is read by few tasks."""
     reader = spark.readStream.schema("request_id long, value string")
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        checked = validate_envelopes(scan_batch_envelope(batch)).persist()
+        checked = validate_envelopes(scan_batch_envelope(_dealt_out(batch))).persist()
         items = envelope_items(accept_envelopes(checked), outer=True)
         folded = request_outcomes(outcomes(items, bundle, keep=("request_id", ENVELOPE, "pos", "imdb_id"))).persist()
         try:

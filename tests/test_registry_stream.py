@@ -236,6 +236,30 @@ def test_envelope_stream_answers_every_request(spark, bundle):
             assert ids[2]
 
 
+def test_one_file_of_envelopes_is_dealt_out(spark, bundle, monkeypatch):
+    """A micro-batch that is one small file is parsed by every core; envelopes that are sent twice are answered twice."""
+    from mediascore.sources.fixtures import media_envelopes
+    from mediascore.streaming import score_stream
+
+    base = checkpoint_path(spark, "test-streams", uuid.uuid4().hex)
+    env = media_envelopes(spark, SF)
+    env.unionByName(env).coalesce(1).write.parquet(base + "/src")
+    parts = []
+    scan = score_stream.scan_batch_envelope
+
+    def seen(batch):
+        parts.append(batch.rdd.getNumPartitions())
+        return scan(batch)
+
+    monkeypatch.setattr(score_stream, "scan_batch_envelope", seen)
+    score_stream.start_envelope_stream(spark, bundle, base + "/src", base, base + "/ckpt").awaitTermination()
+    assert len(parts) == 1 and parts[0] >= spark.sparkContext.defaultParallelism
+    results, rejected = (spark.read.parquet(f"{base}/{s}") for s in ("results", "rejections"))
+    twice = [tuple(r) for r in results.groupBy("request_id").count().collect()]
+    assert {n for _, n in twice} == {2}
+    assert len(twice) + rejected.select("request_id").distinct().count() == env.count()
+
+
 def test_runs_from_their_rows(spark):
     from mediascore.operators.registry import folded_runs
 
