@@ -672,7 +672,7 @@ def _refreshed(spark, sf) -> str:
                                   feature_names=feats, model_name=MODEL, run_id=f"run-{v}")
     raw = media_raw(spark, sf)
     for k, newest in enumerate(("9", "10", "11")):
-        raw.where(F.col("request_id") % 3 == k).select("value").coalesce(2).write.mode("append").text(base + "/source")
+        raw.where(F.col("request_id") % 3 == k).select("value").write.mode("append").text(base + "/source")
         versions = registry_versions(spark, include_broken=True).where(F.col("version").cast("int") <= int(newest))
         refresher = ModelRefresher(None, lambda: resolve_version(versions, MODEL), lambda v: load_bundle_artifacts(spark, root, v),
                                    VersionLog(spark, base + "/ckpt/versions"))

@@ -285,3 +285,18 @@ def test_incremental_query_writes_its_files_in_parallel(spark, eight_partitions,
     monkeypatch.setattr(workloads, "scratch_path", lambda *_: base)
     assert workloads.q_fit_incremental(spark, "/root/testdata/sf0.001").count() > 0
     assert [len(spark.read.parquet(f"{base}/in/{k}").inputFiles()) for k in range(4)] == [8] * 4
+
+
+def test_refresh_sources_are_written_in_parallel(spark, eight_partitions, monkeypatch):
+    """Each third of the requests arrives as the files of all tasks."""
+    from types import SimpleNamespace
+
+    import mediascore.streaming as streaming
+    from mediascore.plans import workloads
+    from mediascore.sources.fixtures import media_raw
+
+    monkeypatch.setattr(streaming, "ModelRefresher", lambda *_: None)
+    monkeypatch.setattr(streaming, "start_refreshing_stream", lambda *_: SimpleNamespace(awaitTermination=lambda: None))
+    source = spark.read.text(workloads._refreshed(spark, "/root/testdata/sf0.001") + "/source")
+    assert len(source.inputFiles()) == 3 * 8
+    assert source.count() == media_raw(spark, "/root/testdata/sf0.001").count()
