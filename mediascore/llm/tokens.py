@@ -17,17 +17,56 @@ import re
 from array import array
 
 #: White space and separators beyond the six ASCII ones: such texts are encoded whole.
-_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]|<\\|")
+_ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
+_ODD_ASCII = "\x00\x1c\x1d\x1e\x1f"
+#: A space before other white space is not the space of a word.
+_RUNS = ("  ", " \t", " \n", " \r", " \x0b", " \x0c")
 #: A run of white space up to the last character before a word; a word with the one space before it; a lone white space.
 _SPACED = re.compile("[ \t\n\r\x0b\x0c]+(?![^ \t\n\r\x0b\x0c])| ?[^ \t\n\r\x0b\x0c]+|[ \t\n\r\x0b\x0c]")
+#: The characters that stand for bytes in a byte-level vocabulary: printable bytes for themselves, the others from U+0100 on.
+_OWN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _OWN)}
 _MARKS = ".,;:!?%&$#*|)"
 
 
+def _odd(text: str) -> bool:
+    """Whether a text has to be encoded whole."""
+    if "<|" in text:
+        return True
+    return any(c in text for c in _ODD_ASCII) if text.isascii() else _ODD.search(text) is not None
+
+
 def _ends_in_letter(part: str) -> bool:
     last = part[-1]
     return "a" <= last <= "z" or "A" <= last <= "Z" or "\xc0" <= last <= "\xff" and last not in "\xd7\xf7"
 
 
+class _Words(dict):
+    """Ids of the parts that follow a space, by the part without it."""
+
+    def __init__(self, encoder: SegmentEncoder):
+        super().__init__()
+        self.encoder = encoder
+        self.old: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        if ids is None:
+            if word.isalpha():
+                ids = self.encoder.fresh(" " + word)
+            else:
+                # words with marks or line ends are many and rare: their parts are kept, not they
+                head = word.rstrip(_MARKS)
+                if head != word and head and head.isalpha() and _ends_in_letter(head):
+                    return self[head] + self.encoder[word[len(head) :]]
+                parts = _SPACED.findall(" " + word)
+                if len(parts) > 1:
+                    return self[parts[0][1:]] + b"".join(map(self.encoder.__getitem__, parts[1:])) if len(parts[0]) > 1 else b"".join(map(self.encoder.__getitem__, parts))
+                ids = self.encoder.fresh(" " + word)
+        self[word] = ids
+        return ids
+
+
 class SegmentEncoder(dict):
     """Ids of texts as little-endian unsigned 32-bit integers; as a dict, the
     ids of parts.
@@ -38,7 +77,7 @@ class SegmentEncoder(dict):
     bounds the memory; parts that fall out are encoded anew.
     """
 
-    def __init__(self, path: str, spaced: bool, keep: int = 250_000):
+    def __init__(self, path: str, spaced: bool, keep: int = 400_000):
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
@@ -46,46 +85,59 @@ class SegmentEncoder(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.spaced = spaced
+        self.bytes = spaced and self.tokenizer.normalizer is None
         # without odd white space, str.split cuts at the six ASCII ones only
         self.split = _SPACED.findall if spaced else str.split
         self.keep = keep
         self.old: dict[str, bytes] = {}
+        self.words = _Words(self)
 
     def _library(self, part: str) -> bytes:
         """Ids of any text."""
         return array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes()
 
+    def fresh(self, part: str) -> bytes:
+        """Ids of a part that is not kept yet."""
+        head = part.rstrip(_MARKS)
+        if head is not part and head and head != part and _ends_in_letter(head):
+            return self[head] + self[part[len(head) :]]
+        letters = part[1:] if part[0] == " " else part
+        if self.bytes and letters.isalpha() and not letters.isascii() and max(letters) < "\u0180":
+            # one pretoken of Latin letters, its bytes as the characters that stand for them
+            return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        if letters.isascii() and letters.isalpha():
+            # one pretoken of ASCII letters, with or without the space before it
+            word = "Ġ" + letters if letters is not part else part if self.spaced else part.lower()
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        return self._library(part)
+
     def __missing__(self, part: str) -> bytes:
         ids = self.old.get(part)
         if ids is None:
-            head = part.rstrip(_MARKS)
-            if head is not part and head and head != part and _ends_in_letter(head):
-                ids = self[head] + self[part[len(head) :]]
-            else:
-                letters = part[1:] if part[0] == " " else part
-                if letters.isascii() and letters.isalpha():
-                    # one pretoken of ASCII letters, with or without the space before it
-                    word = "Ġ" + letters if letters is not part else part if self.spaced else part.lower()
-                    ids = array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
-                else:
-                    ids = self._library(part)
+            ids = self.fresh(part)
         self[part] = ids
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text; a null text is empty."""
         out = []
-        ids = self.__getitem__
+        ids, after_space = self.__getitem__, self.words.__getitem__
         for text in texts:
             if not text:
                 out.append(b"")
-            elif _ODD.search(text):
+            elif _odd(text):
                 out.append(self._library(text))
-            else:
+            elif not self.spaced or text[-1] == " " or any(r in text for r in _RUNS):
                 out.append(b"".join(map(ids, self.split(text))))
-            if len(self) > self.keep:
-                self.old = dict(self)
-                self.clear()
+            else:
+                # every space begins a word
+                first, *words = text.split(" ")
+                head = b"".join(map(ids, self.split(first)))
+                out.append(head + b"".join(map(after_space, words)))
+            if len(self) + len(self.words) > self.keep:
+                for kept in (self, self.words):
+                    kept.old = dict(kept)
+                    kept.clear()
         return out
 
 

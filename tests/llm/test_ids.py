@@ -61,6 +61,18 @@ def test_segments_give_the_librarys_ids(path, spaced):
     assert encoder.encode([*ODD, None]) == [np.array(library(path, t), "<u4").tobytes() for t in [*ODD, None]]
 
 
+def test_latin_words_are_single_pretokens(monkeypatch):
+    """Any letter below U+0180, after a space or a line's end: the library's ids without a call for the whole text; words with marks are not kept."""
+    letters = [chr(c) for c in range(128, 0x180) if chr(c).isalpha()]
+    texts = [f"{c}a b{c}z {c}x, {c}{c}\n{c}w {c}" for c in letters]
+    want = [np.array(library(BYTES, t), "<u4").tobytes() for t in ("".join(texts),)]
+    encoder = SegmentEncoder(BYTES, True)
+    whole = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda part: whole(part) if not any(map(str.isalpha, part)) else pytest.fail(part))
+    assert encoder.encode(["".join(texts)]) == want
+    assert not any("," in w for w in encoder.words)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=70), st.booleans())
 def test_planes_round_trip(ids, bits):
