@@ -29,6 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mediascore.llm.common import text_slices
 from mediascore.llm.tokens import encoder
 
 MAGIC = b"BPLANES1"
@@ -171,8 +172,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, spaced: bool, end_id:
         record = lambda x: pa.RecordBatch.from_arrays([pa.array([x], pa.binary())], ["record"])
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            for k in range(0, len(ids), 256):
-                for doc, got in zip(ids[k : k + 256], enc.encode(batch.column("text").slice(k, 256).to_pylist())):
+            for k, texts in text_slices(batch, 1 << 23):
+                for doc, got in zip(ids[k : k + len(texts)], enc.encode_column(texts)):
                     for x in out.add(doc, got + end):
                         yield record(x)
         for x in out.end():

@@ -38,9 +38,9 @@ def bucket_of(modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def text_parts(batch, most: int = 1 << 20, column: str = "text"):
-    """(first row, texts) of an Arrow batch, about ``most`` bytes at a time; a
-    longer text is its own part.  Only a part's texts are made Python strings."""
+def text_slices(batch, most: int, column: str = "text"):
+    """(first row, slice) of an Arrow batch's texts, about ``most`` bytes at a
+    time; a longer text is its own slice."""
     text = batch.column(column)
     size = pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False)
     end = np.cumsum(size, dtype=np.int64)
@@ -48,10 +48,17 @@ def text_parts(batch, most: int = 1 << 20, column: str = "text"):
     while k < len(text):
         before = end[k - 1] if k else 0
         n = max(1, int(np.searchsorted(end, before + most, "right")) - k)
-        yield k, text.slice(k, n).to_pylist()
+        yield k, text.slice(k, n)
         k += n
 
 
+def text_parts(batch, most: int = 1 << 20, column: str = "text"):
+    """(first row, texts) of an Arrow batch, about ``most`` bytes at a time; a
+    longer text is its own part.  Only a part's texts are made Python strings."""
+    for k, text in text_slices(batch, most, column):
+        yield k, text.to_pylist()
+
+
 def crc32_sql(text: str) -> str:
     """DuckDB SQL for the unsigned crc32 of an ASCII string, bit by bit: a byte is xored in, then eight steps."""
     steps = f"flatten([[ascii(x), -1, -1, -1, -1, -1, -1, -1, -1] for x in string_split({text}, '')])"

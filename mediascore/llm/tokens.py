@@ -7,7 +7,9 @@ the byte-level tokenizer: before a single space that a word follows) and
 between a Latin letter and a following run of ASCII punctuation.  Every part
 is encoded by the tokenizers library once and kept; words repeat, so most of a
 text is a lookup.  A text with any other white space, or with the string of a
-special token, is encoded whole by the library.
+special token, is encoded whole by the library.  Where white space is dropped,
+whole columns are cut, looked up and joined by Arrow, and Python sees the words
+that are not kept yet.
 """
 
 from __future__ import annotations
@@ -15,6 +17,11 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: White space and separators beyond the six ASCII ones: such texts are encoded whole.
 _ODD = re.compile("[\x00\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff]")
@@ -105,6 +112,9 @@ class SegmentEncoder(dict):
         if self.bytes and letters.isalpha() and not letters.isascii() and max(letters) < "\u0180":
             # one pretoken of Latin letters, its bytes as the characters that stand for them
             return array("I", [t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTES))]).tobytes()
+        if not self.spaced and part.isalpha() and not part.isascii() and max(part) < "\u0180" and "\u0130" not in part:
+            # the same, in lower case; the capital I with a dot becomes two characters
+            return array("I", [t.id for t in self.model.tokenize(part.lower().encode().decode("latin-1").translate(_BYTES))]).tobytes()
         if letters.isascii() and letters.isalpha():
             # one pretoken of ASCII letters, with or without the space before it
             word = "Ġ" + letters if letters is not part else part if self.spaced else part.lower()
@@ -140,6 +150,68 @@ class SegmentEncoder(dict):
                     kept.clear()
         return out
 
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of an Arrow column; a null text is empty."""
+        for k in range(0, len(texts), 256):
+            yield from self.encode(texts.slice(k, 256).to_pylist())
+
+
+class WordEncoder(SegmentEncoder):
+    """Ids of Arrow columns of text, for a tokenizer that drops white space.
+
+    A column's distinct words are found by Arrow and looked up at once in the
+    kept words, two Arrow columns with the last used first; the ids are taken
+    for all words from there.  ``keep``: words held from column to column, each
+    of ``LONGEST`` bytes at most, which bounds the memory.
+    """
+
+    LONGEST = 64
+
+    def __init__(self, path: str, keep: int = 400_000):
+        super().__init__(path, False)
+        self.most = keep
+        self.kept_words = pa.array([], pa.string())
+        self.kept_ids = pa.array([], pa.large_binary())
+
+    def _new_ids(self, words: list[str]) -> pa.Array:
+        """The ids of words that are not kept; the dictionary holds them and their parts for a while."""
+        ids = pa.array([self[w] if w else b"" for w in words], pa.large_binary())
+        self.clear()
+        return ids
+
+    def _ids_of(self, words: pa.Array) -> pa.Array:
+        """The ids of distinct words, which are kept before those of earlier columns."""
+        at = pc.index_in(words, value_set=self.kept_words)
+        new = at.is_null().to_numpy(zero_copy_only=False)
+        unknown = words.filter(pa.array(new))
+        ids = [self._new_ids(unknown.slice(k, 50_000).to_pylist()) for k in range(0, len(unknown), 50_000)]
+        at = at.fill_null(0).to_numpy().astype(np.int64)
+        unused = np.ones(len(self.kept_words), bool)
+        unused[at[~new]] = False
+        at[new] = len(self.kept_words) + np.arange(len(unknown))
+        found = pa.concat_arrays([self.kept_ids, *ids]).take(pa.array(at))
+        short = pc.less_equal(pc.binary_length(words), self.LONGEST)
+        rest = pa.array(np.flatnonzero(unused)[: self.most])
+        self.kept_words = pa.concat_arrays([words.filter(short), self.kept_words.take(rest)])[: self.most]
+        self.kept_ids = pa.concat_arrays([found.filter(short), self.kept_ids.take(rest)])[: self.most]
+        return found
+
+    def encode_column(self, texts: pa.Array) -> Iterator[bytes]:
+        strings = ((k, text.as_py()) for k, text in enumerate(texts))
+        whole = {k: self._library(text) for k, text in strings if text and _odd(text)}
+        empty = texts.is_null().to_numpy(zero_copy_only=False).copy()
+        empty[list(whole)] = True
+        words = pc.ascii_split_whitespace(pc.if_else(pa.array(empty), "", texts.cast(pa.string())))
+        bounds = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        del words  # as large as the texts
+        ids = self._ids_of(coded.dictionary).take(coded.indices)
+        _, ends, data = ids.buffers()
+        ends = np.frombuffer(ends, np.int64)[bounds].tolist()
+        data = memoryview(data)
+        for k, (a, b) in enumerate(zip(ends, ends[1:])):
+            yield whole.get(k) or bytes(data[a:b])
+
 
 _ENCODERS: dict[tuple[str, bool], SegmentEncoder] = {}
 
@@ -148,5 +220,5 @@ def encoder(path: str, spaced: bool) -> SegmentEncoder:
     """The process's encoder for a tokenizer file: Python workers serve many tasks."""
     key = (path, spaced)
     if key not in _ENCODERS:
-        _ENCODERS[key] = SegmentEncoder(path, spaced)
+        _ENCODERS[key] = SegmentEncoder(path, True) if spaced else WordEncoder(path)
     return _ENCODERS[key]

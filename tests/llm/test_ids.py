@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -15,7 +16,8 @@ from tokenizers import Tokenizer
 
 from mediascore.llm import bitplane, packing, sharding
 from mediascore.llm.common import ship
-from mediascore.llm.tokens import SegmentEncoder
+from mediascore.llm.tokens import SegmentEncoder, WordEncoder
+from mediascore.llm.tokens import encoder as encoder_of
 from mediascore.session import checkpoint_path, materialize
 
 WORDS, BYTES = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
@@ -73,6 +75,48 @@ def test_latin_words_are_single_pretokens(monkeypatch):
     assert not any("," in w for w in encoder.words)
 
 
+def test_latin_words_of_the_word_tokenizer_go_to_the_model(monkeypatch):
+    """Any letter below U+0180, alone and within words of any case: the library's ids without a call for the text."""
+    letters = [chr(c) for c in range(128, 0x180) if chr(c).isalpha() and c != 0x130]
+    texts = [w for c in letters for w in (c, f"a{c}", f"{c}b", f"Xa{c}yZ", c + c, f"{c}x,")] + [a + b for a in letters[::5] for b in letters]
+    want = [np.array(x.ids, "<u4").tobytes() for x in Tokenizer.from_file(WORDS).encode_batch(texts, add_special_tokens=False)]
+    encoder = SegmentEncoder(WORDS, False)
+    whole = encoder._library
+    monkeypatch.setattr(encoder, "_library", lambda part: whole(part) if not any(map(str.isalpha, part)) else pytest.fail(part))
+    assert encoder.encode(texts) == want
+
+
+def test_columns_give_the_librarys_ids():
+    """Columns of odd texts, nulls and slices, with words that fall out and come back."""
+    encoder = WordEncoder(WORDS, keep=5)
+    tokenizer = encoder.tokenizer
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.none() | st.text(alphabet="ab ,.\n\t'sté1ßÀİ%|)<\x1c\u00a0\u0301\u3000", max_size=40), max_size=6), st.sampled_from([pa.string(), pa.large_string()]))
+    def check(texts, kind):
+        column = pa.array(["a b", *texts], kind).slice(1)
+        assert list(encoder.encode_column(column)) == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        assert len(encoder.kept_words) == len(encoder.kept_ids) <= 5
+
+    check()
+    texts = [*ODD, None]
+    assert list(encoder.encode_column(pa.array(texts))) == [np.array(library(WORDS, t), "<u4").tobytes() for t in texts]
+
+
+def test_a_columns_words_are_looked_up_once(monkeypatch):
+    """Python sees a word once a column and not at all while it is kept; long words are not kept."""
+    encoder = encoder_of(WORDS, False)
+    seen = Counter()
+    fresh = encoder.fresh
+    monkeypatch.setattr(encoder, "fresh", lambda part: seen.update([part]) or fresh(part))
+    monkeypatch.setattr(encoder, "encode", lambda texts: pytest.fail("not by column"))
+    column = pa.array(["qzone, qztwo qzthree"] * 1000 + ["qztwo\nqzthree " + "qz" * 100])
+    list(encoder.encode_column(column))
+    assert seen == {w: 1 for w in ("qzone,", "qzone", ",", "qztwo", "qzthree", "qz" * 100)}
+    list(encoder.encode_column(column))
+    assert seen == {w: 1 for w in ("qzone,", "qzone", ",", "qztwo", "qzthree")} | {"qz" * 100: 2}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=70), st.booleans())
 def test_planes_round_trip(ids, bits):
